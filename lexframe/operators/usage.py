@@ -198,3 +198,11 @@ def dashboard_entries(dashboard: DataFrame) -> DataFrame:
     for x in lists[1:]:
         out = out.unionByName(x)
     return out
+
+
+def left_feedback_join(interactions: DataFrame, feedback: DataFrame, thread=None) -> DataFrame:
+    """Interactions with their vote (NULL when none), optionally of one thread,
+    in time order (id breaks ties)."""
+    i = interactions if thread is None else interactions.where(F.col("thread_id") == F.lit(thread))
+    return (i.join(feedback.select("interaction_id", "is_positive"), "interaction_id", "left")
+            .orderBy("timestamp", "interaction_id"))

@@ -82,3 +82,166 @@ SELECT count(feedback_id) AS total_feedback_count,
 FROM {FEEDBACK_SQL}""")
 def q_feedback_summary(spark, d):
     return usage.feedback_summary(B.feedback(spark, d))
+
+
+@register("trailing_window", f"""
+SELECT * FROM {INTER_SQL} WHERE timestamp >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY""")
+def q_trailing_window(spark, d):
+    from lexframe.operators.predicates import trailing_window
+    return trailing_window(B.interactions(spark, d), "timestamp", _as_of(spark, d), 7)
+
+
+@register("owner_filter", """
+SELECT event_id AS id, user_id, event_type AS title, ts AS created_at, ts AS updated_at FROM events
+WHERE user_id = (SELECT arg_max(user_id, event_id) FROM events)""")
+def q_owner_filter(spark, d):
+    from lexframe.operators.predicates import owner_filter
+    ev = B.table(spark, d, "events")
+    owner = ev.agg(F.max_by("user_id", "event_id").alias("u")).first()["u"]
+    return owner_filter(B.conversation_list(spark, d), owner)
+
+
+REQUEST_LOG_SQL = """(SELECT CAST(event_id AS VARCHAR) AS request_id, ts, 'GET' AS method, '/' || event_type AS http_path,
+  CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, value AS duration_ms FROM events)"""
+
+
+@register("tail_sample", f"""
+SELECT * FROM {REQUEST_LOG_SQL}
+WHERE status_code >= 400 OR duration_ms > 1000.0
+   OR CAST(('0x' || substr(md5(request_id), 1, 8)) AS BIGINT) % 1000 < 100""")
+def q_tail_sample(spark, d):
+    from lexframe.operators.predicates import tail_sample
+    return tail_sample(B.request_log(spark, d), threshold_ms=1000.0, rate=0.1)
+
+
+UPLOADS_SQL = """(SELECT doc_id AS ord, source || '.pdf' AS filename,
+  CASE WHEN lang = 'de' THEN 'text/plain' ELSE 'application/pdf' END AS content_type FROM documents)"""
+
+
+def _uploads(spark, d):
+    return B.table(spark, d, "documents").select(
+        F.col("doc_id").alias("ord"), F.concat("source", F.lit(".pdf")).alias("filename"),
+        F.when(F.col("lang") == "de", "text/plain").otherwise("application/pdf").alias("content_type"))
+
+
+@register("accept_media", f"""
+SELECT *, CASE WHEN content_type = 'application/pdf' THEN NULL ELSE 'Only PDF files are allowed.' END AS error
+FROM {UPLOADS_SQL}""")
+def q_accept_media(spark, d):
+    from lexframe.operators.predicates import accept_media
+    return accept_media(_uploads(spark, d))
+
+
+@register("is_empty", "SELECT count(*) = 0 AS empty FROM (SELECT 1 FROM documents LIMIT 1)")
+def q_is_empty(spark, d):
+    from lexframe.operators.predicates import is_empty
+    return is_empty(B.table(spark, d, "documents"))
+
+
+@register("left_feedback_join", f"""
+SELECT i.interaction_id, i.thread_id, i.timestamp, f.is_positive
+FROM {INTER_SQL} i LEFT JOIN {FEEDBACK_SQL} f ON f.interaction_id = i.interaction_id""")
+def q_left_feedback_join(spark, d):
+    return usage.left_feedback_join(B.interactions(spark, d), B.feedback(spark, d)).select(
+        "interaction_id", "thread_id", "timestamp", "is_positive")
+
+
+@register("unused_documents", """
+SELECT doc_id AS document_id, source, lang FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def q_unused_documents(spark, d):
+    docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "source", "lang")
+    used = B.table(spark, d, "labels").select(F.col("doc_id").alias("interaction_id"),
+                                              F.col("doc_id").alias("document_id"))
+    return usage.unused_documents(docs, used)
+
+
+@register("cited_documents", f"""
+SELECT DISTINCT l.l_orderkey AS interaction_id, d.document_id, d.filename
+FROM lineitem l JOIN {DOCS_SQL} d ON d.document_id = l.l_partkey""")
+def q_cited_documents(spark, d):
+    docs = B.documents(spark, d)
+    answers = (B.table(spark, d, "lineitem").join(docs, F.col("l_partkey") == F.col("document_id"))
+               .select(F.col("l_orderkey").alias("interaction_id"),
+                       F.array("filename", "filename",
+                               F.concat(F.lit("no-such-"), F.col("l_suppkey").cast("string"))).alias("used_documents")))
+    return usage.cited_documents(answers, docs)
+
+
+KNOWN_FILES_SQL = """(SELECT DISTINCT d.source || '.pdf' AS filename FROM documents d
+  JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1)"""
+
+
+@register("intake_documents", f"""
+WITH b AS {UPLOADS_SQL},
+firsts AS (SELECT filename, min(ord) AS first_pdf FROM b WHERE content_type = 'application/pdf' GROUP BY filename),
+e AS (SELECT b.ord, b.filename,
+        CASE WHEN b.content_type <> 'application/pdf' THEN 'Only PDF files are allowed.'
+             WHEN b.filename IN (SELECT filename FROM {KNOWN_FILES_SQL}) OR b.ord <> f.first_pdf
+               THEN 'Document with this filename already exists.' END AS error
+      FROM b LEFT JOIN firsts f ON f.filename = b.filename)
+SELECT ord, filename, CASE WHEN error IS NULL THEN 'accepted' ELSE 'failed' END AS status, error FROM e""")
+def q_intake_documents(spark, d):
+    docs = B.table(spark, d, "documents")
+    known = (docs.join(B.table(spark, d, "labels").where(F.col("toxic") == 1), "doc_id", "left_semi")
+             .select(F.concat("source", F.lit(".pdf")).alias("filename")))
+    return usage.intake_documents(_uploads(spark, d), known)
+
+
+VOTES_SQL = "(SELECT doc_id AS feedback_id, doc_id * 20 AS interaction_id, quality = 1 AS is_positive FROM labels)"
+
+
+@register("feedback_reference_check", f"""
+SELECT v.*, CASE WHEN EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = v.interaction_id)
+                 THEN 'accepted' ELSE 'rejected' END AS status
+FROM {VOTES_SQL} v""")
+def q_feedback_reference_check(spark, d):
+    votes = B.table(spark, d, "labels").select(
+        F.col("doc_id").alias("feedback_id"), (F.col("doc_id") * 20).alias("interaction_id"),
+        (F.col("quality") == 1).alias("is_positive"))
+    ok, bad = usage.feedback_reference_check(votes, B.interactions(spark, d))
+    return ok.withColumn("status", F.lit("accepted")).unionByName(bad.withColumn("status", F.lit("rejected")))
+
+
+@register("load_metrics", f"""
+SELECT scrape_date, count(*) AS rows, count(DISTINCT id_norma) AS unique_ids
+FROM ({B.NORM_ROWS_SQL}) GROUP BY scrape_date""")
+def q_load_metrics(spark, d):
+    return usage.load_metrics(B.norm_rows(spark, d), "scrape_date", "id_norma")
+
+
+@register("top5_with_remainder", f"""
+SELECT thread_id, interaction_id, response_time, rank, greatest(n - 5, 0) AS remainder FROM (
+  SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY response_time DESC, interaction_id) AS rank,
+         count(*) OVER (PARTITION BY thread_id) AS n
+  FROM {INTER_SQL}) WHERE rank <= 5""")
+def q_top5_with_remainder(spark, d):
+    i = B.interactions(spark, d).select("thread_id", "interaction_id", "response_time")
+    return usage.top_with_remainder(i, [F.desc("response_time"), F.asc("interaction_id")], 5, ["thread_id"])
+
+
+@register("usage_dashboard", f"""
+WITH u AS (SELECT d.filename, count(*) AS c FROM {DOCS_SQL} d JOIN {LINKS_SQL} x ON x.document_id = d.document_id
+           JOIN {INTER_SQL} i ON i.interaction_id = x.interaction_id GROUP BY d.filename),
+w AS (SELECT d.filename, count(*) AS c FROM {DOCS_SQL} d JOIN {LINKS_SQL} x ON x.document_id = d.document_id
+      JOIN {INTER_SQL} i ON i.interaction_id = x.interaction_id
+      WHERE i.timestamp >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY GROUP BY d.filename),
+ur AS (SELECT *, row_number() OVER (ORDER BY c DESC, filename) AS rank FROM u),
+wr AS (SELECT *, row_number() OVER (ORDER BY c DESC, filename) AS rank FROM w)
+SELECT 'query_count' AS section, CAST(rank AS BIGINT) AS rank, filename AS name, CAST(c AS DOUBLE) AS value FROM ur WHERE rank <= 5
+UNION ALL SELECT 'query_count', NULL, 'more', CAST(greatest(count(*) - 5, 0) AS DOUBLE) FROM u
+UNION ALL SELECT 'weekly_query_count', CAST(rank AS BIGINT), filename, CAST(c AS DOUBLE) FROM wr WHERE rank <= 5
+UNION ALL SELECT 'weekly_query_count', NULL, 'more', CAST(greatest(count(*) - 5, 0) AS DOUBLE) FROM w
+UNION ALL SELECT 'summary', NULL, 'average_response_time_seconds',
+  CASE WHEN coalesce(avg(o_totalprice), 0) = 0 THEN 0.0 ELSE round_even(avg(o_totalprice), 3) END FROM orders
+UNION ALL SELECT 'summary', NULL, 'total_interactions', CAST(count(*) AS DOUBLE) FROM orders
+UNION ALL SELECT 'summary', NULL, 'total_feedback_count', CAST(count(*) AS DOUBLE) FROM labels
+UNION ALL SELECT 'summary', NULL, 'positive_feedback_count', CAST(count(*) FILTER (WHERE quality = 1) AS DOUBLE) FROM labels
+UNION ALL SELECT 'summary', NULL, 'negative_feedback_count', CAST(count(*) FILTER (WHERE quality <> 1) AS DOUBLE) FROM labels
+UNION ALL SELECT 'summary', NULL, 'positive_feedback_percentage',
+  CASE WHEN count(*) > 0 THEN round_even(count(*) FILTER (WHERE quality = 1) / count(*) * 100.0, 2) ELSE 0.0 END
+  FROM labels""")
+def q_usage_dashboard(spark, d):
+    dash = usage.usage_dashboard(B.documents(spark, d), B.links(spark, d), B.interactions(spark, d),
+                                 B.feedback(spark, d), _as_of(spark, d))
+    return usage.dashboard_entries(dash)
