@@ -245,3 +245,256 @@ def q_usage_dashboard(spark, d):
     dash = usage.usage_dashboard(B.documents(spark, d), B.links(spark, d), B.interactions(spark, d),
                                  B.feedback(spark, d), _as_of(spark, d))
     return usage.dashboard_entries(dash)
+
+
+# ---------------------------------------------------------------- conversations
+def _messages_with_blocks(spark, d):
+    """conversations as chat history; assistant answers arrive as structured
+    output: empty text and a JSON block list whose tool call carries the answer."""
+    m = B.messages(spark, d)
+    blocks = F.to_json(F.array(
+        F.struct(F.lit("text").alias("type"), F.struct(F.lit(None).cast("string").alias("answer")).alias("args")),
+        F.struct(F.lit("tool_call").alias("type"), F.struct(F.col("text").alias("answer")).alias("args"))))
+    is_a = F.col("role") == "assistant"
+    return m.select("thread_id", "turn", "role",
+                    F.when(is_a, F.lit("")).otherwise(F.col("text")).alias("text"),
+                    F.when(is_a, blocks).alias("blocks"))
+
+
+@register("message_content", """
+SELECT conv_id AS thread_id, turn, role, nullif(text, '') AS content FROM conversations""")
+def q_message_content(spark, d):
+    from lexframe.operators.conversations import message_content
+    return message_content(_messages_with_blocks(spark, d)).select("thread_id", "turn", "role", "content")
+
+
+@register("align_interactions", """
+WITH m AS (SELECT conv_id AS thread_id, turn, role, nullif(text, '') AS content FROM conversations),
+a AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY turn) AS n FROM m
+      WHERE role = 'assistant' AND content IS NOT NULL),
+i AS (SELECT e.event_id AS interaction_id, e.user_id AS thread_id, l.quality = 1 AS feedback,
+             row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS n
+      FROM events e LEFT JOIN labels l ON l.doc_id = e.event_id)
+SELECT thread_id, turn, role, content, CAST(NULL AS BIGINT) AS interaction_id, CAST(NULL AS BOOLEAN) AS feedback
+FROM m WHERE role = 'user'
+UNION ALL
+SELECT a.thread_id, a.turn, a.role, a.content, i.interaction_id, i.feedback
+FROM a LEFT JOIN i ON i.thread_id = a.thread_id AND i.n = a.n""")
+def q_align_interactions(spark, d):
+    from lexframe.operators.conversations import align_interactions, message_content
+    msgs = message_content(_messages_with_blocks(spark, d))
+    fb = B.table(spark, d, "labels").select(F.col("doc_id").alias("interaction_id"),
+                                           (F.col("quality") == 1).alias("is_positive"))
+    return align_interactions(msgs, B.thread_interactions(spark, d), fb)
+
+
+@register("recency_buckets", """
+WITH c AS (SELECT event_id AS id, user_id, event_type AS title, ts AS updated_at FROM events),
+a AS (SELECT CAST(max(ts) AS DATE) AS day FROM events),
+r AS (SELECT c.*, CASE WHEN updated_at >= a.day THEN 0
+                       WHEN updated_at >= a.day - INTERVAL 1 DAY THEN 1
+                       WHEN updated_at >= a.day - INTERVAL 7 DAY THEN 2
+                       WHEN updated_at >= a.day - INTERVAL 30 DAY THEN 3 ELSE 4 END AS period_rank
+      FROM c, a)
+SELECT id, user_id, title, updated_at, period_rank,
+       ['Today', 'Yesterday', 'Last 7 days', 'Last month', 'Older'][period_rank + 1] AS period FROM r""")
+def q_recency_buckets(spark, d):
+    from lexframe.operators.conversations import recency_buckets
+    as_of = B.table(spark, d, "events").agg(F.max("ts").alias("m")).first()["m"]
+    convs = B.conversation_list(spark, d).select("id", "user_id", "title", "updated_at")
+    return recency_buckets(convs, as_of)
+
+
+CONV_START_SQL = "TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id * 10)"
+
+
+def _conversation_changes(spark, d):
+    """conversations → a conversation table (one row per thread, default title) and its
+    change log: each turn is a message; a thread's first user turn renames it to the
+    auto title; a system turn deletes the thread."""
+    from lexframe.operators.conversations import auto_title
+    c = B.table(spark, d, "conversations")
+    start = F.timestamp_add("MINUTE", F.col("conv_id") * 10, F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")))
+    convs = c.select("conv_id").distinct().select(
+        F.col("conv_id").alias("id"), F.lit(None).cast("string").alias("user_id"),
+        F.lit("New Conversation").alias("title"), start.alias("created_at"), start.alias("updated_at"))
+    kind = (F.when(F.col("role") == "system", "delete")
+            .when((F.col("role") == "user") & (F.col("turn") == 0), "rename").otherwise("message"))
+    changes = c.select(F.col("conv_id").alias("id"),
+                       F.timestamp_add("MINUTE", F.col("turn") + 1, start).alias("ts"),
+                       kind.alias("kind"),
+                       F.when(kind == "rename", auto_title("text")).alias("title"),
+                       F.lit(None).cast("string").alias("user_id"))
+    return convs, changes
+
+
+@register("touch_conversations", f"""
+WITH ch AS (SELECT conv_id AS id, {CONV_START_SQL} + to_minutes(turn + 1) AS ts,
+                   CASE WHEN role = 'system' THEN 'delete' WHEN role = 'user' AND turn = 0 THEN 'rename'
+                        ELSE 'message' END AS kind,
+                   CASE WHEN role = 'user' AND turn = 0 AND role <> 'system'
+                        THEN nullif(trim(substring(text, 1, 50)), '') END AS title
+            FROM conversations),
+latest AS (SELECT id, max(ts) AS ts, arg_max(title, ts) FILTER (WHERE kind = 'rename' AND title IS NOT NULL) AS title
+           FROM ch WHERE kind IN ('message', 'rename') AND (kind <> 'rename' OR title IS NOT NULL) GROUP BY id),
+convs AS (SELECT DISTINCT conv_id AS id, {CONV_START_SQL} AS created_at FROM conversations)
+SELECT c.id, CAST(NULL AS VARCHAR) AS user_id, coalesce(l.title, 'New Conversation') AS title, c.created_at,
+       greatest(c.created_at, l.ts) AS updated_at
+FROM convs c LEFT JOIN latest l ON l.id = c.id
+WHERE c.id NOT IN (SELECT id FROM ch WHERE kind = 'delete')""")
+def q_touch_conversations(spark, d):
+    from lexframe.operators.conversations import touch_conversations
+    convs, changes = _conversation_changes(spark, d)
+    return touch_conversations(convs, changes)
+
+
+# ---------------------------------------------------------------- dedup and upsert
+@register("dedup_keep_last", """
+SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def q_dedup_keep_last(spark, d):
+    from lexframe.operators.upsert import dedup_keep_last
+    return dedup_keep_last(B.table(spark, d, "events"), "user_id", ["ts", "event_id"])
+
+
+@register("merge_embeddings", f"""
+WITH norm_rows AS ({B.NORM_ROWS_SQL}),
+src AS (SELECT id_norma, texto_resumido AS content, titulo_resumido AS title FROM ({B.REVISED_NORMS_SQL}))
+SELECT id_norma, texto_resumido AS content, titulo_resumido AS title FROM norm_rows
+WHERE id_norma NOT IN (SELECT id_norma FROM src)
+UNION ALL SELECT * FROM src""")
+def q_merge_embeddings(spark, d):
+    from lexframe.operators.retrieval import embedding_input
+    from lexframe.operators.upsert import merge_embeddings
+    target = embedding_input(B.norm_rows(spark, d))
+    source = embedding_input(B.revised_norms(spark, d))
+    merged, _ = merge_embeddings(target, source, "id_norma")
+    return merged
+
+
+VOTE_LOG_SQL = """(SELECT event_id AS vote_id, user_id AS interaction_id,
+  event_type IN ('purchase', 'click') AS is_positive, ts FROM events)"""
+
+
+@register("upsert_feedback", f"""
+WITH v AS (SELECT * FROM {VOTE_LOG_SQL}
+           QUALIFY row_number() OVER (PARTITION BY interaction_id ORDER BY ts DESC, vote_id DESC) = 1),
+c AS (SELECT doc_id AS interaction_id, quality = 1 AS is_positive, TIMESTAMP '2024-01-15 00:00:00' AS ts FROM labels)
+SELECT coalesce(c.interaction_id, v.interaction_id) AS interaction_id,
+       CASE WHEN v.ts IS NOT NULL AND (c.ts IS NULL OR v.ts >= c.ts) THEN v.is_positive ELSE c.is_positive END
+         AS is_positive,
+       CASE WHEN v.ts IS NOT NULL AND (c.ts IS NULL OR v.ts >= c.ts) THEN v.ts ELSE c.ts END AS ts,
+       CASE WHEN c.interaction_id IS NULL THEN 'created'
+            WHEN v.ts IS NOT NULL AND (c.ts IS NULL OR v.ts >= c.ts) THEN 'updated' ELSE 'unchanged' END AS action
+FROM c FULL OUTER JOIN v ON v.interaction_id = c.interaction_id""")
+def q_upsert_feedback(spark, d):
+    from lexframe.operators.upsert import upsert_feedback
+    ev = B.table(spark, d, "events")
+    votes = ev.select(F.col("event_id").alias("vote_id"), F.col("user_id").alias("interaction_id"),
+                      F.col("event_type").isin("purchase", "click").alias("is_positive"), "ts")
+    current = B.table(spark, d, "labels").select(
+        F.col("doc_id").alias("interaction_id"), (F.col("quality") == 1).alias("is_positive"),
+        F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00")).alias("ts"))
+    return upsert_feedback(current, votes)
+
+
+# ---------------------------------------------------------------- retrieval
+TOKENS_SQL = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _hashed_sql(src: str, id_col: str, text_col: str, dim: int) -> str:
+    """Sparse hashed embedding (id, bucket, weight) in DuckDB SQL."""
+    toks = TOKENS_SQL.format(t=text_col)
+    return f"""(SELECT id, bucket, CAST(c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS FLOAT) AS weight FROM (
+      SELECT id, bucket, sum(s) AS c FROM (
+        SELECT id, CAST(CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % {dim} AS INTEGER) AS bucket,
+               CASE WHEN CAST(('0x' || substr(md5(tok), 9, 1)) AS INTEGER) < 8 THEN 1 ELSE -1 END AS s
+        FROM (SELECT {id_col} AS id, unnest({toks}) AS tok FROM {src}))
+      GROUP BY id, bucket HAVING sum(s) <> 0))"""
+
+
+@register("embedding_input", f"""
+SELECT id_norma, texto_resumido AS content, titulo_resumido AS title FROM ({B.NORM_ROWS_SQL})""")
+def q_embedding_input(spark, d):
+    from lexframe.operators.retrieval import embedding_input
+    return embedding_input(B.norm_rows(spark, d))
+
+
+@register("embed", f"""
+SELECT id AS id_norma, CAST(bucket AS INTEGER) AS dim_ix, CAST(weight AS DOUBLE) AS weight
+FROM {_hashed_sql('documents', 'doc_id', 'text', 768)}""")
+def q_embed(spark, d):
+    from lexframe.operators.retrieval import embed
+    docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("id_norma"), F.col("text").alias("content"))
+    e = embed(docs, "id_norma", "content", None, dim=768)
+    return (e.select("id_norma", F.posexplode("ml_generate_embedding_result").alias("dim_ix", "weight"))
+            .where(F.col("weight") != 0)
+            .select("id_norma", F.col("dim_ix").cast("int").alias("dim_ix"), F.col("weight").cast("double").alias("weight")))
+
+
+@register("valid_embeddings", """
+SELECT doc_id AS id_norma FROM documents
+WHERE len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) > 0""")
+def q_valid_embeddings(spark, d):
+    from lexframe.operators.predicates import valid_embeddings
+    from lexframe.operators.retrieval import embed
+    docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("id_norma"), F.col("text").alias("content"))
+    return valid_embeddings(embed(docs, "id_norma", "content", None, dim=64)).select("id_norma")
+
+
+CHUNKS_SQL = """(SELECT doc_id, CAST(s // 1800 AS INTEGER) AS chunk_ix, CAST(s AS BIGINT) AS start_index, source,
+  substring(text, s + 1, 2000) AS text
+  FROM (SELECT doc_id, source, text, unnest(range(0, greatest(length(text) - 200 - 1, 0) + 1, 1800)) AS s
+        FROM documents WHERE length(text) > 0))"""
+
+
+@register("chunk_documents", f"SELECT * FROM {CHUNKS_SQL}")
+def q_chunk_documents(spark, d):
+    from lexframe.operators.retrieval import chunk_documents
+    return chunk_documents(B.table(spark, d, "documents"))
+
+
+KNN_SQL = """
+WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id,
+             sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1),
+                  lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))
+                     * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))))) AS distance
+           FROM embeddings a, embeddings b)
+SELECT query_id, id, CAST(rank AS BIGINT) AS rank, round(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) WHERE rank <= 4"""
+
+
+@register("knn", KNN_SQL)
+def q_knn(spark, d):
+    from lexframe.operators.retrieval import knn
+    e = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    hits = knn(e.withColumnRenamed("id", "query_id"), e, k=4, n_cells=16, n_probe=2)
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
+@register("knn_approx")
+def q_knn_approx(spark, d):
+    from lexframe.operators.retrieval import knn_approx
+    e = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return knn_approx(e.withColumnRenamed("id", "query_id"), e, k=4, n_cells=16, n_probe=3) \
+        .withColumn("distance", F.round("distance", 6))
+
+
+@register("source_name", """
+SELECT page_id, string_split(coalesce(url, 'unknown'), '/')[-1] AS source_name FROM pages""")
+def q_source_name(spark, d):
+    from lexframe.functions.text import source_name
+    return B.table(spark, d, "pages").select("page_id", source_name("url").alias("source_name"))
+
+
+@register("build_context", f"""
+SELECT doc_id AS query_id,
+       string_agg('Source: ' || string_split(coalesce(source, 'unknown'), '/')[-1] || chr(10) || 'Content: ' || text,
+                  chr(10) || chr(10) ORDER BY chunk_ix) AS context
+FROM {CHUNKS_SQL} WHERE chunk_ix < 4 GROUP BY doc_id""")
+def q_build_context(spark, d):
+    from lexframe.operators.retrieval import build_context, chunk_documents
+    ch = chunk_documents(B.table(spark, d, "documents")).withColumn(
+        "id", F.col("doc_id") * 100000 + F.col("chunk_ix"))
+    hits = ch.where(F.col("chunk_ix") < 4).select(F.col("doc_id").alias("query_id"), "id",
+                                                  (F.col("chunk_ix") + 1).alias("rank"))
+    return build_context(hits, ch.select("id", "text", "source"))
