@@ -498,3 +498,146 @@ def q_build_context(spark, d):
     hits = ch.where(F.col("chunk_ix") < 4).select(F.col("doc_id").alias("query_id"), "id",
                                                   (F.col("chunk_ix") + 1).alias("rank"))
     return build_context(hits, ch.select("id", "text", "source"))
+
+
+# ---------------------------------------------------------------- scans, sources, sinks
+from lexframe.schemas import NORM_COLUMNS  # noqa: E402
+from lexframe.session import scratch_path  # noqa: E402
+
+NORM_ROWS_CTE = f"WITH norm_rows AS ({B.NORM_ROWS_SQL})"
+
+
+@register("scan_norms", f"{NORM_ROWS_CTE} SELECT * FROM norm_rows")
+def q_scan_norms(spark, d):
+    from lexframe.sources.norms import scan_norms, write_norms_csv
+    path = scratch_path(spark, "daily-csv")
+    write_norms_csv(B.norm_rows(spark, d), path)
+    return scan_norms(spark, path).select(*NORM_COLUMNS, "scrape_date")
+
+
+@register("write_norms_csv", f"""{NORM_ROWS_CTE}
+SELECT CAST(id_norma AS VARCHAR) AS id_norma, tipo_norma, numero_norma, clase_norma, organismo_origen,
+       CAST(fecha_sancion AS VARCHAR) AS fecha_sancion, numero_boletin, CAST(fecha_boletin AS VARCHAR) AS fecha_boletin,
+       CAST(pagina_boletin AS VARCHAR) AS pagina_boletin, nullif(titulo_resumido, '') AS titulo_resumido,
+       titulo_sumario, nullif(texto_resumido, '') AS texto_resumido, observaciones, texto_original,
+       texto_actualizado, CAST(modificada_por AS VARCHAR) AS modificada_por, CAST(modifica_a AS VARCHAR) AS modifica_a,
+       CAST(scrape_date AS VARCHAR) AS scrape_date
+FROM norm_rows""")
+def q_write_norms_csv(spark, d):
+    from lexframe.schemas import NORM_RAW_SCHEMA
+    from lexframe.sources.norms import CSV_OPTIONS, write_norms_csv
+    from pyspark.sql import types as T
+    path = scratch_path(spark, "daily-csv")
+    write_norms_csv(B.norm_rows(spark, d), path)
+    schema = T.StructType(NORM_RAW_SCHEMA.fields + [T.StructField("scrape_date", T.StringType())])
+    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+
+
+@register("scan_pages", "SELECT page_id, url, html FROM pages")
+def q_scan_pages(spark, d):
+    from lexframe.sources.norms import scan_pages
+    return scan_pages(spark, f"{d}/pages.parquet")
+
+
+@register("workday_partitions", """
+SELECT CAST(x AS DATE) AS scrape_date
+FROM (SELECT unnest(generate_series(CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE), INTERVAL 1 DAY)) AS x
+      FROM orders)
+WHERE isodow(x) <= 5""")
+def q_workday_partitions(spark, d):
+    from lexframe.sources.norms import workday_partitions
+    span = B.table(spark, d, "orders").agg(F.to_date(F.min("o_orderdate")).alias("s"),
+                                           F.to_date(F.max("o_orderdate")).alias("e")).first()
+    return workday_partitions(spark, span["s"].isoformat(), span["e"].isoformat())
+
+
+@register("append_staging", f"{NORM_ROWS_CTE} SELECT scrape_date, count(*) AS rows FROM norm_rows GROUP BY 1")
+def q_append_staging(spark, d):
+    from lexframe.sources.norms import append_staging
+    path = scratch_path(spark, "staging")
+    rows = B.norm_rows(spark, d)
+    append_staging(rows, path)
+    return append_staging(rows, path)  # a re-run of the same days changes nothing
+
+
+@register("append_master", f"""{NORM_ROWS_CTE}
+SELECT id_norma, scrape_date, texto_resumido FROM norm_rows
+UNION ALL SELECT id_norma, scrape_date, texto_resumido FROM ({B.REVISED_NORMS_SQL})""")
+def q_append_master(spark, d):
+    from lexframe.sources.norms import append_master
+    return append_master(B.norm_rows(spark, d), B.revised_norms(spark, d)).select(
+        "id_norma", "scrape_date", "texto_resumido")
+
+
+@register("load_master", f"""{NORM_ROWS_CTE},
+a AS (SELECT * FROM norm_rows UNION ALL SELECT * FROM ({B.REVISED_NORMS_SQL}))
+SELECT id_norma, scrape_date, texto_resumido FROM a
+QUALIFY row_number() OVER (PARTITION BY id_norma ORDER BY scrape_date DESC) = 1""")
+def q_load_master(spark, d):
+    from lexframe.sources.norms import append_master, load_master, scan_norms_raw, write_norms_csv
+    # Both batches land as daily files, so load order comes from the scan.
+    path = scratch_path(spark, "daily-csv")
+    write_norms_csv(append_master(B.norm_rows(spark, d), B.revised_norms(spark, d)), path)
+    from lexframe.sources.norms import quarantine
+    good, _ = quarantine(scan_norms_raw(spark, path))
+    master = load_master(good, scratch_path(spark, "master"), "1")
+    return master.select("id_norma", "scrape_date", "texto_resumido")
+
+
+@register("create_embeddings_table", f"""{NORM_ROWS_CTE}
+SELECT id_norma, CASE WHEN n > 0 THEN '' ELSE 'empty content' END AS ml_generate_embedding_status,
+       CASE WHEN n > 0 THEN 768 ELSE 0 END AS dims, texto_resumido AS content, titulo_resumido AS title
+FROM (SELECT *, len({TOKENS_SQL.format(t='texto_resumido')}) AS n FROM norm_rows)""")
+def q_create_embeddings_table(spark, d):
+    from lexframe.sources.norms import create_embeddings_table
+    t = create_embeddings_table(B.norm_rows(spark, d), scratch_path(spark, "master-embeddings"), "0", dim=768)
+    return t.select("id_norma", "ml_generate_embedding_status",
+                    F.size("ml_generate_embedding_result").alias("dims"), "content", "title")
+
+
+@register("archive_snapshot", f"""{NORM_ROWS_CTE}
+SELECT id_norma, scrape_date, DATE '2025-12-31' AS snapshot_date FROM norm_rows""")
+def q_archive_snapshot(spark, d):
+    from lexframe.sources.norms import archive_snapshot
+    root = scratch_path(spark, "archive")
+    archive_snapshot(B.norm_rows(spark, d).select("id_norma", "scrape_date"), root, "2025-12-31")
+    return spark.read.parquet(root).select("id_norma", "scrape_date", "snapshot_date")
+
+
+@register("truncate_staging", f"{NORM_ROWS_CTE} SELECT id_norma, scrape_date FROM norm_rows WHERE false")
+def q_truncate_staging(spark, d):
+    from lexframe.sources.norms import append_staging, truncate_staging
+    path = scratch_path(spark, "staging")
+    append_staging(B.norm_rows(spark, d), path)
+    truncate_staging(spark, path)
+    return spark.read.parquet(path).select("id_norma", "scrape_date")
+
+
+@register("write_chunks", f"SELECT * FROM {CHUNKS_SQL}")
+def q_write_chunks(spark, d):
+    from lexframe.operators.retrieval import chunk_documents
+    from lexframe.sources.norms import write_chunks
+    path = scratch_path(spark, "chunks")
+    write_chunks(chunk_documents(B.table(spark, d, "documents")), path)
+    return spark.read.parquet(path)
+
+
+QUARANTINE_RAW_SQL = f"""{NORM_ROWS_CTE},
+raw AS (SELECT id_norma, CASE WHEN tipo_norma = 'fr' THEN 'sin fecha' ELSE CAST(fecha_sancion AS VARCHAR) END
+               AS fecha_sancion, CAST(pagina_boletin AS VARCHAR) AS pagina_boletin FROM norm_rows)"""
+
+
+@register("quarantine", f"""{QUARANTINE_RAW_SQL}
+SELECT id_norma, CASE WHEN tipo_norma_ok THEN 'ok' ELSE 'rejected' END AS status,
+       CASE WHEN tipo_norma_ok THEN NULL ELSE 'fecha_sancion' END AS reason
+FROM (SELECT id_norma, fecha_sancion <> 'sin fecha' AS tipo_norma_ok FROM raw)""")
+def q_quarantine(spark, d):
+    from lexframe.sources.norms import quarantine, scan_norms_raw, write_norms_csv
+    rows = B.norm_rows(spark, d)
+    raw = rows.withColumn("fecha_sancion", F.when(F.col("tipo_norma") == "fr", F.lit("sin fecha"))
+                          .otherwise(F.col("fecha_sancion").cast("string")))
+    path = scratch_path(spark, "daily-csv")
+    write_norms_csv(raw, path)
+    good, bad = quarantine(scan_norms_raw(spark, path))
+    return (good.select("id_norma", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"))
+            .unionByName(bad.select("id_norma", F.lit("rejected").alias("status"), "reason")))
