@@ -10,11 +10,12 @@ WS = r"[\s\x{00a0}]"
 
 # Named HTML entities decoded in page text.
 HTML_ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
     ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"),
     ("&Aacute;", "Á"), ("&Eacute;", "É"), ("&Iacute;", "Í"), ("&Oacute;", "Ó"), ("&Uacute;", "Ú"),
     ("&ntilde;", "ñ"), ("&Ntilde;", "Ñ"), ("&uuml;", "ü"), ("&Uuml;", "Ü"),
-    ("&ordm;", "º"), ("&ordf;", "ª"), ("&deg;", "°"),
+    ("&ordm;", "º"), ("&ordf;", "ª"), ("&deg;", "°"), ("&copy;", "©"), ("&middot;", "·"),
+    ("&laquo;", "«"), ("&raquo;", "»"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
     ("&amp;", "&"),
 ]
 

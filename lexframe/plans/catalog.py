@@ -641,3 +641,102 @@ def q_quarantine(spark, d):
     good, bad = quarantine(scan_norms_raw(spark, path))
     return (good.select("id_norma", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"))
             .unionByName(bad.select("id_norma", F.lit("rejected").alias("status"), "reason")))
+
+
+# ---------------------------------------------------------------- page fields
+from lexframe.plans import html_sql as HS  # noqa: E402
+
+PAGE_BASE = "http://bulletin.example/base/"
+
+
+def _pages(spark, d):
+    return B.table(spark, d, "pages").select("page_id", "url", "html")
+
+
+@register("extract_links", f"""
+SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos, norm_id FROM (
+  SELECT page_id, unnest(ids) AS norm_id, unnest(generate_series(1, len(ids))) AS pos
+  FROM (SELECT page_id, {HS.LISTING_IDS} AS ids FROM pages))""")
+def q_extract_links(spark, d):
+    from lexframe.operators.extract import extract_links
+    return extract_links(_pages(spark, d))
+
+
+@register("classify_listing", f"""
+SELECT page_id, CASE WHEN n > 0 THEN 'found'
+                     WHEN contains(lower(html), 'no se encontraron') OR contains(lower(html), 'sin resultados')
+                     THEN 'empty' ELSE 'suspect' END AS status, CAST(n AS BIGINT) AS n_ids
+FROM (SELECT page_id, html, len({HS.LISTING_IDS}) AS n FROM pages)""")
+def q_classify_listing(spark, d):
+    from lexframe.operators.extract import classify_listing
+    return classify_listing(_pages(spark, d))
+
+
+@register("daily_cap", f"""
+SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos, norm_id FROM (
+  SELECT page_id, unnest(ids) AS norm_id, unnest(generate_series(1, len(ids))) AS pos
+  FROM (SELECT page_id, {HS.LISTING_IDS} AS ids FROM pages)) WHERE pos <= 200""")
+def q_daily_cap(spark, d):
+    from lexframe.operators.extract import daily_cap, extract_links
+    return daily_cap(extract_links(_pages(spark, d)), 200)
+
+
+def _field_query(key, fn_name, cols_sql):
+    sql = "SELECT page_id, " + ", ".join(f"{expr} AS {name}" for name, expr in cols_sql) + " FROM pages"
+
+    def run(spark, d):
+        from lexframe.operators import extract as X
+        fn = getattr(X, fn_name)
+        return fn(_pages(spark, d), PAGE_BASE) if fn_name == "extract_text_links" else fn(_pages(spark, d))
+    run.__name__ = f"q_{key}"
+    register(key, sql)(run)
+
+
+_field_query("extract_tipo", "extract_tipo", [("tipo_norma", HS.TIPO)])
+_field_query("extract_numero", "extract_numero", [("numero_norma", HS.NUMERO)])
+_field_query("extract_organismo", "extract_organismo", [("organismo_origen", HS.ORGANISMO)])
+_field_query("extract_clase", "extract_clase", [("clase_norma", "''")])
+_field_query("extract_fecha_sancion", "extract_fecha_sancion", [("fecha_sancion", HS.FECHA_SANCION)])
+_field_query("extract_titles", "extract_titles", [("titulo_resumido", HS.TITULO), ("titulo_sumario", HS.SUMARIO)])
+_field_query("extract_boletin", "extract_boletin", [("fecha_boletin", HS.FECHA_BOLETIN),
+                                                    ("numero_boletin", HS.NUMERO_BOLETIN),
+                                                    ("pagina_boletin", HS.PAGINA_BOLETIN)])
+_field_query("extract_resumen", "extract_resumen", [("texto_resumido", HS.RESUMEN)])
+_field_query("extract_text_links", "extract_text_links",
+             [("texto_original", HS.link_by_text("Texto completo", PAGE_BASE)),
+              ("texto_actualizado", HS.link_by_text("Texto actualizado", PAGE_BASE))])
+_field_query("extract_modifications", "extract_modifications",
+             [("modifica_a", HS.count_link(r"verVinculos\.do.*modo=1")),
+              ("modificada_por", HS.count_link(r"verVinculos\.do.*modo=2"))])
+_field_query("extract_observaciones", "extract_observaciones", [("observaciones", HS.OBSERVACIONES)])
+
+
+@register("resolve_url", f"""
+SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos,
+       CASE WHEN starts_with(href, 'http') THEN href ELSE '{PAGE_BASE}' || href END AS url
+FROM (SELECT page_id, unnest(hrefs) AS href, unnest(generate_series(1, len(hrefs))) AS pos
+      FROM (SELECT page_id, list_transform(regexp_extract_all({HS.H}, {HS.q(r'(?is)<a\b[^>]*' + HS.HREF)}, 1),
+                   lambda h: {HS.decode('h')}) AS hrefs FROM pages))""")
+def q_resolve_url(spark, d):
+    """Every link of every page made absolute."""
+    from lexframe.functions.text import clean_html, decode_entities, resolve_url
+    from lexframe.operators.extract import HREF
+    hrefs = F.transform(F.regexp_extract_all(clean_html("html"), F.lit(r"(?is)<a\b[^>]*" + HREF), 1), decode_entities)
+    return (_pages(spark, d).select("page_id", F.posexplode(hrefs).alias("pos", "href"))
+            .select("page_id", F.col("pos").cast("long").alias("pos"), resolve_url("href", PAGE_BASE).alias("url")))
+
+
+@register("normalize_date", f"""
+SELECT event_id, {HS.date_text("strftime(ts, '%d/%m/%Y')")} AS slash_date,
+       {HS.date_text("strftime(ts, '%d-') || ['ENE','FEB','MAR','ABR','MAY','JUN','JUL','AGO','SEP','OCT','NOV','DIC'][month(ts)] || strftime(ts, '-%Y')")}
+         AS dashed_date
+FROM events""")
+def q_normalize_date(spark, d):
+    """Dates of every event, rendered in the bulletin's two formats and parsed back."""
+    from lexframe.functions.text import SPANISH_MONTHS
+    from lexframe.operators.extract import date_text
+    ev = B.table(spark, d, "events")
+    months = F.array(*[F.lit(m) for m in SPANISH_MONTHS])
+    dashed = F.concat(F.date_format("ts", "dd-"), F.element_at(months, F.month("ts")), F.date_format("ts", "-yyyy"))
+    return ev.select("event_id", date_text(F.date_format("ts", "dd/MM/yyyy")).alias("slash_date"),
+                     date_text(dashed).alias("dashed_date"))
