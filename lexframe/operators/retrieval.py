@@ -64,22 +64,39 @@ def tokens(text) -> Column:
     return F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: x != F.lit(""))
 
 
-def hashed_weights(df: DataFrame, id_col: str, text_col: str, dim: int = EMBEDDING_DIM) -> DataFrame:
-    """Sparse signed token counts ``(id, bucket, weight)``, L2-normalised per id.
+def bucket_counts(df: DataFrame, id_col: str, text_col: str, dim: int = EMBEDDING_DIM) -> DataFrame:
+    """Signed token counts per hash bucket ``(id, bucket, c)``, zero counts dropped.
 
     Token hashing is md5-based (bucket = first 8 hex digits mod dim, sign from the
     9th), so any engine with md5 gives the same vectors. ``groupBy(id, bucket)``
-    combines map-side, so only (doc, bucket) partials are shuffled.
+    combines map-side, so only (doc, bucket) partials are shuffled, never tokens.
     """
     tok = df.select(F.col(id_col).alias("id"), F.explode(tokens(text_col)).alias("tok"))
     h = F.md5(F.col("tok"))
     bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
     sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, 1).otherwise(-1)
-    counts = (tok.select("id", bucket.alias("bucket"), sign.alias("s"))
-              .groupBy("id", "bucket").agg(F.sum("s").alias("c"))
-              .where(F.col("c") != 0))
-    norm = F.sqrt(F.sum(F.col("c").cast("double") * F.col("c")).over(Window.partitionBy("id")))
-    return counts.select("id", "bucket", (F.col("c") / norm).cast("float").alias("weight"))
+    return (tok.select("id", bucket.alias("bucket"), sign.alias("s"))
+            .groupBy("id", "bucket").agg(F.sum("s").alias("c"))
+            .where(F.col("c") != 0))
+
+
+def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = EMBEDDING_DIM) -> DataFrame:
+    """Dense L2-normalised hashed vectors ``(id, vec array<float>)`` for rows with at
+    least one non-cancelling token.
+
+    One aggregate per id gathers its non-zero buckets (at most ``dim``: bounded) and
+    their squared norm; the dense array is the sorted union of those entries with the
+    missing buckets at zero — O(dim log dim) per row, no per-index lookups.
+    """
+    counts = bucket_counts(df, id_col, text_col, dim)
+    per_id = counts.groupBy("id").agg(F.collect_list(F.struct("bucket", "c")).alias("e"),
+                                      F.sum(F.col("c").cast("double") * F.col("c")).alias("ss"))
+    norm = F.sqrt(F.col("ss"))
+    present = F.transform("e", lambda x: F.struct(x["bucket"].alias("bucket"),
+                                                  (x["c"] / norm).cast("float").alias("w")))
+    missing = F.array_except(F.sequence(F.lit(0), F.lit(dim - 1)), F.col("e.bucket"))
+    zeros = F.transform(missing, lambda i: F.struct(i.alias("bucket"), F.lit(0.0).cast("float").alias("w")))
+    return per_id.select("id", F.array_sort(F.concat(present, zeros))["w"].alias("vec"))
 
 
 def embed(df: DataFrame, id_col: str = "id_norma", content_col: str = "content", title_col: str | None = "title",
@@ -88,18 +105,15 @@ def embed(df: DataFrame, id_col: str = "id_norma", content_col: str = "content",
     embeddings table: ``(id, ml_generate_embedding_result array<float>,
     ml_generate_embedding_statistics, ml_generate_embedding_status, content, title)``.
 
-    A row whose content is empty gets an empty array and a non-empty status (it is
-    dropped by ``valid_embeddings`` before a merge).
+    A row whose content has no token gets an empty array and a non-empty status (it
+    is dropped by ``valid_embeddings`` before a merge).
     """
     base = df.select(F.col(id_col).alias(id_col), content_col,
                      (F.col(title_col) if title_col else F.lit(None).cast("string")).alias("title"))
     if embedder is not None:
         return _embed_with(base, id_col, content_col, dim, embedder)
-    w = hashed_weights(base, id_col, content_col, dim)
-    dense = (w.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-             .select(F.col("id").alias(id_col),
-                     F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                 lambda i: F.coalesce(F.col("m")[i], F.lit(0.0).cast("float"))).alias("_v")))
+    dense = hashed_vectors(base, id_col, content_col, dim).withColumnRenamed("id", id_col) \
+        .withColumnRenamed("vec", "_v")
     n_tok = F.size(tokens(content_col))
     out = base.join(dense, id_col, "left")
     # Content with tokens always gets a vector (all zeros when every bucket cancels);
@@ -176,7 +190,7 @@ def _fit_cells(corpus: DataFrame, vec_col: str, n_cells: int, seed: int, sample_
     if frac < 1.0:
         train = train.sample(fraction=frac, seed=seed)
     k = max(1, min(n_cells, n))
-    model = KMeans(k=k, seed=seed, maxIter=10, initMode="k-means||").fit(train)
+    model = KMeans(k=k, seed=seed, maxIter=5, initMode="k-means||", initSteps=2).fit(train)
     return model
 
 

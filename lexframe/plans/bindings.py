@@ -131,19 +131,16 @@ NORM_ROWS_SQL = f"""
 
 def revised_norms(spark, d) -> DataFrame:
     """A later daily batch: English and German norms re-published with a revised text
-    two working days after the last original day (German ids are new ids, shifted
-    past the table's key range, so the batch both updates and inserts)."""
+    two days after the last original day (German ids are new ids, shifted past the
+    table's key range, so the batch both updates and inserts)."""
     base = norm_rows(spark, d)
-    top = table(spark, d, "documents").agg(F.max("doc_id").alias("m"))
-    later = base.agg(F.max("scrape_date").alias("last"))
-    src = (base.where(F.col("tipo_norma").isin("en", "de"))
-           .crossJoin(top).crossJoin(later)
-           .withColumn("id_norma", F.when(F.col("tipo_norma") == "de", F.col("id_norma") + F.col("m") + 1)
-                       .otherwise(F.col("id_norma")))
-           .withColumn("texto_resumido", F.concat(F.lit("v2 "), F.col("texto_resumido")))
-           .withColumn("scrape_date", F.date_add(F.col("last"), 2))
-           .drop("m", "last"))
-    return src
+    top = table(spark, d, "documents").agg(F.max("doc_id")).first()[0]
+    last = base.agg(F.max("scrape_date")).first()[0]
+    return (base.where(F.col("tipo_norma").isin("en", "de"))
+            .withColumn("id_norma", F.when(F.col("tipo_norma") == "de", F.col("id_norma") + F.lit(top + 1))
+                        .otherwise(F.col("id_norma")))
+            .withColumn("texto_resumido", F.concat(F.lit("v2 "), F.col("texto_resumido")))
+            .withColumn("scrape_date", F.date_add(F.lit(last), 2)))
 
 
 REVISED_NORMS_SQL = f"""
@@ -153,3 +150,39 @@ REVISED_NORMS_SQL = f"""
                     CAST((SELECT max(scrape_date) FROM norm_rows) + 2 AS DATE) AS scrape_date)
   FROM norm_rows WHERE tipo_norma IN ('en', 'de')
 """
+
+
+# Fixed values (of this binding): norm types rendered per document language.
+TIPO_BY_LANG = [("en", "Ley"), ("es", "Decreto"), ("fr", "Resolución Conjunta"), ("de", "Disposición")]
+
+
+def _esc(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def norm_pages(spark, d) -> DataFrame:
+    """Bulletin-style norm pages rendered from the norm records of ``documents``
+    (``page_id`` = norm id), with the markup the bulletin's pages use."""
+    n = norm_rows(spark, d)
+    tipo = F.create_map(*[F.lit(x) for kv in TIPO_BY_LANG for x in kv])[F.col("tipo_norma")]
+    dmy = "dd/MM/yyyy"
+    html = F.concat(
+        F.lit("<html><head><title>norma</title><script>var x=\"</p>\";</script></head><body>\n<strong>"),
+        tipo, F.lit("&nbsp;<b>"), F.col("numero_norma"), F.lit("/"), F.year("fecha_sancion").cast("string"),
+        F.lit("</b> "), F.upper(F.col("organismo_origen")), F.lit(" NACIONAL</strong>\n<span class=\"vr_azul11\">"),
+        F.date_format("fecha_sancion", dmy), F.lit("</span><h1>"), _esc(F.col("titulo_resumido")),
+        F.lit("</h1><span class=\"destacado\">"), _esc(F.col("organismo_origen")),
+        F.lit("</span>\n<p>Publicada en el Bolet&iacute;n Oficial del <a href=\"?page_id=216&amp;n="),
+        F.col("numero_boletin"), F.lit("\">"), F.date_format("fecha_boletin", dmy),
+        F.lit("</a> N&uacute;mero: "), F.col("numero_boletin"), F.lit(" P&aacute;gina: "),
+        F.col("pagina_boletin").cast("string"), F.lit("</p>\n<p><strong>Resumen:</strong><br>"),
+        _esc(F.col("texto_resumido")), F.lit("</p>\n<a href=\"anexos/"), F.col("id_norma").cast("string"),
+        F.lit("/norma.htm\">Texto completo de la norma</a>\n<a href=\"verVinculos.do?modo=1&amp;id="),
+        F.col("id_norma").cast("string"), F.lit("\">Modifica a "), F.col("modifica_a").cast("string"),
+        F.lit(" normas</a> <a href=\"verVinculos.do?modo=2&amp;id="), F.col("id_norma").cast("string"),
+        F.lit("\">modificada por "), F.col("modificada_por").cast("string"),
+        F.lit("</a>\n<p><strong>Observaciones:</strong> sin observaciones <br></p>\n</body></html>"))
+    return n.select(F.col("id_norma").alias("page_id"),
+                    F.concat(F.lit("http://bulletin.example/norma/"), F.col("id_norma").cast("string")).alias("url"),
+                    html.alias("html"))

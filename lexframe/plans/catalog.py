@@ -740,3 +740,155 @@ def q_normalize_date(spark, d):
     dashed = F.concat(F.date_format("ts", "dd-"), F.element_at(months, F.month("ts")), F.date_format("ts", "-yyyy"))
     return ev.select("event_id", date_text(F.date_format("ts", "dd/MM/yyyy")).alias("slash_date"),
                      date_text(dashed).alias("dashed_date"))
+
+
+_WS_TRIM = r"'^[\s\x{00a0}]+|[\s\x{00a0}]+$'"
+
+
+@register("extract_norms", f"""{NORM_ROWS_CTE}
+SELECT CAST(id_norma AS VARCHAR) AS id_norma,
+       CASE tipo_norma WHEN 'en' THEN 'Ley' WHEN 'es' THEN 'Decreto' WHEN 'fr' THEN 'Resolución Conjunta'
+                       ELSE 'Disposición' END AS tipo_norma,
+       numero_norma, '' AS clase_norma, upper(organismo_origen) || ' NACIONAL' AS organismo_origen,
+       CAST(fecha_sancion AS VARCHAR) AS fecha_sancion, numero_boletin, CAST(fecha_boletin AS VARCHAR) AS fecha_boletin,
+       CAST(pagina_boletin AS VARCHAR) AS pagina_boletin,
+       regexp_replace(titulo_resumido, {_WS_TRIM}, '', 'g') AS titulo_resumido,
+       organismo_origen AS titulo_sumario,
+       CASE WHEN length(regexp_replace(texto_resumido, {_WS_TRIM}, '', 'g')) > 10
+            THEN regexp_replace(texto_resumido, {_WS_TRIM}, '', 'g') ELSE '' END AS texto_resumido,
+       'sin observaciones' AS observaciones,
+       '{PAGE_BASE}anexos/' || CAST(id_norma AS VARCHAR) || '/norma.htm' AS texto_original,
+       '' AS texto_actualizado, CAST(modificada_por AS VARCHAR) AS modificada_por,
+       CAST(modifica_a AS VARCHAR) AS modifica_a
+FROM norm_rows""")
+def q_extract_norms(spark, d):
+    """Every field of bulletin-style pages rendered from the documents: the rules must
+    give back the record each page was rendered from."""
+    from lexframe.operators.extract import extract_norms
+    return extract_norms(B.norm_pages(spark, d), PAGE_BASE)
+
+
+# ---------------------------------------------------------------- streaming
+@register("stream_merge_norms", f"""{NORM_ROWS_CTE},
+src AS (SELECT * FROM ({B.REVISED_NORMS_SQL})),
+m AS (SELECT id_norma, texto_resumido AS content, titulo_resumido AS title FROM norm_rows
+      WHERE id_norma NOT IN (SELECT id_norma FROM src)
+      UNION ALL SELECT id_norma, texto_resumido, titulo_resumido FROM src)
+SELECT id_norma, content, title FROM m
+WHERE len({TOKENS_SQL.format(t='content')}) > 0""")
+def q_stream_merge_norms(spark, d):
+    """Two arrivals of daily files (the original days, then a revised day) through the
+    streaming merge; the result is the current embeddings table."""
+    from lexframe.sources.norms import read_current, write_norms_csv
+    from lexframe.streaming.streams import stream_merge_norms
+    in_dir, table_dir, ckpt = (scratch_path(spark, x) for x in ("inbox", "emb-table", "emb-ckpt"))
+    for batch in (B.norm_rows(spark, d), B.revised_norms(spark, d)):
+        write_norms_csv(batch, in_dir, mode="append")
+        stream_merge_norms(spark, in_dir, table_dir, ckpt, dim=64).awaitTermination()
+    return read_current(spark, table_dir).select("id_norma", "content", "title")
+
+
+@register("stream_feedback", """
+WITH v AS (SELECT event_id AS vote_id, user_id AS interaction_id, event_type IN ('purchase', 'click') AS is_positive, ts
+           FROM events WHERE user_id IN (SELECT doc_id FROM documents)
+           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+c AS (SELECT doc_id AS interaction_id, quality = 1 AS is_positive, TIMESTAMP '2024-01-15 00:00:00' AS ts FROM labels)
+SELECT coalesce(c.interaction_id, v.interaction_id) AS interaction_id,
+       CASE WHEN v.ts IS NOT NULL AND (c.ts IS NULL OR v.ts >= c.ts) THEN v.is_positive ELSE c.is_positive END
+         AS is_positive,
+       CASE WHEN v.ts IS NOT NULL AND (c.ts IS NULL OR v.ts >= c.ts) THEN v.ts ELSE c.ts END AS ts
+FROM c FULL OUTER JOIN v ON v.interaction_id = c.interaction_id""")
+def q_stream_feedback(spark, d):
+    """Votes arriving as two file drops (before and after mid-month) upserted by the
+    feedback stream over the stored votes."""
+    from lexframe.sources.norms import read_current, write_version
+    from lexframe.streaming.streams import stream_feedback
+    ev = B.table(spark, d, "events")
+    votes = ev.select(F.col("event_id").alias("vote_id"), F.col("user_id").alias("interaction_id"),
+                      F.col("event_type").isin("purchase", "click").alias("is_positive"), "ts")
+    current = B.table(spark, d, "labels").select(
+        F.col("doc_id").alias("interaction_id"), (F.col("quality") == 1).alias("is_positive"),
+        F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00")).alias("ts"))
+    known = B.table(spark, d, "documents").select(F.col("doc_id").alias("interaction_id"))
+    in_dir, table_dir, ckpt = (scratch_path(spark, x) for x in ("votes", "feedback", "feedback-ckpt"))
+    write_version(current, table_dir, "0")
+    cut = F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00"))
+    for part in (votes.where(F.col("ts") < cut), votes.where(F.col("ts") >= cut)):
+        part.write.mode("append").parquet(in_dir)
+        stream = spark.readStream.schema(votes.schema).parquet(in_dir)
+        stream_feedback(stream, table_dir, ckpt, known).awaitTermination()
+    return read_current(spark, table_dir).select("interaction_id", "is_positive", "ts")
+
+
+@register("stream_tail_sample", f"""
+SELECT * FROM {REQUEST_LOG_SQL}
+WHERE status_code >= 400 OR duration_ms > 1000.0
+   OR CAST(('0x' || substr(md5(request_id), 1, 8)) AS BIGINT) % 1000 < 100""")
+def q_stream_tail_sample(spark, d):
+    """The request log replayed as a file stream, with every file delivered twice:
+    duplicates are dropped within the watermark before sampling."""
+    from lexframe.streaming.streams import stream_tail_sample
+    log = B.request_log(spark, d)
+    in_dir, out_dir, ckpt = (scratch_path(spark, x) for x in ("requests", "kept", "kept-ckpt"))
+    log.write.mode("append").parquet(in_dir)
+    log.write.mode("append").parquet(in_dir)
+    kept = stream_tail_sample(spark.readStream.schema(log.schema).parquet(in_dir), 1000.0, 0.1, "1 hour")
+    (kept.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt)
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(log.schema).parquet(out_dir)
+
+
+# ---------------------------------------------------------------- user surface
+@register("register_functions", f"""{NORM_ROWS_CTE}
+SELECT id_norma, fecha_sancion AS parsed, organismo_origen AS source,
+       CASE WHEN starts_with(texto_original, 'http') THEN texto_original ELSE '' END AS link,
+       scrape_date AS workday
+FROM norm_rows""")
+def q_register_functions(spark, d):
+    """The SQL functions applied in SQL over every norm record."""
+    from lexframe.functions.register import register_functions
+    register_functions(spark)
+    B.norm_rows(spark, d).createOrReplaceTempView("lexframe_norm_rows")
+    return spark.sql("""
+        SELECT id_norma, norm_date(date_format(fecha_sancion, 'dd/MM/yyyy')) AS parsed,
+               source_name(concat('corpus/', tipo_norma, '/', organismo_origen)) AS source,
+               resolve_url(texto_original, '') AS link,
+               workday_add(DATE '2025-10-01', floor(id_norma / 200)) AS workday
+        FROM lexframe_norm_rows""")
+
+
+def _search_sql(dim: int) -> str:
+    emb_q = _hashed_sql("(SELECT item_id, text FROM benchmark)", "item_id", "text", dim)
+    emb_c = _hashed_sql(f"(SELECT doc_id * 100000 + chunk_ix AS cid, text FROM {CHUNKS_SQL})", "cid", "text", dim)
+    return f"""
+WITH ch AS (SELECT doc_id * 100000 + chunk_ix AS id, source, text FROM {CHUNKS_SQL}),
+qv AS (SELECT id, list(weight ORDER BY bucket) AS w, list(bucket ORDER BY bucket) AS b FROM {emb_q} GROUP BY id),
+cv AS (SELECT id, list(weight ORDER BY bucket) AS w, list(bucket ORDER BY bucket) AS b FROM {emb_c} GROUP BY id),
+qd AS (SELECT id, list_transform(range({dim}), lambda i: coalesce(w[list_position(b, i)], CAST(0 AS FLOAT))) AS v FROM qv),
+cd AS (SELECT c.id, coalesce(v.v, list_transform(range({dim}), lambda i: CAST(0 AS FLOAT))) AS v
+       FROM ch c LEFT JOIN (SELECT id, list_transform(range({dim}), lambda i: coalesce(w[list_position(b, i)],
+                                   CAST(0 AS FLOAT))) AS v FROM cv) v ON v.id = c.id
+       WHERE len({TOKENS_SQL.format(t='c.text')}) > 0),
+p AS (SELECT q.id AS query_id, c.id,
+             sqrt(list_sum(list_transform(range(1, {dim} + 1), lambda i: (CAST(q.v[i] AS DOUBLE) - CAST(c.v[i] AS DOUBLE))
+                  * (CAST(q.v[i] AS DOUBLE) - CAST(c.v[i] AS DOUBLE))))) AS distance
+      FROM qd q, cd c),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p)
+        WHERE rank <= 4)
+SELECT b.item_id AS query_id,
+       coalesce(string_agg('Source: ' || string_split(coalesce(ch.source, 'unknown'), '/')[-1] || chr(10)
+                           || 'Content: ' || ch.text, chr(10) || chr(10) ORDER BY t.rank),
+                'No documents have been uploaded yet.') AS context
+FROM benchmark b LEFT JOIN top t ON t.query_id = b.item_id LEFT JOIN ch ON ch.id = t.id
+GROUP BY b.item_id"""
+
+
+@register("search", _search_sql(256))
+def q_search(spark, d):
+    """Every benchmark question answered against the chunked documents: embed, exact
+    top-4, context string."""
+    from lexframe.operators.retrieval import chunk_documents, search
+    ch = chunk_documents(B.table(spark, d, "documents")).select(
+        (F.col("doc_id") * 100000 + F.col("chunk_ix")).alias("id"), "source", "text")
+    qs = B.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search(qs, ch, k=4, dim=256)
