@@ -16,6 +16,8 @@ equals brute force. ``knn_approx`` stops after the probe step.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,39 +66,43 @@ def tokens(text) -> Column:
     return F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: x != F.lit(""))
 
 
-def bucket_counts(df: DataFrame, id_col: str, text_col: str, dim: int = EMBEDDING_DIM) -> DataFrame:
-    """Signed token counts per hash bucket ``(id, bucket, c)``, zero counts dropped.
-
-    Token hashing is md5-based (bucket = first 8 hex digits mod dim, sign from the
-    9th), so any engine with md5 gives the same vectors. ``groupBy(id, bucket)``
-    combines map-side, so only (doc, bucket) partials are shuffled, never tokens.
-    """
-    tok = df.select(F.col(id_col).alias("id"), F.explode(tokens(text_col)).alias("tok"))
-    h = F.md5(F.col("tok"))
-    bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, 1).otherwise(-1)
-    return (tok.select("id", bucket.alias("bucket"), sign.alias("s"))
-            .groupBy("id", "bucket").agg(F.sum("s").alias("c"))
-            .where(F.col("c") != 0))
+def signed_buckets(text, dim: int = EMBEDDING_DIM) -> Column:
+    """Per row, each token's hash bucket + 1, negated when its sign is negative
+    (md5-based, JVM built-ins)."""
+    def code(t):
+        h = F.md5(t)
+        bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)) + 1
+        return F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, bucket).otherwise(-bucket).cast("int")
+    return F.transform(tokens(text), code)
+
+
+def _dense_udf(dim: int):
+    """Signed bucket codes → L2-normalised dense float vector (numpy per row over an
+    Arrow batch; empty array when every bucket cancels or there is no token)."""
+    @F.pandas_udf("array<float>")
+    def dense(codes: pd.Series) -> pd.Series:
+        out = []
+        for a in codes:
+            a = np.asarray(a, dtype=np.int64)
+            if a.size == 0:
+                out.append(np.zeros(0, dtype=np.float32))
+                continue
+            counts = (np.bincount(np.abs(a) - 1, weights=np.sign(a), minlength=dim))
+            ss = float(np.sum(counts * counts))
+            if ss == 0.0:
+                out.append(np.zeros(0, dtype=np.float32))
+                continue
+            out.append((counts / np.sqrt(ss)).astype(np.float32))
+        return pd.Series(out)
+    return dense
 
 
 def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = EMBEDDING_DIM) -> DataFrame:
     """Dense L2-normalised hashed vectors ``(id, vec array<float>)`` for rows with at
-    least one non-cancelling token.
-
-    One aggregate per id gathers its non-zero buckets (at most ``dim``: bounded) and
-    their squared norm; the dense array is the sorted union of those entries with the
-    missing buckets at zero — O(dim log dim) per row, no per-index lookups.
-    """
-    counts = bucket_counts(df, id_col, text_col, dim)
-    per_id = counts.groupBy("id").agg(F.collect_list(F.struct("bucket", "c")).alias("e"),
-                                      F.sum(F.col("c").cast("double") * F.col("c")).alias("ss"))
-    norm = F.sqrt(F.col("ss"))
-    present = F.transform("e", lambda x: F.struct(x["bucket"].alias("bucket"),
-                                                  (x["c"] / norm).cast("float").alias("w")))
-    missing = F.array_except(F.sequence(F.lit(0), F.lit(dim - 1)), F.col("e.bucket"))
-    zeros = F.transform(missing, lambda i: F.struct(i.alias("bucket"), F.lit(0.0).cast("float").alias("w")))
-    return per_id.select("id", F.array_sort(F.concat(present, zeros))["w"].alias("vec"))
+    least one non-cancelling token: a row-local projection (no shuffle); the
+    counting is one vectorised numpy call per row of an Arrow batch."""
+    vec = _dense_udf(dim)(signed_buckets(text_col, dim))
+    return df.select(F.col(id_col).alias("id"), vec.alias("vec")).where(F.size("vec") > 0)
 
 
 def embed(df: DataFrame, id_col: str = "id_norma", content_col: str = "content", title_col: str | None = "title",
@@ -112,14 +118,13 @@ def embed(df: DataFrame, id_col: str = "id_norma", content_col: str = "content",
                      (F.col(title_col) if title_col else F.lit(None).cast("string")).alias("title"))
     if embedder is not None:
         return _embed_with(base, id_col, content_col, dim, embedder)
-    dense = hashed_vectors(base, id_col, content_col, dim).withColumnRenamed("id", id_col) \
-        .withColumnRenamed("vec", "_v")
     n_tok = F.size(tokens(content_col))
-    out = base.join(dense, id_col, "left")
+    out = base.withColumn("_v", _dense_udf(dim)(signed_buckets(content_col, dim)))
     # Content with tokens always gets a vector (all zeros when every bucket cancels);
     # content without any token is a failed row with an empty array.
     ok = n_tok > 0
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    out = out.withColumn("_v", F.when(F.size("_v") > 0, F.col("_v")))
     return out.select(
         id_col,
         F.when(ok, F.coalesce(F.col("_v"), zeros)).otherwise(F.array().cast("array<float>"))
@@ -179,63 +184,183 @@ def distance(a, b, metric: str = "l2") -> Column:
 
 
 # ---------------------------------------------------------------- cells
-def _fit_cells(corpus: DataFrame, vec_col: str, n_cells: int, seed: int, sample_rows: int):
+def _fit_cells(corpus: DataFrame, vec_col: str, n_cells: int, seed: int, sample_rows: int, n: int):
     """k-means cell centres over a bounded sample of the corpus (Spark ML)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = corpus.count()
     frac = min(1.0, sample_rows / max(n, 1))
     train = corpus.select(array_to_vector(F.col(vec_col)).alias("features"))
     if frac < 1.0:
         train = train.sample(fraction=frac, seed=seed)
     k = max(1, min(n_cells, n))
-    model = KMeans(k=k, seed=seed, maxIter=5, initMode="k-means||", initSteps=2).fit(train)
-    return model
+    return KMeans(k=k, seed=seed, maxIter=3, initMode="random").fit(train)
+
 
+def _sq_to_centres(v, centres):
+    """Squared distances (rows × centres), summed dimension by dimension."""
+    import numpy as np
+    acc = np.zeros((v.shape[0], centres.shape[0]))
+    for j in range(v.shape[1]):
+        diff = v[:, j][:, None] - centres[:, j][None, :]
+        acc += diff * diff
+    return acc
 
-def _centres_frame(spark, model) -> DataFrame:
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "cell int, centre array<double>")
+
+def _nearest_cell(centre_rows):
+    """Per Arrow batch: each corpus row's nearest centre and its distance to it."""
+    import numpy as np
+
+    centres = np.stack(centre_rows)
+
+    def fn(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            d2 = _sq_to_centres(v, centres)
+            cell = np.argmin(d2, axis=1)
+            yield pdf.assign(cell=cell.astype("int32"), to_centre=np.sqrt(d2[np.arange(len(cell)), cell]))
+    return fn
+
+
+def _centre_distances(centre_rows):
+    """Per Arrow batch: every query row repeated for each cell with its centre distance."""
+    import numpy as np
+    import pandas as pd
+
+    centres = np.stack(centre_rows)
+    n_cells = centres.shape[0]
+
+    def fn(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            v = np.stack(pdf["qvec"].to_numpy()).astype(np.float64)
+            d = np.sqrt(_sq_to_centres(v, centres))
+            yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), n_cells),
+                                "qvec": np.repeat(pdf["qvec"].to_numpy(), n_cells),
+                                "cell": np.tile(np.arange(n_cells, dtype="int32"), len(pdf)),
+                                "qc": d.reshape(-1)})
+    return fn
+
+
+def _block_kernel(k: int, metric: str):
+    """Distances of one bounded (query block × corpus block) group with numpy, summed
+    dimension by dimension in index order (the same arithmetic as the SQL form), and
+    the ``k`` nearest per query (ties by id)."""
+    import numpy as np
+    import pandas as pd
+
+    empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
+                          "distance": pd.Series([], dtype="float64")})
+
+    def seq_dot(a, b):
+        acc = np.zeros((a.shape[0], b.shape[0]))
+        for j in range(a.shape[1]):
+            acc += a[:, j][:, None] * b[:, j][None, :]
+        return acc
+
+    def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        if qpdf.empty or cpdf.empty:
+            return empty
+        q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
+        c = np.stack(cpdf["vec"].to_numpy()).astype(np.float64)
+        qids, cids = qpdf["query_id"].to_numpy(), cpdf["id"].to_numpy()
+        if metric == "l2":
+            acc = np.zeros((q.shape[0], c.shape[0]))
+            for j in range(q.shape[1]):
+                diff = q[:, j][:, None] - c[:, j][None, :]
+                acc += diff * diff
+            dist = np.sqrt(acc)
+        elif metric == "ip":
+            dist = -seq_dot(q, c)
+        else:
+            qn = np.sqrt(np.einsum("ij,ij->i", q, q))
+            cn = np.sqrt(np.einsum("ij,ij->i", c, c))
+            dist = 1.0 - seq_dot(q, c) / (qn[:, None] * cn[None, :])
+        kk = min(k, c.shape[0])
+        out_q, out_c, out_d = [], [], []
+        for i in range(q.shape[0]):
+            row = dist[i]
+            if row.shape[0] > kk:
+                kth = row[np.argpartition(row, kk - 1)[:kk]].max()
+                cand = np.nonzero(row <= kth)[0]
+            else:
+                cand = np.arange(row.shape[0])
+            sel = cand[np.lexsort((cids[cand], row[cand]))[:kk]]
+            out_q.append(np.full(sel.shape[0], qids[i]))
+            out_c.append(cids[sel])
+            out_d.append(row[sel])
+        return pd.DataFrame({"query_id": np.concatenate(out_q).astype("int64"),
+                             "id": np.concatenate(out_c).astype("int64"),
+                             "distance": np.concatenate(out_d)})
+    return fn
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str = "query_id",
         corpus_id: str = "id", vec_col: str = "embedding", query_vec: str | None = None,
-        metric: str = "l2", n_cells: int = 64, n_probe: int = 2, exact: bool = True,
-        seed: int = 7, sample_rows: int = 200_000) -> DataFrame:
+        metric: str = "l2", n_cells: int | None = None, n_probe: int = 2, exact: bool = True,
+        seed: int = 7, sample_rows: int = 200_000, block_rows: int = 4096,
+        query_block_rows: int = 512) -> DataFrame:
     """The ``k`` nearest corpus rows per query: ``(query_id, id, rank, distance)``.
 
-    ``metric`` l2 (exact pruning); cosine / ip are answered on L2 over normalised
-    vectors when they are normalised, else by the probe-and-bound search with the
-    l2 bound disabled (every cell joined). Ties are broken by corpus id.
+    Plan (all partitioning and shuffles by Spark):
+      1. cells: k-means centres from a bounded sample (≤ ``n_cells`` vectors, shipped
+         to tasks with the function); every corpus row gets its nearest cell and the
+         distance to it (numpy per Arrow batch); per cell a row count and a radius.
+      2. probe: each query's distance to every centre (≤ ``n_cells`` rows per query)
+         and its ``n_probe`` nearest cells.
+      3. scan: query rows meet corpus rows by an equi-join on cell. Groups are cut
+         into blocks of at most ``block_rows`` corpus rows × ``query_block_rows``
+         queries, so a hot cell is spread over many tasks; each block is one
+         ``cogroup().applyInPandas`` call returning ≤ k rows per query.
+      4. bound (``exact``): the probe's k-th distance per query; every other cell
+         whose lower bound ``|q − centre| − radius`` is within it is scanned too.
+         Cells left out cannot hold a nearer row, so the result equals brute force
+         (for l2; other metrics scan every cell in step 4).
+      5. top-k per query over the candidates (partial WindowGroupLimit).
     """
     spark = corpus.sparkSession
     qv = query_vec or vec_col
     q = queries.select(F.col(query_id).alias("query_id"), F.col(qv).alias("qvec"))
     c = corpus.select(F.col(corpus_id).alias("id"), F.col(vec_col).alias("vec")).where(F.size("vec") > 0)
-
-    model = _fit_cells(c.withColumnRenamed("vec", "v"), "v", n_cells, seed, sample_rows)
-    centres = _centres_frame(spark, model)  # n_cells rows: a bounded broadcast
-
-    # Corpus rows with their cell and distance to its centre (one pass, broadcast centres).
-    from pyspark.ml.functions import array_to_vector
-    assigned = (model.setFeaturesCol("features").setPredictionCol("cell")
-                .transform(c.withColumn("features", array_to_vector("vec")))
-                .drop("features").join(F.broadcast(centres), "cell")
-                .withColumn("to_centre", F.sqrt(_sqdist(F.col("vec"), F.col("centre")))).drop("centre"))
+    n = c.count()
+    if n_cells is None:
+        n_cells = int(max(8, min(1024, round(n ** 0.5))))
+    model = _fit_cells(c, "vec", n_cells, seed, sample_rows, n)
+    import numpy as np
+
+    centre_rows = [np.asarray(x, dtype=np.float64) for x in model.clusterCenters()]
+    assigned = c.mapInPandas(_nearest_cell(centre_rows), "id long, vec array<float>, cell int, to_centre double")
     assigned = assigned.checkpoint(eager=True)
-    radius = assigned.groupBy("cell").agg(F.max("to_centre").alias("radius"))
+    cell_stats = (assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n_c"), F.max("to_centre").alias("radius"))
+                  .withColumn("cblocks", F.ceil(F.col("n_c") / block_rows).cast("int")))
 
-    # Query-to-centre distances: queries × n_cells centres (bounded side broadcast).
-    qc = (q.join(F.broadcast(centres.join(radius, "cell")), how="inner")
-          .select("query_id", "qvec", "cell", "radius",
-                  F.sqrt(_sqdist(F.col("qvec"), F.col("centre"))).alias("qc")))
+    # Query-to-centre distances for every cell (≤ n_cells rows per query).
+    qc = (q.mapInPandas(_centre_distances(centre_rows), "query_id long, qvec array<float>, cell int, qc double")
+          .join(F.broadcast(cell_stats.select("cell", "radius", "cblocks")), "cell"))
     probe_rank = F.row_number().over(Window.partitionBy("query_id").orderBy("qc", "cell"))
     qc = qc.withColumn("probe", probe_rank <= n_probe).checkpoint(eager=True)
 
+    kernel = _block_kernel(k, metric)
+    out_schema = "query_id long, id long, distance double"
+
     def scan(cells: DataFrame) -> DataFrame:
-        j = cells.select("query_id", "qvec", "cell").join(assigned.select("cell", "id", "vec"), "cell")
-        return j.select("query_id", "id", distance(F.col("qvec"), F.col("vec"), metric).alias("distance"))
+        qcount = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n_q"))
+        blocks = (cell_stats.join(qcount, "cell")
+                  .select("cell", "cblocks", F.ceil(F.col("n_q") / query_block_rows).cast("int").alias("qblocks")))
+        blocks = F.broadcast(blocks)  # one row per cell: bounded by n_cells
+        qs = (cells.select("query_id", "qvec", "cell").join(blocks, "cell")
+              .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qblocks")).cast("int"))
+              .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("cblocks") - 1)))
+              .select("cell", "cb", "qb", "query_id", "qvec"))
+        cs = (assigned.select("cell", "id", "vec").join(blocks, "cell")
+              .withColumn("cb", F.pmod(F.xxhash64("id"), F.col("cblocks")).cast("int"))
+              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)))
+              .select("cell", "cb", "qb", "id", "vec"))
+        keys = ["cell", "cb", "qb"]
+        return qs.groupBy(*keys).cogroup(cs.groupBy(*keys)).applyInPandas(kernel, out_schema)
 
     def top(cands: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy("distance", "id")
@@ -249,13 +374,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     bound = first.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("dk"))
     slack = F.lit(1e-9) * (F.lit(1.0) + F.col("dk"))
+    rest = qc.where(~F.col("probe"))
     if metric == "l2":
-        rest = qc.where(~F.col("probe")).join(bound, "query_id", "left") \
+        rest = rest.join(bound, "query_id", "left") \
             .where(F.col("dk").isNull() | (F.col("qc") - F.col("radius") <= F.col("dk") + slack))
-    else:
-        rest = qc.where(~F.col("probe"))
-    second = scan(rest)
-    final = top(first.select("query_id", "id", "distance").unionByName(second))
+    final = top(first.select("query_id", "id", "distance").unionByName(scan(rest)))
     return final.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
 
 

@@ -467,7 +467,7 @@ SELECT query_id, id, CAST(rank AS BIGINT) AS rank, round(distance, 6) AS distanc
 def q_knn(spark, d):
     from lexframe.operators.retrieval import knn
     e = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    hits = knn(e.withColumnRenamed("id", "query_id"), e, k=4, n_cells=16, n_probe=2)
+    hits = knn(e.withColumnRenamed("id", "query_id"), e, k=4)
     return hits.withColumn("distance", F.round("distance", 6))
 
 
@@ -475,7 +475,7 @@ def q_knn(spark, d):
 def q_knn_approx(spark, d):
     from lexframe.operators.retrieval import knn_approx
     e = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return knn_approx(e.withColumnRenamed("id", "query_id"), e, k=4, n_cells=16, n_probe=3) \
+    return knn_approx(e.withColumnRenamed("id", "query_id"), e, k=4, n_probe=3) \
         .withColumn("distance", F.round("distance", 6))
 
 
