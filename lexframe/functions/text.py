@@ -27,12 +27,23 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _entity_map() -> Column:
+    return F.create_map(*[x for ent, ch in HTML_ENTITIES for x in (F.lit(ent[1:-1]), F.lit(ch))])
+
+
 def decode_entities(c) -> Column:
-    """Decode the named entities of ``HTML_ENTITIES`` (``&amp;`` last)."""
-    out = _col(c)
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Decode the named entities of ``HTML_ENTITIES`` in one pass: the text is split at
+    each ``&`` and a piece starting with a known ``name;`` gets its character back
+    (each entity is decoded once, so ``&amp;lt;`` stays ``&lt;``)."""
+    names = _entity_map()
+
+    def piece(p, i):
+        name = F.regexp_extract(p, r"^(#?[A-Za-z0-9]+);", 1)
+        char = F.try_element_at(names, name)
+        return (F.when(i == 0, p)
+                .when(char.isNotNull(), F.concat(char, F.substr(p, F.length(name) + 2)))
+                .otherwise(F.concat(F.lit("&"), p)))
+    return F.array_join(F.transform(F.split(_col(c), "&"), piece), "")
 
 
 def strip_ws(c) -> Column:

@@ -183,8 +183,7 @@ def _bulletin_text(html) -> tuple[Column, Column]:
     return p, raw_text(p)
 
 
-def fecha_boletin_col(html) -> Column:
-    p, text = _bulletin_text(html)
+def _fecha_boletin(p, text) -> Column:
     link = F.regexp_extract(
         p, rf"""(?is)<a\b[^>]*\bhref\s*=\s*["'][^"']*{BULLETIN_DATE_LINK}[^"']*["'][^>]*>(.*?)</a\s*>""", 1)
     from_link = date_text(html_text(link, ""))
@@ -192,6 +191,11 @@ def fecha_boletin_col(html) -> Column:
     return F.coalesce(from_link, from_text, F.lit(""))
 
 
+def fecha_boletin_col(html) -> Column:
+    p, text = _bulletin_text(html)
+    return _fecha_boletin(p, text)
+
+
 def numero_boletin_col(html) -> Column:
     return F.regexp_extract(_bulletin_text(html)[1], U + BULLETIN_NUMBER, 1)
 
@@ -209,9 +213,7 @@ def extract_boletin(pages: DataFrame) -> DataFrame:
                         pagina_boletin_col(h).alias("pagina_boletin"))
 
 
-def resumen_col(html) -> Column:
-    paragraphs = F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), 1)
-
+def _resumen_from(paragraphs) -> Column:
     def unlabelled(t):
         return F.regexp_replace(t, RESUMEN_LABEL, "")
 
@@ -225,6 +227,10 @@ def resumen_col(html) -> Column:
     return F.coalesce(F.when(F.length(a) > RESUMEN_MIN_LEN, a), b, F.lit(""))
 
 
+def resumen_col(html) -> Column:
+    return _resumen_from(F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), 1))
+
+
 def extract_resumen(pages: DataFrame) -> DataFrame:
     """Summary text after the "Resumen:" label (kept only when longer than 10 characters)."""
     return pages.select("page_id", resumen_col(_html(pages)).alias("texto_resumido"))
@@ -271,19 +277,40 @@ def extract_observaciones(pages: DataFrame) -> DataFrame:
 
 
 def extract_norms(pages: DataFrame, base: str, id_col: str = "page_id") -> DataFrame:
-    """All 17 fields of each norm page as text (the daily file's row), in file order:
-    a single projection over the pages composing every rule above."""
-    h = _html(pages)
+    """All 17 fields of each norm page as text (the daily file's row), in file order.
+
+    Three narrow projections over the pages (no shuffle): the cleaned HTML once, then
+    the pieces several fields share (header text, bulletin paragraph, paragraph list),
+    then the fields. Shared pieces are separate columns so each is computed once per
+    page instead of once per field.
+    """
+    h = F.col("_h")
+    staged = pages.select(F.col(id_col).alias("_id"), clean_html(F.col("html")).alias("_h"))
+    staged = staged.select(
+        "_id", "_h",
+        _header(h).alias("_hdr"), _has_header(h).alias("_has_hdr"), _has_h1(h).alias("_has_h1"),
+        F.regexp_extract_all(h, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), 1).alias("_paras"))
+    staged = staged.withColumn("_bp", F.when(F.col("_has_h1"), _bulletin_p(h)).otherwise(F.lit("")))
+    staged = staged.withColumn("_bt", raw_text(F.col("_bp")))
+    hdr, bt = F.col("_hdr"), F.col("_bt")
+    num = F.regexp_extract(hdr, U + NUMERO, 1)
     fields = {
-        "id_norma": F.col(id_col).cast("long").cast("string"),
-        "tipo_norma": tipo_col(h), "numero_norma": numero_col(h), "clase_norma": F.lit(""),
-        "organismo_origen": organismo_col(h), "fecha_sancion": fecha_sancion_col(h),
-        "numero_boletin": numero_boletin_col(h), "fecha_boletin": fecha_boletin_col(h),
-        "pagina_boletin": pagina_boletin_col(h), "titulo_resumido": titulo_resumido_col(h),
-        "titulo_sumario": titulo_sumario_col(h), "texto_resumido": resumen_col(h),
+        "id_norma": F.col("_id").cast("long").cast("string"),
+        "tipo_norma": strip_ws(F.regexp_extract(hdr, U + TIPO, 1)),
+        "numero_norma": F.when(F.col("_has_hdr") & (num != ""), num).otherwise(F.lit(NO_NUMBER)),
+        "clase_norma": F.lit(""),
+        "organismo_origen": strip_ws(F.regexp_extract(hdr, U + ORGANISMO, 1)),
+        "fecha_sancion": fecha_sancion_col(h),
+        "numero_boletin": F.regexp_extract(bt, U + BULLETIN_NUMBER, 1),
+        "fecha_boletin": _fecha_boletin(F.col("_bp"), bt),
+        "pagina_boletin": F.regexp_extract(bt, U + BULLETIN_PAGE, 1),
+        "titulo_resumido": titulo_resumido_col(h),
+        "titulo_sumario": F.when(F.col("_has_h1"), html_text(F.regexp_extract(h, _with_class("span", SUMMARY_CLASS), 1), ""))
+        .otherwise(F.lit("")),
+        "texto_resumido": _resumen_from(F.col("_paras")),
         "observaciones": observaciones_col(h),
         "texto_original": text_link_col(h, FULL_TEXT_LINK, base),
         "texto_actualizado": text_link_col(h, UPDATED_TEXT_LINK, base),
         "modificada_por": _count_link(h, MODIFIED_BY_LINK), "modifica_a": _count_link(h, MODIFIES_LINK),
     }
-    return pages.select(*[fields[c].alias(c) for c in NORM_COLUMNS])
+    return staged.select(*[fields[c].alias(c) for c in NORM_COLUMNS])

@@ -66,19 +66,24 @@ def tokens(text) -> Column:
     return F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: x != F.lit(""))
 
 
-def signed_buckets(text, dim: int = EMBEDDING_DIM) -> Column:
+def signed_buckets(toks, dim: int = EMBEDDING_DIM) -> Column:
     """Per row, each token's hash bucket + 1, negated when its sign is negative
-    (md5-based, JVM built-ins)."""
+    (md5-based, JVM built-ins). ``toks`` is an array of tokens (see ``tokens``)."""
     def code(t):
         h = F.md5(t)
         bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)) + 1
         return F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, bucket).otherwise(-bucket).cast("int")
-    return F.transform(tokens(text), code)
+    return F.transform(F.col(toks) if isinstance(toks, str) else toks, code)
 
 
 def _dense_udf(dim: int):
     """Signed bucket codes → L2-normalised dense float vector (numpy per row over an
-    Arrow batch; empty array when every bucket cancels or there is no token)."""
+    Arrow batch). No token → empty array; every bucket cancelling → all zeros.
+
+    Marked non-deterministic only so that the optimizer never copies the call into a
+    pushed-down filter (which would run the Python step twice); the result is a pure
+    function of the input.
+    """
     @F.pandas_udf("array<float>")
     def dense(codes: pd.Series) -> pd.Series:
         out = []
@@ -87,21 +92,18 @@ def _dense_udf(dim: int):
             if a.size == 0:
                 out.append(np.zeros(0, dtype=np.float32))
                 continue
-            counts = (np.bincount(np.abs(a) - 1, weights=np.sign(a), minlength=dim))
+            counts = np.bincount(np.abs(a) - 1, weights=np.sign(a), minlength=dim)
             ss = float(np.sum(counts * counts))
-            if ss == 0.0:
-                out.append(np.zeros(0, dtype=np.float32))
-                continue
-            out.append((counts / np.sqrt(ss)).astype(np.float32))
+            out.append((counts / np.sqrt(ss)).astype(np.float32) if ss > 0 else np.zeros(dim, dtype=np.float32))
         return pd.Series(out)
-    return dense
+    return dense.asNondeterministic()
 
 
 def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = EMBEDDING_DIM) -> DataFrame:
     """Dense L2-normalised hashed vectors ``(id, vec array<float>)`` for rows with at
     least one non-cancelling token: a row-local projection (no shuffle); the
     counting is one vectorised numpy call per row of an Arrow batch."""
-    vec = _dense_udf(dim)(signed_buckets(text_col, dim))
+    vec = _dense_udf(dim)(signed_buckets(tokens(text_col), dim))
     return df.select(F.col(id_col).alias("id"), vec.alias("vec")).where(F.size("vec") > 0)
 
 
@@ -118,18 +120,13 @@ def embed(df: DataFrame, id_col: str = "id_norma", content_col: str = "content",
                      (F.col(title_col) if title_col else F.lit(None).cast("string")).alias("title"))
     if embedder is not None:
         return _embed_with(base, id_col, content_col, dim, embedder)
-    n_tok = F.size(tokens(content_col))
-    out = base.withColumn("_v", _dense_udf(dim)(signed_buckets(content_col, dim)))
-    # Content with tokens always gets a vector (all zeros when every bucket cancels);
-    # content without any token is a failed row with an empty array.
-    ok = n_tok > 0
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    out = out.withColumn("_v", F.when(F.size("_v") > 0, F.col("_v")))
+    base = base.withColumn("_tok", tokens(content_col))
+    out = base.withColumn("_v", _dense_udf(dim)(signed_buckets("_tok", dim)))
+    ok = F.size("_v") > 0
     return out.select(
         id_col,
-        F.when(ok, F.coalesce(F.col("_v"), zeros)).otherwise(F.array().cast("array<float>"))
-        .alias("ml_generate_embedding_result"),
-        F.to_json(F.struct(n_tok.alias("token_count"), F.lit(False).alias("truncated")))
+        F.col("_v").alias("ml_generate_embedding_result"),
+        F.to_json(F.struct(F.size("_tok").alias("token_count"), F.lit(False).alias("truncated")))
         .alias("ml_generate_embedding_statistics"),
         F.when(ok, F.lit("")).otherwise(F.lit("empty content")).alias("ml_generate_embedding_status"),
         content_col, "title")
@@ -324,7 +321,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     spark = corpus.sparkSession
     qv = query_vec or vec_col
     q = queries.select(F.col(query_id).alias("query_id"), F.col(qv).alias("qvec"))
-    c = corpus.select(F.col(corpus_id).alias("id"), F.col(vec_col).alias("vec")).where(F.size("vec") > 0)
+    # Both inputs are read several times (count, k-means passes, assignment, probe):
+    # materialise them once in the checkpoint folder so upstream work runs once.
+    q = q.checkpoint(eager=True)
+    c = (corpus.select(F.col(corpus_id).alias("id"), F.col(vec_col).alias("vec")).where(F.size("vec") > 0)
+         .checkpoint(eager=True))
     n = c.count()
     if n_cells is None:
         n_cells = int(max(8, min(1024, round(n ** 0.5))))
