@@ -27,11 +27,39 @@ def message_content(messages: DataFrame, text_col: str = "text", blocks_col: str
     return messages.withColumn("content", F.coalesce(text, F.get(calls, 0)["args"]["answer"]))
 
 
+def positional_rank(df: DataFrame, group: str, order_cols: list, slices: int | None = None,
+                    name: str = "n") -> DataFrame:
+    """1-based position of each row inside its ``group`` by ``order_cols`` (ties must
+    be broken by the order columns), without gathering a group in one task.
+
+    Rows are range-partitioned on (group, order), so a group larger than a slice is
+    cut into consecutive slices; rows are numbered inside each (slice, group) piece;
+    each piece's offset is the row count of the group's earlier slices (a small
+    table of piece counts, one row per piece).
+    """
+    spark = df.sparkSession
+    n_slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Range boundaries come from sampling, so the slice of a row is fixed once by a
+    # reliable checkpoint (both uses below must see the same slices).
+    ranged = (df.repartitionByRange(n_slices, group, *order_cols).withColumn("_slice", F.spark_partition_id())
+              .checkpoint(eager=True))
+    local = ranged.withColumn("_local", F.row_number().over(
+        Window.partitionBy("_slice", group).orderBy(*order_cols)))
+    pieces = ranged.groupBy("_slice", group).agg(F.count(F.lit(1)).alias("_cnt"))
+    offsets = pieces.withColumn("_off", F.coalesce(F.sum("_cnt").over(
+        Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (local.join(offsets.select("_slice", group, "_off"), ["_slice", group])
+            .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
+            .drop("_slice", "_local", "_off"))
+
+
 def align_interactions(messages: DataFrame, interactions: DataFrame, feedback: DataFrame | None = None) -> DataFrame:
     """Positional pairing of assistant messages with interactions, per thread.
 
     ``messages (thread_id, turn, role, content)``; ``interactions (interaction_id,
     thread_id, timestamp)``; ``feedback (interaction_id, is_positive)``.
+    Positions come from ``positional_rank`` (no thread is gathered in one task), and
+    the pairing is an equi-join on (thread, position).
     The n-th assistant message *with content* gets the n-th interaction by time (id
     breaks ties) and its vote; surplus messages get NULLs; user messages pass through;
     empty assistant messages, tool messages and any other role are dropped.
@@ -40,16 +68,16 @@ def align_interactions(messages: DataFrame, interactions: DataFrame, feedback: D
     users = messages.where(F.col("role") == "user").select(
         "thread_id", "turn", "role", "content",
         F.lit(None).cast("long").alias("interaction_id"), F.lit(None).cast("boolean").alias("feedback"))
-    answers = (messages.where((F.col("role") == "assistant") & F.col("content").isNotNull() & (F.col("content") != ""))
-               .withColumn("n", F.row_number().over(Window.partitionBy("thread_id").orderBy("turn"))))
+    answers = positional_rank(
+        messages.where((F.col("role") == "assistant") & F.col("content").isNotNull() & (F.col("content") != "")),
+        "thread_id", ["turn"])
     inter = interactions.select("interaction_id", "thread_id", "timestamp")
     if feedback is not None:
         inter = inter.join(feedback.select("interaction_id", F.col("is_positive").alias("feedback")),
                            "interaction_id", "left")
     else:
         inter = inter.withColumn("feedback", F.lit(None).cast("boolean"))
-    inter = inter.withColumn("n", F.row_number().over(
-        Window.partitionBy("thread_id").orderBy("timestamp", "interaction_id")))
+    inter = positional_rank(inter, "thread_id", ["timestamp", "interaction_id"])
     paired = answers.join(inter.drop("timestamp"), ["thread_id", "n"], "left").select(
         "thread_id", "turn", "role", "content", "interaction_id", "feedback")
     return users.unionByName(paired)

@@ -192,3 +192,12 @@ def test_versioned_table_replay_is_safe(spark):
     write_version(spark.range(3), path, "4")
     assert _already_applied(spark, path, 4) and not _already_applied(spark, path, 5)
     assert read_current(spark, path).count() == 3
+
+
+def test_positional_rank_splits_a_hot_group(spark):
+    from pyspark.sql import Window
+    rows = [(0 if i % 3 == 0 else i % 50, i) for i in range(3000)]  # group 0 holds a third
+    df = spark.createDataFrame(rows, "g long, o long")
+    got = C.positional_rank(df, "g", ["o"], slices=8)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("o")).cast("long"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
