@@ -169,8 +169,20 @@ def usage_dashboard(documents: DataFrame, links: DataFrame, interactions: DataFr
                         lambda x: F.struct(x["filename"].alias("filename"), x[name].alias(name)))
             .alias(name + "_top"),
             F.coalesce(F.max("remainder"), F.lit(0).cast("long")).alias(name + "_more"))
-    usage = ranked(document_usage(documents, links, interactions), "query_count")
-    weekly = ranked(document_usage(documents, links, interactions, as_of, days, "weekly_query_count"),
+    # Both rankings from one pass: the link ⋈ interaction join is counted once per
+    # document, all-time and inside the window (interaction ids are unique, so the
+    # inner join yields one row per link). The per-document table is small and is
+    # materialised once for the two top-n lists.
+    from lexframe.operators.predicates import _ts
+    cutoff = _ts(as_of) - F.make_dt_interval(F.lit(days))
+    counts = (_links(links).join(interactions.select("interaction_id", "timestamp"), "interaction_id")
+              .groupBy("document_id")
+              .agg(F.count(F.lit(1)).alias("query_count"),
+                   F.count_if(F.col("timestamp") >= cutoff).alias("weekly_query_count"))
+              .join(documents.select("document_id", "filename"), "document_id")
+              .checkpoint(eager=True))
+    usage = ranked(counts.select("filename", "query_count"), "query_count")
+    weekly = ranked(counts.where(F.col("weekly_query_count") > 0).select("filename", "weekly_query_count"),
                     "weekly_query_count")
     # Every input is a one-row aggregate, so the products below are 1 x 1.
     return (usage.crossJoin(weekly).crossJoin(response_summary(interactions))
