@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexframe.session import cut_lineage
+
 from lexframe.schemas import MESSAGE_BLOCKS
 
 # Default conversation title, auto-title length, recency buckets in display order.
@@ -41,8 +43,8 @@ def positional_rank(df: DataFrame, group: str, order_cols: list, slices: int | N
     n_slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Range boundaries come from sampling, so the slice of a row is fixed once by a
     # reliable checkpoint (both uses below must see the same slices).
-    ranged = (df.repartitionByRange(n_slices, group, *order_cols).withColumn("_slice", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = cut_lineage(df.repartitionByRange(n_slices, group, *order_cols)
+                         .withColumn("_slice", F.spark_partition_id()))
     local = ranged.withColumn("_local", F.row_number().over(
         Window.partitionBy("_slice", group).orderBy(*order_cols)))
     pieces = ranged.groupBy("_slice", group).agg(F.count(F.lit(1)).alias("_cnt"))

@@ -16,11 +16,15 @@ equals brute force. ``knn_approx`` stops after the probe step.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexframe.session import cut_lineage
+
 from lexframe.functions.text import source_name
 
 # Retrieval depth, chunk size and overlap, embedding size, empty-store notice.
@@ -76,23 +80,38 @@ def signed_buckets(toks, dim: int = EMBEDDING_DIM) -> Column:
     return F.transform(F.col(toks) if isinstance(toks, str) else toks, code)
 
 
+def _token_code(tok: str, dim: int) -> int:
+    """Bucket + 1 of a token, negated for a negative sign: md5 hex digits 1-8 mod dim,
+    sign from digit 9 (the same rule as ``signed_buckets``)."""
+    h = hashlib.md5(tok.encode("utf-8")).hexdigest()
+    b = int(h[:8], 16) % dim + 1
+    return b if int(h[8], 16) < 8 else -b
+
+
 def _dense_udf(dim: int):
-    """Signed bucket codes → L2-normalised dense float vector (numpy per row over an
-    Arrow batch). No token → empty array; every bucket cancelling → all zeros.
+    """Tokens → L2-normalised dense float vector (numpy per row over an Arrow batch).
+    No token → empty array; every bucket cancelling → all zeros.
 
-    Marked non-deterministic only so that the optimizer never copies the call into a
-    pushed-down filter (which would run the Python step twice); the result is a pure
-    function of the input.
+    Tokens are split in the JVM; the hashing and counting are the small per-row step
+    here (repeated tokens of a batch are hashed once). Marked non-deterministic only
+    so that the optimizer never copies the call into a pushed-down filter (which
+    would run the Python step twice); the result is a pure function of the input.
     """
     @F.pandas_udf("array<float>")
-    def dense(codes: pd.Series) -> pd.Series:
+    def dense(toks: pd.Series) -> pd.Series:
+        cache: dict = {}
         out = []
-        for a in codes:
-            a = np.asarray(a, dtype=np.int64)
-            if a.size == 0:
+        for row in toks:
+            if row is None or len(row) == 0:
                 out.append(np.zeros(0, dtype=np.float32))
                 continue
-            counts = np.bincount(np.abs(a) - 1, weights=np.sign(a), minlength=dim)
+            codes = np.empty(len(row), dtype=np.int64)
+            for i, t in enumerate(row):
+                c = cache.get(t)
+                if c is None:
+                    c = cache[t] = _token_code(t, dim)
+                codes[i] = c
+            counts = np.bincount(np.abs(codes) - 1, weights=np.sign(codes), minlength=dim)
             ss = float(np.sum(counts * counts))
             out.append((counts / np.sqrt(ss)).astype(np.float32) if ss > 0 else np.zeros(dim, dtype=np.float32))
         return pd.Series(out)
@@ -103,7 +122,7 @@ def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = EMBEDDI
     """Dense L2-normalised hashed vectors ``(id, vec array<float>)`` for rows with at
     least one non-cancelling token: a row-local projection (no shuffle); the
     counting is one vectorised numpy call per row of an Arrow batch."""
-    vec = _dense_udf(dim)(signed_buckets(tokens(text_col), dim))
+    vec = _dense_udf(dim)(tokens(text_col))
     return df.select(F.col(id_col).alias("id"), vec.alias("vec")).where(F.size("vec") > 0)
 
 
@@ -121,7 +140,7 @@ def embed(df: DataFrame, id_col: str = "id_norma", content_col: str = "content",
     if embedder is not None:
         return _embed_with(base, id_col, content_col, dim, embedder)
     base = base.withColumn("_tok", tokens(content_col))
-    out = base.withColumn("_v", _dense_udf(dim)(signed_buckets("_tok", dim)))
+    out = base.withColumn("_v", _dense_udf(dim)(F.col("_tok")))
     ok = F.size("_v") > 0
     return out.select(
         id_col,
@@ -323,9 +342,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     q = queries.select(F.col(query_id).alias("query_id"), F.col(qv).alias("qvec"))
     # Both inputs are read several times (count, k-means passes, assignment, probe):
     # materialise them once in the checkpoint folder so upstream work runs once.
-    q = q.checkpoint(eager=True)
-    c = (corpus.select(F.col(corpus_id).alias("id"), F.col(vec_col).alias("vec")).where(F.size("vec") > 0)
-         .checkpoint(eager=True))
+    q = cut_lineage(q)
+    c = cut_lineage(corpus.select(F.col(corpus_id).alias("id"), F.col(vec_col).alias("vec")).where(F.size("vec") > 0))
     n = c.count()
     if n_cells is None:
         n_cells = int(max(8, min(1024, round(n ** 0.5))))
@@ -334,7 +352,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
 
     centre_rows = [np.asarray(x, dtype=np.float64) for x in model.clusterCenters()]
     assigned = c.mapInPandas(_nearest_cell(centre_rows), "id long, vec array<float>, cell int, to_centre double")
-    assigned = assigned.checkpoint(eager=True)
+    assigned = cut_lineage(assigned)
     cell_stats = (assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n_c"), F.max("to_centre").alias("radius"))
                   .withColumn("cblocks", F.ceil(F.col("n_c") / block_rows).cast("int")))
 
@@ -342,7 +360,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     qc = (q.mapInPandas(_centre_distances(centre_rows), "query_id long, qvec array<float>, cell int, qc double")
           .join(F.broadcast(cell_stats.select("cell", "radius", "cblocks")), "cell"))
     probe_rank = F.row_number().over(Window.partitionBy("query_id").orderBy("qc", "cell"))
-    qc = qc.withColumn("probe", probe_rank <= n_probe).checkpoint(eager=True)
+    qc = cut_lineage(qc.withColumn("probe", probe_rank <= n_probe))
 
     kernel = _block_kernel(k, metric)
     out_schema = "query_id long, id long, distance double"
@@ -367,7 +385,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
         w = Window.partitionBy("query_id").orderBy("distance", "id")
         return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    first = top(scan(qc.where("probe"))).checkpoint(eager=True)
+    first = cut_lineage(top(scan(qc.where("probe"))))
     if not exact:
         return first.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexframe.session import cut_lineage
+
 from lexframe.operators.predicates import trailing_window
 
 # Refusal texts of the upload intake.
@@ -175,12 +177,12 @@ def usage_dashboard(documents: DataFrame, links: DataFrame, interactions: DataFr
     # materialised once for the two top-n lists.
     from lexframe.operators.predicates import _ts
     cutoff = _ts(as_of) - F.make_dt_interval(F.lit(days))
-    counts = (_links(links).join(interactions.select("interaction_id", "timestamp"), "interaction_id")
-              .groupBy("document_id")
-              .agg(F.count(F.lit(1)).alias("query_count"),
-                   F.count_if(F.col("timestamp") >= cutoff).alias("weekly_query_count"))
-              .join(documents.select("document_id", "filename"), "document_id")
-              .checkpoint(eager=True))
+    counts = cut_lineage(
+        _links(links).join(interactions.select("interaction_id", "timestamp"), "interaction_id")
+        .groupBy("document_id")
+        .agg(F.count(F.lit(1)).alias("query_count"),
+             F.count_if(F.col("timestamp") >= cutoff).alias("weekly_query_count"))
+        .join(documents.select("document_id", "filename"), "document_id"))
     usage = ranked(counts.select("filename", "query_count"), "query_count")
     weekly = ranked(counts.where(F.col("weekly_query_count") > 0).select("filename", "weekly_query_count"),
                     "weekly_query_count")

@@ -56,3 +56,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique table location under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/lexframe/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df):
+    """Materialise ``df`` with a reliable checkpoint in the shared checkpoint folder
+    (survives executor loss; never a local checkpoint) and return the checkpointed frame."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -20,6 +20,7 @@ from lexframe.operators.predicates import tail_sample, valid_embeddings
 from lexframe.operators.retrieval import embed, embedding_input
 from lexframe.operators.upsert import dedup_keep_last, merge_embeddings, upsert_feedback
 from lexframe.schemas import NORM_RAW_SCHEMA
+from lexframe.session import cut_lineage
 from lexframe.sources.norms import CSV_OPTIONS, _read_pointer, quarantine, read_current, write_version
 
 
@@ -39,7 +40,8 @@ def merge_norm_batch(batch: DataFrame, batch_id: int, table_dir: str, rejects_di
     good, bad = quarantine(raw)
     bad.write.mode("overwrite").parquet(f"{rejects_dir}/batch={batch_id}")
     latest = dedup_keep_last(good, "id_norma", ["scrape_date", "_ord"])
-    fresh = valid_embeddings(embed(embedding_input(latest), dim=dim, embedder=embedder))
+    # Embedded once: the merge reads the fresh rows for the key count and the union.
+    fresh = cut_lineage(valid_embeddings(embed(embedding_input(latest), dim=dim, embedder=embedder)))
     if _read_pointer(spark, table_dir) is None:
         write_version(fresh, table_dir, str(batch_id))
         return
