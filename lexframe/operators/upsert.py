@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexframe.session import cut_lineage
+
 # Above this many source keys the anti join is left to the planner (shuffle or AQE).
 BROADCAST_KEY_LIMIT = 2_000_000
 
@@ -52,21 +54,47 @@ def merge_embeddings(target: DataFrame, source: DataFrame, key: str = "id_norma"
 def upsert_feedback(current: DataFrame, votes: DataFrame) -> DataFrame:
     """One vote per interaction: the latest vote (by ``ts``, then ``vote_id``) replaces
     the stored one; ``action`` is ``updated`` for an existing interaction, ``created``
-    for a new one, ``unchanged`` for stored votes no new vote touched.
+    for a new one, ``unchanged`` for stored votes no newer vote touched (a late vote
+    older than the stored one does not overwrite it).
 
     ``current (interaction_id, is_positive[, ts])``, ``votes (vote_id, interaction_id,
     is_positive, ts)``.
+
+    Plan: a vote batch is small next to the stored table. When a count proves it
+    small, the latest votes are broadcast and the stored table is only streamed
+    (matched rows re-valued, the rest kept), never shuffled; new interactions are the
+    votes without a match, found against the small matched key set. Larger batches
+    use one full outer join.
     """
     last = dedup_keep_last(votes, "interaction_id", ["ts", "vote_id"]).select(
         "interaction_id", F.col("is_positive").alias("_new"), F.col("ts").alias("_ts"))
     cur = current.select("interaction_id", "is_positive",
                          (F.col("ts") if "ts" in current.columns else F.lit(None).cast("timestamp_ntz")).alias("ts"))
-    # A late, older vote must not overwrite a newer stored one.
     newer = F.col("_ts").isNotNull() & (F.col("ts").isNull() | (F.col("_ts") >= F.col("ts")))
-    j = cur.withColumn("_cur", F.lit(True)).join(last, "interaction_id", "full_outer")
-    return j.select(
-        "interaction_id",
-        F.when(newer, F.col("_new")).otherwise(F.col("is_positive")).alias("is_positive"),
-        F.when(newer, F.col("_ts")).otherwise(F.col("ts")).alias("ts"),
-        F.when(F.col("_cur").isNull(), F.lit("created"))
-        .when(newer, F.lit("updated")).otherwise(F.lit("unchanged")).alias("action"))
+
+    def revalue(df, created: bool):
+        return df.select(
+            "interaction_id",
+            F.when(newer, F.col("_new")).otherwise(F.col("is_positive")).alias("is_positive"),
+            F.when(newer, F.col("_ts")).otherwise(F.col("ts")).alias("ts"),
+            (F.lit("created") if created else F.when(newer, F.lit("updated")).otherwise(F.lit("unchanged")))
+            .alias("action"))
+
+    last = cut_lineage(last)
+    if last.count() > BROADCAST_KEY_LIMIT:
+        j = cur.withColumn("_cur", F.lit(True)).join(last, "interaction_id", "full_outer")
+        return j.select(
+            "interaction_id",
+            F.when(newer, F.col("_new")).otherwise(F.col("is_positive")).alias("is_positive"),
+            F.when(newer, F.col("_ts")).otherwise(F.col("ts")).alias("ts"),
+            F.when(F.col("_cur").isNull(), F.lit("created"))
+            .when(newer, F.lit("updated")).otherwise(F.lit("unchanged")).alias("action"))
+    small = F.broadcast(last)
+    # At most one row per vote: materialised so the stored table is streamed twice, not three times.
+    matched = cut_lineage(cur.join(small, "interaction_id"))
+    kept = cur.join(F.broadcast(last.select("interaction_id")), "interaction_id", "left_anti")
+    created = last.join(matched.select("interaction_id"), "interaction_id", "left_anti") \
+        .withColumn("is_positive", F.lit(None).cast("boolean")).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    return (kept.withColumn("action", F.lit("unchanged"))
+            .unionByName(revalue(matched, False))
+            .unionByName(revalue(created, True)))
