@@ -46,7 +46,8 @@ def merge_embeddings(target: DataFrame, source: DataFrame, key: str = "id_norma"
     (``dedup_keep_last`` first). Returns ``(merged, rows_modified)``.
     """
     cols = columns or target.columns
-    src = source.select(*cols)
+    # The source is read three times (key count, row count, union): computed once.
+    src = cut_lineage(source.select(*cols))
     kept = target.select(*cols).join(_source_keys(src, key), key, "left_anti")
     return kept.unionByName(src), src.count()
 
