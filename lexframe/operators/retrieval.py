@@ -200,33 +200,27 @@ def distance(a, b, metric: str = "l2") -> Column:
 
 
 # ---------------------------------------------------------------- cells
-def _fit_cells(corpus: DataFrame, vec_col: str, n_cells: int, seed: int, sample_rows: int, n: int):
-    """k-means cell centres over a bounded sample of the corpus (Spark ML)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    frac = min(1.0, sample_rows / max(n, 1))
-    train = corpus.select(array_to_vector(F.col(vec_col)).alias("features"))
-    if frac < 1.0:
-        train = train.sample(fraction=frac, seed=seed)
+def _sample_centres(corpus: DataFrame, vec_col: str, n_cells: int, seed: int, n: int) -> list:
+    """Cell centres: a seeded sample of at most ``n_cells`` corpus vectors (one pass;
+    the bounded list is what the tasks carry). Exactness never depends on how good
+    the cells are — only how much the bound prunes."""
     k = max(1, min(n_cells, n))
-    return KMeans(k=k, seed=seed, maxIter=3, initMode="random").fit(train)
+    frac = min(1.0, 4.0 * k / max(n, 1))
+    rows = corpus.select(vec_col).sample(False, frac, seed).limit(k).collect()
+    if not rows:
+        rows = corpus.select(vec_col).limit(k).collect()
+    return [np.asarray(r[0], dtype=np.float64) for r in rows]
 
 
-def _sq_to_centres(v, centres):
-    """Squared distances (rows × centres), summed dimension by dimension."""
-    import numpy as np
-    acc = np.zeros((v.shape[0], centres.shape[0]))
-    for j in range(v.shape[1]):
-        diff = v[:, j][:, None] - centres[:, j][None, :]
-        acc += diff * diff
-    return acc
+def _blas_sq(v, centres):
+    """Squared distances (rows × centres) by one matrix product (for choosing cells)."""
+    d2 = (v * v).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2.0 * (v @ centres.T)
+    return np.maximum(d2, 0.0)
 
 
 def _nearest_cell(centre_rows):
-    """Per Arrow batch: each corpus row's nearest centre and its distance to it."""
-    import numpy as np
-
+    """Per Arrow batch: each corpus row's nearest centre (matrix product) and its exact
+    distance to that centre (direct difference; the cell radius is its maximum)."""
     centres = np.stack(centre_rows)
 
     def fn(batches):
@@ -234,9 +228,9 @@ def _nearest_cell(centre_rows):
             if pdf.empty:
                 continue
             v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            d2 = _sq_to_centres(v, centres)
-            cell = np.argmin(d2, axis=1)
-            yield pdf.assign(cell=cell.astype("int32"), to_centre=np.sqrt(d2[np.arange(len(cell)), cell]))
+            cell = np.argmin(_blas_sq(v, centres), axis=1)
+            diff = v - centres[cell]
+            yield pdf.assign(cell=cell.astype("int32"), to_centre=np.sqrt(np.einsum("ij,ij->i", diff, diff)))
     return fn
 
 
@@ -253,7 +247,7 @@ def _centre_distances(centre_rows):
             if pdf.empty:
                 continue
             v = np.stack(pdf["qvec"].to_numpy()).astype(np.float64)
-            d = np.sqrt(_sq_to_centres(v, centres))
+            d = np.sqrt(_blas_sq(v, centres))
             yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), n_cells),
                                 "qvec": np.repeat(pdf["qvec"].to_numpy(), n_cells),
                                 "cell": np.tile(np.arange(n_cells, dtype="int32"), len(pdf)),
@@ -317,13 +311,13 @@ def _block_kernel(k: int, metric: str):
 def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str = "query_id",
         corpus_id: str = "id", vec_col: str = "embedding", query_vec: str | None = None,
         metric: str = "l2", n_cells: int | None = None, n_probe: int = 2, exact: bool = True,
-        seed: int = 7, sample_rows: int = 200_000, block_rows: int = 4096,
+        seed: int = 7, block_rows: int = 4096,
         query_block_rows: int = 512) -> DataFrame:
     """The ``k`` nearest corpus rows per query: ``(query_id, id, rank, distance)``.
 
     Plan (all partitioning and shuffles by Spark):
-      1. cells: k-means centres from a bounded sample (≤ ``n_cells`` vectors, shipped
-         to tasks with the function); every corpus row gets its nearest cell and the
+      1. cells: centres are a seeded sample of ≤ ``n_cells`` corpus vectors (shipped to
+         tasks with the function); every corpus row gets its nearest cell and the
          distance to it (numpy per Arrow batch); per cell a row count and a radius.
       2. probe: each query's distance to every centre (≤ ``n_cells`` rows per query)
          and its ``n_probe`` nearest cells.
@@ -347,10 +341,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     n = c.count()
     if n_cells is None:
         n_cells = int(max(8, min(1024, round(n ** 0.5))))
-    model = _fit_cells(c, "vec", n_cells, seed, sample_rows, n)
-    import numpy as np
-
-    centre_rows = [np.asarray(x, dtype=np.float64) for x in model.clusterCenters()]
+    centre_rows = _sample_centres(c, "vec", n_cells, seed, n)
     assigned = c.mapInPandas(_nearest_cell(centre_rows), "id long, vec array<float>, cell int, to_centre double")
     assigned = cut_lineage(assigned)
     cell_stats = (assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n_c"), F.max("to_centre").alias("radius"))
