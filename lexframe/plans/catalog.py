@@ -640,7 +640,8 @@ def q_quarantine(spark, d):
     write_norms_csv(raw, path)
     good, bad = quarantine(scan_norms_raw(spark, path))
     return (good.select("id_norma", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"))
-            .unionByName(bad.select("id_norma", F.lit("rejected").alias("status"), "reason")))
+            .unionByName(bad.select(F.col("id_norma").cast("long").alias("id_norma"), F.lit("rejected").alias("status"),
+                                    "reason")))
 
 
 # ---------------------------------------------------------------- page fields

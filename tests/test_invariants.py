@@ -201,3 +201,22 @@ def test_positional_rank_splits_a_hot_group(spark):
     got = C.positional_rank(df, "g", ["o"], slices=8)
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("o")).cast("long"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_recursive_chunks(spark):
+    words = " ".join(f"w{i}" for i in range(900))
+    text = "Titulo\n\n" + words + "\n\nCierre corto.\n" + "x" * 2500
+    docs = spark.createDataFrame([(1, text, "a/b.pdf"), (2, "", "c"), (3, "hola", None)],
+                                 "doc_id long, text string, source string")
+    rows = R.chunk_documents(docs, mode="recursive", size=2000, overlap=200).orderBy("doc_id", "chunk_ix").collect()
+    one = [r for r in rows if r.doc_id == 1]
+    assert all(len(r.text) <= 2000 for r in one)
+    assert all(text[r.start_index:r.start_index + len(r.text)] == r.text for r in one)
+    assert [r.start_index for r in one] == sorted(r.start_index for r in one)
+    covered = set()
+    for r in one:
+        covered.update(range(r.start_index, r.start_index + len(r.text)))
+    assert all(i in covered for i, ch in enumerate(text) if not ch.isspace())
+    assert [(r.doc_id, r.text) for r in rows if r.doc_id != 1] == [(3, "hola")]
+    assert R.recursive_split("a b c", 3, 1) == ["a b", "c"]
+    assert R.recursive_split("a b c d", 5, 2) == ["a b c", "c d"]
