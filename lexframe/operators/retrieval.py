@@ -316,10 +316,8 @@ def _nearest_cell(centre_rows):
 
 
 def _centre_distances(centre_rows):
-    """Per Arrow batch: every query row repeated for each cell with its centre distance."""
-    import numpy as np
-    import pandas as pd
-
+    """Per Arrow batch: every query's distance to every centre, one row per
+    (query, cell) — ids and distances only; query vectors are not repeated here."""
     centres = np.stack(centre_rows)
     n_cells = centres.shape[0]
 
@@ -330,7 +328,6 @@ def _centre_distances(centre_rows):
             v = np.stack(pdf["qvec"].to_numpy()).astype(np.float64)
             d = np.sqrt(_blas_sq(v, centres))
             yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), n_cells),
-                                "qvec": np.repeat(pdf["qvec"].to_numpy(), n_cells),
                                 "cell": np.tile(np.arange(n_cells, dtype="int32"), len(pdf)),
                                 "qc": d.reshape(-1)})
     return fn
@@ -429,7 +426,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
                   .withColumn("cblocks", F.ceil(F.col("n_c") / block_rows).cast("int")))
 
     # Query-to-centre distances for every cell (≤ n_cells rows per query).
-    qc = (q.mapInPandas(_centre_distances(centre_rows), "query_id long, qvec array<float>, cell int, qc double")
+    qc = (q.mapInPandas(_centre_distances(centre_rows), "query_id long, cell int, qc double")
           .join(F.broadcast(cell_stats.select("cell", "radius", "cblocks")), "cell"))
     probe_rank = F.row_number().over(Window.partitionBy("query_id").orderBy("qc", "cell"))
     qc = cut_lineage(qc.withColumn("probe", probe_rank <= n_probe))
@@ -442,7 +439,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
         blocks = (cell_stats.join(qcount, "cell")
                   .select("cell", "cblocks", F.ceil(F.col("n_q") / query_block_rows).cast("int").alias("qblocks")))
         blocks = F.broadcast(blocks)  # one row per cell: bounded by n_cells
-        qs = (cells.select("query_id", "qvec", "cell").join(blocks, "cell")
+        qs = (cells.select("query_id", "cell").join(q, "query_id").join(blocks, "cell")
               .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qblocks")).cast("int"))
               .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("cblocks") - 1)))
               .select("cell", "cb", "qb", "query_id", "qvec"))

@@ -220,3 +220,27 @@ def test_recursive_chunks(spark):
     assert [(r.doc_id, r.text) for r in rows if r.doc_id != 1] == [(3, "hola")]
     assert R.recursive_split("a b c", 3, 1) == ["a b", "c"]
     assert R.recursive_split("a b c d", 5, 2) == ["a b c", "c d"]
+
+
+def test_knn_other_metrics_equal_brute_force(spark):
+    import random
+
+    import numpy as np
+    rnd = random.Random(5)
+    corpus = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(300)]
+    queries = [(1000 + j, [rnd.gauss(0, 1) for _ in range(6)]) for j in range(20)]
+    c = spark.createDataFrame(corpus, "id long, embedding array<float>")
+    q = spark.createDataFrame(queries, "query_id long, embedding array<float>")
+    cf = {r.id: np.array(r.embedding, dtype=float) for r in c.collect()}
+    for metric in ("cosine", "ip"):
+        got = {}
+        for r in R.knn(q, c, k=3, metric=metric, n_cells=8, block_rows=50).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.id))
+        for qr in q.collect():
+            v = np.array(qr.embedding, dtype=float)
+            if metric == "ip":
+                d = {i: -float(v @ x) for i, x in cf.items()}
+            else:
+                d = {i: 1 - float(v @ x) / (np.linalg.norm(v) * np.linalg.norm(x)) for i, x in cf.items()}
+            want = [i for _, i in sorted((dv, i) for i, dv in d.items())[:3]]
+            assert [i for _, i in sorted(got[qr.query_id])] == want, metric
