@@ -145,11 +145,10 @@ def top_with_remainder(df: DataFrame, order_cols, n: int = 5, group_cols=()) ->
     if not group_cols:
         # Global top-n: TakeOrderedAndProject keeps n rows per partition before one
         # final merge; the remainder comes from a count, not from moving rows.
-        total = df.agg(F.count(F.lit(1)).alias("_n"))
+        total = df.count()
         top = df.orderBy(*order_cols).limit(n)
-        top = top.withColumn("rank", F.row_number().over(w).cast("long"))
-        return top.crossJoin(F.broadcast(total)).withColumn(
-            "remainder", F.greatest(F.col("_n") - n, F.lit(0)).cast("long")).drop("_n")
+        return (top.withColumn("rank", F.row_number().over(w).cast("long"))
+                .withColumn("remainder", F.lit(max(total - n, 0)).cast("long")))
     # Per group: the rank filter becomes a WindowGroupLimit (n rows per group leave
     # each map task) and the group sizes come from a partial aggregate.
     ranked = df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
@@ -186,9 +185,20 @@ def usage_dashboard(documents: DataFrame, links: DataFrame, interactions: DataFr
     usage = ranked(counts.select("filename", "query_count"), "query_count")
     weekly = ranked(counts.where(F.col("weekly_query_count") > 0).select("filename", "weekly_query_count"),
                     "weekly_query_count")
-    # Every input is a one-row aggregate, so the products below are 1 x 1.
-    return (usage.crossJoin(weekly).crossJoin(response_summary(interactions))
-            .crossJoin(feedback_summary(feedback)))
+    # Each part is one bounded row (lists of at most n entries): read them and build
+    # the dashboard row.
+    u, wk = usage.first(), weekly.first()
+    r, f = response_summary(interactions).first(), feedback_summary(feedback).first()
+
+    def entries(lst):
+        return [tuple(e) for e in (lst or [])]
+    schema = ("query_count_top array<struct<filename:string,query_count:bigint>>, query_count_more bigint, "
+              "weekly_query_count_top array<struct<filename:string,weekly_query_count:bigint>>, "
+              "weekly_query_count_more bigint, average_response_time_seconds double, total_interactions bigint, "
+              "total_feedback_count bigint, positive_feedback_count bigint, negative_feedback_count bigint, "
+              "positive_feedback_percentage double")
+    row = (entries(u[0]), u[1], entries(wk[0]), wk[1], float(r[0]), r[1], f[0], f[1], f[2], float(f[3]))
+    return counts.sparkSession.createDataFrame([row], schema)
 
 
 def dashboard_entries(dashboard: DataFrame) -> DataFrame:

@@ -244,3 +244,10 @@ def test_knn_other_metrics_equal_brute_force(spark):
                 d = {i: 1 - float(v @ x) / (np.linalg.norm(v) * np.linalg.norm(x)) for i, x in cf.items()}
             want = [i for _, i in sorted((dv, i) for i, dv in d.items())[:3]]
             assert [i for _, i in sorted(got[qr.query_id])] == want, metric
+
+
+def test_global_top_with_remainder(spark):
+    df = spark.createDataFrame([(f"f{i:02d}", i % 4) for i in range(12)], "filename string, c long")
+    rows = S.top_with_remainder(df, [F.desc("c"), F.asc("filename")], 5).orderBy("rank").collect()
+    assert [r.rank for r in rows] == [1, 2, 3, 4, 5] and {r.remainder for r in rows} == {7}
+    assert [r.filename for r in rows] == ["f03", "f07", "f11", "f02", "f06"]
