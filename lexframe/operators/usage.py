@@ -124,9 +124,23 @@ def intake_documents(batch: DataFrame, existing: DataFrame, process_ok_col: str
                     "error"))
 
 
+# Above this many distinct voted interactions the check is left to the planner.
+SMALL_KEY_LIMIT = 2_000_000
+
+
 def feedback_reference_check(feedback: DataFrame, interactions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Votes for known interactions (accepted) and for unknown ones (rejected)."""
-    ids = interactions.select("interaction_id")
+    """Votes for known interactions (accepted) and for unknown ones (rejected).
+
+    A vote batch is small next to the interaction table: when a count proves its key
+    set small, the keys are broadcast and the interaction table is only streamed past
+    them (no shuffle of the big side); the known keys that come back are as small as
+    the batch."""
+    keys = cut_lineage(feedback.select("interaction_id").distinct())
+    if keys.count() <= SMALL_KEY_LIMIT:
+        ids = cut_lineage(interactions.select("interaction_id")
+                          .join(F.broadcast(keys), "interaction_id", "left_semi").distinct())
+    else:
+        ids = interactions.select("interaction_id")
     return (feedback.join(ids, "interaction_id", "left_semi"),
             feedback.join(ids, "interaction_id", "left_anti"))
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from lexframe.operators.predicates import tail_sample, valid_embeddings
 from lexframe.operators.retrieval import embed, embedding_input
 from lexframe.operators.upsert import dedup_keep_last, merge_embeddings, upsert_feedback
+from lexframe.operators.usage import feedback_reference_check
 from lexframe.schemas import NORM_RAW_SCHEMA
 from lexframe.session import cut_lineage
 from lexframe.sources.norms import CSV_OPTIONS, _read_pointer, quarantine, read_current, write_version
@@ -70,7 +71,7 @@ def feedback_batch(batch: DataFrame, batch_id: int, table_dir: str, interactions
         return
     votes = batch
     if interactions is not None:
-        votes = votes.join(interactions.select("interaction_id"), "interaction_id", "left_semi")
+        votes, _ = feedback_reference_check(batch, interactions)
     current = read_current(spark, table_dir).drop("action")
     write_version(upsert_feedback(current, votes), table_dir, str(batch_id))
 
