@@ -9,6 +9,9 @@ from lexframe.session import cut_lineage
 
 from lexframe.schemas import MESSAGE_BLOCKS
 
+# Above this many changed ids the change log is applied with one full outer join.
+SMALL_KEY_LIMIT = 2_000_000
+
 # Default conversation title, auto-title length, recency buckets in display order.
 DEFAULT_TITLE = "New Conversation"
 AUTO_TITLE_CHARS = 50
@@ -122,13 +125,30 @@ def touch_conversations(conversations: DataFrame, changes: DataFrame) -> DataFra
         F.min(F.when(F.col("kind") == "create", F.col("ts"))).alias("_created"),
         F.first("user_id", ignorenulls=True).alias("_user"))
     deleted = ch.where(F.col("kind") == "delete").select("id").distinct()
-    merged = conversations.join(latest, "id", "full_outer").select(
-        "id",
-        F.coalesce(F.col("user_id"), F.col("_user")).alias("user_id"),
-        F.coalesce(F.col("_title"), F.col("title"), F.lit(DEFAULT_TITLE)).alias("title"),
-        F.coalesce(F.col("created_at"), F.col("_created"), F.col("_ts")).alias("created_at"),
-        F.greatest(F.col("updated_at"), F.col("_ts")).alias("updated_at"))
-    return merged.join(deleted, "id", "left_anti")
+    cols = ["id", "user_id", "title", "created_at", "updated_at"]
+
+    def revalue(df):
+        return df.select(
+            "id",
+            F.coalesce(F.col("user_id"), F.col("_user")).alias("user_id"),
+            F.coalesce(F.col("_title"), F.col("title"), F.lit(DEFAULT_TITLE)).alias("title"),
+            F.coalesce(F.col("created_at"), F.col("_created"), F.col("_ts")).alias("created_at"),
+            F.greatest(F.col("updated_at"), F.col("_ts")).alias("updated_at"))
+
+    latest, deleted = cut_lineage(latest), cut_lineage(deleted)
+    keys = latest.select("id").unionByName(deleted).distinct()
+    if keys.count() > SMALL_KEY_LIMIT:
+        return revalue(conversations.join(latest, "id", "full_outer")).join(deleted, "id", "left_anti")
+    # A change batch is small next to the conversation table: only the rows it touches
+    # are joined (against the broadcast changes); the rest are streamed through.
+    conv = conversations.select(*cols)
+    touched = cut_lineage(conv.join(F.broadcast(latest), "id"))
+    kept = conv.join(F.broadcast(keys), "id", "left_anti")
+    created = latest.join(touched.select("id"), "id", "left_anti")
+    for c in cols[1:]:
+        created = created.withColumn(c, F.lit(None).cast(conv.schema[c].dataType))
+    changed = revalue(touched).unionByName(revalue(created)).join(F.broadcast(deleted), "id", "left_anti")
+    return kept.unionByName(changed)
 
 
 def auto_title(first_question) -> "F.Column":

@@ -16,6 +16,9 @@ from lexframe.session import cut_lineage
 
 from lexframe.operators.predicates import trailing_window
 
+# Above this many distinct batch keys, joins against a stored table are left to the planner.
+SMALL_KEY_LIMIT = 2_000_000
+
 # Refusal texts of the upload intake.
 DUPLICATE_ERROR = "Document with this filename already exists."
 PROCESSING_ERROR_PREFIX = "Failed to process PDF: "
@@ -107,7 +110,13 @@ def intake_documents(batch: DataFrame, existing: DataFrame, process_ok_col: str
 
     b = batch.withColumn("filename", F.coalesce(F.col("filename"), F.lit("unnamed")))
     is_pdf = F.col("content_type") == PDF_MEDIA_TYPE
-    known = existing.select("filename").distinct().withColumn("_known", F.lit(True))
+    # An upload batch is small next to the stored documents: its names are broadcast
+    # (after a count proves them few) and the stored table is streamed past them.
+    names = cut_lineage(b.select("filename").distinct())
+    stored = existing.select("filename")
+    if names.count() <= SMALL_KEY_LIMIT:
+        stored = stored.join(F.broadcast(names), "filename", "left_semi")
+    known = stored.distinct().withColumn("_known", F.lit(True))
     # Per name, the first PDF of the batch is the one that can be accepted
     # (a partial aggregate, so a name repeated many times never gathers its rows).
     first_pdf = b.where(is_pdf).groupBy("filename").agg(F.min("ord").alias("_first_pdf"))
@@ -124,10 +133,6 @@ def intake_documents(batch: DataFrame, existing: DataFrame, process_ok_col: str
                     "error"))
 
 
-# Above this many distinct voted interactions the check is left to the planner.
-SMALL_KEY_LIMIT = 2_000_000
-
-
 def feedback_reference_check(feedback: DataFrame, interactions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Votes for known interactions (accepted) and for unknown ones (rejected).
 

@@ -251,3 +251,17 @@ def test_global_top_with_remainder(spark):
     rows = S.top_with_remainder(df, [F.desc("c"), F.asc("filename")], 5).orderBy("rank").collect()
     assert [r.rank for r in rows] == [1, 2, 3, 4, 5] and {r.remainder for r in rows} == {7}
     assert [r.filename for r in rows] == ["f03", "f07", "f11", "f02", "f06"]
+
+
+def test_touch_conversations_golden(spark):
+    t = [dt.datetime(2024, 1, d) for d in range(1, 5)]
+    convs = spark.createDataFrame([(1, "u1", "New Conversation", t[0], t[0]), (2, "u1", "Old", t[0], t[0]),
+                                   (3, "u2", "X", t[0], t[0])],
+                                  "id long, user_id string, title string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    changes = spark.createDataFrame([(1, t[1], "message", None, None), (2, t[2], "rename", "  Nuevo titulo  ", None),
+                                     (2, t[3], "rename", "   ", None), (3, t[1], "delete", None, None),
+                                     (4, t[1], "create", None, "u9"), (5, t[2], "create", "Hola", "u9")],
+                                    "id long, ts timestamp_ntz, kind string, title string, user_id string")
+    got = [tuple(r) for r in C.touch_conversations(convs, changes).orderBy("id").collect()]
+    assert got == [(1, "u1", "New Conversation", t[0], t[1]), (2, "u1", "Nuevo titulo", t[0], t[2]),
+                   (4, "u9", "New Conversation", t[1], t[1]), (5, "u9", "Hola", t[2], t[2])]
