@@ -43,7 +43,8 @@ def decode_entities(c) -> Column:
         return (F.when(i == 0, p)
                 .when(char.isNotNull(), F.concat(char, F.substr(p, F.length(name) + 2)))
                 .otherwise(F.concat(F.lit("&"), p)))
-    return F.array_join(F.transform(F.split(_col(c), "&"), piece), "")
+    x = _col(c)
+    return F.when(F.instr(x, "&") == 0, x).otherwise(F.array_join(F.transform(F.split(x, "&"), piece), ""))
 
 
 def strip_ws(c) -> Column:
