@@ -244,8 +244,10 @@ def dashboard_entries(dashboard: DataFrame) -> DataFrame:
 
 
 def left_feedback_join(interactions: DataFrame, feedback: DataFrame, thread=None) -> DataFrame:
-    """Interactions with their vote (NULL when none), optionally of one thread,
-    in time order (id breaks ties)."""
-    i = interactions if thread is None else interactions.where(F.col("thread_id") == F.lit(thread))
-    return (i.join(feedback.select("interaction_id", "is_positive"), "interaction_id", "left")
-            .orderBy("timestamp", "interaction_id"))
+    """Interactions with their vote (NULL when none). For one thread the rows come in
+    time order (id breaks ties), as the conversation view reads them; over all
+    threads no global sort is imposed (order per thread with ``positional_rank``)."""
+    joined = lambda i: i.join(feedback.select("interaction_id", "is_positive"), "interaction_id", "left")
+    if thread is None:
+        return joined(interactions)
+    return joined(interactions.where(F.col("thread_id") == F.lit(thread))).orderBy("timestamp", "interaction_id")
