@@ -62,11 +62,18 @@ def compare(spark_rows, spark_cols, duck_rows, duck_cols):
 
 
 def main(argv):
+    vanilla = "--vanilla" in argv
+    argv = [a for a in argv if a != "--vanilla"]
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     keys = argv[2:]
-    from lexframe.session import build_session
     import __spark_entry__ as E
-    spark = build_session()
+    if vanilla:  # a plain session, as a driver would create it
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        from lexframe.session import build_session
+        spark = build_session()
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0
