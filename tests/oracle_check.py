@@ -26,13 +26,16 @@ def duck(sf_dir):
     return con
 
 
+EXACT = "--exact" in sys.argv
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return v if EXACT else round(v, 6)
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat()
     if isinstance(v, (list, tuple)):
@@ -63,7 +66,7 @@ def compare(spark_rows, spark_cols, duck_rows, duck_cols):
 
 def main(argv):
     vanilla = "--vanilla" in argv
-    argv = [a for a in argv if a != "--vanilla"]
+    argv = [a for a in argv if a not in ("--vanilla", "--exact")]
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     keys = argv[2:]
     import __spark_entry__ as E
