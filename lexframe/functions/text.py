@@ -75,10 +75,6 @@ def first_element(html, tag: str, attrs: str = "") -> Column:
     return F.regexp_extract(_col(html), rf"(?is)<{tag}\b[^>]*{attrs}[^>]*>(.*?)</{tag}\s*>", 1)
 
 
-def has_element(html, tag: str) -> Column:
-    return _col(html).rlike(rf"(?i)<{tag}\b")
-
-
 def norm_date(c) -> Column:
     """Bulletin date text → DATE.
 

@@ -151,19 +151,9 @@ def tokens(text) -> Column:
     return F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: x != F.lit(""))
 
 
-def signed_buckets(toks, dim: int = EMBEDDING_DIM) -> Column:
-    """Per row, each token's hash bucket + 1, negated when its sign is negative
-    (md5-based, JVM built-ins). ``toks`` is an array of tokens (see ``tokens``)."""
-    def code(t):
-        h = F.md5(t)
-        bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)) + 1
-        return F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, bucket).otherwise(-bucket).cast("int")
-    return F.transform(F.col(toks) if isinstance(toks, str) else toks, code)
-
-
 def _token_code(tok: str, dim: int) -> int:
     """Bucket + 1 of a token, negated for a negative sign: md5 hex digits 1-8 mod dim,
-    sign from digit 9 (the same rule as ``signed_buckets``)."""
+    sign from hex digit 9 (< 8 positive) — the same rule any engine with md5 can state."""
     h = hashlib.md5(tok.encode("utf-8")).hexdigest()
     b = int(h[:8], 16) % dim + 1
     return b if int(h[8], 16) < 8 else -b
@@ -199,14 +189,6 @@ def _dense_udf(dim: int):
     return dense.asNondeterministic()
 
 
-def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = EMBEDDING_DIM) -> DataFrame:
-    """Dense L2-normalised hashed vectors ``(id, vec array<float>)`` for rows with at
-    least one non-cancelling token: a row-local projection (no shuffle); the
-    counting is one vectorised numpy call per row of an Arrow batch."""
-    vec = _dense_udf(dim)(tokens(text_col))
-    return df.select(F.col(id_col).alias("id"), vec.alias("vec")).where(F.size("vec") > 0)
-
-
 def embed(df: DataFrame, id_col: str = "id_norma", content_col: str = "content", title_col: str | None = "title",
           dim: int = EMBEDDING_DIM, embedder=None) -> DataFrame:
     """Adds an embedding per row with status and statistics, in the shape of the

@@ -8,8 +8,6 @@ readers resolve the pointer.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,7 +178,3 @@ def clear_chunks(spark: SparkSession, path: str) -> int:
     n = old.count()
     spark.createDataFrame([], old.schema).write.mode("overwrite").parquet(path)
     return n
-
-
-def union_all(frames) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
