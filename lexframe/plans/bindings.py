@@ -186,3 +186,31 @@ def norm_pages(spark, d) -> DataFrame:
     return n.select(F.col("id_norma").alias("page_id"),
                     F.concat(F.lit("http://bulletin.example/norma/"), F.col("id_norma").cast("string")).alias("url"),
                     html.alias("html"))
+
+
+LISTING_BULLETINS = 5  # bulletins (days) per rendered listing page
+
+
+def listing_pages(spark, d) -> DataFrame:
+    """Bulletin listing pages rendered from the norm records of ``documents``: one page
+    per ``LISTING_BULLETINS`` consecutive bulletins linking each of their norm ids twice
+    (title link, then a "ver" link), newest id first; plus, per page, a "no results"
+    page and a page with neither ids nor that notice. A page's id list is bounded by
+    ``LISTING_BULLETINS * DAILY_CAP``."""
+    n = norm_rows(spark, d).select("id_norma", F.floor(F.col("id_norma") / (DAILY_CAP * LISTING_BULLETINS))
+                                   .alias("grp"))
+    ids = n.groupBy("grp").agg(F.sort_array(F.collect_list("id_norma"), asc=False).alias("ids"))
+    links = F.array_join(F.transform("ids", lambda i: F.concat(
+        F.lit('<li><a href="verNorma.do?id='), i.cast("string"), F.lit('">Norma '), i.cast("string"),
+        F.lit('</a> <a href="http://bulletin.example/verNorma.do;s=1?id='), i.cast("string"),
+        F.lit('&amp;v=1">ver</a></li>'))), "")
+    found = ids.select((F.col("grp") * 3).alias("page_id"),
+                       F.concat(F.lit("<html><body><h2>Normas publicadas</h2><ul>"), links,
+                                F.lit("</ul></body></html>")).alias("html"))
+    empty = ids.select((F.col("grp") * 3 + 1).alias("page_id"),
+                       F.lit("<html><body><p>No se encontraron normas para la fecha.</p></body></html>").alias("html"))
+    odd = ids.select((F.col("grp") * 3 + 2).alias("page_id"),
+                     F.lit("<html><body><p>Servicio no disponible</p></body></html>").alias("html"))
+    return (found.unionByName(empty).unionByName(odd)
+            .withColumn("url", F.concat(F.lit("http://bulletin.example/listing/"), F.col("page_id").cast("string")))
+            .select("page_id", "url", "html"))

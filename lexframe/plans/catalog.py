@@ -893,3 +893,35 @@ def q_search(spark, d):
         (F.col("doc_id") * 100000 + F.col("chunk_ix")).alias("id"), "source", "text")
     qs = B.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return search(qs, ch, k=4, dim=256)
+
+
+# ---------------------------------------------------------------- rendered listing pages
+LISTING_IDS_SQL = f"""(SELECT CAST(doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} * 3 AS BIGINT) AS page_id,
+  CAST(row_number() OVER (PARTITION BY doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} ORDER BY doc_id DESC) - 1
+       AS BIGINT) AS pos, doc_id AS norm_id FROM documents)"""
+
+
+@register("listing_links", f"SELECT * FROM {LISTING_IDS_SQL}")
+def q_listing_links(spark, d):
+    """Norm ids of every rendered listing page, distinct, in page order."""
+    from lexframe.operators.extract import extract_links
+    return extract_links(B.listing_pages(spark, d))
+
+
+@register("listing_status", f"""
+SELECT page_id, status, CAST(n_ids AS BIGINT) AS n_ids FROM (
+  SELECT g * 3 AS page_id, 'found' AS status, count(*) AS n_ids FROM
+    (SELECT doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} AS g FROM documents) GROUP BY g
+  UNION ALL SELECT DISTINCT doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} * 3 + 1, 'empty', 0 FROM documents
+  UNION ALL SELECT DISTINCT doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} * 3 + 2, 'suspect', 0 FROM documents)""")
+def q_listing_status(spark, d):
+    """found / empty / suspect for every rendered listing page."""
+    from lexframe.operators.extract import classify_listing
+    return classify_listing(B.listing_pages(spark, d))
+
+
+@register("listing_daily_cap", f"SELECT * FROM {LISTING_IDS_SQL} WHERE pos < {B.DAILY_CAP}")
+def q_listing_daily_cap(spark, d):
+    """The first 200 ids of every rendered listing page in page order."""
+    from lexframe.operators.extract import daily_cap, extract_links
+    return daily_cap(extract_links(B.listing_pages(spark, d)), B.DAILY_CAP)
