@@ -399,6 +399,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     q = cut_lineage(q)
     c = cut_lineage(corpus.select(F.col(corpus_id).alias("id"), F.col(vec_col).alias("vec")).where(F.size("vec") > 0))
     n = c.count()
+    if n == 0:  # an empty store: no hits (``build_context`` then gives the notice)
+        return spark.createDataFrame([], "query_id long, id long, rank long, distance double")
     if n_cells is None:
         n_cells = int(max(8, min(1024, round(n ** 0.5))))
     centre_rows = _sample_centres(c, "vec", n_cells, seed, n)

@@ -265,3 +265,20 @@ def test_touch_conversations_golden(spark):
     got = [tuple(r) for r in C.touch_conversations(convs, changes).orderBy("id").collect()]
     assert got == [(1, "u1", "New Conversation", t[0], t[1]), (2, "u1", "Nuevo titulo", t[0], t[2]),
                    (4, "u9", "New Conversation", t[1], t[1]), (5, "u9", "Hola", t[2], t[2])]
+
+
+def test_search_on_an_empty_store_gives_the_notice(spark):
+    qs = spark.createDataFrame([(1, "ley de presupuesto"), (2, "decreto")], "query_id long, text string")
+    recs = spark.createDataFrame([], "id long, text string, source string")
+    got = {r.query_id: r.context for r in R.search(qs, recs, k=4, dim=32).collect()}
+    assert got == {1: R.EMPTY_STORE_NOTICE, 2: R.EMPTY_STORE_NOTICE}
+
+
+def test_search_finds_the_passage(spark):
+    recs = spark.createDataFrame([(1, "el presupuesto nacional de salud para el año", "a/ley.pdf"),
+                                  (2, "los perros y los gatos del barrio", "b/otro.pdf"),
+                                  (3, "reglamento de tránsito y seguridad vial", "c/vial.pdf")],
+                                 "id long, text string, source string")
+    qs = spark.createDataFrame([(9, "presupuesto de salud")], "query_id long, text string")
+    ctx = R.search(qs, recs, k=1, dim=256).first().context
+    assert ctx == "Source: ley.pdf\nContent: el presupuesto nacional de salud para el año"
