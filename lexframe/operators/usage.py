@@ -156,6 +156,17 @@ def load_metrics(df: DataFrame, date_col: str = "scrape_date", key: str = "id_no
                                     F.countDistinct(key).alias("unique_ids"))
 
 
+def scrape_metrics(found: DataFrame, scraped: DataFrame, listing_col: str = "page_id",
+                   found_key: str = "norm_id", scraped_key: str = "id_norma") -> DataFrame:
+    """Per listing: ids found on it, rows scraped for those ids and how many are
+    missing (a listing whose pages did not all arrive shows up here)."""
+    ids = found.select(listing_col, F.col(found_key).cast("long").alias("_k")).distinct()
+    got = scraped.select(F.col(scraped_key).cast("long").alias("_k")).distinct().withColumn("_s", F.lit(1))
+    return (ids.join(got, "_k", "left").groupBy(listing_col)
+            .agg(F.count(F.lit(1)).alias("ids_found"), F.count("_s").alias("rows_scraped"))
+            .withColumn("missing", F.col("ids_found") - F.col("rows_scraped")))
+
+
 def top_with_remainder(df: DataFrame, order_cols, n: int = 5, group_cols=()) -> DataFrame:
     """First ``n`` rows (per group, by ``order_cols``) with their rank and the number
     of rows left out ("+N more")."""

@@ -925,3 +925,15 @@ def q_listing_daily_cap(spark, d):
     """The first 200 ids of every rendered listing page in page order."""
     from lexframe.operators.extract import daily_cap, extract_links
     return daily_cap(extract_links(B.listing_pages(spark, d)), B.DAILY_CAP)
+
+
+@register("scrape_metrics", f"""
+SELECT page_id, count(*) AS ids_found, count(*) AS rows_scraped, CAST(0 AS BIGINT) AS missing
+FROM {LISTING_IDS_SQL} GROUP BY page_id""")
+def q_scrape_metrics(spark, d):
+    """Ids found on every rendered listing vs norm records extracted from the rendered
+    norm pages."""
+    from lexframe.operators.extract import extract_links, extract_norms
+    found = extract_links(B.listing_pages(spark, d))
+    scraped = extract_norms(B.norm_pages(spark, d), PAGE_BASE)
+    return usage.scrape_metrics(found, scraped)

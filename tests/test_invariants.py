@@ -282,3 +282,10 @@ def test_search_finds_the_passage(spark):
     qs = spark.createDataFrame([(9, "presupuesto de salud")], "query_id long, text string")
     ctx = R.search(qs, recs, k=1, dim=256).first().context
     assert ctx == "Source: ley.pdf\nContent: el presupuesto nacional de salud para el año"
+
+
+def test_scrape_metrics_counts_missing(spark):
+    found = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 20)], "page_id long, norm_id long")
+    scraped = spark.createDataFrame([("10",), ("12",), ("99",)], "id_norma string")
+    got = {r.page_id: (r.ids_found, r.rows_scraped, r.missing) for r in S.scrape_metrics(found, scraped).collect()}
+    assert got == {1: (3, 2, 1), 2: (1, 0, 1)}
