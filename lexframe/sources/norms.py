@@ -2,8 +2,9 @@
 
 Tables are plain parquet directories. A replaced table is never overwritten in
 place (Spark cannot overwrite a path it is reading): each load writes
-``<table>/v=<version>/`` and then a small ``_current`` pointer file naming it;
-readers resolve the pointer.
+``<table>/v=<version>/`` and then commits an append-only marker
+``<table>/_versions/<version>``; readers take the highest committed version. A load
+that fails before its marker leaves the previous version current.
 """
 
 from __future__ import annotations
@@ -107,21 +108,30 @@ def append_master(master: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 def _write_pointer(spark: SparkSession, table_path: str, version: str) -> None:
+    """Commit a version: an append-only marker written after its data. Markers are never
+    overwritten or deleted, so a reader always finds the last committed version."""
     spark.createDataFrame([(str(version),)], "v string").coalesce(1) \
-        .write.mode("overwrite").text(f"{table_path}/_current")
+        .write.mode("overwrite").text(f"{table_path}/_versions/{version}")
+
+
+def _version_key(versions):
+    return (lambda v: (0, int(v))) if all(v.isdigit() for v in versions) else (lambda v: (1, v))
 
 
 def _read_pointer(spark: SparkSession, table_path: str) -> str | None:
+    """The highest committed version (numeric when every version is a number)."""
     from pyspark.errors import AnalysisException
     try:
-        row = spark.read.text(f"{table_path}/_current").first()
+        versions = spark.read.text(f"{table_path}/_versions/*").agg(F.collect_set("value")).first()[0]
     except AnalysisException:
         return None
-    return row[0] if row else None
+    if not versions:
+        return None
+    return max(versions, key=_version_key(versions))
 
 
 def read_current(spark: SparkSession, table_path: str) -> DataFrame:
-    """The version of a table that its ``_current`` pointer names."""
+    """The current (highest committed) version of a table."""
     v = _read_pointer(spark, table_path)
     if v is None:
         raise FileNotFoundError(f"no current version under {table_path}")
@@ -129,7 +139,7 @@ def read_current(spark: SparkSession, table_path: str) -> DataFrame:
 
 
 def write_version(df: DataFrame, table_path: str, version: str) -> DataFrame:
-    """Write ``df`` as a new version and move the pointer to it; returns the written table."""
+    """Write ``df`` as a new version, then commit its marker; returns the written table."""
     df.write.mode("overwrite").parquet(f"{table_path}/v={version}")
     _write_pointer(df.sparkSession, table_path, version)
     return df.sparkSession.read.parquet(f"{table_path}/v={version}")
