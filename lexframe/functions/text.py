@@ -47,9 +47,14 @@ def decode_entities(c) -> Column:
     return F.when(F.instr(x, "&") == 0, x).otherwise(F.array_join(F.transform(F.split(x, "&"), piece), ""))
 
 
+# The characters of ``WS``: Java regex ``\s`` without the Unicode flag, and NBSP.
+WS_CHARS = " \t\n\x0b\f\r\u00a0"
+
+
 def strip_ws(c) -> Column:
-    """Trim Unicode whitespace (Spark's ``trim`` only removes ASCII spaces)."""
-    return F.regexp_replace(_col(c), rf"^{WS}+|{WS}+$", "")
+    """Trim the ``WS`` characters at both ends (Spark's one-argument ``trim`` only
+    removes spaces); a plain character trim, no regular expression."""
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def collapse_ws(c) -> Column:
@@ -58,8 +63,9 @@ def collapse_ws(c) -> Column:
 
 def clean_html(c) -> Column:
     """Drop scripts, styles and comments so that their text is never extracted."""
+    # the shared "<" is factored out so the matcher rejects every other position at once
     return F.regexp_replace(
-        _col(c), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", "")
+        _col(c), r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->)", "")
 
 
 def html_text(inner, sep: str = "") -> Column:

@@ -213,27 +213,36 @@ def extract_boletin(pages: DataFrame) -> DataFrame:
                         pagina_boletin_col(h).alias("pagina_boletin"))
 
 
-def _resumen_from(paragraphs) -> Column:
-    def unlabelled(t):
-        return F.regexp_replace(t, RESUMEN_LABEL, "")
+def _unlabelled(t) -> Column:
+    return F.regexp_replace(t, RESUMEN_LABEL, "")
 
-    # (a) the paragraph holding a <strong> whose only text contains "Resumen"
+
+def _paragraphs(html) -> Column:
+    return F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), 1)
+
+
+def _labelled_summary(paragraphs) -> Column:
+    """(a) Text of the paragraph holding a <strong> whose only text contains "Resumen",
+    label removed ('' when there is none)."""
     holder = F.get(F.filter(paragraphs, lambda p: p.rlike(r"(?s)<strong\b[^>]*>[^<]*Resumen[^<]*</strong\s*>")), 0)
-    a = unlabelled(html_text(holder, ""))
+    return _unlabelled(html_text(holder, ""))
+
+
+def _resumen_from(paragraphs, labelled) -> Column:
+    """``labelled`` is ``_labelled_summary(paragraphs)`` as a staged column: it is read
+    twice, and a staged column is computed once per page."""
     # (b) the first paragraph whose text starts with the label and is long enough after it
     texts = F.transform(paragraphs, lambda p: html_text(p, ""))
     b = F.get(F.transform(F.filter(texts, lambda t: (t.startswith("Resumen:") | t.startswith("resumen:"))
-                                   & (F.length(unlabelled(t)) > RESUMEN_MIN_LEN)), unlabelled), 0)
-    return F.coalesce(F.when(F.length(a) > RESUMEN_MIN_LEN, a), b, F.lit(""))
-
-
-def resumen_col(html) -> Column:
-    return _resumen_from(F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), 1))
+                                   & (F.length(_unlabelled(t)) > RESUMEN_MIN_LEN)), _unlabelled), 0)
+    return F.coalesce(F.when(F.length(labelled) > RESUMEN_MIN_LEN, labelled), b, F.lit(""))
 
 
 def extract_resumen(pages: DataFrame) -> DataFrame:
     """Summary text after the "Resumen:" label (kept only when longer than 10 characters)."""
-    return pages.select("page_id", resumen_col(_html(pages)).alias("texto_resumido"))
+    staged = pages.select("page_id", _paragraphs(_html(pages)).alias("_paras"))
+    staged = staged.select("page_id", "_paras", _labelled_summary(F.col("_paras")).alias("_a"))
+    return staged.select("page_id", _resumen_from(F.col("_paras"), F.col("_a")).alias("texto_resumido"))
 
 
 def _link_by_text(html, text: str) -> Column:
@@ -241,22 +250,24 @@ def _link_by_text(html, text: str) -> Column:
     return decode_entities(F.regexp_extract(attrs, r"(?is)" + HREF, 1))
 
 
-def text_link_col(html, text: str, base: str) -> Column:
-    href = _link_by_text(html, text)
+def _text_link(href, base: str) -> Column:
+    """``href`` (a staged column: it is read three times) made absolute; '' stays ''."""
     return F.when(href != "", resolve_url(href, base)).otherwise(F.lit(""))
 
 
 def extract_text_links(pages: DataFrame, base: str) -> DataFrame:
     """Links of the full and the updated text, made absolute against ``base``."""
     h = _html(pages)
-    return pages.select("page_id", text_link_col(h, FULL_TEXT_LINK, base).alias("texto_original"),
-                        text_link_col(h, UPDATED_TEXT_LINK, base).alias("texto_actualizado"))
+    staged = pages.select("page_id", _link_by_text(h, FULL_TEXT_LINK).alias("_full"),
+                          _link_by_text(h, UPDATED_TEXT_LINK).alias("_upd"))
+    return staged.select("page_id", _text_link(F.col("_full"), base).alias("texto_original"),
+                         _text_link(F.col("_upd"), base).alias("texto_actualizado"))
 
 
 def _count_link(html, href_rule: str) -> Column:
     inner = F.regexp_extract(html, rf"""(?is)<a\b[^>]*\bhref\s*=\s*["'][^"']*{href_rule}[^"']*["'][^>]*>(.*?)</a\s*>""", 1)
     n = F.regexp_extract(raw_text(inner), U + r"(\d+)", 1)
-    return F.when(n != "", n).otherwise(F.lit(NO_COUNT))
+    return F.coalesce(F.nullif(n, F.lit("")), F.lit(NO_COUNT))  # n read once: one page scan
 
 
 def extract_modifications(pages: DataFrame) -> DataFrame:
@@ -279,19 +290,23 @@ def extract_observaciones(pages: DataFrame) -> DataFrame:
 def extract_norms(pages: DataFrame, base: str, id_col: str = "page_id") -> DataFrame:
     """All 17 fields of each norm page as text (the daily file's row), in file order.
 
-    Three narrow projections over the pages (no shuffle): the cleaned HTML once, then
-    the pieces several fields share (header text, bulletin paragraph, paragraph list),
-    then the fields. Shared pieces are separate columns so each is computed once per
-    page instead of once per field.
+    Narrow projections over the pages (no shuffle): the cleaned HTML once, then the
+    pieces that read the whole page or are read by several fields (header text,
+    paragraph list, bulletin paragraph, text links, labelled summary), then the
+    fields. Each piece is its own column: Catalyst does not inline a costly column
+    that is read more than once, so every whole-page regular expression runs once
+    per page.
     """
     h = F.col("_h")
     staged = pages.select(F.col(id_col).alias("_id"), clean_html(F.col("html")).alias("_h"))
     staged = staged.select(
         "_id", "_h",
         _header(h).alias("_hdr"), _has_header(h).alias("_has_hdr"), _has_h1(h).alias("_has_h1"),
-        F.regexp_extract_all(h, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), 1).alias("_paras"))
+        _paragraphs(h).alias("_paras"),
+        _link_by_text(h, FULL_TEXT_LINK).alias("_full"), _link_by_text(h, UPDATED_TEXT_LINK).alias("_upd"))
     staged = staged.withColumn("_bp", F.when(F.col("_has_h1"), _bulletin_p(h)).otherwise(F.lit("")))
     staged = staged.withColumn("_bt", raw_text(F.col("_bp")))
+    staged = staged.withColumn("_res_a", _labelled_summary(F.col("_paras")))
     hdr, bt = F.col("_hdr"), F.col("_bt")
     num = F.regexp_extract(hdr, U + NUMERO, 1)
     fields = {
@@ -307,10 +322,10 @@ def extract_norms(pages: DataFrame, base: str, id_col: str = "page_id") -> DataF
         "titulo_resumido": titulo_resumido_col(h),
         "titulo_sumario": F.when(F.col("_has_h1"), html_text(F.regexp_extract(h, _with_class("span", SUMMARY_CLASS), 1), ""))
         .otherwise(F.lit("")),
-        "texto_resumido": _resumen_from(F.col("_paras")),
+        "texto_resumido": _resumen_from(F.col("_paras"), F.col("_res_a")),
         "observaciones": observaciones_col(h),
-        "texto_original": text_link_col(h, FULL_TEXT_LINK, base),
-        "texto_actualizado": text_link_col(h, UPDATED_TEXT_LINK, base),
+        "texto_original": _text_link(F.col("_full"), base),
+        "texto_actualizado": _text_link(F.col("_upd"), base),
         "modificada_por": _count_link(h, MODIFIED_BY_LINK), "modifica_a": _count_link(h, MODIFIES_LINK),
     }
     return staged.select(*[fields[c].alias(c) for c in NORM_COLUMNS])
