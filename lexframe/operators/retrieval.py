@@ -20,6 +20,8 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +150,7 @@ def chunk_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # ---------------------------------------------------------------- embedding
 def tokens(text) -> Column:
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: x != F.lit(""))
+    return F.array_remove(F.split(F.lower(t), TOKEN_SPLIT), "")
 
 
 def _token_code(tok: str, dim: int) -> int:
@@ -160,32 +162,34 @@ def _token_code(tok: str, dim: int) -> int:
 
 
 def _dense_udf(dim: int):
-    """Tokens → L2-normalised dense float vector (numpy per row over an Arrow batch).
+    """Tokens → L2-normalised dense float vector, one Arrow batch at a time.
     No token → empty array; every bucket cancelling → all zeros.
 
-    Tokens are split in the JVM; the hashing and counting are the small per-row step
-    here (repeated tokens of a batch are hashed once). Marked non-deterministic only
-    so that the optimizer never copies the call into a pushed-down filter (which
-    would run the Python step twice); the result is a pure function of the input.
+    Tokens are split in the JVM. Per batch, the token lists are flattened and
+    dictionary-encoded in Arrow, each distinct token is hashed once, and one numpy
+    ``bincount`` over (row, bucket) builds every row's signed counts: no per-token
+    Python loop. Marked non-deterministic only so that the optimizer never copies
+    the call into a pushed-down filter (which would run the Python step twice); the
+    result is a pure function of the input.
     """
-    @F.pandas_udf("array<float>")
-    def dense(toks: pd.Series) -> pd.Series:
-        cache: dict = {}
-        out = []
-        for row in toks:
-            if row is None or len(row) == 0:
-                out.append(np.zeros(0, dtype=np.float32))
-                continue
-            codes = np.empty(len(row), dtype=np.int64)
-            for i, t in enumerate(row):
-                c = cache.get(t)
-                if c is None:
-                    c = cache[t] = _token_code(t, dim)
-                codes[i] = c
-            counts = np.bincount(np.abs(codes) - 1, weights=np.sign(codes), minlength=dim)
-            ss = float(np.sum(counts * counts))
-            out.append((counts / np.sqrt(ss)).astype(np.float32) if ss > 0 else np.zeros(dim, dtype=np.float32))
-        return pd.Series(out)
+    @F.arrow_udf("array<float>")
+    def dense(toks: pa.Array) -> pa.Array:
+        n = len(toks)
+        lengths = pc.list_value_length(toks).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        enc = pc.dictionary_encode(pc.list_flatten(toks))
+        codes = np.fromiter((_token_code(t, dim) for t in enc.dictionary.to_pylist()), dtype=np.int64,
+                            count=len(enc.dictionary))
+        code = codes[enc.indices.to_numpy(zero_copy_only=False)] if len(enc.indices) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(n, dtype=np.int64), lengths)
+        counts = np.bincount(row * dim + np.abs(code) - 1, weights=np.sign(code).astype(np.float64),
+                             minlength=n * dim).reshape(n, dim)
+        ss = np.einsum("ij,ij->i", counts, counts)
+        scale = np.zeros(n)
+        np.divide(1.0, np.sqrt(ss), out=scale, where=ss > 0)
+        filled = lengths > 0
+        values = (counts[filled] * scale[filled, None]).astype(np.float32).ravel()
+        offsets = np.concatenate([[0], np.cumsum(np.where(filled, dim, 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.float32()))
     return dense.asNondeterministic()
 
 
