@@ -40,6 +40,10 @@ CONTEXT_SEPARATOR = "\n\n"
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
+# Query vectors (float32) up to this size are broadcast and the corpus streamed past
+# them; larger query tables take the cell plan.
+QUERY_BROADCAST_BYTES = 64 << 20
+
 
 # ---------------------------------------------------------------- inputs
 def embedding_input(norms: DataFrame) -> DataFrame:
@@ -320,20 +324,31 @@ def _centre_distances(centre_rows):
 
 
 def _block_kernel(k: int, metric: str):
-    """Distances of one bounded (query block × corpus block) group with numpy, summed
-    dimension by dimension in index order (the same arithmetic as the SQL form), and
-    the ``k`` nearest per query (ties by id)."""
+    """The ``k`` nearest rows per query of one bounded (query block × corpus block)
+    group, ties by id.
+
+    A matrix product ranks all pairs. Every pair within a safe margin of the query's
+    k-th value is a candidate. The margin is far above the rounding error of the
+    product, so the true top k is always among the candidates. Candidates get their
+    exact distance, summed dimension by dimension in index order (``cumsum`` along
+    the row: the same arithmetic as the SQL form), and the top k is taken on that.
+    """
     import numpy as np
     import pandas as pd
 
     empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
                           "distance": pd.Series([], dtype="float64")})
 
-    def seq_dot(a, b):
-        acc = np.zeros((a.shape[0], b.shape[0]))
-        for j in range(a.shape[1]):
-            acc += a[:, j][:, None] * b[:, j][None, :]
-        return acc
+    def exact(qv, cm):
+        if metric == "l2":
+            diff = cm - qv[None, :]
+            return np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])
+        dot = np.cumsum(cm * qv[None, :], axis=1)[:, -1]
+        if metric == "ip":
+            return -dot
+        qn = np.sqrt(np.einsum("i,i->", qv, qv))
+        cn = np.sqrt(np.einsum("ij,ij->i", cm, cm))
+        return 1.0 - dot / (qn * cn)
 
     def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or cpdf.empty:
@@ -341,45 +356,69 @@ def _block_kernel(k: int, metric: str):
         q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
         c = np.stack(cpdf["vec"].to_numpy()).astype(np.float64)
         qids, cids = qpdf["query_id"].to_numpy(), cpdf["id"].to_numpy()
+        qq, cc = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
+        prod = q @ c.T
         if metric == "l2":
-            acc = np.zeros((q.shape[0], c.shape[0]))
-            for j in range(q.shape[1]):
-                diff = q[:, j][:, None] - c[:, j][None, :]
-                acc += diff * diff
-            dist = np.sqrt(acc)
+            approx = qq[:, None] + cc[None, :] - 2.0 * prod
+            margin = 1e-9 * (qq + cc.max()) + 1e-300
         elif metric == "ip":
-            dist = -seq_dot(q, c)
+            approx = -prod
+            margin = 1e-9 * np.sqrt(qq * cc.max()) + 1e-300
         else:
-            qn = np.sqrt(np.einsum("ij,ij->i", q, q))
-            cn = np.sqrt(np.einsum("ij,ij->i", c, c))
-            dist = 1.0 - seq_dot(q, c) / (qn[:, None] * cn[None, :])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                approx = 1.0 - prod / (np.sqrt(qq)[:, None] * np.sqrt(cc)[None, :])
+            approx = np.nan_to_num(approx, nan=np.inf)
+            margin = np.full(q.shape[0], 1e-9)
         kk = min(k, c.shape[0])
+        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1] if c.shape[0] > kk else approx.max(axis=1)
         out_q, out_c, out_d = [], [], []
         for i in range(q.shape[0]):
-            row = dist[i]
-            if row.shape[0] > kk:
-                kth = row[np.argpartition(row, kk - 1)[:kk]].max()
-                cand = np.nonzero(row <= kth)[0]
-            else:
-                cand = np.arange(row.shape[0])
-            sel = cand[np.lexsort((cids[cand], row[cand]))[:kk]]
-            out_q.append(np.full(sel.shape[0], qids[i]))
-            out_c.append(cids[sel])
-            out_d.append(row[sel])
+            cand = np.nonzero(approx[i] <= kth[i] + margin[i])[0]
+            if cand.shape[0] < kk:  # a non-finite value: fall back to every row
+                cand = np.arange(c.shape[0])
+            d = exact(q[i], c[cand])
+            order = np.lexsort((cids[cand], d))[:kk]
+            out_q.append(np.full(order.shape[0], qids[i]))
+            out_c.append(cids[cand][order])
+            out_d.append(d[order])
         return pd.DataFrame({"query_id": np.concatenate(out_q).astype("int64"),
                              "id": np.concatenate(out_c).astype("int64"),
                              "distance": np.concatenate(out_d)})
     return fn
 
 
+def _broadcast_scan(bc, k: int, metric: str, query_block_rows: int):
+    """Per Arrow batch of corpus rows: the broadcast query vectors in blocks of
+    ``query_block_rows``, each block through the block kernel (≤ k rows per query)."""
+    kernel = _block_kernel(k, metric)
+
+    def fn(batches):
+        qids, qmat = bc.value
+        for cpdf in batches:
+            if cpdf.empty:
+                continue
+            for s in range(0, len(qids), query_block_rows):
+                qpdf = pd.DataFrame({"query_id": qids[s:s + query_block_rows],
+                                     "qvec": list(qmat[s:s + query_block_rows])})
+                yield kernel(qpdf, cpdf)
+    return fn
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str = "query_id",
         corpus_id: str = "id", vec_col: str = "embedding", query_vec: str | None = None,
         metric: str = "l2", n_cells: int | None = None, n_probe: int = 2, exact: bool = True,
         seed: int = 7, block_rows: int = 4096,
-        query_block_rows: int = 512) -> DataFrame:
+        query_block_rows: int = 512, strategy: str = "auto") -> DataFrame:
     """The ``k`` nearest corpus rows per query: ``(query_id, id, rank, distance)``.
 
-    Plan (all partitioning and shuffles by Spark):
+    ``strategy``: "broadcast", "cells" or "auto". "auto" broadcasts the query vectors
+    when a count proves them at most ``QUERY_BROADCAST_BYTES`` (a table of questions
+    against a large store). The corpus is then read once and never shuffled: each
+    corpus batch meets every query in the block kernel, and only ≤ k rows per query
+    and batch reach the final top-k. Larger query tables (and ``exact=False``) take
+    the cell plan below.
+
+    Cell plan (all partitioning and shuffles by Spark):
       1. cells: centres are a seeded sample of ≤ ``n_cells`` corpus vectors (shipped to
          tasks with the function); every corpus row gets its nearest cell and the
          distance to it (numpy per Arrow batch); per cell a row count and a radius.
@@ -405,6 +444,23 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     n = c.count()
     if n == 0:  # an empty store: no hits (``build_context`` then gives the notice)
         return spark.createDataFrame([], "query_id long, id long, rank long, distance double")
+
+    def top(cands: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy("distance", "id")
+        return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    kernel = _block_kernel(k, metric)
+    out_schema = "query_id long, id long, distance double"
+    if strategy == "auto":
+        nq, width = q.where(F.size("qvec") > 0).agg(F.count(F.lit(1)), F.max(F.size("qvec"))).first()
+        strategy = "broadcast" if exact and nq * (width or 0) * 4 <= QUERY_BROADCAST_BYTES else "cells"
+    if strategy == "broadcast":
+        # Bounded by the check above (or asked for explicitly): the query vectors only.
+        rows = q.where(F.size("qvec") > 0).collect()
+        bc = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64),
+                                           np.array([r[1] for r in rows], dtype=np.float32).reshape(len(rows), -1)))
+        cands = c.mapInPandas(_broadcast_scan(bc, k, metric, query_block_rows), out_schema)
+        return top(cands).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
     if n_cells is None:
         n_cells = int(max(8, min(1024, round(n ** 0.5))))
     centre_rows = _sample_centres(c, "vec", n_cells, seed, n)
@@ -419,9 +475,6 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     probe_rank = F.row_number().over(Window.partitionBy("query_id").orderBy("qc", "cell"))
     qc = cut_lineage(qc.withColumn("probe", probe_rank <= n_probe))
 
-    kernel = _block_kernel(k, metric)
-    out_schema = "query_id long, id long, distance double"
-
     def scan(cells: DataFrame) -> DataFrame:
         qcount = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n_q"))
         blocks = (cell_stats.join(qcount, "cell")
@@ -438,10 +491,6 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
         keys = ["cell", "cb", "qb"]
         return qs.groupBy(*keys).cogroup(cs.groupBy(*keys)).applyInPandas(kernel, out_schema)
 
-    def top(cands: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id").orderBy("distance", "id")
-        return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
     first = cut_lineage(top(scan(qc.where("probe"))))
     if not exact:
         return first.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01
@@ -72,7 +73,8 @@ def _brute(q, c, k):
     return out
 
 
-def test_knn_equals_brute_force_with_a_hot_cell(spark):
+@pytest.mark.parametrize("strategy", ["cells", "broadcast"])
+def test_knn_equals_brute_force_with_a_hot_cell(spark, strategy):
     import random
     rnd = random.Random(3)
     # A third of the corpus sits in one tight cluster (a hot cell).
@@ -82,7 +84,7 @@ def test_knn_equals_brute_force_with_a_hot_cell(spark):
     c = spark.createDataFrame(corpus, "id long, embedding array<float>")
     q = spark.createDataFrame(queries, "query_id long, embedding array<float>")
     got = {}
-    for r in R.knn(q, c, k=4, n_cells=12, block_rows=64, query_block_rows=8).collect():
+    for r in R.knn(q, c, k=4, n_cells=12, block_rows=64, query_block_rows=8, strategy=strategy).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.id))
     got = {k: [i for _, i in sorted(v)] for k, v in got.items()}
     cf = [(r.id, r.embedding) for r in c.collect()]
@@ -222,7 +224,8 @@ def test_recursive_chunks(spark):
     assert R.recursive_split("a b c d", 5, 2) == ["a b c", "c d"]
 
 
-def test_knn_other_metrics_equal_brute_force(spark):
+@pytest.mark.parametrize("strategy", ["cells", "broadcast"])
+def test_knn_other_metrics_equal_brute_force(spark, strategy):
     import random
 
     import numpy as np
@@ -234,7 +237,7 @@ def test_knn_other_metrics_equal_brute_force(spark):
     cf = {r.id: np.array(r.embedding, dtype=float) for r in c.collect()}
     for metric in ("cosine", "ip"):
         got = {}
-        for r in R.knn(q, c, k=3, metric=metric, n_cells=8, block_rows=50).collect():
+        for r in R.knn(q, c, k=3, metric=metric, n_cells=8, block_rows=50, strategy=strategy).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.id))
         for qr in q.collect():
             v = np.array(qr.embedding, dtype=float)
