@@ -91,11 +91,15 @@ def unused_documents(documents: DataFrame, links: DataFrame,
 def cited_documents(answers: DataFrame, documents: DataFrame,
                     names_col: str = "used_documents") -> DataFrame:
     """Per interaction, the stored documents whose filename the answer cites;
-    unknown names vanish and repeated names collapse."""
-    cited = (answers.select("interaction_id", F.explode(names_col).alias("filename"))
-             .dropDuplicates(["interaction_id", "filename"]))
-    return cited.join(documents.select("document_id", "filename"), "filename") \
-        .select("interaction_id", "document_id", "filename")
+    unknown names vanish and repeated names collapse.
+
+    The join comes first, so unknown names are gone before the shuffle of the
+    de-duplication, which then keys on the two ids (a document id determines
+    its filename)."""
+    cited = answers.select("interaction_id", F.explode(names_col).alias("filename"))
+    return (cited.join(documents.select("document_id", "filename"), "filename")
+            .dropDuplicates(["interaction_id", "document_id"])
+            .select("interaction_id", "document_id", "filename"))
 
 
 def intake_documents(batch: DataFrame, existing: DataFrame, process_ok_col: str | None = None) -> DataFrame:
