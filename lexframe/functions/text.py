@@ -48,7 +48,8 @@ def decode_entities(c) -> Column:
 
 
 # The characters of ``WS``: Java regex ``\s`` without the Unicode flag, and NBSP.
-WS_CHARS = " \t\n\x0b\f\r\u00a0"
+JAVA_SPACE_CHARS = " \t\n\x0b\f\r"
+WS_CHARS = JAVA_SPACE_CHARS + "\u00a0"
 
 
 def strip_ws(c) -> Column:

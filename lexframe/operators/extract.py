@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.functions.text import (clean_html, collapse_ws, decode_entities, first_element, html_text,
-                                     norm_date, resolve_url, strip_ws)
+from lexframe.functions.text import (JAVA_SPACE_CHARS, clean_html, collapse_ws, decode_entities, first_element,
+                                     html_text, norm_date, resolve_url, strip_ws)
 from lexframe.schemas import NORM_COLUMNS
 
 # Markers of the bulletin's pages.
@@ -214,7 +214,12 @@ def extract_boletin(pages: DataFrame) -> DataFrame:
 
 
 def _unlabelled(t) -> Column:
-    return F.regexp_replace(t, RESUMEN_LABEL, "")
+    """``t`` without a leading ``RESUMEN_LABEL`` (any case, then Java whitespace): a test
+    of the first characters and a character trim, so a long text is not scanned
+    position by position as an anchored ``regexp_replace`` would."""
+    label = "resumen:"
+    return F.when(F.lower(F.substring(t, 1, len(label))) == label,
+                  F.ltrim(F.substring(t, len(label) + 1, 1 << 30), F.lit(JAVA_SPACE_CHARS))).otherwise(t)
 
 
 def _paragraphs(html) -> Column:
