@@ -457,6 +457,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     if strategy == "broadcast":
         # Bounded by the check above (or asked for explicitly): the query vectors only.
         rows = q.where(F.size("qvec") > 0).collect()
+        if not rows:  # no query with a vector: no hits
+            return spark.createDataFrame([], "query_id long, id long, rank long, distance double")
         bc = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64),
                                            np.array([r[1] for r in rows], dtype=np.float32).reshape(len(rows), -1)))
         cands = c.mapInPandas(_broadcast_scan(bc, k, metric, query_block_rows), out_schema)

@@ -277,6 +277,18 @@ def test_search_on_an_empty_store_gives_the_notice(spark):
     assert got == {1: R.EMPTY_STORE_NOTICE, 2: R.EMPTY_STORE_NOTICE}
 
 
+@pytest.mark.parametrize("strategy", ["auto", "broadcast"])
+def test_knn_without_query_vectors_gives_no_hits(spark, strategy):
+    c = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "id long, embedding array<float>")
+    none = spark.createDataFrame([], "query_id long, embedding array<float>")
+    blank = spark.createDataFrame([(7, [])], "query_id long, embedding array<float>")
+    assert R.knn(none, c, k=1, strategy=strategy).count() == 0
+    assert R.knn(blank, c, k=1, strategy=strategy).count() == 0
+    qs = spark.createDataFrame([(1, "!!!")], "query_id long, text string")  # no token: the notice
+    recs = spark.createDataFrame([(1, "ley", "a.pdf")], "id long, text string, source string")
+    assert R.search(qs, recs, k=1, dim=16).first().context == R.EMPTY_STORE_NOTICE
+
+
 def test_search_finds_the_passage(spark):
     recs = spark.createDataFrame([(1, "el presupuesto nacional de salud para el año", "a/ley.pdf"),
                                   (2, "los perros y los gatos del barrio", "b/otro.pdf"),
