@@ -12,6 +12,7 @@ already at its id and does nothing, so replays are safe.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +38,17 @@ def merge_norm_batch(batch: DataFrame, batch_id: int, table_dir: str, rejects_di
     spark = batch.sparkSession
     if _already_applied(spark, table_dir, batch_id):
         return
-    raw = batch.withColumn("_ord", F.monotonically_increasing_id())
-    good, bad = quarantine(raw)
-    bad.write.mode("overwrite").parquet(f"{rejects_dir}/batch={batch_id}")
-    latest = dedup_keep_last(good, "id_norma", ["scrape_date", "_ord"])
-    # Embedded once: the merge reads the fresh rows for the key count and the union.
-    fresh = cut_lineage(valid_embeddings(embed(embedding_input(latest), dim=dim, embedder=embedder)))
+    # The batch feeds two outputs (rejects, merge): kept for the call so the day files
+    # are parsed once. A lost block is recomputed from the stream's files.
+    raw = batch.withColumn("_ord", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        good, bad = quarantine(raw)
+        bad.write.mode("overwrite").parquet(f"{rejects_dir}/batch={batch_id}")
+        latest = dedup_keep_last(good, "id_norma", ["scrape_date", "_ord"])
+        # Embedded once: the merge reads the fresh rows for the key count and the union.
+        fresh = cut_lineage(valid_embeddings(embed(embedding_input(latest), dim=dim, embedder=embedder)))
+    finally:
+        raw.unpersist()
     if _read_pointer(spark, table_dir) is None:
         write_version(fresh, table_dir, str(batch_id))
         return
