@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from lexframe.llm import bpe
+from lexframe.llm import bpe, curriculum, linededup, rules
 from lexframe.plans.bindings import table
 
 QUERIES: dict = {}
@@ -22,3 +23,75 @@ def register(key: str, sql: str | None = None):
 def op1_byte_bpe(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return bpe.digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+
+
+@register("op4_curriculum_mix", r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn FROM d GROUP BY source),
+w AS (SELECT *, CAST(list_extract([3.0, 1.0, 2.0], turn + 1) AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap FROM s),
+r AS (SELECT *, cap / weight AS ratio, sum(source_size) OVER () AS total,
+             sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS caps,
+             sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS weights,
+             sum(weight) OVER () AS all_weights FROM w),
+-- Level if the sources before this one are capped; the first level not above its own ratio holds.
+l AS (SELECT *, (1.5 * CAST(total AS DOUBLE) - (caps - cap)) / (all_weights - (weights - weight)) AS level FROM r),
+v AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, turn, least(cap, weight * (SELECT level FROM v)) AS target FROM l),
+c AS (SELECT d.doc_id, d.size, t.source_size, t.turn, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS words,
+             CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
+      FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes FROM c),
+f AS (SELECT *, CAST(passes * size + greatest(0, least(size, words - passes * source_size - start)) AS BIGINT) AS taken,
+             CAST(start AS DOUBLE) / greatest(1.0, target) AS u FROM e),
+g AS (SELECT *, CASE turn WHEN 0 THEN 3.0 * u WHEN 1 THEN 1.0 * u ELSE 2.0 * u END AS a FROM f)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN
+    CASE turn WHEN 0 THEN 2.0 * a / (4.0 + sqrt(greatest(0.0, 16.0 - 4.0 * a)))
+              WHEN 1 THEN 2.0 * a / (1.0 + sqrt(1.0))
+              ELSE CASE WHEN a <= 0.75 THEN 2.0 * a / (1.0 + sqrt(1.0 + 4.0 * a))
+                        ELSE 0.5 + 2.0 * (a - 0.75) / (2.0 + sqrt(4.0 + 4.0 * (a - 0.75))) END END END AS position
+FROM g""")
+def op4_curriculum_mix(spark, d):
+    return curriculum.taken_words(table(spark, d, "documents"))
+
+
+@register("op6_site_line_dedup", r"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+k AS (SELECT DISTINCT doc_id, source, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT doc_id, source, unnest(ls) AS l FROM d)),
+b AS (SELECT k.source, k.line FROM k JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY source) p
+      ON p.source IS NOT DISTINCT FROM k.source WHERE k.line <> ''
+      GROUP BY k.source, k.line, p.pages HAVING count(*) >= 10 AND count(*) > 0.02 * p.pages),
+a AS (SELECT source, list(line) AS drop_lines FROM b GROUP BY source),
+n AS (SELECT d.doc_id, d.text, d.ls, list_filter(d.ls, lambda x: NOT coalesce(list_contains(a.drop_lines, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), false)) AS kept
+      FROM d LEFT JOIN a ON a.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_removed,
+       CASE WHEN text IS NULL THEN NULL ELSE sha256(array_to_string(kept, chr(10))) END AS kept_sha256
+FROM n""")
+def op6_site_line_dedup(spark, d):
+    """`documents`, with the source as the site."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    out = linededup.drop_boilerplate(docs, F.col("source"), counts=("n_lines", "n_removed"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op10_rule_ledger", r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
+      FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1),
+c AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS pos FROM r) GROUP BY rid),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN c USING (rid)),
+b AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
+                + 4 * (10 * n_symbols > n_words AND n_symbols > 0)::BIGINT + 8 * (word_chars < 2 * n_words)::BIGINT
+                + 16 * (word_chars > 20 * n_words)::BIGINT + 32 * (100 * n_dup_lines > 50 * n_lines)::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, fail_bits,
+       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b""")
+def op10_rule_ledger(spark, d):
+    entries = rules.ledger(table(spark, d, "documents"))
+    return rules.apply_policy(entries, 2).withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(rules.mask(rules.POLICIES[1]))) != 0)
