@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexframe.llm import bpe, curriculum, linededup, rules
+from lexframe.llm import bpe, curriculum, linededup, rules, simhash
 from lexframe.plans.bindings import table
 
 QUERIES: dict = {}
@@ -95,3 +95,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 def op10_rule_ledger(spark, d):
     entries = rules.ledger(table(spark, d, "documents"))
     return rules.apply_policy(entries, 2).withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(rules.mask(rules.POLICIES[1]))) != 0)
+
+
+@register("op8_simhash_vp_tree")
+def op8_simhash_vp_tree(spark, d):
+    return simhash.grouped(table(spark, d, "documents").select("doc_id", "text"))
