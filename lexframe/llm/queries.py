@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexframe.llm import bpe, curriculum, linededup, rules, simhash
+from lexframe.llm import bpe, curriculum, langid, linededup, rules, simhash
+from lexframe.llm.common import is_training
 from lexframe.plans.bindings import table
 
 QUERIES: dict = {}
@@ -100,3 +101,11 @@ def op10_rule_ledger(spark, d):
 @register("op8_simhash_vp_tree")
 def op8_simhash_vp_tree(spark, d):
     return simhash.grouped(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@register("op2_crf_langid")
+def op2_crf_langid(spark, d):
+    docs = table(spark, d, "documents")
+    model = langid.fit(docs, is_training(F.col("doc_id"), 3, 1))
+    out = langid.label(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (~is_training(F.col("doc_id"), 3, 1)).alias("held_out"), "lang_pred", "score")
