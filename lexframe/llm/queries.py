@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexframe.llm import bpe, curriculum, langid, linededup, rules, simhash
+from lexframe.llm import bpe, curriculum, langid, lcp, linededup, rules, simhash
 from lexframe.llm.common import is_training
 from lexframe.plans.bindings import table
 
@@ -109,3 +109,8 @@ def op2_crf_langid(spark, d):
     model = langid.fit(docs, is_training(F.col("doc_id"), 3, 1))
     out = langid.label(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (~is_training(F.col("doc_id"), 3, 1)).alias("held_out"), "lang_pred", "score")
+
+
+@register("op3_lcp_fingerprint")
+def op3_lcp_fingerprint(spark, d):
+    return lcp.edits(table(spark, d, "documents"))
