@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexframe.llm import bpe, curriculum, langid, lcp, linededup, rules, simhash
+from lexframe.llm import bpe, curriculum, langid, lcp, linededup, pii, rules, simhash
 from lexframe.llm.common import is_training
 from lexframe.plans.bindings import table
 
@@ -114,3 +114,8 @@ def op2_crf_langid(spark, d):
 @register("op3_lcp_fingerprint")
 def op3_lcp_fingerprint(spark, d):
     return lcp.edits(table(spark, d, "documents"))
+
+
+@register("op9_bootstrapped_pii")
+def op9_bootstrapped_pii(spark, d):
+    return pii.digests(pii.extract(table(spark, d, "documents").select("doc_id", "text")))
