@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexframe.llm import bpe, curriculum, langid, lcp, linededup, pii, rules, simhash
+from lexframe.llm import bpe, curriculum, debruijn, langid, lcp, linededup, pii, rules, simhash
 from lexframe.llm.common import is_training
 from lexframe.plans.bindings import table
 
@@ -22,8 +22,7 @@ def register(key: str, sql: str | None = None):
 
 @register("op1_byte_bpe")
 def op1_byte_bpe(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    return bpe.digests(table(spark, d, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
 @register("op4_curriculum_mix", r"""
@@ -119,3 +118,8 @@ def op3_lcp_fingerprint(spark, d):
 @register("op9_bootstrapped_pii")
 def op9_bootstrapped_pii(spark, d):
     return pii.digests(pii.extract(table(spark, d, "documents").select("doc_id", "text")))
+
+
+@register("op7_debruijn_dedup")
+def op7_debruijn_dedup(spark, d):
+    return debruijn.remove_repeats(table(spark, d, "documents"))
