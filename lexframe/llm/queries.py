@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexframe.llm import bpe, curriculum, debruijn, langid, lcp, linededup, pii, rules, simhash
+from lexframe.llm import bpe, ctw, curriculum, debruijn, langid, lcp, linededup, pii, rules, simhash
 from lexframe.llm.common import is_training
 from lexframe.plans.bindings import table
 
@@ -123,3 +123,11 @@ def op9_bootstrapped_pii(spark, d):
 @register("op7_debruijn_dedup")
 def op7_debruijn_dedup(spark, d):
     return debruijn.remove_repeats(table(spark, d, "documents"))
+
+
+@register("op5_ctw_score")
+def op5_ctw_score(spark, d):
+    train = is_training(F.col("doc_id"), 7, 2)
+    out = ctw.score(table(spark, d, "documents").select("doc_id", "text"), train)
+    return out.withColumn("held_out", ~is_training(F.col("doc_id"), 7, 2)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
