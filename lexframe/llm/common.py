@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``materialise``, hashed by ``key`` into ``buckets`` files a task, so that a later join on the
+    key reads this side in place instead of shuffling it."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    entry = "llm_" + path.rsplit("-", 1)[1]
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")  # the name only: files at a given path stay
+    return out
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -48,7 +60,7 @@ def text_slices(batches, text_col: str, max_bytes: int):
     rows, size = [], 0
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        lens = pa.compute.fill_null(pa.compute.binary_length(table[text_col]), 0).to_numpy()
+        lens = pc.fill_null(pc.binary_length(table[text_col]), 0).to_numpy()
         start = 0
         for i, n in enumerate(lens):
             if size and size + n > max_bytes:

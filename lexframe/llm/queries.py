@@ -22,7 +22,7 @@ def register(key: str, sql: str | None = None):
 
 @register("op1_byte_bpe")
 def op1_byte_bpe(spark, d):
-    return bpe.digests(table(spark, d, "documents"), RANKS, public_tokenizers.PATTERN)
+    return bpe.tokenised(table(spark, d, "documents"), RANKS, public_tokenizers.PATTERN, ["doc_id"], with_ids=False)
 
 
 @register("op4_curriculum_mix", r"""

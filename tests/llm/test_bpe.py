@@ -17,7 +17,7 @@ def expected(text):
 
 def test_equals_the_library_on_whole_texts(spark, docs, awkward):
     for df in (docs, awkward):
-        got = bpe.digests(bpe.encode(df, RANKS, P.PATTERN, chunk_bytes=40_000), RANKS).collect()
+        got = bpe.tokenised(df, RANKS, P.PATTERN, ["doc_id"], with_ids=False, chunk_bytes=40_000).collect()
         want = [(r.doc_id, *expected(r.text)) for r in df.select("doc_id", "text").collect()]
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
@@ -47,4 +47,4 @@ def test_columns_and_empty(spark, awkward, empty):
     assert sorted((r.chunk or 0, r.word or "") for r in out.collect()) == sorted((r.chunk or 0, r.word or "") for r in awkward.collect())
     back = bpe.decode(out, RANKS)
     assert sorted(bytes(r.decoded) for r in back.collect()) == sorted((r.text or "").encode() for r in awkward.collect())
-    assert bpe.digests(bpe.encode(empty, RANKS, P.PATTERN), RANKS).count() == 0
+    assert bpe.tokenised(empty, RANKS, P.PATTERN, ["doc_id"]).count() == 0
