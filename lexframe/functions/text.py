@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace class written so that Java regex and RE2 read it the same way (NBSP included).
 WS = r"[\s\x{00a0}]"
 
-# Named HTML entities decoded in page text.
-HTML_ENTITIES = [
-    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"),
-    ("&Aacute;", "Á"), ("&Eacute;", "É"), ("&Iacute;", "Í"), ("&Oacute;", "Ó"), ("&Uacute;", "Ú"),
-    ("&ntilde;", "ñ"), ("&Ntilde;", "Ñ"), ("&uuml;", "ü"), ("&Uuml;", "Ü"),
-    ("&ordm;", "º"), ("&ordf;", "ª"), ("&deg;", "°"), ("&copy;", "©"), ("&middot;", "·"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
-    ("&amp;", "&"),
-]
+# Named HTML entities decoded in page text: HTML 4's table as Python ships it, and &apos;.
+HTML_ENTITIES = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"}
 
 # Spanish month abbreviations of the bulletin's DD-MMM-YYYY dates.
 SPANISH_MONTHS = ["ENE", "FEB", "MAR", "ABR", "MAY", "JUN", "JUL", "AGO", "SEP", "OCT", "NOV", "DIC"]
@@ -28,18 +23,28 @@ def _col(c) -> Column:
 
 
 def _entity_map() -> Column:
-    return F.create_map(*[x for ent, ch in HTML_ENTITIES for x in (F.lit(ent[1:-1]), F.lit(ch))])
+    # One constant instead of two literals per entity: it is folded once when a query is planned.
+    return F.from_json(F.lit(json.dumps(HTML_ENTITIES)), "map<string,string>")
+
+
+def _code_point(n) -> Column:
+    """The character of a code point, NULL outside Unicode's scalar values: its UTF-32 bytes decoded."""
+    valid = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
 
 def decode_entities(c) -> Column:
-    """Decode the named entities of ``HTML_ENTITIES`` in one pass: the text is split at
-    each ``&`` and a piece starting with a known ``name;`` gets its character back
-    (each entity is decoded once, so ``&amp;lt;`` stays ``&lt;``)."""
+    """Decode the named entities of ``HTML_ENTITIES`` and numeric ones (``&#243;``,
+    ``&#xF3;``) in one pass: the text is split at each ``&`` and a piece starting with a
+    known ``name;`` gets its character back (each entity is decoded once, so
+    ``&amp;lt;`` stays ``&lt;``; an unknown one stays as it is)."""
     names = _entity_map()
 
     def piece(p, i):
-        name = F.regexp_extract(p, r"^(#?[A-Za-z0-9]+);", 1)
-        char = F.try_element_at(names, name)
+        name = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        hexed = F.lower(F.substr(name, F.lit(2), F.lit(1))) == "x"
+        code = F.when(hexed, F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
+        char = F.when(name.startswith("#"), _code_point(code.try_cast("int"))).otherwise(F.try_element_at(names, name))
         return (F.when(i == 0, p)
                 .when(char.isNotNull(), F.concat(char, F.substr(p, F.length(name) + 2)))
                 .otherwise(F.concat(F.lit("&"), p)))

@@ -9,9 +9,6 @@ from lexframe.session import cut_lineage
 
 from lexframe.schemas import MESSAGE_BLOCKS
 
-# Above this many changed ids the change log is applied with one full outer join.
-SMALL_KEY_LIMIT = 2_000_000
-
 # Default conversation title, auto-title length, recency buckets in display order.
 DEFAULT_TITLE = "New Conversation"
 AUTO_TITLE_CHARS = 50
@@ -91,7 +88,8 @@ def align_interactions(messages: DataFrame, interactions: DataFrame, feedback: D
 def recency_buckets(conversations: DataFrame, as_of, ts_col: str = "updated_at") -> DataFrame:
     """Conversation list grouped by age against the calendar day of ``as_of``:
     Today, Yesterday, Last 7 days, Last month (30 days), Older. Adds ``period`` and
-    ``period_rank``; order by (period_rank, updated_at desc) for display."""
+    ``period_rank``, and ``pos``: the 1-based place in its bucket, latest first (ties by
+    id), numbered on range slices so that no bucket is gathered in one task."""
     day = F.to_date(F.lit(as_of)) if not hasattr(as_of, "alias") else F.to_date(as_of)
     ts = F.col(ts_col)
     midnight = F.to_timestamp_ntz(day)
@@ -101,8 +99,9 @@ def recency_buckets(conversations: DataFrame, as_of, ts_col: str = "updated_at")
             .when(ts >= F.to_timestamp_ntz(F.date_sub(day, 30)), 3)
             .otherwise(4))
     names = F.array(*[F.lit(x) for x in RECENCY_BUCKETS])
-    return (conversations.withColumn("period_rank", rank)
-            .withColumn("period", F.element_at(names, F.col("period_rank") + 1)))
+    out = (conversations.withColumn("period_rank", rank)
+           .withColumn("period", F.element_at(names, F.col("period_rank") + 1)))
+    return positional_rank(out, "period_rank", [F.col(ts_col).desc(), F.col("id")], name="pos")
 
 
 def touch_conversations(conversations: DataFrame, changes: DataFrame) -> DataFrame:
@@ -112,43 +111,28 @@ def touch_conversations(conversations: DataFrame, changes: DataFrame) -> DataFra
     ``changes (id, ts, kind, title, user_id)`` with kind ``create`` | ``message`` |
     ``rename`` | ``delete``. A message moves ``updated_at``; a rename with a non-blank
     (trimmed) title replaces the title and moves ``updated_at``; a create inserts with
-    the default title unless one is given; a delete removes the row. Latest change per
-    id wins (partial aggregates per id, so hot ids never gather raw rows).
+    the default title unless one is given; a delete removes the row. Only a create
+    inserts: other changes of an unknown id have no effect. The latest title by time
+    (then text) wins; rows without a change stay as they are. Changes are reduced per id
+    by partial aggregates, so hot ids never gather raw rows; one full outer join.
     """
     ch = changes.withColumn("title", F.nullif(F.trim(F.col("title")), F.lit("")))
-    moves = ch.where(F.col("kind").isin("message", "rename", "create") &
-                     ((F.col("kind") != "rename") | F.col("title").isNotNull()))
-    latest = moves.groupBy("id").agg(
-        F.max("ts").alias("_ts"),
-        F.max_by("title", F.when(F.col("kind").isin("rename", "create") & F.col("title").isNotNull(),
-                                 F.col("ts"))).alias("_title"),
-        F.min(F.when(F.col("kind") == "create", F.col("ts"))).alias("_created"),
-        F.first("user_id", ignorenulls=True).alias("_user"))
-    deleted = ch.where(F.col("kind") == "delete").select("id").distinct()
-    cols = ["id", "user_id", "title", "created_at", "updated_at"]
-
-    def revalue(df):
-        return df.select(
-            "id",
-            F.coalesce(F.col("user_id"), F.col("_user")).alias("user_id"),
-            F.coalesce(F.col("_title"), F.col("title"), F.lit(DEFAULT_TITLE)).alias("title"),
-            F.coalesce(F.col("created_at"), F.col("_created"), F.col("_ts")).alias("created_at"),
-            F.greatest(F.col("updated_at"), F.col("_ts")).alias("updated_at"))
-
-    latest, deleted = cut_lineage(latest), cut_lineage(deleted)
-    keys = latest.select("id").unionByName(deleted).distinct()
-    if keys.count() > SMALL_KEY_LIMIT:
-        return revalue(conversations.join(latest, "id", "full_outer")).join(deleted, "id", "left_anti")
-    # A change batch is small next to the conversation table: only the rows it touches
-    # are joined (against the broadcast changes); the rest are streamed through.
-    conv = conversations.select(*cols)
-    touched = cut_lineage(conv.join(F.broadcast(latest), "id"))
-    kept = conv.join(F.broadcast(keys), "id", "left_anti")
-    created = latest.join(touched.select("id"), "id", "left_anti")
-    for c in cols[1:]:
-        created = created.withColumn(c, F.lit(None).cast(conv.schema[c].dataType))
-    changed = revalue(touched).unionByName(revalue(created)).join(F.broadcast(deleted), "id", "left_anti")
-    return kept.unionByName(changed)
+    moves = (F.col("kind").isin("message", "create") | ((F.col("kind") == "rename") & F.col("title").isNotNull()))
+    made = F.col("kind") == "create"
+    titled = F.col("kind").isin("rename", "create") & F.col("title").isNotNull()
+    latest = ch.groupBy("id").agg(
+        F.max(F.when(moves, F.col("ts"))).alias("_ts"),
+        F.max(F.when(titled, F.struct("ts", "title"))).alias("_title"),
+        F.min(F.when(made, F.struct("ts", "user_id"))).alias("_made"),
+        F.max(F.col("kind") == "delete").alias("_deleted"))
+    known = F.col("_known").isNotNull()
+    out = conversations.withColumn("_known", F.lit(True)).join(latest, "id", "full_outer")
+    out = out.where((known | F.col("_made").isNotNull()) & ~F.coalesce(F.col("_deleted"), F.lit(False)))
+    title = F.coalesce(F.col("_title.title"), F.when(known, F.col("title")).otherwise(F.lit(DEFAULT_TITLE)))
+    return out.select(
+        "id", F.when(known, F.col("user_id")).otherwise(F.col("_made.user_id")).alias("user_id"), title.alias("title"),
+        F.coalesce(F.col("created_at"), F.when(~known, F.col("_made.ts"))).alias("created_at"),
+        F.greatest(F.col("updated_at"), F.col("_ts")).alias("updated_at"))
 
 
 def auto_title(first_question) -> "F.Column":

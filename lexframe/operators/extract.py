@@ -59,16 +59,46 @@ def raw_text(inner) -> Column:
 
 
 def _with_class(tag: str, cls: str) -> str:
-    return rf"""(?is)<{tag}\b[^>]*\bclass\s*=\s*["'][^"']*\b{cls}\b[^"']*["'][^>]*>(.*?)</{tag}\s*>"""
+    return rf"""(?is)<{tag}\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?{cls}(?:\s[^"']*)?["'][^>]*>(.*?)</{tag}\s*>"""
+
+
+# Elements without content, which never stay open.
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+
+
+def _opens(tag) -> Column:
+    """Whether a tag name opens an element."""
+    return (tag != "") & ~tag.startswith("/") & ~tag.isin(VOID_TAGS)
+
+
+def _single_chain(text: str) -> str:
+    """Pattern of an element's inside that is one text with ``text`` in it, bare or inside
+    elements that hold nothing else."""
+    return rf"(?is)^(?:<[a-z][^>]*>)*[^<]*{text}[^<]*(?:</[a-z][^>]*>)*$"
+
+
+def _only_text(tag: str, text: str, flags: str = "(?s)") -> str:
+    """Pattern of a whole element whose only text contains ``text``."""
+    return rf"{flags}<{tag}\b[^>]*>(?:<[A-Za-z][^>]*>)*[^<]*{text}[^<]*(?:</[A-Za-z][^>]*>)*?</{tag}\s*>"
+
+
+def anchors(html) -> Column:
+    """The links of a page: array of (href, decoded; '' without one), (has_href) and (inner HTML)."""
+    elements = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), 0)
+    return F.transform(elements, lambda a: F.struct(
+        decode_entities(F.regexp_extract(a, r"(?is)^<a\b[^>]*" + HREF, 1)).alias("href"),
+        a.rlike(r"(?is)^<a\b[^>]*" + HREF).alias("has_href"),
+        F.regexp_replace(a, r"(?is)^<a\b[^>]*>|</a\s*>$", "").alias("inner")))
 
 
 # ---------------------------------------------------------------- listing pages
 def listing_ids(html) -> Column:
     """Norm ids linked from a listing page, distinct, in first-seen order."""
-    hrefs = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*" + HREF), 1)
+    hrefs = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*" + HREF + r"[^>]*>.*?</a"), 1)
     hrefs = F.transform(hrefs, decode_entities)
     hits = F.filter(hrefs, lambda h: h.rlike(NORM_LINK))
-    return F.array_distinct(F.transform(hits, lambda h: F.regexp_extract(h, NORM_ID, 1).cast("long")))
+    # An id beyond 64 bits is no norm id (null): it is dropped, not an error.
+    return F.array_distinct(F.array_compact(F.transform(hits, lambda h: F.regexp_extract(h, NORM_ID, 1).try_cast("long"))))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -89,9 +119,15 @@ def classify_listing(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", status.alias("status"), n.cast("long").alias("n_ids"))
 
 
-def daily_cap(links: DataFrame, n: int = 200, group_col: str = "page_id") -> DataFrame:
-    """The first ``n`` ids of each listing in page order (``pos`` from ``extract_links``)."""
-    return links.where(F.col("pos") < n)
+def cap_flags(links: DataFrame, n: int | None = None) -> DataFrame:
+    """Every id of each listing with ``kept``: whether it is among the first ``n`` in page
+    order (``pos`` from ``extract_links``; no cap when ``n`` is None)."""
+    return links.withColumn("kept", F.lit(True) if n is None else F.col("pos") < n)
+
+
+def daily_cap(links: DataFrame, n: int | None = None) -> DataFrame:
+    """The ids that ``cap_flags`` keeps: all of them unless a cap is asked for."""
+    return cap_flags(links, n).where("kept").drop("kept")
 
 
 # ---------------------------------------------------------------- header fields
@@ -173,44 +209,64 @@ def extract_titles(pages: DataFrame) -> DataFrame:
                         titulo_sumario_col(h).alias("titulo_sumario"))
 
 
-def _bulletin_p(html) -> Column:
-    """Inner HTML of the first <p> after the first </h1> (the title's next paragraph)."""
-    return F.regexp_extract(html, r"(?is)</h1\s*>.*?<p\b[^>]*>(.*?)</p\s*>", 1)
+def _bulletin_p(segments, tags) -> Column:
+    """Inner HTML of the first <p> that is a sibling after the first <h1> ('' when its
+    parent ends first). A <p> that is never closed ends with its parent.
+
+    A fold over the tags after </h1>: ``depth`` counts elements open since then, and the
+    paragraph is the first <p> at depth 0, up to the tag that closes it."""
+    state = "struct<depth:int,start:int,end:int>"
+    begin = F.array_position(tags, "/h1").cast("int")
 
+    def step(acc, i):
+        t = F.get(tags, i - 1)
+        opens, closes, inside = _opens(t), t.startswith("/"), acc["start"] > 0
+        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        starts = ~inside & (acc["depth"] == 0) & (t == "p")
+        ends = closes & F.when(inside, depth == 0).otherwise(depth < 0)
+        moved = F.struct(depth.cast("int").alias("depth"), F.when(starts, i).otherwise(acc["start"]).cast("int").alias("start"),
+                         F.when(ends, i).otherwise(acc["end"]).cast("int").alias("end"))
+        return F.when(acc["end"] > 0, acc).otherwise(moved).cast(state)
+    places = F.when((begin > 0) & (begin < F.size(tags)), F.sequence(begin + 1, F.size(tags))).otherwise(F.array().cast("array<int>"))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("start"), F.lit(0).alias("end")).cast(state)
+    return F.aggregate(places, zero, step)
 
-def _bulletin_text(html) -> tuple[Column, Column]:
-    p = F.when(_has_h1(html), _bulletin_p(html)).otherwise(F.lit(""))
-    return p, raw_text(p)
+
+def _bulletin_html(segments, found) -> Column:
+    """``found`` is ``_bulletin_p`` as a staged column."""
+    end = F.when(found["end"] > 0, found["end"]).otherwise(F.size(segments) + 1)
+    inner = F.array_join(F.slice(segments, found["start"], F.greatest(end - found["start"], F.lit(0))), "")
+    return F.when(found["start"] > 0, F.regexp_replace(inner, r"(?is)^<p\b[^>]*>", "")).otherwise(F.lit(""))
 
 
 def _fecha_boletin(p, text) -> Column:
-    link = F.regexp_extract(
-        p, rf"""(?is)<a\b[^>]*\bhref\s*=\s*["'][^"']*{BULLETIN_DATE_LINK}[^"']*["'][^>]*>(.*?)</a\s*>""", 1)
-    from_link = date_text(html_text(link, ""))
+    link = F.get(F.filter(anchors(p), lambda a: a["href"].contains(BULLETIN_DATE_LINK)), 0)
+    from_link = date_text(html_text(link["inner"], ""))
     from_text = date_text(F.regexp_extract(text, BULLETIN_DATE, 1))
     return F.coalesce(from_link, from_text, F.lit(""))
 
 
-def fecha_boletin_col(html) -> Column:
-    p, text = _bulletin_text(html)
-    return _fecha_boletin(p, text)
-
-
-def numero_boletin_col(html) -> Column:
-    return F.regexp_extract(_bulletin_text(html)[1], U + BULLETIN_NUMBER, 1)
+def _bulletin_stages(staged: DataFrame) -> DataFrame:
+    """Adds ``_bp`` and ``_bt``, the bulletin paragraph's HTML and text, from ``_sg`` and ``_tg``."""
+    staged = staged.withColumn("_bf", _bulletin_p(F.col("_sg"), F.col("_tg")))
+    staged = staged.withColumn("_bp", _bulletin_html(F.col("_sg"), F.col("_bf")))
+    return staged.withColumn("_bt", raw_text(F.col("_bp")))
 
 
-def pagina_boletin_col(html) -> Column:
-    return F.regexp_extract(_bulletin_text(html)[1], U + BULLETIN_PAGE, 1)
+def _segmented(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """``(_id, _h, _sg, _tg)``: cleaned HTML, cut before each tag, and the tags' names."""
+    staged = pages.select(F.col(id_col).alias("_id"), clean_html(F.col("html")).alias("_h"))
+    staged = staged.withColumn("_sg", F.split("_h", r"(?=<[A-Za-z/])"))
+    return staged.withColumn("_tg", F.transform("_sg", lambda s: F.lower(F.regexp_extract(s, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1))))
 
 
 def extract_boletin(pages: DataFrame) -> DataFrame:
     """Bulletin date (from the ``page_id=216`` link, else a DD-MMM-YYYY text), number
     and page, read from the paragraph after the title."""
-    h = _html(pages)
-    return pages.select("page_id", fecha_boletin_col(h).alias("fecha_boletin"),
-                        numero_boletin_col(h).alias("numero_boletin"),
-                        pagina_boletin_col(h).alias("pagina_boletin"))
+    staged = _bulletin_stages(_segmented(pages))
+    return staged.select(F.col("_id").alias("page_id"), _fecha_boletin(F.col("_bp"), F.col("_bt")).alias("fecha_boletin"),
+                         F.regexp_extract("_bt", U + BULLETIN_NUMBER, 1).alias("numero_boletin"),
+                         F.regexp_extract("_bt", U + BULLETIN_PAGE, 1).alias("pagina_boletin"))
 
 
 def _unlabelled(t) -> Column:
@@ -222,37 +278,85 @@ def _unlabelled(t) -> Column:
                   F.ltrim(F.substring(t, len(label) + 1, 1 << 30), F.lit(JAVA_SPACE_CHARS))).otherwise(t)
 
 
-def _paragraphs(html) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), 1)
-
-
-def _labelled_summary(paragraphs) -> Column:
-    """(a) Text of the paragraph holding a <strong> whose only text contains "Resumen",
-    label removed ('' when there is none)."""
-    holder = F.get(F.filter(paragraphs, lambda p: p.rlike(r"(?s)<strong\b[^>]*>[^<]*Resumen[^<]*</strong\s*>")), 0)
-    return _unlabelled(html_text(holder, ""))
-
-
-def _resumen_from(paragraphs, labelled) -> Column:
-    """``labelled`` is ``_labelled_summary(paragraphs)`` as a staged column: it is read
-    twice, and a staged column is computed once per page."""
-    # (b) the first paragraph whose text starts with the label and is long enough after it
-    texts = F.transform(paragraphs, lambda p: html_text(p, ""))
-    b = F.get(F.transform(F.filter(texts, lambda t: (t.startswith("Resumen:") | t.startswith("resumen:"))
-                                   & (F.length(_unlabelled(t)) > RESUMEN_MIN_LEN)), _unlabelled), 0)
-    return F.coalesce(F.when(F.length(labelled) > RESUMEN_MIN_LEN, labelled), b, F.lit(""))
+def _label_paragraphs(segments, tags) -> Column:
+    """Places of the <p> whose text begins with the label."""
+    head = r"^(?i:<p)\b[^>]*>(?:[\s\x{00a0}]|<[^>]*>)*[Rr]esumen:"
+    return F.filter(F.sequence(F.lit(1), F.size(tags)), lambda i: (F.get(tags, i - 1) == "p")
+                    & F.array_join(F.slice(segments, i, 8), "").rlike(head))
+
+
+def _label_parent(segments, tags) -> Column:
+    """(first, end) of the segments of the element around the first <strong> whose only
+    text contains "Resumen"; the whole page when nothing is around it, NULL without one.
+
+    The open elements before the label are a fold: an opening tag is pushed, a closing
+    tag drops everything from its last opening on (as the page parser does)."""
+    places = F.sequence(F.lit(1), F.size(tags))
+    around = lambda i: F.array_join(F.slice(segments, i, 6), "")
+    label = F.get(F.filter(places, lambda i: (F.get(tags, i - 1) == "strong") & around(i).rlike(_only_text("strong", "Resumen"))), 0)
+    return F.when(F.exists(tags, lambda t: t == "strong"), label)
+
+
+def _open_elements(tags, before) -> Column:
+    """Places of the elements open at place ``before``, outermost first."""
+    def step(stack, i):
+        t = F.get(tags, i - 1)
+        same = F.filter(stack, lambda j: F.get(tags, j - 1) == F.substr(t, F.lit(2)))
+        last = F.element_at(same, -1)
+        return (F.when(_opens(t), F.array_append(stack, i))
+                .when(t.startswith("/") & (F.size(same) > 0), F.filter(stack, lambda j: j < last)).otherwise(stack))
+    places = F.when(before > 1, F.sequence(F.lit(1), before - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.array().cast("array<int>"), step)
+
+
+def _element_text(segments, tags, at) -> Column:
+    """Text of the element that opens at place ``at`` (of the page when 0). It ends at its own
+    closing tag, or with an element around it when it has none."""
+    name = F.get(tags, at - 1)
+    rest = F.sequence(at + 1, F.size(tags))
+    state = "struct<same:int,depth:int,end:int>"
+
+    def step(acc, i):
+        t = F.get(tags, i - 1)
+        same = acc["same"] + F.when(t == name, 1).when(t == F.concat(F.lit("/"), name), -1).otherwise(0)
+        depth = acc["depth"] + F.when(_opens(t), 1).when(t.startswith("/"), -1).otherwise(0)
+        moved = F.struct(same.cast("int").alias("same"), depth.cast("int").alias("depth"),
+                         F.when((same < 0) | (depth < 0), i).otherwise(0).cast("int").alias("end"))
+        return F.when(acc["end"] > 0, acc).otherwise(moved).cast(state)
+    zero = F.struct(F.lit(0).alias("same"), F.lit(0).alias("depth"), F.lit(0).alias("end")).cast(state)
+    end = F.when((at > 0) & (at < F.size(tags)), F.aggregate(rest, zero, step)["end"]).otherwise(F.lit(0))
+    stop = F.when(end > 0, end).otherwise(F.size(segments) + 1)
+    return html_text(F.array_join(F.slice(segments, F.greatest(at, F.lit(1)), stop - F.greatest(at, F.lit(1))), ""), "")
+
+
+def _summary_stages(staged: DataFrame) -> DataFrame:
+    """Adds ``_res_a``: the text of the labelled element, label removed (NULL without a label); and
+    ``_res_b``: the texts of the paragraphs that begin with the label, label removed."""
+    sg, tg = F.col("_sg"), F.col("_tg")
+    staged = staged.withColumns({"_lab": _label_parent(sg, tg), "_lp": _label_paragraphs(sg, tg)})
+    staged = staged.withColumn("_open", F.when(F.col("_lab").isNotNull(), _open_elements(tg, F.col("_lab"))))
+    staged = staged.withColumn("_par", F.coalesce(F.element_at("_open", F.lit(-1)), F.lit(0)))
+    text = F.when(F.col("_lab").isNotNull(), _element_text(sg, tg, F.col("_par")))
+    staged = staged.withColumns({"_res_t": text, "_res_p": F.transform("_lp", lambda i: _element_text(sg, tg, i))})
+    return staged.withColumns({"_res_a": _unlabelled(F.col("_res_t")), "_res_b": F.transform("_res_p", _unlabelled)})
+
+
+def _resumen(labelled, paragraphs) -> Column:
+    """The labelled element's text, else the first labelled paragraph's, if long enough."""
+    first = F.get(F.filter(paragraphs, lambda t: F.length(t) > RESUMEN_MIN_LEN), 0)
+    return F.coalesce(F.when(F.length(labelled) > RESUMEN_MIN_LEN, labelled), first, F.lit(""))
 
 
 def extract_resumen(pages: DataFrame) -> DataFrame:
     """Summary text after the "Resumen:" label (kept only when longer than 10 characters)."""
-    staged = pages.select("page_id", _paragraphs(_html(pages)).alias("_paras"))
-    staged = staged.select("page_id", "_paras", _labelled_summary(F.col("_paras")).alias("_a"))
-    return staged.select("page_id", _resumen_from(F.col("_paras"), F.col("_a")).alias("texto_resumido"))
+    staged = _summary_stages(_segmented(pages))
+    return staged.select(F.col("_id").alias("page_id"), _resumen(F.col("_res_a"), F.col("_res_b")).alias("texto_resumido"))
 
 
-def _link_by_text(html, text: str) -> Column:
-    attrs = F.regexp_extract(html, rf"(?is)<a\b([^>]*)>[^<]*{text}[^<]*</a\s*>", 1)
-    return decode_entities(F.regexp_extract(attrs, r"(?is)" + HREF, 1))
+def _link_by_text(links, text: str) -> Column:
+    """href of the first link whose only text contains ``text``, in any case ('' without one)."""
+    hit = F.get(F.filter(links, lambda a: a["inner"].rlike(_single_chain(text))), 0)
+    return F.coalesce(hit["href"], F.lit(""))
 
 
 def _text_link(href, base: str) -> Column:
@@ -262,28 +366,29 @@ def _text_link(href, base: str) -> Column:
 
 def extract_text_links(pages: DataFrame, base: str) -> DataFrame:
     """Links of the full and the updated text, made absolute against ``base``."""
-    h = _html(pages)
-    staged = pages.select("page_id", _link_by_text(h, FULL_TEXT_LINK).alias("_full"),
-                          _link_by_text(h, UPDATED_TEXT_LINK).alias("_upd"))
+    staged = pages.select("page_id", anchors(_html(pages)).alias("_a"))
+    staged = staged.select("page_id", _link_by_text(F.col("_a"), FULL_TEXT_LINK).alias("_full"),
+                           _link_by_text(F.col("_a"), UPDATED_TEXT_LINK).alias("_upd"))
     return staged.select("page_id", _text_link(F.col("_full"), base).alias("texto_original"),
                          _text_link(F.col("_upd"), base).alias("texto_actualizado"))
 
 
-def _count_link(html, href_rule: str) -> Column:
-    inner = F.regexp_extract(html, rf"""(?is)<a\b[^>]*\bhref\s*=\s*["'][^"']*{href_rule}[^"']*["'][^>]*>(.*?)</a\s*>""", 1)
-    n = F.regexp_extract(raw_text(inner), U + r"(\d+)", 1)
-    return F.coalesce(F.nullif(n, F.lit("")), F.lit(NO_COUNT))  # n read once: one page scan
+def _count_link(links, href_rule: str) -> Column:
+    """The number in the text of the first link whose own href fits the rule."""
+    hit = F.get(F.filter(links, lambda a: a["href"].rlike(href_rule)), 0)
+    n = F.regexp_extract(raw_text(hit["inner"]), U + r"(\d+)", 1)
+    return F.coalesce(F.nullif(n, F.lit("")), F.lit(NO_COUNT))
 
 
 def extract_modifications(pages: DataFrame) -> DataFrame:
     """How many norms this one modifies (``modo=1`` link) and is modified by (``modo=2``)."""
-    h = _html(pages)
-    return pages.select("page_id", _count_link(h, MODIFIES_LINK).alias("modifica_a"),
-                        _count_link(h, MODIFIED_BY_LINK).alias("modificada_por"))
+    staged = pages.select("page_id", anchors(_html(pages)).alias("_a"))
+    return staged.select("page_id", _count_link(F.col("_a"), MODIFIES_LINK).alias("modifica_a"),
+                         _count_link(F.col("_a"), MODIFIED_BY_LINK).alias("modificada_por"))
 
 
 def observaciones_col(html) -> Column:
-    nxt = F.regexp_extract(html, rf"(?is)<strong\b[^>]*>[^<]*{OBSERVATIONS_LABEL}[^<]*</strong\s*>([^<]*)", 1)
+    nxt = F.regexp_extract(html, _only_text("strong", OBSERVATIONS_LABEL, "(?is)") + r"([^<]*)", 1)
     return strip_ws(decode_entities(nxt))
 
 
@@ -303,15 +408,10 @@ def extract_norms(pages: DataFrame, base: str, id_col: str = "page_id") -> DataF
     per page.
     """
     h = F.col("_h")
-    staged = pages.select(F.col(id_col).alias("_id"), clean_html(F.col("html")).alias("_h"))
-    staged = staged.select(
-        "_id", "_h",
-        _header(h).alias("_hdr"), _has_header(h).alias("_has_hdr"), _has_h1(h).alias("_has_h1"),
-        _paragraphs(h).alias("_paras"),
-        _link_by_text(h, FULL_TEXT_LINK).alias("_full"), _link_by_text(h, UPDATED_TEXT_LINK).alias("_upd"))
-    staged = staged.withColumn("_bp", F.when(F.col("_has_h1"), _bulletin_p(h)).otherwise(F.lit("")))
-    staged = staged.withColumn("_bt", raw_text(F.col("_bp")))
-    staged = staged.withColumn("_res_a", _labelled_summary(F.col("_paras")))
+    staged = _segmented(pages, id_col).withColumns({
+        "_hdr": _header(h), "_has_hdr": _has_header(h), "_has_h1": _has_h1(h), "_a": anchors(h)})
+    staged = staged.withColumns({"_full": _link_by_text(F.col("_a"), FULL_TEXT_LINK), "_upd": _link_by_text(F.col("_a"), UPDATED_TEXT_LINK)})
+    staged = _summary_stages(_bulletin_stages(staged))
     hdr, bt = F.col("_hdr"), F.col("_bt")
     num = F.regexp_extract(hdr, U + NUMERO, 1)
     fields = {
@@ -327,10 +427,10 @@ def extract_norms(pages: DataFrame, base: str, id_col: str = "page_id") -> DataF
         "titulo_resumido": titulo_resumido_col(h),
         "titulo_sumario": F.when(F.col("_has_h1"), html_text(F.regexp_extract(h, _with_class("span", SUMMARY_CLASS), 1), ""))
         .otherwise(F.lit("")),
-        "texto_resumido": _resumen_from(F.col("_paras"), F.col("_res_a")),
+        "texto_resumido": _resumen(F.col("_res_a"), F.col("_res_b")),
         "observaciones": observaciones_col(h),
         "texto_original": _text_link(F.col("_full"), base),
         "texto_actualizado": _text_link(F.col("_upd"), base),
-        "modificada_por": _count_link(h, MODIFIED_BY_LINK), "modifica_a": _count_link(h, MODIFIES_LINK),
+        "modificada_por": _count_link(F.col("_a"), MODIFIED_BY_LINK), "modifica_a": _count_link(F.col("_a"), MODIFIES_LINK),
     }
     return staged.select(*[fields[c].alias(c) for c in NORM_COLUMNS])

@@ -32,20 +32,28 @@ def owner_filter(df: DataFrame, user_id, owner_col: str = "user_id") -> DataFram
     return df.where(F.col(owner_col) == F.lit(user_id))
 
 
+# Fixed value: paths whose requests are never logged. Sampling works in millionths.
+HEALTH_PATHS = ["/health"]
+SAMPLE_BUCKETS = 1_000_000
+
+
 def sample_bucket(key) -> Column:
-    """Reproducible uniform bucket in [0, 1000) from the md5 of a key
+    """Reproducible uniform bucket in [0, ``SAMPLE_BUCKETS``) from the md5 of a key
     (the same value in any engine that has md5)."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.conv(F.substring(F.md5(k.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(1000))
+    return F.pmod(F.conv(F.substring(F.md5(k.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(SAMPLE_BUCKETS))
 
 
 def tail_sample(log: DataFrame, threshold_ms: float = 1000.0, rate: float = 0.1,
                 key: str = "request_id", status_col: str = "status_code",
-                duration_col: str = "duration_ms") -> DataFrame:
+                duration_col: str = "duration_ms", path_col: str = "http_path") -> DataFrame:
     """Keep every error (status >= 400), every slow request (duration > threshold)
-    and a reproducible ``rate`` share of the rest."""
+    and a reproducible ``rate`` share of the rest. Requests to ``HEALTH_PATHS`` are not
+    logged at all."""
+    if path_col in log.columns:
+        log = log.where(~F.coalesce(F.col(path_col).isin(HEALTH_PATHS), F.lit(False)))
     keep = ((F.col(status_col) >= 400) | (F.col(duration_col) > F.lit(threshold_ms))
-            | (sample_bucket(key) < F.lit(int(round(rate * 1000)))))
+            | (sample_bucket(key) < F.lit(rate * SAMPLE_BUCKETS)))
     return log.where(keep)
 
 

@@ -6,8 +6,7 @@ JVM built-ins; a user embedder (any ``list[str] -> array`` callable) runs in
 ``mapInPandas`` over Arrow batches.
 
 Search: exact k-NN without an all-pairs product. The corpus is clustered into
-``n_cells`` cells (Spark ML k-means on a bounded sample of it), each row gets its
-cell, and each cell its radius. A query first probes its nearest cells (equi-join
+``n_cells`` cells (around a bounded sample of its vectors), each row gets its cell, and each cell its radius. A query first probes its nearest cells (equi-join
 on cell id), which bounds its k-th distance; then every other cell whose
 triangle-inequality lower bound ``|q - c| - radius`` does not exceed that distance is
 joined too. Whatever is left out provably cannot enter the top k, so the answer
@@ -34,7 +33,7 @@ DEFAULT_K = 4
 CHUNK_SIZE = 2000
 CHUNK_OVERLAP = 200
 EMBEDDING_DIM = 768
-EMPTY_STORE_NOTICE = "No documents have been uploaded yet."
+EMPTY_STORE_NOTICE = "The document vector store is currently empty. Notify the user and suggest to upload documents."
 CONTEXT_TEMPLATE = ("Source: ", "\nContent: ")
 CONTEXT_SEPARATOR = "\n\n"
 
@@ -46,10 +45,11 @@ QUERY_BROADCAST_BYTES = 64 << 20
 
 
 # ---------------------------------------------------------------- inputs
-def embedding_input(norms: DataFrame) -> DataFrame:
-    """The embedder's input: id, summary text as ``content``, short title as ``title``."""
+def embedding_input(norms: DataFrame, keep=()) -> DataFrame:
+    """The embedder's input: id, summary text as ``content``, short title as ``title``
+    (and the columns ``keep``)."""
     return norms.select("id_norma", F.col("texto_resumido").alias("content"),
-                        F.col("titulo_resumido").alias("title"))
+                        F.col("titulo_resumido").alias("title"), *keep)
 
 
 # Separators of the recursive splitter, coarsest first ("" = characters).
@@ -198,18 +198,18 @@ def _dense_udf(dim: int):
 
 
 def embed(df: DataFrame, id_col: str = "id_norma", content_col: str = "content", title_col: str | None = "title",
-          dim: int = EMBEDDING_DIM, embedder=None) -> DataFrame:
+          dim: int = EMBEDDING_DIM, embedder=None, keep=()) -> DataFrame:
     """Adds an embedding per row with status and statistics, in the shape of the
     embeddings table: ``(id, ml_generate_embedding_result array<float>,
     ml_generate_embedding_statistics, ml_generate_embedding_status, content, title)``.
 
     A row whose content has no token gets an empty array and a non-empty status (it
-    is dropped by ``valid_embeddings`` before a merge).
+    is dropped by ``valid_embeddings`` before a merge). The columns ``keep`` follow.
     """
     base = df.select(F.col(id_col).alias(id_col), content_col,
-                     (F.col(title_col) if title_col else F.lit(None).cast("string")).alias("title"))
+                     (F.col(title_col) if title_col else F.lit(None).cast("string")).alias("title"), *keep)
     if embedder is not None:
-        return _embed_with(base, id_col, content_col, dim, embedder)
+        return _embed_with(base, id_col, content_col, dim, embedder, list(keep))
     base = base.withColumn("_tok", tokens(content_col))
     out = base.withColumn("_v", _dense_udf(dim)(F.col("_tok")))
     ok = F.size("_v") > 0
@@ -219,33 +219,64 @@ def embed(df: DataFrame, id_col: str = "id_norma", content_col: str = "content",
         F.to_json(F.struct(F.size("_tok").alias("token_count"), F.lit(False).alias("truncated")))
         .alias("ml_generate_embedding_statistics"),
         F.when(ok, F.lit("")).otherwise(F.lit("empty content")).alias("ml_generate_embedding_status"),
-        content_col, "title")
-
-
-def _embed_with(base: DataFrame, id_col: str, content_col: str, dim: int, embedder) -> DataFrame:
+        content_col, "title", *keep)
+
+
+def with_vectors(df: DataFrame, text_col: str, dim: int = EMBEDDING_DIM, embedder=None, out_col: str = "embedding") -> DataFrame:
+    """All columns and the vector of a text column (empty where the embedding failed)."""
+    if embedder is None:
+        return df.withColumn(out_col, _dense_udf(dim)(tokens(text_col)))
+    rows = df.withColumn("_row", F.struct(*df.columns)).withColumn("_id", F.lit(0).cast("long"))
+    done = embed(rows, "_id", text_col, None, dim, embedder, keep=["_row"])
+    return done.select("_row.*", F.col("ml_generate_embedding_result").alias(out_col))
+
+
+def embed_rows(embedder, texts: list[str], dim: int) -> tuple[list[list[float]], list[str]]:
+    """Vectors and statuses of texts. When the batch call fails (or gives another number of
+    vectors), each text is tried alone, so one bad text costs one row; a failed or
+    wrong-length vector is empty and its status says why."""
+    def checked(vector):
+        v = [float(x) for x in vector]
+        return (v, "") if len(v) == dim else ([], f"dimension {len(v)}")
+
+    try:
+        out = [checked(v) for v in embedder(texts)]
+        if len(out) == len(texts):
+            return [v for v, _ in out], [s for _, s in out]
+    except Exception:  # noqa: BLE001 - the rows are tried one by one below
+        pass
+    done = []
+    for t in texts:
+        try:
+            (vector,) = embedder([t])
+            done.append(checked(vector))
+        except Exception as e:  # noqa: BLE001 - reported per row, not raised
+            done.append(([], f"error: {type(e).__name__}"))
+    return [v for v, _ in done], [s for _, s in done]
+
+
+def _embed_with(base: DataFrame, id_col: str, content_col: str, dim: int, embedder, keep: list) -> DataFrame:
     """User embedder over Arrow batches: ``embedder(list[str]) -> sequence of vectors``."""
-    import pandas as pd
+    from pyspark.sql import types as T
 
-    schema = (f"{id_col} long, ml_generate_embedding_result array<float>, ml_generate_embedding_statistics string, "
-              f"ml_generate_embedding_status string, {content_col} string, title string")
+    packed = base.select(F.struct(*base.columns).alias("row"), F.coalesce(F.col(content_col), F.lit("")).alias("text"))
+    out = T.StructType([packed.schema["row"], T.StructField("vec", T.ArrayType(T.FloatType())),
+                        T.StructField("status", T.StringType()), T.StructField("tokens", T.IntegerType())])
 
     def run(batches):
-        for pdf in batches:
-            texts = pdf[content_col].fillna("").tolist()
-            status, vecs = [], []
-            try:
-                out = embedder(texts)
-                vecs = [list(map(float, v)) for v in out]
-                status = ["" if len(v) == dim else f"dimension {len(v)}" for v in vecs]
-            except Exception as e:  # noqa: BLE001 - a failed batch is reported per row, not raised
-                vecs = [[] for _ in texts]
-                status = [f"error: {type(e).__name__}"] * len(texts)
-            yield pd.DataFrame({
-                id_col: pdf[id_col], "ml_generate_embedding_result": vecs,
-                "ml_generate_embedding_statistics": ['{"token_count":%d}' % len(t.split()) for t in texts],
-                "ml_generate_embedding_status": status, content_col: pdf[content_col], "title": pdf["title"]})
-
-    return base.mapInPandas(run, schema)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            vecs, status = embed_rows(embedder, texts, dim)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(vecs, pa.list_(pa.float32())), pa.array(status, pa.string()),
+                 pa.array([len(t.split()) for t in texts], pa.int32())], names=["row", "vec", "status", "tokens"])
+
+    done = packed.mapInArrow(run, out)
+    return done.select(
+        F.col("row")[id_col].alias(id_col), F.col("vec").alias("ml_generate_embedding_result"),
+        F.to_json(F.struct(F.col("tokens").alias("token_count"))).alias("ml_generate_embedding_statistics"),
+        F.col("status").alias("ml_generate_embedding_status"), F.col("row")[content_col].alias(content_col),
+        F.col("row")["title"].alias("title"), *(F.col("row")[c].alias(c) for c in keep))
 
 
 # ---------------------------------------------------------------- distances
@@ -272,14 +303,11 @@ def distance(a, b, metric: str = "l2") -> Column:
 
 # ---------------------------------------------------------------- cells
 def _sample_centres(corpus: DataFrame, vec_col: str, n_cells: int, seed: int, n: int) -> list:
-    """Cell centres: a seeded sample of at most ``n_cells`` corpus vectors (one pass;
-    the bounded list is what the tasks carry). Exactness never depends on how good
-    the cells are — only how much the bound prunes."""
+    """Cell centres: the ``n_cells`` corpus vectors of least seeded hash, wherever they are
+    stored (one pass; the bounded list is what the tasks carry). Exactness never depends
+    on how good the cells are — only how much the bound prunes."""
     k = max(1, min(n_cells, n))
-    frac = min(1.0, 4.0 * k / max(n, 1))
-    rows = corpus.select(vec_col).sample(False, frac, seed).limit(k).collect()
-    if not rows:
-        rows = corpus.select(vec_col).limit(k).collect()
+    rows = corpus.select(vec_col, F.xxhash64(F.lit(seed), vec_col).alias("_h")).orderBy("_h").limit(k).collect()
     return [np.asarray(r[0], dtype=np.float64) for r in rows]
 
 
@@ -436,14 +464,13 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     """
     spark = corpus.sparkSession
     qv = query_vec or vec_col
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(qv).alias("qvec"))
+    # A question without a vector has no hit, on either plan.
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(qv).alias("qvec")).where(F.size("qvec") > 0)
     # Both inputs are read several times (count, k-means passes, assignment, probe):
     # materialise them once in the checkpoint folder so upstream work runs once.
     q = cut_lineage(q)
-    c = cut_lineage(corpus.select(F.col(corpus_id).alias("id"), F.col(vec_col).alias("vec")).where(F.size("vec") > 0))
-    n = c.count()
-    if n == 0:  # an empty store: no hits (``build_context`` then gives the notice)
-        return spark.createDataFrame([], "query_id long, id long, rank long, distance double")
+    c = corpus.select(F.col(corpus_id).alias("id"), F.col(vec_col).alias("vec")).where(F.size("vec") > 0)
+    none = "query_id long, id long, rank long, distance double"
 
     def top(cands: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy("distance", "id")
@@ -458,11 +485,15 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
         # Bounded by the check above (or asked for explicitly): the query vectors only.
         rows = q.where(F.size("qvec") > 0).collect()
         if not rows:  # no query with a vector: no hits
-            return spark.createDataFrame([], "query_id long, id long, rank long, distance double")
+            return spark.createDataFrame([], none)
         bc = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64),
                                            np.array([r[1] for r in rows], dtype=np.float32).reshape(len(rows), -1)))
         cands = c.mapInPandas(_broadcast_scan(bc, k, metric, query_block_rows), out_schema)
         return top(cands).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
+    c = cut_lineage(c)  # read several times below
+    n = c.count()
+    if n == 0:  # an empty store: no hits (``build_context`` then gives the notice)
+        return spark.createDataFrame([], none)
     if n_cells is None:
         n_cells = int(max(8, min(1024, round(n ** 0.5))))
     centre_rows = _sample_centres(c, "vec", n_cells, seed, n)
@@ -519,7 +550,8 @@ def build_context(hits: DataFrame, records: DataFrame, id_col: str = "id", text_
                   source_col: str = "source", all_queries: DataFrame | None = None) -> DataFrame:
     """Per query, ``"Source: <name>\\nContent: <text>"`` in rank order joined by a blank
     line. ``hits (query_id, id, rank)`` hold at most k rows per query, so the ordered
-    gather per query is bounded. Queries with no hit get the empty-store notice."""
+    gather per query is bounded. With ``all_queries``, a query without a hit gets the
+    empty-store notice when ``records`` is empty, and an empty context otherwise."""
     h = hits.join(records.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"),
                                  source_name(F.col(source_col)).alias("_s")), "id")
     piece = F.concat(F.lit(CONTEXT_TEMPLATE[0]), F.col("_s"), F.lit(CONTEXT_TEMPLATE[1]), F.col("_t"))
@@ -527,22 +559,27 @@ def build_context(hits: DataFrame, records: DataFrame, id_col: str = "id", text_
            .agg(F.sort_array(F.collect_list(F.struct("rank", piece.alias("p")))).alias("l"))
            .select("query_id", F.array_join(F.transform("l", lambda x: x["p"]), CONTEXT_SEPARATOR).alias("context")))
     if all_queries is not None:
+        notice = EMPTY_STORE_NOTICE if records.isEmpty() else ""
         ctx = all_queries.select("query_id").join(ctx, "query_id", "left").select(
-            "query_id", F.coalesce("context", F.lit(EMPTY_STORE_NOTICE)).alias("context"))
+            "query_id", F.coalesce("context", F.lit(notice)).alias("context"))
     return ctx
 
 
 def search(queries: DataFrame, records: DataFrame, k: int = DEFAULT_K, dim: int = EMBEDDING_DIM,
            embedder=None, query_text: str = "text", record_id: str = "id", record_text: str = "text",
-           record_source: str = "source", **knn_kw) -> DataFrame:
+           record_source: str = "source", record_vector: str | None = None, **knn_kw) -> DataFrame:
     """Question answering's retrieval step for a table of questions:
-    embed → k-NN → context string per ``query_id``."""
+    embed → k-NN → context string per ``query_id``. With ``record_vector``, the stored
+    vectors of the records are searched; otherwise the records are embedded here."""
     qe = embed(queries.select("query_id", F.col(query_text).alias("content")), "query_id", "content", None,
                dim, embedder)
-    re_ = embed(records.select(F.col(record_id).alias("id"), F.col(record_text).alias("content")), "id",
-                "content", None, dim, embedder)
-    hits = knn(qe.select("query_id", F.col("ml_generate_embedding_result").alias("embedding")),
-               re_.select("id", F.col("ml_generate_embedding_result").alias("embedding")), k, **knn_kw)
+    if record_vector is None:
+        done = embed(records.select(F.col(record_id).alias("id"), F.col(record_text).alias("content")), "id",
+                     "content", None, dim, embedder)
+        store = done.select("id", F.col("ml_generate_embedding_result").alias("embedding"))
+    else:
+        store = records.select(F.col(record_id).alias("id"), F.col(record_vector).alias("embedding"))
+    hits = knn(qe.select("query_id", F.col("ml_generate_embedding_result").alias("embedding")), store, k, **knn_kw)
     return build_context(hits, records.select(F.col(record_id).alias("id"), F.col(record_text).alias("text"),
                                               F.col(record_source).alias("source")),
                          all_queries=queries.select("query_id"))

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from lexframe.session import cut_lineage
 
-# Above this many source keys the anti join is left to the planner (shuffle or AQE).
-BROADCAST_KEY_LIMIT = 2_000_000
-
-
 def _orders(order_cols) -> list[Column]:
     return [F.col(c).desc() if isinstance(c, str) else c for c in order_cols]
 
@@ -27,28 +23,26 @@ def dedup_keep_last(df: DataFrame, key, order_cols) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def _source_keys(source: DataFrame, key: str) -> DataFrame:
-    keys = source.select(key).distinct()
-    # The source is a daily batch: broadcast its key set only when a count proves it small.
-    if keys.count() <= BROADCAST_KEY_LIMIT:
-        return F.broadcast(keys)
-    return keys
-
-
 def merge_embeddings(target: DataFrame, source: DataFrame, key: str = "id_norma",
-                     columns: list[str] | None = None) -> tuple[DataFrame, int]:
+                     columns: list[str] | None = None, newer: list[str] | None = None) -> tuple[DataFrame, int]:
     """MERGE on ``key``: matched target rows take every non-key column of the source,
     unmatched source rows are inserted, target rows with no source row are kept.
 
-    Because a matched row is replaced whole, the result is ``target ⋉̸ source ∪ source``:
-    the big target is only filtered (anti join against the broadcast source keys when
-    their count is small), never shuffled. The source must hold one row per key
-    (``dedup_keep_last`` first). Returns ``(merged, rows_modified)``.
+    Because a matched row is replaced whole, the result is ``target ⋉̸ source ∪ source``;
+    the planner broadcasts the source keys when their size allows it and else shuffles.
+    With ``newer`` (columns that both sides hold), a matched row is replaced only by a
+    source row that is not older by those columns, whatever order the sources arrive in.
+    The source must hold one row per key (``dedup_keep_last`` first). Returns
+    ``(merged, rows_modified)``.
     """
     cols = columns or target.columns
-    # The source is read three times (key count, row count, union): computed once.
+    # The source is read several times (row count, keys, union): computed once.
     src = cut_lineage(source.select(*cols))
-    kept = target.select(*cols).join(_source_keys(src, key), key, "left_anti")
+    if newer:
+        mine = target.select(F.col(key).alias("_k"), F.struct(*newer).alias("_stored"))
+        late = src.join(mine, (F.col(key) == F.col("_k")) & (F.struct(*newer) < F.col("_stored")), "left_anti")
+        src = cut_lineage(late.select(*cols))
+    kept = target.select(*cols).join(src.select(key), key, "left_anti")
     return kept.unionByName(src), src.count()
 
 
@@ -59,43 +53,17 @@ def upsert_feedback(current: DataFrame, votes: DataFrame) -> DataFrame:
     older than the stored one does not overwrite it).
 
     ``current (interaction_id, is_positive[, ts])``, ``votes (vote_id, interaction_id,
-    is_positive, ts)``.
-
-    Plan: a vote batch is small next to the stored table. When a count proves it
-    small, the latest votes are broadcast and the stored table is only streamed
-    (matched rows re-valued, the rest kept), never shuffled; new interactions are the
-    votes without a match, found against the small matched key set. Larger batches
-    use one full outer join.
+    is_positive, ts)``. One full outer join on the interaction, after the votes are
+    reduced to one per interaction.
     """
     last = dedup_keep_last(votes, "interaction_id", ["ts", "vote_id"]).select(
         "interaction_id", F.col("is_positive").alias("_new"), F.col("ts").alias("_ts"))
     cur = current.select("interaction_id", "is_positive",
                          (F.col("ts") if "ts" in current.columns else F.lit(None).cast("timestamp_ntz")).alias("ts"))
     newer = F.col("_ts").isNotNull() & (F.col("ts").isNull() | (F.col("_ts") >= F.col("ts")))
-
-    def revalue(df, created: bool):
-        return df.select(
-            "interaction_id",
-            F.when(newer, F.col("_new")).otherwise(F.col("is_positive")).alias("is_positive"),
-            F.when(newer, F.col("_ts")).otherwise(F.col("ts")).alias("ts"),
-            (F.lit("created") if created else F.when(newer, F.lit("updated")).otherwise(F.lit("unchanged")))
-            .alias("action"))
-
-    last = cut_lineage(last)
-    if last.count() > BROADCAST_KEY_LIMIT:
-        j = cur.withColumn("_cur", F.lit(True)).join(last, "interaction_id", "full_outer")
-        return j.select(
-            "interaction_id",
-            F.when(newer, F.col("_new")).otherwise(F.col("is_positive")).alias("is_positive"),
-            F.when(newer, F.col("_ts")).otherwise(F.col("ts")).alias("ts"),
-            F.when(F.col("_cur").isNull(), F.lit("created"))
-            .when(newer, F.lit("updated")).otherwise(F.lit("unchanged")).alias("action"))
-    small = F.broadcast(last)
-    # At most one row per vote: materialised so the stored table is streamed twice, not three times.
-    matched = cut_lineage(cur.join(small, "interaction_id"))
-    kept = cur.join(F.broadcast(last.select("interaction_id")), "interaction_id", "left_anti")
-    created = last.join(matched.select("interaction_id"), "interaction_id", "left_anti") \
-        .withColumn("is_positive", F.lit(None).cast("boolean")).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
-    return (kept.withColumn("action", F.lit("unchanged"))
-            .unionByName(revalue(matched, False))
-            .unionByName(revalue(created, True)))
+    return cur.withColumn("_cur", F.lit(True)).join(last, "interaction_id", "full_outer").select(
+        "interaction_id",
+        F.when(newer, F.col("_new")).otherwise(F.col("is_positive")).alias("is_positive"),
+        F.when(newer, F.col("_ts")).otherwise(F.col("ts")).alias("ts"),
+        F.when(F.col("_cur").isNull(), F.lit("created"))
+        .when(newer, F.lit("updated")).otherwise(F.lit("unchanged")).alias("action"))

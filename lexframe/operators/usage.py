@@ -12,13 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexframe.session import cut_lineage
-
 from lexframe.operators.predicates import trailing_window
 
-# Above this many distinct batch keys, joins against a stored table are left to the planner.
-SMALL_KEY_LIMIT = 2_000_000
-
 # Refusal texts of the upload intake.
 DUPLICATE_ERROR = "Document with this filename already exists."
 PROCESSING_ERROR_PREFIX = "Failed to process PDF: "
@@ -96,7 +91,7 @@ def cited_documents(answers: DataFrame, documents: DataFrame,
     The join comes first, so unknown names are gone before the shuffle of the
     de-duplication, which then keys on the two ids (a document id determines
     its filename)."""
-    cited = answers.select("interaction_id", F.explode(names_col).alias("filename"))
+    cited = answers.select("interaction_id", F.explode(F.array_distinct(names_col)).alias("filename"))
     return (cited.join(documents.select("document_id", "filename"), "filename")
             .dropDuplicates(["interaction_id", "document_id"])
             .select("interaction_id", "document_id", "filename"))
@@ -113,23 +108,18 @@ def intake_documents(batch: DataFrame, existing: DataFrame, process_ok_col: str
     from lexframe.operators.predicates import MEDIA_ERROR, PDF_MEDIA_TYPE
 
     b = batch.withColumn("filename", F.coalesce(F.col("filename"), F.lit("unnamed")))
-    is_pdf = F.col("content_type") == PDF_MEDIA_TYPE
-    # An upload batch is small next to the stored documents: its names are broadcast
-    # (after a count proves them few) and the stored table is streamed past them.
-    names = cut_lineage(b.select("filename").distinct())
-    stored = existing.select("filename")
-    if names.count() <= SMALL_KEY_LIMIT:
-        stored = stored.join(F.broadcast(names), "filename", "left_semi")
-    known = stored.distinct().withColumn("_known", F.lit(True))
-    # Per name, the first PDF of the batch is the one that can be accepted
-    # (a partial aggregate, so a name repeated many times never gathers its rows).
-    first_pdf = b.where(is_pdf).groupBy("filename").agg(F.min("ord").alias("_first_pdf"))
-    b = b.join(known, "filename", "left").join(first_pdf, "filename", "left")
+    is_pdf = F.coalesce(F.col("content_type") == PDF_MEDIA_TYPE, F.lit(False))  # no type is refused
+    # Per name: the first PDF of the batch (the one that can be accepted) and whether the
+    # name is stored. Partial aggregates, so a name repeated many times never gathers its
+    # rows, and one join back to the batch.
+    names = (b.where(is_pdf).groupBy("filename").agg(F.min("ord").alias("_first_pdf"))
+             .join(existing.select("filename").distinct().withColumn("_known", F.lit(True)), "filename", "left"))
+    b = b.join(names, "filename", "left")
     error = (F.when(~is_pdf, F.lit(MEDIA_ERROR))
              .when(F.coalesce(F.col("_known"), F.lit(False)) | (F.col("ord") != F.col("_first_pdf")),
                    F.lit(DUPLICATE_ERROR)))
     if process_ok_col is not None:
-        error = error.when(~F.col(process_ok_col),
+        error = error.when(~F.coalesce(F.col(process_ok_col), F.lit(False)),
                            F.concat(F.lit(PROCESSING_ERROR_PREFIX), F.coalesce(F.col("process_error"), F.lit(""))))
     return (b.withColumn("error", error)
             .select("ord", "filename",
@@ -138,18 +128,9 @@ def intake_documents(batch: DataFrame, existing: DataFrame, process_ok_col: str
 
 
 def feedback_reference_check(feedback: DataFrame, interactions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Votes for known interactions (accepted) and for unknown ones (rejected).
-
-    A vote batch is small next to the interaction table: when a count proves its key
-    set small, the keys are broadcast and the interaction table is only streamed past
-    them (no shuffle of the big side); the known keys that come back are as small as
-    the batch."""
-    keys = cut_lineage(feedback.select("interaction_id").distinct())
-    if keys.count() <= SMALL_KEY_LIMIT:
-        ids = cut_lineage(interactions.select("interaction_id")
-                          .join(F.broadcast(keys), "interaction_id", "left_semi").distinct())
-    else:
-        ids = interactions.select("interaction_id")
+    """Votes for known interactions (accepted) and for unknown ones (rejected); the
+    planner broadcasts the smaller side when its size allows it."""
+    ids = interactions.select("interaction_id").distinct()
     return (feedback.join(ids, "interaction_id", "left_semi"),
             feedback.join(ids, "interaction_id", "left_anti"))
 
@@ -192,69 +173,37 @@ def top_with_remainder(df: DataFrame, order_cols, n: int = 5, group_cols=()) ->
 
 
 def usage_dashboard(documents: DataFrame, links: DataFrame, interactions: DataFrame,
-                    feedback: DataFrame, as_of, days: int = 7, n: int = 5) -> DataFrame:
-    """All analytics results as one row: the two rankings as their first ``n``
-    entries plus the count of the rest (what the dashboard shows), and the scalar
-    summaries. The full rankings are ``document_usage`` frames; only bounded lists
-    are gathered into the row."""
-    def ranked(df, name):
-        top = top_with_remainder(df, [F.desc(name), F.asc("filename")], n)
-        return top.agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("rank", "filename", name))),
-                        lambda x: F.struct(x["filename"].alias("filename"), x[name].alias(name)))
-            .alias(name + "_top"),
-            F.coalesce(F.max("remainder"), F.lit(0).cast("long")).alias(name + "_more"))
-    # Both rankings from one pass: the link ⋈ interaction join is counted once per
-    # document, all-time and inside the window (interaction ids are unique, so the
-    # inner join yields one row per link). The per-document table is small and is
-    # materialised once for the two top-n lists.
+                    feedback: DataFrame, as_of, days: int = 7, n: int | None = None) -> DataFrame:
+    """All analytics results as lines ``(section, rank, name, value)``: both rankings whole
+    (or their first ``n`` and a "more" line with the count of the rest, as the page shows
+    them) and the summaries. One union of aggregates; nothing passes the driver.
+
+    Both rankings come from one count of the link ⋈ interaction join, all-time and inside
+    the window (interaction ids are unique, so the inner join yields one row per link).
+    Ranks are numbered on range slices, so no task holds a whole ranking."""
+    from lexframe.operators.conversations import positional_rank
     from lexframe.operators.predicates import _ts
     cutoff = _ts(as_of) - F.make_dt_interval(F.lit(days))
-    counts = cut_lineage(
-        _links(links).join(interactions.select("interaction_id", "timestamp"), "interaction_id")
-        .groupBy("document_id")
-        .agg(F.count(F.lit(1)).alias("query_count"),
-             F.count_if(F.col("timestamp") >= cutoff).alias("weekly_query_count"))
-        .join(documents.select("document_id", "filename"), "document_id"))
-    usage = ranked(counts.select("filename", "query_count"), "query_count")
-    weekly = ranked(counts.where(F.col("weekly_query_count") > 0).select("filename", "weekly_query_count"),
-                    "weekly_query_count")
-    # Each part is one bounded row (lists of at most n entries): read them and build
-    # the dashboard row.
-    u, wk = usage.first(), weekly.first()
-    r, f = response_summary(interactions).first(), feedback_summary(feedback).first()
-
-    def entries(lst):
-        return [tuple(e) for e in (lst or [])]
-    schema = ("query_count_top array<struct<filename:string,query_count:bigint>>, query_count_more bigint, "
-              "weekly_query_count_top array<struct<filename:string,weekly_query_count:bigint>>, "
-              "weekly_query_count_more bigint, average_response_time_seconds double, total_interactions bigint, "
-              "total_feedback_count bigint, positive_feedback_count bigint, negative_feedback_count bigint, "
-              "positive_feedback_percentage double")
-    row = (entries(u[0]), u[1], entries(wk[0]), wk[1], float(r[0]), r[1], f[0], f[1], f[2], float(f[3]))
-    return counts.sparkSession.createDataFrame([row], schema)
-
-
-def dashboard_entries(dashboard: DataFrame) -> DataFrame:
-    """The dashboard row as ``(section, rank, name, value)`` lines."""
-    lists = []
-    for name in ("query_count", "weekly_query_count"):
-        lists.append(dashboard.select(
-            F.lit(name).alias("section"),
-            F.posexplode(name + "_top").alias("pos", "e"))
-            .select("section", (F.col("pos") + 1).cast("long").alias("rank"),
-                    F.col("e.filename").alias("name"), F.col("e." + name).cast("double").alias("value")))
-        lists.append(dashboard.select(F.lit(name).alias("section"), F.lit(None).cast("long").alias("rank"),
-                                      F.lit("more").alias("name"), F.col(name + "_more").cast("double").alias("value")))
-    scalars = ["average_response_time_seconds", "total_interactions", "total_feedback_count",
-               "positive_feedback_count", "negative_feedback_count", "positive_feedback_percentage"]
-    lists.append(dashboard.select(F.lit("summary").alias("section"), F.lit(None).cast("long").alias("rank"),
-                                  F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
-                                                      for c in scalars])).alias("e"))
-                 .select("section", "rank", "e.name", "e.value"))
-    out = lists[0]
-    for x in lists[1:]:
-        out = out.unionByName(x)
+    counts = (_links(links).join(interactions.select("interaction_id", "timestamp"), "interaction_id")
+              .groupBy("document_id")
+              .agg(F.count(F.lit(1)).alias("query_count"),
+                   F.count_if(F.col("timestamp") >= cutoff).alias("weekly_query_count"))
+              .join(documents.select("document_id", "filename"), "document_id"))
+    lines = counts.select("filename", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("section"), F.col(c).alias("c")) for c in ("query_count", "weekly_query_count")])).alias("e"))
+    lines = lines.select(F.col("e.section").alias("section"), F.col("filename").alias("name"),
+                         F.col("e.c").cast("double").alias("value")).where("value > 0")
+    out = positional_rank(lines, "section", [F.desc("value"), F.asc("name")], name="rank")
+    if n is not None:
+        sections = lines.sparkSession.createDataFrame([("query_count",), ("weekly_query_count",)], "section string")
+        more = (sections.join(out.groupBy("section").agg(F.count(F.lit(1)).alias("all")), "section", "left")
+                .select("section", F.lit(None).cast("long").alias("rank"), F.lit("more").alias("name"),
+                        F.greatest(F.coalesce("all", F.lit(0)) - n, F.lit(0)).cast("double").alias("value")))
+        out = out.where(F.col("rank") <= n).select("section", "rank", "name", "value").unionByName(more)
+    for part in (response_summary(interactions), feedback_summary(feedback)):
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in part.columns]))
+        out = out.select("section", "rank", "name", "value").unionByName(part.select(pairs.alias("e")).select(
+            F.lit("summary").alias("section"), F.lit(None).cast("long").alias("rank"), "e.name", "e.value"))
     return out
 
 

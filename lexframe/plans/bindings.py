@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexframe.functions.text import workday_add
+from lexframe.functions.text import SPANISH_MONTHS, workday_add
 
 # The first daily partition and the per-day cap of the ingest.
 FIRST_DAY = "2025-10-01"
@@ -70,7 +70,8 @@ def request_log(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(
         F.col("event_id").cast("string").alias("request_id"), "ts",
-        F.lit("GET").alias("method"), F.concat(F.lit("/"), F.col("event_type")).alias("http_path"),
+        F.lit("GET").alias("method"),
+        F.when(F.pmod("event_id", F.lit(10)) == 0, F.lit("/health")).otherwise(F.concat(F.lit("/"), F.col("event_type"))).alias("http_path"),
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
         F.col("value").alias("duration_ms"))
 
@@ -130,24 +131,24 @@ NORM_ROWS_SQL = f"""
 
 
 def revised_norms(spark, d) -> DataFrame:
-    """A later daily batch: English and German norms re-published with a revised text
-    two days after the last original day (German ids are new ids, shifted past the
-    table's key range, so the batch both updates and inserts)."""
+    """Later daily batches: English and German norms re-published with a revised text from
+    two days after the last original day on, at most ``DAILY_CAP`` a day (German ids are new
+    ids, shifted past the table's key range, so the batches both update and insert)."""
     base = norm_rows(spark, d)
     top = table(spark, d, "documents").agg(F.max("doc_id")).first()[0]
     last = base.agg(F.max("scrape_date")).first()[0]
     return (base.where(F.col("tipo_norma").isin("en", "de"))
+            .withColumn("scrape_date", F.date_add(F.lit(last), (F.floor(F.col("id_norma") / DAILY_CAP) + 2).cast("int")))
             .withColumn("id_norma", F.when(F.col("tipo_norma") == "de", F.col("id_norma") + F.lit(top + 1))
                         .otherwise(F.col("id_norma")))
-            .withColumn("texto_resumido", F.concat(F.lit("v2 "), F.col("texto_resumido")))
-            .withColumn("scrape_date", F.date_add(F.lit(last), 2)))
+            .withColumn("texto_resumido", F.concat(F.lit("v2 "), F.col("texto_resumido"))))
 
 
 REVISED_NORMS_SQL = f"""
   SELECT * REPLACE (CASE WHEN tipo_norma = 'de' THEN id_norma + (SELECT max(doc_id) FROM documents) + 1
                          ELSE id_norma END AS id_norma,
                     'v2 ' || texto_resumido AS texto_resumido,
-                    CAST((SELECT max(scrape_date) FROM norm_rows) + 2 AS DATE) AS scrape_date)
+                    CAST((SELECT max(scrape_date) FROM norm_rows) + CAST(2 + id_norma // {DAILY_CAP} AS INTEGER) AS DATE) AS scrape_date)
   FROM norm_rows WHERE tipo_norma IN ('en', 'de')
 """
 
@@ -163,29 +164,46 @@ def _esc(c):
 
 def norm_pages(spark, d) -> DataFrame:
     """Bulletin-style norm pages rendered from the norm records of ``documents``
-    (``page_id`` = norm id), with the markup the bulletin's pages use."""
+    (``page_id`` = norm id), with the markup the bulletin's pages use. The form varies with
+    the id, so that every page rule has pages that need it (``catalog.EXTRACTED_SQL``
+    states what each must give): numeric entities, month names in dates, summaries in a
+    ``div``, nested link texts, several links of a kind, unclosed paragraphs, and pages
+    without a title, a summary or a number."""
     n = norm_rows(spark, d)
+    i = F.col("id_norma")
+    every = lambda k, r=0: F.pmod(i, F.lit(k)) == r
+    pick = lambda cond, yes, no: F.when(cond, yes).otherwise(no)
+    text = lambda *xs: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in xs])
     tipo = F.create_map(*[F.lit(x) for kv in TIPO_BY_LANG for x in kv])[F.col("tipo_norma")]
-    dmy = "dd/MM/yyyy"
-    html = F.concat(
-        F.lit("<html><head><title>norma</title><script>var x=\"</p>\";</script></head><body>\n<strong>"),
-        tipo, F.lit("&nbsp;<b>"), F.col("numero_norma"), F.lit("/"), F.year("fecha_sancion").cast("string"),
-        F.lit("</b> "), F.upper(F.col("organismo_origen")), F.lit(" NACIONAL</strong>\n<span class=\"vr_azul11\">"),
-        F.date_format("fecha_sancion", dmy), F.lit("</span><h1>"), _esc(F.col("titulo_resumido")),
-        F.lit("</h1><span class=\"destacado\">"), _esc(F.col("organismo_origen")),
-        F.lit("</span>\n<p>Publicada en el Bolet&iacute;n Oficial del <a href=\"?page_id=216&amp;n="),
-        F.col("numero_boletin"), F.lit("\">"), F.date_format("fecha_boletin", dmy),
-        F.lit("</a> N&uacute;mero: "), F.col("numero_boletin"), F.lit(" P&aacute;gina: "),
-        F.col("pagina_boletin").cast("string"), F.lit("</p>\n<p><strong>Resumen:</strong><br>"),
-        _esc(F.col("texto_resumido")), F.lit("</p>\n<a href=\"anexos/"), F.col("id_norma").cast("string"),
-        F.lit("/norma.htm\">Texto completo de la norma</a>\n<a href=\"verVinculos.do?modo=1&amp;id="),
-        F.col("id_norma").cast("string"), F.lit("\">Modifica a "), F.col("modifica_a").cast("string"),
-        F.lit(" normas</a> <a href=\"verVinculos.do?modo=2&amp;id="), F.col("id_norma").cast("string"),
-        F.lit("\">modificada por "), F.col("modificada_por").cast("string"),
-        F.lit("</a>\n<p><strong>Observaciones:</strong> sin observaciones <br></p>\n</body></html>"))
-    return n.select(F.col("id_norma").alias("page_id"),
-                    F.concat(F.lit("http://bulletin.example/norma/"), F.col("id_norma").cast("string")).alias("url"),
-                    html.alias("html"))
+    tipo = pick(every(2), F.replace(tipo, F.lit("ó"), F.lit("&#243;")), F.replace(tipo, F.lit("ó"), F.lit("&oacute;")))
+    dmy = F.date_format("fecha_sancion", "dd/MM/yyyy")
+    months = F.array(*[F.lit(m) for m in SPANISH_MONTHS])
+    named = text(F.date_format("fecha_sancion", "dd-"), F.element_at(months, F.month("fecha_sancion")), F.date_format("fecha_sancion", "-yyyy"))
+    header = text("<strong>", tipo, pick(every(17), F.lit(" "), text("&nbsp;<b>", F.col("numero_norma"), "/", F.year("fecha_sancion").cast("string"), "</b> ")),
+                  F.upper(F.col("organismo_origen")), " NACIONAL</strong>")
+    sancion = text('<span class="no-vr_azul11x">1/1/1900</span><span class="c vr_azul11">', pick(every(6, 5), named, dmy), "</span>")
+    title = pick(every(11), F.lit("<h2>sin t&iacute;tulo</h2>"), text("<h1>", _esc(F.col("titulo_resumido")), "</h1>"))
+    sumario = text('<span class="no-destacado">otro</span><span class="x destacado">', _esc(F.col("organismo_origen")), "</span>")
+    boletin = text('<div><p>N&uacute;mero: 999</p></div><p>Publicada en el Bolet&iacute;n Oficial del ',
+                   pick(every(4, 3), text(named, " "), text('<a href="?page_id=216&amp;n=', F.col("numero_boletin"), '"><i>', dmy, "</i></a> ")),
+                   "N&uacute;mero: ", F.col("numero_boletin"), " P&aacute;gina: ", F.col("pagina_boletin").cast("string"),
+                   pick(every(13), F.lit(""), F.lit("</p>")))
+    body = _esc(F.col("texto_resumido"))
+    resumen = pick(every(19), F.lit("<p>nada</p>"), pick(
+        every(5, 1), text("<div><strong><b>Resumen:</b></strong> ", body, "</div>"), pick(
+            every(5, 2), text("<p>Resumen: ", body, "</p>"), text("<p><strong>Resumen:</strong><br>", body, "</p>"))))
+    full = pick(every(3, 1), F.lit("<i><b>TEXTO COMPLETO</b></i>"), F.lit("Texto completo de la norma"))
+    links = text('<a href="no.htm">Texto <b>completo</b></a><a href="anexos/', i.cast("string"), '/norma.htm">', full, "</a>",
+                 pick(every(4, 1), text('<a href="http://bulletin.example/upd/', i.cast("string"), '">Texto actualizado</a>'),
+                      pick(every(4, 2), text('<a href="upd/', i.cast("string"), '"><b>Texto actualizado</b></a>'), F.lit(""))))
+    counts = text('<a href="verVinculos.do?modo=1&amp;id=', i.cast("string"), '">Modifica a ', F.pmod(i, F.lit(23)).cast("string"),
+                  ' normas</a><a href="verVinculos.do?modo=1">77</a>',
+                  pick(every(3), F.lit(""), text('<a href="verVinculos.do?modo=2&amp;id=', i.cast("string"), '">modificada por ',
+                                                 F.pmod(i, F.lit(29)).cast("string"), "</a>")))
+    obs = pick(every(5, 2), F.lit(""), text("<p><strong><b>Observaciones:</b></strong> n&ordm; ", F.pmod(i, F.lit(7)).cast("string"), " <br></p>"))
+    html = text('<html><head><title>norma</title><script>var x="</p>";</script></head><body>\n', header, "\n", sancion, "<div>", title, sumario,
+                "\n", boletin, "</div>\n", resumen, "\n", links, "\n", counts, "\n", obs, "\n</body></html>")
+    return n.select(i.alias("page_id"), F.concat(F.lit("http://bulletin.example/norma/"), i.cast("string")).alias("url"), html.alias("html"))
 
 
 LISTING_BULLETINS = 5  # bulletins (days) per rendered listing page

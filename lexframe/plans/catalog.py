@@ -101,27 +101,31 @@ def q_owner_filter(spark, d):
     return owner_filter(B.conversation_list(spark, d), owner)
 
 
-REQUEST_LOG_SQL = """(SELECT CAST(event_id AS VARCHAR) AS request_id, ts, 'GET' AS method, '/' || event_type AS http_path,
+REQUEST_LOG_SQL = """(SELECT CAST(event_id AS VARCHAR) AS request_id, ts, 'GET' AS method,
+  CASE WHEN event_id % 10 = 0 THEN '/health' ELSE '/' || event_type END AS http_path,
   CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, value AS duration_ms FROM events)"""
 
 
 @register("tail_sample", f"""
-SELECT * FROM {REQUEST_LOG_SQL}
-WHERE status_code >= 400 OR duration_ms > 1000.0
-   OR CAST(('0x' || substr(md5(request_id), 1, 8)) AS BIGINT) % 1000 < 100""")
+SELECT * FROM {REQUEST_LOG_SQL} WHERE http_path <> '/health' AND (status_code >= 400 OR duration_ms > 1000.0
+   OR CAST(('0x' || substr(md5(request_id), 1, 8)) AS BIGINT) % 1000000 < 100000)""")
 def q_tail_sample(spark, d):
     from lexframe.operators.predicates import tail_sample
     return tail_sample(B.request_log(spark, d), threshold_ms=1000.0, rate=0.1)
 
 
-UPLOADS_SQL = """(SELECT doc_id AS ord, source || '.pdf' AS filename,
-  CASE WHEN lang = 'de' THEN 'text/plain' ELSE 'application/pdf' END AS content_type FROM documents)"""
+UPLOADS_SQL = """(SELECT doc_id AS ord, source || '-' || CAST(doc_id // 3 AS VARCHAR) || '.pdf' AS filename,
+  CASE WHEN lang = 'de' THEN 'text/plain' WHEN doc_id % 10 <> 3 THEN 'application/pdf' END AS content_type,
+  doc_id % 7 <> 0 AS process_ok, 'page ' || CAST(doc_id % 5 AS VARCHAR) AS process_error FROM documents)"""
 
 
 def _uploads(spark, d):
     return B.table(spark, d, "documents").select(
-        F.col("doc_id").alias("ord"), F.concat("source", F.lit(".pdf")).alias("filename"),
-        F.when(F.col("lang") == "de", "text/plain").otherwise("application/pdf").alias("content_type"))
+        F.col("doc_id").alias("ord"),
+        F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 3).cast("string"), F.lit(".pdf")).alias("filename"),
+        F.when(F.col("lang") == "de", "text/plain").when(F.pmod("doc_id", F.lit(10)) != 3, "application/pdf").alias("content_type"),
+        (F.pmod("doc_id", F.lit(7)) != 0).alias("process_ok"),
+        F.concat(F.lit("page "), F.pmod("doc_id", F.lit(5)).cast("string")).alias("process_error"))
 
 
 @register("accept_media", f"""
@@ -168,7 +172,7 @@ def q_cited_documents(spark, d):
     return usage.cited_documents(answers, docs)
 
 
-KNOWN_FILES_SQL = """(SELECT DISTINCT d.source || '.pdf' AS filename FROM documents d
+KNOWN_FILES_SQL = """(SELECT DISTINCT d.source || '-' || CAST(d.doc_id // 3 AS VARCHAR) || '.pdf' AS filename FROM documents d
   JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1)"""
 
 
@@ -176,16 +180,17 @@ KNOWN_FILES_SQL = """(SELECT DISTINCT d.source || '.pdf' AS filename FROM docume
 WITH b AS {UPLOADS_SQL},
 firsts AS (SELECT filename, min(ord) AS first_pdf FROM b WHERE content_type = 'application/pdf' GROUP BY filename),
 e AS (SELECT b.ord, b.filename,
-        CASE WHEN b.content_type <> 'application/pdf' THEN 'Only PDF files are allowed.'
+        CASE WHEN b.content_type IS DISTINCT FROM 'application/pdf' THEN 'Only PDF files are allowed.'
              WHEN b.filename IN (SELECT filename FROM {KNOWN_FILES_SQL}) OR b.ord <> f.first_pdf
-               THEN 'Document with this filename already exists.' END AS error
+               THEN 'Document with this filename already exists.'
+             WHEN NOT b.process_ok THEN 'Failed to process PDF: ' || b.process_error END AS error
       FROM b LEFT JOIN firsts f ON f.filename = b.filename)
 SELECT ord, filename, CASE WHEN error IS NULL THEN 'accepted' ELSE 'failed' END AS status, error FROM e""")
 def q_intake_documents(spark, d):
     docs = B.table(spark, d, "documents")
     known = (docs.join(B.table(spark, d, "labels").where(F.col("toxic") == 1), "doc_id", "left_semi")
-             .select(F.concat("source", F.lit(".pdf")).alias("filename")))
-    return usage.intake_documents(_uploads(spark, d), known)
+             .select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 3).cast("string"), F.lit(".pdf")).alias("filename")))
+    return usage.intake_documents(_uploads(spark, d), known, process_ok_col="process_ok")
 
 
 VOTES_SQL = "(SELECT doc_id AS feedback_id, doc_id * 20 AS interaction_id, quality = 1 AS is_positive FROM labels)"
@@ -228,10 +233,8 @@ w AS (SELECT d.filename, count(*) AS c FROM {DOCS_SQL} d JOIN {LINKS_SQL} x ON x
       WHERE i.timestamp >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY GROUP BY d.filename),
 ur AS (SELECT *, row_number() OVER (ORDER BY c DESC, filename) AS rank FROM u),
 wr AS (SELECT *, row_number() OVER (ORDER BY c DESC, filename) AS rank FROM w)
-SELECT 'query_count' AS section, CAST(rank AS BIGINT) AS rank, filename AS name, CAST(c AS DOUBLE) AS value FROM ur WHERE rank <= 5
-UNION ALL SELECT 'query_count', NULL, 'more', CAST(greatest(count(*) - 5, 0) AS DOUBLE) FROM u
-UNION ALL SELECT 'weekly_query_count', CAST(rank AS BIGINT), filename, CAST(c AS DOUBLE) FROM wr WHERE rank <= 5
-UNION ALL SELECT 'weekly_query_count', NULL, 'more', CAST(greatest(count(*) - 5, 0) AS DOUBLE) FROM w
+SELECT 'query_count' AS section, CAST(rank AS BIGINT) AS rank, filename AS name, CAST(c AS DOUBLE) AS value FROM ur
+UNION ALL SELECT 'weekly_query_count', CAST(rank AS BIGINT), filename, CAST(c AS DOUBLE) FROM wr
 UNION ALL SELECT 'summary', NULL, 'average_response_time_seconds',
   CASE WHEN coalesce(avg(o_totalprice), 0) = 0 THEN 0.0 ELSE round_even(avg(o_totalprice), 3) END FROM orders
 UNION ALL SELECT 'summary', NULL, 'total_interactions', CAST(count(*) AS DOUBLE) FROM orders
@@ -242,9 +245,22 @@ UNION ALL SELECT 'summary', NULL, 'positive_feedback_percentage',
   CASE WHEN count(*) > 0 THEN round_even(count(*) FILTER (WHERE quality = 1) / count(*) * 100.0, 2) ELSE 0.0 END
   FROM labels""")
 def q_usage_dashboard(spark, d):
-    dash = usage.usage_dashboard(B.documents(spark, d), B.links(spark, d), B.interactions(spark, d),
+    """Both rankings whole, and the summaries."""
+    return usage.usage_dashboard(B.documents(spark, d), B.links(spark, d), B.interactions(spark, d),
                                  B.feedback(spark, d), _as_of(spark, d))
-    return usage.dashboard_entries(dash)
+
+
+@register("usage_dashboard_top5", f"""
+WITH u AS (SELECT d.filename, count(*) AS c FROM {DOCS_SQL} d JOIN {LINKS_SQL} x ON x.document_id = d.document_id
+           JOIN {INTER_SQL} i ON i.interaction_id = x.interaction_id GROUP BY d.filename),
+r AS (SELECT *, row_number() OVER (ORDER BY c DESC, filename) AS rank FROM u)
+SELECT CAST(rank AS BIGINT) AS rank, filename AS name, CAST(c AS DOUBLE) AS value FROM r WHERE rank <= 5
+UNION ALL SELECT NULL, 'more', CAST(greatest(count(*) - 5, 0) AS DOUBLE) FROM u""")
+def q_usage_dashboard_top5(spark, d):
+    """The all-time ranking as the page shows it: five lines and the number of the others."""
+    out = usage.usage_dashboard(B.documents(spark, d), B.links(spark, d), B.interactions(spark, d),
+                                B.feedback(spark, d), _as_of(spark, d), n=5)
+    return out.where(F.col("section") == "query_count").drop("section")
 
 
 # ---------------------------------------------------------------- conversations
@@ -297,6 +313,7 @@ r AS (SELECT c.*, CASE WHEN updated_at >= a.day THEN 0
                        WHEN updated_at >= a.day - INTERVAL 30 DAY THEN 3 ELSE 4 END AS period_rank
       FROM c, a)
 SELECT id, user_id, title, updated_at, period_rank,
+       row_number() OVER (PARTITION BY period_rank ORDER BY updated_at DESC, id) AS pos,
        ['Today', 'Yesterday', 'Last 7 days', 'Last month', 'Older'][period_rank + 1] AS period FROM r""")
 def q_recency_buckets(spark, d):
     from lexframe.operators.conversations import recency_buckets
@@ -341,11 +358,16 @@ convs AS (SELECT DISTINCT conv_id AS id, {CONV_START_SQL} AS created_at FROM con
 SELECT c.id, CAST(NULL AS VARCHAR) AS user_id, coalesce(l.title, 'New Conversation') AS title, c.created_at,
        greatest(c.created_at, l.ts) AS updated_at
 FROM convs c LEFT JOIN latest l ON l.id = c.id
-WHERE c.id NOT IN (SELECT id FROM ch WHERE kind = 'delete')""")
+WHERE c.id NOT IN (SELECT id FROM ch WHERE kind = 'delete')
+UNION ALL SELECT id + 1000000000, 'u', 'New Conversation', created_at, created_at FROM convs""")
 def q_touch_conversations(spark, d):
     from lexframe.operators.conversations import touch_conversations
     convs, changes = _conversation_changes(spark, d)
-    return touch_conversations(convs, changes)
+    # Changes of unknown conversations have no effect; a create inserts one.
+    unknown = changes.where("kind <> 'delete'").withColumn("id", -1 - F.col("id"))
+    made = convs.select((F.col("id") + 1000000000).alias("id"), F.col("created_at").alias("ts"), F.lit("create").alias("kind"),
+                        F.lit(None).cast("string").alias("title"), F.lit("u").alias("user_id"))
+    return touch_conversations(convs, changes.unionByName(unknown).unionByName(made))
 
 
 # ---------------------------------------------------------------- dedup and upsert
@@ -471,6 +493,43 @@ def q_knn(spark, d):
     return hits.withColumn("distance", F.round("distance", 6))
 
 
+@register("knn_cells", KNN_SQL)
+def q_knn_cells(spark, d):
+    """The same search on the cell plan, which large query tables take."""
+    from lexframe.operators.retrieval import knn
+    e = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    hits = knn(e.withColumnRenamed("id", "query_id"), e, k=4, strategy="cells")
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
+@register("knn_approx_recall", "SELECT vec_id AS query_id, true AS self_found, true AS at_most_k FROM embeddings")
+def q_knn_approx_recall(spark, d):
+    """What approximate search promises for each query of a self search: at most k hits, and the
+    query's own vector among them (its cell is always probed). The mean recall is a test."""
+    hits = q_knn_approx(spark, d)
+    return hits.groupBy("query_id").agg(F.max(F.col("distance") == 0).alias("self_found"), (F.count(F.lit(1)) <= 4).alias("at_most_k"))
+
+
+@register("embed_failures", """
+SELECT doc_id AS id_norma, CASE WHEN lang = 'de' THEN 'error: ValueError' WHEN doc_id % 7 = 0 THEN 'dimension 3' ELSE '' END AS status,
+       CASE WHEN lang = 'de' OR doc_id % 7 = 0 THEN 0 ELSE 2 END AS dims FROM documents""")
+def q_embed_failures(spark, d):
+    """An embedder that fails on some texts and gives wrong lengths for others: each such row is
+    reported, the others keep their vectors."""
+    from lexframe.operators.retrieval import embed
+
+    def embedder(texts):
+        if any(t.startswith("de ") for t in texts):
+            raise ValueError("a text that the model refuses")
+        return [[1.0, float(len(t))] + [0.0] * (t.split()[1] == "0") for t in texts]
+
+    docs = B.table(spark, d, "documents").select(
+        F.col("doc_id").alias("id_norma"),
+        F.concat("lang", F.lit(" "), F.pmod("doc_id", F.lit(7)).cast("string"), F.lit(" "), "text").alias("content"))
+    out = embed(docs, "id_norma", "content", None, dim=2, embedder=embedder)
+    return out.select("id_norma", F.col("ml_generate_embedding_status").alias("status"), F.size("ml_generate_embedding_result").alias("dims"))
+
+
 @register("knn_approx")
 def q_knn_approx(spark, d):
     from lexframe.operators.retrieval import knn_approx
@@ -490,13 +549,12 @@ def q_source_name(spark, d):
 SELECT doc_id AS query_id,
        string_agg('Source: ' || string_split(coalesce(source, 'unknown'), '/')[-1] || chr(10) || 'Content: ' || text,
                   chr(10) || chr(10) ORDER BY chunk_ix) AS context
-FROM {CHUNKS_SQL} WHERE chunk_ix < 4 GROUP BY doc_id""")
+FROM {CHUNKS_SQL} GROUP BY doc_id""")
 def q_build_context(spark, d):
     from lexframe.operators.retrieval import build_context, chunk_documents
     ch = chunk_documents(B.table(spark, d, "documents")).withColumn(
         "id", F.col("doc_id") * 100000 + F.col("chunk_ix"))
-    hits = ch.where(F.col("chunk_ix") < 4).select(F.col("doc_id").alias("query_id"), "id",
-                                                  (F.col("chunk_ix") + 1).alias("rank"))
+    hits = ch.select(F.col("doc_id").alias("query_id"), "id", (F.col("chunk_ix") + 1).alias("rank"))
     return build_context(hits, ch.select("id", "text", "source"))
 
 
@@ -512,7 +570,7 @@ def q_scan_norms(spark, d):
     from lexframe.sources.norms import scan_norms, write_norms_csv
     path = scratch_path(spark, "daily-csv")
     write_norms_csv(B.norm_rows(spark, d), path)
-    return scan_norms(spark, path).select(*NORM_COLUMNS, "scrape_date")
+    return scan_norms(spark, path, scratch_path(spark, "rejects")).select(*NORM_COLUMNS, "scrape_date")
 
 
 @register("write_norms_csv", f"""{NORM_ROWS_CTE}
@@ -551,6 +609,16 @@ def q_workday_partitions(spark, d):
     return workday_partitions(spark, span["s"].isoformat(), span["e"].isoformat())
 
 
+@register("workday_rows", """
+WITH d AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1)
+SELECT CAST(x AS DATE) AS scrape_date, coalesce(n, 0) AS rows
+FROM (SELECT unnest(generate_series((SELECT min(d) FROM d), (SELECT max(d) FROM d), INTERVAL 1 DAY)) AS x) LEFT JOIN d ON d.d = x
+WHERE isodow(x) <= 5""")
+def q_workday_rows(spark, d):
+    from lexframe.sources.norms import workdays_of
+    return workdays_of(B.table(spark, d, "orders"), "o_orderdate")
+
+
 @register("append_staging", f"{NORM_ROWS_CTE} SELECT scrape_date, count(*) AS rows FROM norm_rows GROUP BY 1")
 def q_append_staging(spark, d):
     from lexframe.sources.norms import append_staging
@@ -587,7 +655,7 @@ def q_load_master(spark, d):
 @register("create_embeddings_table", f"""{NORM_ROWS_CTE}
 SELECT id_norma, CASE WHEN n > 0 THEN '' ELSE 'empty content' END AS ml_generate_embedding_status,
        CASE WHEN n > 0 THEN 768 ELSE 0 END AS dims, texto_resumido AS content, titulo_resumido AS title
-FROM (SELECT *, len({TOKENS_SQL.format(t='texto_resumido')}) AS n FROM norm_rows)""")
+FROM (SELECT *, len({TOKENS_SQL.format(t='texto_resumido')}) AS n FROM norm_rows) WHERE n > 0""")
 def q_create_embeddings_table(spark, d):
     from lexframe.sources.norms import create_embeddings_table
     t = create_embeddings_table(B.norm_rows(spark, d), scratch_path(spark, "master-embeddings"), "0", dim=768)
@@ -613,13 +681,42 @@ def q_truncate_staging(spark, d):
     return spark.read.parquet(path).select("id_norma", "scrape_date")
 
 
-@register("write_chunks", f"SELECT * FROM {CHUNKS_SQL}")
+@register("consume_staging", f"{NORM_ROWS_CTE} SELECT scrape_date, count(*) AS rows, CAST(0 AS BIGINT) AS left_in_staging FROM norm_rows GROUP BY 1")
+def q_consume_staging(spark, d):
+    """Staged days merged and emptied: the consumed dates stay on record."""
+    from lexframe.sources.norms import append_staging, consume_staging
+    path = scratch_path(spark, "staging")
+    append_staging(B.norm_rows(spark, d), path)
+    done = consume_staging(spark, path, scratch_path(spark, "consumed"))
+    return done.crossJoin(spark.read.parquet(path).agg(F.count(F.lit(1)).alias("left_in_staging")))  # one row
+
+
+@register("write_chunks", f"""SELECT *, CASE WHEN len({TOKENS_SQL.format(t='text')}) > 0 THEN 64 ELSE 0 END AS dims FROM {CHUNKS_SQL}""")
 def q_write_chunks(spark, d):
+    """The chunk store, each chunk with its vector."""
     from lexframe.operators.retrieval import chunk_documents
     from lexframe.sources.norms import write_chunks
     path = scratch_path(spark, "chunks")
+    write_chunks(chunk_documents(B.table(spark, d, "documents")), path, dim=64)
+    return spark.read.parquet(path).withColumn("dims", F.size("embedding")).drop("embedding")
+
+
+@register("clear_chunks", f"SELECT count(*) AS deleted, CAST(0 AS BIGINT) AS remaining FROM {CHUNKS_SQL}")
+def q_clear_chunks(spark, d):
+    from lexframe.operators.retrieval import chunk_documents
+    from lexframe.sources.norms import clear_chunks, write_chunks
+    path = scratch_path(spark, "chunks")
     write_chunks(chunk_documents(B.table(spark, d, "documents")), path)
-    return spark.read.parquet(path)
+    deleted = clear_chunks(spark, path)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("remaining")).withColumn("deleted", F.lit(deleted).cast("long"))
+
+
+@register("chunk_documents_recursive")
+def q_chunk_documents_recursive(spark, d):
+    """The upload path's separator splitter over every text (tests/test_invariants.py holds it
+    against its rules; SQL has no form of it)."""
+    from lexframe.operators.retrieval import chunk_documents
+    return chunk_documents(B.table(spark, d, "documents"), mode="recursive")
 
 
 QUARANTINE_RAW_SQL = f"""{NORM_ROWS_CTE},
@@ -654,75 +751,109 @@ def _pages(spark, d):
     return B.table(spark, d, "pages").select("page_id", "url", "html")
 
 
-@register("extract_links", f"""
-SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos, norm_id FROM (
+def _listings_and_pages(spark, d):
+    """The rendered listings (ids below zero) and the driver's pages."""
+    rendered = B.listing_pages(spark, d).withColumn("page_id", -1 - F.col("page_id")).select("page_id", "url", "html")
+    return _pages(spark, d).unionByName(rendered)
+
+
+LISTING_IDS_SQL = f"""(SELECT CAST(doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} * 3 AS BIGINT) AS page_id,
+  CAST(row_number() OVER (PARTITION BY doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} ORDER BY doc_id DESC) - 1
+       AS BIGINT) AS pos, doc_id AS norm_id FROM documents)"""
+LISTING_STATUS_SQL = f"""(SELECT page_id, status, CAST(n_ids AS BIGINT) AS n_ids FROM (
+  SELECT g * 3 AS page_id, 'found' AS status, count(*) AS n_ids FROM
+    (SELECT doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} AS g FROM documents) GROUP BY g
+  UNION ALL SELECT DISTINCT doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} * 3 + 1, 'empty', 0 FROM documents
+  UNION ALL SELECT DISTINCT doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} * 3 + 2, 'suspect', 0 FROM documents))"""
+LINKS_OF_PAGES_SQL = f"""(SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos, norm_id FROM (
   SELECT page_id, unnest(ids) AS norm_id, unnest(generate_series(1, len(ids))) AS pos
-  FROM (SELECT page_id, {HS.LISTING_IDS} AS ids FROM pages))""")
+  FROM (SELECT page_id, {HS.LISTING_IDS} AS ids FROM pages))
+  UNION ALL SELECT -1 - page_id, pos, norm_id FROM {LISTING_IDS_SQL})"""
+
+
+@register("extract_links", f"SELECT * FROM {LINKS_OF_PAGES_SQL}")
 def q_extract_links(spark, d):
     from lexframe.operators.extract import extract_links
-    return extract_links(_pages(spark, d))
+    return extract_links(_listings_and_pages(spark, d))
 
 
 @register("classify_listing", f"""
 SELECT page_id, CASE WHEN n > 0 THEN 'found'
                      WHEN contains(lower(html), 'no se encontraron') OR contains(lower(html), 'sin resultados')
                      THEN 'empty' ELSE 'suspect' END AS status, CAST(n AS BIGINT) AS n_ids
-FROM (SELECT page_id, html, len({HS.LISTING_IDS}) AS n FROM pages)""")
+FROM (SELECT page_id, html, len({HS.LISTING_IDS}) AS n FROM pages)
+UNION ALL SELECT -1 - page_id, status, n_ids FROM {LISTING_STATUS_SQL}""")
 def q_classify_listing(spark, d):
     from lexframe.operators.extract import classify_listing
-    return classify_listing(_pages(spark, d))
+    return classify_listing(_listings_and_pages(spark, d))
 
 
-@register("daily_cap", f"""
-SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos, norm_id FROM (
-  SELECT page_id, unnest(ids) AS norm_id, unnest(generate_series(1, len(ids))) AS pos
-  FROM (SELECT page_id, {HS.LISTING_IDS} AS ids FROM pages)) WHERE pos <= 200""")
+@register("daily_cap", f"SELECT *, pos < 200 AS kept FROM {LINKS_OF_PAGES_SQL}")
 def q_daily_cap(spark, d):
-    from lexframe.operators.extract import daily_cap, extract_links
-    return daily_cap(extract_links(_pages(spark, d)), 200)
-
-
-def _field_query(key, fn_name, cols_sql):
-    sql = "SELECT page_id, " + ", ".join(f"{expr} AS {name}" for name, expr in cols_sql) + " FROM pages"
+    """Every id, with whether a cap of 200 a listing keeps it."""
+    from lexframe.operators.extract import cap_flags, extract_links
+    return cap_flags(extract_links(_listings_and_pages(spark, d)), 200)
+
+
+# What the rendered norm pages must give, stated from the records they are rendered from.
+_TRIMMED = r"""regexp_replace({x}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')"""
+_SUMMARY = _TRIMMED.format(x="texto_resumido")
+EXTRACTED_SQL = f"""(SELECT id_norma AS page_id, CAST(id_norma AS VARCHAR) AS id_norma,
+  CASE WHEN id_norma % 17 = 0 THEN '' ELSE
+    CASE tipo_norma WHEN 'en' THEN 'Ley' WHEN 'es' THEN 'Decreto' WHEN 'fr' THEN 'Resolución Conjunta' ELSE 'Disposición' END END AS tipo_norma,
+  CASE WHEN id_norma % 17 = 0 THEN 'S/N' ELSE numero_norma END AS numero_norma, '' AS clase_norma,
+  CASE WHEN id_norma % 17 = 0 THEN CASE WHEN regexp_matches(organismo_origen, '[0-9]$') THEN 'NACIONAL' ELSE '' END
+       ELSE upper(organismo_origen) || ' NACIONAL' END AS organismo_origen,
+  CAST(fecha_sancion AS VARCHAR) AS fecha_sancion,
+  CASE WHEN id_norma % 11 = 0 THEN '' ELSE numero_boletin END AS numero_boletin,
+  CASE WHEN id_norma % 11 = 0 THEN '' ELSE CAST(fecha_boletin AS VARCHAR) END AS fecha_boletin,
+  CASE WHEN id_norma % 11 = 0 THEN '' ELSE CAST(pagina_boletin AS VARCHAR) END AS pagina_boletin,
+  CASE WHEN id_norma % 11 = 0 THEN '' ELSE {_TRIMMED.format(x="titulo_resumido")} END AS titulo_resumido,
+  CASE WHEN id_norma % 11 = 0 THEN '' ELSE organismo_origen END AS titulo_sumario,
+  CASE WHEN id_norma % 19 <> 0 AND length({_SUMMARY}) > 10 THEN {_SUMMARY} ELSE '' END AS texto_resumido,
+  CASE WHEN id_norma % 5 = 2 THEN '' ELSE 'nº ' || CAST(id_norma % 7 AS VARCHAR) END AS observaciones,
+  '{PAGE_BASE}anexos/' || CAST(id_norma AS VARCHAR) || '/norma.htm' AS texto_original,
+  CASE id_norma % 4 WHEN 1 THEN 'http://bulletin.example/upd/' || CAST(id_norma AS VARCHAR)
+                    WHEN 2 THEN '{PAGE_BASE}upd/' || CAST(id_norma AS VARCHAR) ELSE '' END AS texto_actualizado,
+  CASE WHEN id_norma % 3 = 0 THEN '0' ELSE CAST(id_norma % 29 AS VARCHAR) END AS modificada_por,
+  CAST(id_norma % 23 AS VARCHAR) AS modifica_a FROM norm_rows)"""
+
+
+def _field_query(key, fn_name, *columns):
+    sql = f"{NORM_ROWS_CTE} SELECT page_id, {', '.join(columns)} FROM {EXTRACTED_SQL}"
 
     def run(spark, d):
         from lexframe.operators import extract as X
         fn = getattr(X, fn_name)
-        return fn(_pages(spark, d), PAGE_BASE) if fn_name == "extract_text_links" else fn(_pages(spark, d))
+        pages = B.norm_pages(spark, d)
+        return fn(pages, PAGE_BASE) if fn_name == "extract_text_links" else fn(pages)
     run.__name__ = f"q_{key}"
     register(key, sql)(run)
 
 
-_field_query("extract_tipo", "extract_tipo", [("tipo_norma", HS.TIPO)])
-_field_query("extract_numero", "extract_numero", [("numero_norma", HS.NUMERO)])
-_field_query("extract_organismo", "extract_organismo", [("organismo_origen", HS.ORGANISMO)])
-_field_query("extract_clase", "extract_clase", [("clase_norma", "''")])
-_field_query("extract_fecha_sancion", "extract_fecha_sancion", [("fecha_sancion", HS.FECHA_SANCION)])
-_field_query("extract_titles", "extract_titles", [("titulo_resumido", HS.TITULO), ("titulo_sumario", HS.SUMARIO)])
-_field_query("extract_boletin", "extract_boletin", [("fecha_boletin", HS.FECHA_BOLETIN),
-                                                    ("numero_boletin", HS.NUMERO_BOLETIN),
-                                                    ("pagina_boletin", HS.PAGINA_BOLETIN)])
-_field_query("extract_resumen", "extract_resumen", [("texto_resumido", HS.RESUMEN)])
-_field_query("extract_text_links", "extract_text_links",
-             [("texto_original", HS.link_by_text("Texto completo", PAGE_BASE)),
-              ("texto_actualizado", HS.link_by_text("Texto actualizado", PAGE_BASE))])
-_field_query("extract_modifications", "extract_modifications",
-             [("modifica_a", HS.count_link(r"verVinculos\.do.*modo=1")),
-              ("modificada_por", HS.count_link(r"verVinculos\.do.*modo=2"))])
-_field_query("extract_observaciones", "extract_observaciones", [("observaciones", HS.OBSERVACIONES)])
+_field_query("extract_tipo", "extract_tipo", "tipo_norma")
+_field_query("extract_numero", "extract_numero", "numero_norma")
+_field_query("extract_organismo", "extract_organismo", "organismo_origen")
+_field_query("extract_clase", "extract_clase", "clase_norma")
+_field_query("extract_fecha_sancion", "extract_fecha_sancion", "fecha_sancion")
+_field_query("extract_titles", "extract_titles", "titulo_resumido", "titulo_sumario")
+_field_query("extract_boletin", "extract_boletin", "fecha_boletin", "numero_boletin", "pagina_boletin")
+_field_query("extract_resumen", "extract_resumen", "texto_resumido")
+_field_query("extract_text_links", "extract_text_links", "texto_original", "texto_actualizado")
+_field_query("extract_modifications", "extract_modifications", "modifica_a", "modificada_por")
+_field_query("extract_observaciones", "extract_observaciones", "observaciones")
 
 
 @register("resolve_url", f"""
 SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos,
        CASE WHEN starts_with(href, 'http') THEN href ELSE '{PAGE_BASE}' || href END AS url
 FROM (SELECT page_id, unnest(hrefs) AS href, unnest(generate_series(1, len(hrefs))) AS pos
-      FROM (SELECT page_id, list_transform(regexp_extract_all({HS.H}, {HS.q(r'(?is)<a\b[^>]*' + HS.HREF)}, 1),
-                   lambda h: {HS.decode('h')}) AS hrefs FROM pages))""")
+      FROM (SELECT page_id, {HS.HREFS} AS hrefs FROM pages))""")
 def q_resolve_url(spark, d):
     """Every link of every page made absolute."""
-    from lexframe.functions.text import clean_html, decode_entities, resolve_url
-    from lexframe.operators.extract import HREF
-    hrefs = F.transform(F.regexp_extract_all(clean_html("html"), F.lit(r"(?is)<a\b[^>]*" + HREF), 1), decode_entities)
+    from lexframe.functions.text import clean_html, resolve_url
+    from lexframe.operators.extract import anchors
+    hrefs = F.transform(F.filter(anchors(clean_html("html")), lambda a: a["has_href"]), lambda a: a["href"])
     return (_pages(spark, d).select("page_id", F.posexplode(hrefs).alias("pos", "href"))
             .select("page_id", F.col("pos").cast("long").alias("pos"), resolve_url("href", PAGE_BASE).alias("url")))
 
@@ -743,25 +874,7 @@ def q_normalize_date(spark, d):
                      date_text(dashed).alias("dashed_date"))
 
 
-_WS_TRIM = r"'^[\s\x{00a0}]+|[\s\x{00a0}]+$'"
-
-
-@register("extract_norms", f"""{NORM_ROWS_CTE}
-SELECT CAST(id_norma AS VARCHAR) AS id_norma,
-       CASE tipo_norma WHEN 'en' THEN 'Ley' WHEN 'es' THEN 'Decreto' WHEN 'fr' THEN 'Resolución Conjunta'
-                       ELSE 'Disposición' END AS tipo_norma,
-       numero_norma, '' AS clase_norma, upper(organismo_origen) || ' NACIONAL' AS organismo_origen,
-       CAST(fecha_sancion AS VARCHAR) AS fecha_sancion, numero_boletin, CAST(fecha_boletin AS VARCHAR) AS fecha_boletin,
-       CAST(pagina_boletin AS VARCHAR) AS pagina_boletin,
-       regexp_replace(titulo_resumido, {_WS_TRIM}, '', 'g') AS titulo_resumido,
-       organismo_origen AS titulo_sumario,
-       CASE WHEN length(regexp_replace(texto_resumido, {_WS_TRIM}, '', 'g')) > 10
-            THEN regexp_replace(texto_resumido, {_WS_TRIM}, '', 'g') ELSE '' END AS texto_resumido,
-       'sin observaciones' AS observaciones,
-       '{PAGE_BASE}anexos/' || CAST(id_norma AS VARCHAR) || '/norma.htm' AS texto_original,
-       '' AS texto_actualizado, CAST(modificada_por AS VARCHAR) AS modificada_por,
-       CAST(modifica_a AS VARCHAR) AS modifica_a
-FROM norm_rows""")
+@register("extract_norms", f"{NORM_ROWS_CTE} SELECT * EXCLUDE (page_id) FROM {EXTRACTED_SQL}")
 def q_extract_norms(spark, d):
     """Every field of bulletin-style pages rendered from the documents: the rules must
     give back the record each page was rendered from."""
@@ -789,6 +902,28 @@ def q_stream_merge_norms(spark, d):
     return read_current(spark, table_dir).select("id_norma", "content", "title")
 
 
+@register("stream_merge_backfill", f"""{NORM_ROWS_CTE},
+src AS (SELECT id_norma, texto_resumido, titulo_resumido FROM ({B.REVISED_NORMS_SQL})),
+m AS (SELECT id_norma, texto_resumido AS content, titulo_resumido AS title FROM norm_rows
+      WHERE id_norma NOT IN (SELECT id_norma FROM src)
+      UNION ALL SELECT * FROM src)
+SELECT id_norma, content, title FROM m WHERE len({TOKENS_SQL.format(t='content')}) > 0""")
+def q_stream_merge_backfill(spark, d):
+    """A created embeddings table, then two streams with checkpoints of their own: the revised days,
+    and the original days arriving late (an older row never replaces a newer one)."""
+    from lexframe.sources.norms import create_embeddings_table, read_current, write_norms_csv
+    from lexframe.streaming.streams import stream_merge_norms
+    table_dir = scratch_path(spark, "emb-table")
+    # Created from the untouched half of the rows, labelled by date as a daily load would.
+    create_embeddings_table(B.norm_rows(spark, d).where("id_norma % 2 = 0"), table_dir, "2025-12-31", dim=64)
+    for batch in (B.revised_norms(spark, d), B.norm_rows(spark, d)):
+        in_dir, ckpt = scratch_path(spark, "inbox"), scratch_path(spark, "emb-ckpt")
+        write_norms_csv(batch, in_dir)
+        for _ in range(2):  # a restart of the stream finds nothing new
+            stream_merge_norms(spark, in_dir, table_dir, ckpt, dim=64).awaitTermination()
+    return read_current(spark, table_dir).select("id_norma", "content", "title")
+
+
 @register("stream_feedback", """
 WITH v AS (SELECT event_id AS vote_id, user_id AS interaction_id, event_type IN ('purchase', 'click') AS is_positive, ts
            FROM events WHERE user_id IN (SELECT doc_id FROM documents)
@@ -822,9 +957,8 @@ def q_stream_feedback(spark, d):
 
 
 @register("stream_tail_sample", f"""
-SELECT * FROM {REQUEST_LOG_SQL}
-WHERE status_code >= 400 OR duration_ms > 1000.0
-   OR CAST(('0x' || substr(md5(request_id), 1, 8)) AS BIGINT) % 1000 < 100""")
+SELECT * FROM {REQUEST_LOG_SQL} WHERE http_path <> '/health' AND (status_code >= 400 OR duration_ms > 1000.0
+   OR CAST(('0x' || substr(md5(request_id), 1, 8)) AS BIGINT) % 1000000 < 100000)""")
 def q_stream_tail_sample(spark, d):
     """The request log replayed as a file stream, with every file delivered twice:
     duplicates are dropped within the watermark before sampling."""
@@ -879,28 +1013,25 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 SELECT b.item_id AS query_id,
        coalesce(string_agg('Source: ' || string_split(coalesce(ch.source, 'unknown'), '/')[-1] || chr(10)
                            || 'Content: ' || ch.text, chr(10) || chr(10) ORDER BY t.rank),
-                'No documents have been uploaded yet.') AS context
+                '') AS context
 FROM benchmark b LEFT JOIN top t ON t.query_id = b.item_id LEFT JOIN ch ON ch.id = t.id
 GROUP BY b.item_id"""
 
 
 @register("search", _search_sql(256))
 def q_search(spark, d):
-    """Every benchmark question answered against the chunked documents: embed, exact
+    """Every benchmark question answered against the chunk store: its stored vectors, exact
     top-4, context string."""
     from lexframe.operators.retrieval import chunk_documents, search
-    ch = chunk_documents(B.table(spark, d, "documents")).select(
-        (F.col("doc_id") * 100000 + F.col("chunk_ix")).alias("id"), "source", "text")
+    from lexframe.sources.norms import write_chunks
+    path = scratch_path(spark, "chunks")
+    write_chunks(chunk_documents(B.table(spark, d, "documents")).select(
+        (F.col("doc_id") * 100000 + F.col("chunk_ix")).alias("id"), "source", "text"), path, dim=256)
     qs = B.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search(qs, ch, k=4, dim=256)
+    return search(qs, spark.read.parquet(path), k=4, dim=256, record_vector="embedding")
 
 
 # ---------------------------------------------------------------- rendered listing pages
-LISTING_IDS_SQL = f"""(SELECT CAST(doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} * 3 AS BIGINT) AS page_id,
-  CAST(row_number() OVER (PARTITION BY doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} ORDER BY doc_id DESC) - 1
-       AS BIGINT) AS pos, doc_id AS norm_id FROM documents)"""
-
-
 @register("listing_links", f"SELECT * FROM {LISTING_IDS_SQL}")
 def q_listing_links(spark, d):
     """Norm ids of every rendered listing page, distinct, in page order."""
@@ -908,12 +1039,7 @@ def q_listing_links(spark, d):
     return extract_links(B.listing_pages(spark, d))
 
 
-@register("listing_status", f"""
-SELECT page_id, status, CAST(n_ids AS BIGINT) AS n_ids FROM (
-  SELECT g * 3 AS page_id, 'found' AS status, count(*) AS n_ids FROM
-    (SELECT doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} AS g FROM documents) GROUP BY g
-  UNION ALL SELECT DISTINCT doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} * 3 + 1, 'empty', 0 FROM documents
-  UNION ALL SELECT DISTINCT doc_id // {B.DAILY_CAP * B.LISTING_BULLETINS} * 3 + 2, 'suspect', 0 FROM documents)""")
+@register("listing_status", f"SELECT * FROM {LISTING_STATUS_SQL}")
 def q_listing_status(spark, d):
     """found / empty / suspect for every rendered listing page."""
     from lexframe.operators.extract import classify_listing

@@ -1,14 +1,15 @@
-"""DuckDB SQL for the page-field rules, used only by the oracle queries.
+"""DuckDB SQL over raw page HTML, used only by the oracle queries.
 
-The rules are the same as ``lexframe.operators.extract``; the patterns are written
-for RE2 (no ``(?U)``: RE2's ``\\d``/``\\s``/``\\b`` are ASCII, which is what the
-driver's pages need, and ``(?U)`` means something else in RE2).
+Nothing is imported from the code under test: the patterns are stated again here, for
+RE2. The page fields themselves are checked against the records that the pages are
+rendered from (``catalog.EXTRACTED_SQL``), which needs no HTML in SQL at all.
 """
 
 from __future__ import annotations
 
-from lexframe.functions.text import HTML_ENTITIES, SPANISH_MONTHS, WS
-from lexframe.operators import extract as X
+# Entities that the driver's pages may hold in links, and month names.
+ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+MONTHS = ["ENE", "FEB", "MAR", "ABR", "MAY", "JUN", "JUL", "AGO", "SEP", "OCT", "NOV", "DIC"]
 
 
 def q(s: str) -> str:
@@ -17,17 +18,14 @@ def q(s: str) -> str:
 
 
 def decode(x: str) -> str:
-    for ent, ch in HTML_ENTITIES:
+    for ent, ch in ENTITIES:
         x = f"replace({x}, {q(ent)}, {q(ch)})"
     return x
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {q(f'^{WS}+|{WS}+$')}, '', 'g')"
-
-
-def collapse(x: str) -> str:
-    return f"regexp_replace({x}, {q(f'{WS}+')}, ' ', 'g')"
+    pat = r"^[\s\x{00a0}]+|[\s\x{00a0}]+$"
+    return f"regexp_replace({x}, {q(pat)}, '', 'g')"
 
 
 def clean(x: str) -> str:
@@ -35,32 +33,15 @@ def clean(x: str) -> str:
     return f"regexp_replace({x}, {q(pat)}, '', 'g')"
 
 
-def text(inner: str, sep: str = "") -> str:
-    pieces = f"list_transform(string_split_regex({inner}, '<[^>]*>'), lambda x: {strip(decode('x'))})"
-    return f"array_to_string(list_filter({pieces}, lambda x: x <> ''), {q(sep)})"
-
-
-def raw_text(inner: str) -> str:
-    return f"array_to_string(list_transform(string_split_regex({inner}, '<[^>]*>'), lambda x: {decode('x')}), '')"
-
-
 def extract(x: str, pattern: str, group: int = 1) -> str:
     return f"regexp_extract({x}, {q(pattern)}, {group})"
 
 
-def first_element(html: str, tag: str) -> str:
-    return extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>")
-
-
-def with_class(html: str, tag: str, cls: str) -> str:
-    return extract(html, rf"""(?is)<{tag}\b[^>]*\bclass\s*=\s*["'][^"']*\b{cls}\b[^"']*["'][^>]*>(.*?)</{tag}\s*>""")
-
-
 def date_text(x: str) -> str:
     s = strip(x)
     dash = r"^(\d{2})-([A-Za-z]{3})-(\d{4})"
     month = "CASE upper(" + extract(s, dash, 2) + ") " + " ".join(
-        f"WHEN '{m}' THEN '{i + 1:02d}'" for i, m in enumerate(SPANISH_MONTHS)) + " END"
+        f"WHEN '{m}' THEN '{i + 1:02d}'" for i, m in enumerate(MONTHS)) + " END"
     slash = f"CASE WHEN regexp_matches({s}, {q(r'^\d{1,2}/\d{1,2}/\d{4}$')}) THEN try_strptime({s}, '%d/%m/%Y') END"
     dashed = (f"CASE WHEN {extract(s, dash, 2)} <> '' THEN try_strptime({extract(s, dash, 3)} || '-' || {month}"
               f" || '-' || {extract(s, dash, 1)}, '%Y-%m-%d') END")
@@ -68,58 +49,10 @@ def date_text(x: str) -> str:
 
 
 H = clean("html")
-HAS_H1 = f"regexp_matches({H}, {q(r'(?is)<h1\b[^>]*>.*?</h1\s*>')})"
-HAS_STRONG = f"regexp_matches({H}, {q(r'(?is)<strong\b[^>]*>.*?</strong\s*>')})"
-HEADER = strip(collapse(text(first_element(H, "strong"), " ")))
-
-TIPO = strip(extract(HEADER, X.TIPO))
-NUMERO = (f"CASE WHEN {HAS_STRONG} AND {extract(HEADER, X.NUMERO)} <> '' "
-          f"THEN {extract(HEADER, X.NUMERO)} ELSE 'S/N' END")
-ORGANISMO = strip(extract(HEADER, X.ORGANISMO))
-FECHA_SANCION = f"coalesce({date_text(text(with_class(H, 'span', X.DATE_CLASS)))}, {text(with_class(H, 'span', X.DATE_CLASS))})"
-TITULO = text(first_element(H, "h1"))
-SUMARIO = f"CASE WHEN {HAS_H1} THEN {text(with_class(H, 'span', X.SUMMARY_CLASS))} ELSE '' END"
-BULLETIN_P = f"CASE WHEN {HAS_H1} THEN {extract(H, r'(?is)</h1\s*>.*?<p\b[^>]*>(.*?)</p\s*>')} ELSE '' END"
-BULLETIN_TEXT = raw_text(BULLETIN_P)
-_DATE_LINK = extract(BULLETIN_P, rf"""(?is)<a\b[^>]*\bhref\s*=\s*["'][^"']*{X.BULLETIN_DATE_LINK}[^"']*["'][^>]*>(.*?)</a\s*>""")
-FECHA_BOLETIN = f"coalesce({date_text(text(_DATE_LINK))}, {date_text(extract(BULLETIN_TEXT, X.BULLETIN_DATE))}, '')"
-NUMERO_BOLETIN = extract(BULLETIN_TEXT, X.BULLETIN_NUMBER)
-PAGINA_BOLETIN = extract(BULLETIN_TEXT, X.BULLETIN_PAGE)
-
-
-def _unlabelled(t: str) -> str:
-    return f"regexp_replace({t}, {q(X.RESUMEN_LABEL)}, '')"
-
-
-_PARAS = f"regexp_extract_all({H}, {q(r'(?is)<p\b[^>]*>(.*?)</p\s*>')}, 1)"
-_HOLDER = (f"list_filter({_PARAS}, lambda p: regexp_matches(p, "
-           f"{q(r'(?s)<strong\b[^>]*>[^<]*Resumen[^<]*</strong\s*>')}))[1]")
-_A = _unlabelled(text(_HOLDER))
-_TEXTS = f"list_transform({_PARAS}, lambda p: {text('p')})"
-_B = (f"list_transform(list_filter({_TEXTS}, lambda t: (starts_with(t, 'Resumen:') OR starts_with(t, 'resumen:')) "
-      f"AND length({_unlabelled('t')}) > {X.RESUMEN_MIN_LEN}), lambda t: {_unlabelled('t')})[1]")
-RESUMEN = f"coalesce(CASE WHEN length({_A}) > {X.RESUMEN_MIN_LEN} THEN {_A} END, {_B}, '')"
-
 HREF = r"""\bhref\s*=\s*["']([^"']*)["']"""
-
-
-def link_by_text(label: str, base: str) -> str:
-    attrs = extract(H, rf"(?is)<a\b([^>]*)>[^<]*{label}[^<]*</a\s*>")
-    href = decode(extract(attrs, r"(?is)" + HREF))
-    return (f"CASE WHEN {href} = '' THEN '' WHEN starts_with({href}, 'http') THEN {href} "
-            f"ELSE {q(base)} || {href} END")
-
-
-def count_link(rule: str) -> str:
-    inner = extract(H, rf"""(?is)<a\b[^>]*\bhref\s*=\s*["'][^"']*{rule}[^"']*["'][^>]*>(.*?)</a\s*>""")
-    n = extract(raw_text(inner), r"(\d+)")
-    return f"CASE WHEN {n} <> '' THEN {n} ELSE '0' END"
-
-
-OBSERVACIONES = strip(decode(extract(H, rf"(?is)<strong\b[^>]*>[^<]*{X.OBSERVATIONS_LABEL}[^<]*</strong\s*>([^<]*)")))
-
-_IDS = (f"list_transform(list_filter(list_transform(regexp_extract_all({H}, "
-        f"{q(r'(?is)<a\b[^>]*' + HREF)}, 1), lambda h: {decode('h')}), lambda h: regexp_matches(h, {q(X.NORM_LINK)})),"
-        f" lambda h: CAST({extract('h', X.NORM_ID)} AS BIGINT))")
+#: href of every link of a page that has one and is closed, decoded, in page order.
+HREFS = (f"list_transform(regexp_extract_all({H}, {q(r'(?is)<a\b[^>]*' + HREF + r'[^>]*>.*?</a')}, 1), lambda h: {decode('h')})")
+_IDS = (f"list_transform(list_filter({HREFS}, lambda h: regexp_matches(h, {q(r'verNorma\.do.*\?id=\d+')})),"
+        f" lambda h: TRY_CAST({extract('h', r'\?id=(\d+)')} AS BIGINT))")
 # Distinct ids in first-seen order.
-LISTING_IDS = f"list_filter({_IDS}, lambda x, i: list_position({_IDS}, x) = i)"
+LISTING_IDS = f"list_filter({_IDS}, lambda x, i: x IS NOT NULL AND list_position({_IDS}, x) = i)"

@@ -7,6 +7,7 @@ is unset, which happens in local tests.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,6 +30,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -39,13 +41,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    When the session has none (local tests), a fresh temporary folder is set so
-    that ``DataFrame.checkpoint()`` and written intermediate tables work.
+    When a local session has none (tests), a fresh temporary folder is set so that
+    ``DataFrame.checkpoint()`` and written intermediate tables work. On a cluster the
+    setting is required: a folder of one machine would not be seen by the others.
     """
     path = spark.conf.get(_CKPT_KEY, None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set {_CKPT_KEY} to a shared folder (master is {master})")
         path = tempfile.mkdtemp(prefix="lexframe-ckpt-")
         spark.conf.set(_CKPT_KEY, path)
     if not spark.sparkContext.getCheckpointDir():

@@ -1,19 +1,24 @@
 """Scans, sinks and table versions for norm records (§2.1 #1-#12).
 
 Tables are plain parquet directories. A replaced table is never overwritten in
-place (Spark cannot overwrite a path it is reading): each load writes
-``<table>/v=<version>/`` and then commits an append-only marker
-``<table>/_versions/<version>``; readers take the highest committed version. A load
-that fails before its marker leaves the previous version current.
+place (Spark cannot overwrite a path it is reading): each load writes new
+directories and then commits an append-only marker ``<table>/_versions/<number>``
+that lists the directories of the table; readers take the marker with the highest
+number. A load that fails before its marker leaves the previous state current. A
+marker also names the stream and the batch that it holds, if any, apart from its
+version label: which batches a stream has applied never depends on table versions.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexframe.operators.upsert import dedup_keep_last
+from lexframe.session import cut_lineage
 from lexframe.schemas import NORM_COLUMNS, NORM_RAW_SCHEMA, NORM_SCHEMA, NULL_TOKENS
 
 CSV_OPTIONS = {
@@ -56,9 +61,16 @@ def quarantine(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def scan_norms(spark: SparkSession, path: str) -> DataFrame:
-    """Typed norm records of the daily files (rejects dropped; see ``quarantine``)."""
-    good, _ = quarantine(scan_norms_raw(spark, path))
+def scan_norms(spark: SparkSession, path: str, rejects_path: str | None = None) -> DataFrame:
+    """Typed norm records of the daily files. Rows that do not fit (see ``quarantine``) are
+    written to ``rejects_path``; without one, they fail the scan rather than vanish."""
+    good, bad = quarantine(scan_norms_raw(spark, path))
+    if rejects_path is not None:
+        bad.write.mode("append").parquet(rejects_path)
+    else:
+        first = bad.limit(1).collect()
+        if first:
+            raise ValueError(f"rows do not fit their types, e.g. {first[0].reason} of {first[0].id_norma}; give rejects_path")
     return good
 
 
@@ -76,6 +88,15 @@ def workday_partitions(spark: SparkSession, start, end) -> DataFrame:
     return spark.range(1).select(days).where(F.weekday("scrape_date") < 5)
 
 
+def workdays_of(df: DataFrame, ts_col: str) -> DataFrame:
+    """Daily partition keys from the first to the last day of a table's time column, with the
+    rows of each (0 for a working day without any); weekends excluded."""
+    days = df.groupBy(F.to_date(ts_col).alias("d")).agg(F.count(F.lit(1)).alias("rows"))
+    span = days.agg(F.min("d").alias("s"), F.max("d").alias("e"))
+    keys = span.select(F.explode(F.sequence("s", "e", F.expr("interval 1 day"))).alias("scrape_date")).where(F.weekday("scrape_date") < 5)
+    return keys.join(days, F.col("scrape_date") == F.col("d"), "left").select("scrape_date", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 # ---------------------------------------------------------------- sinks
 def write_norms_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Daily files: fixed column order, header, one file per ``scrape_date``
@@ -91,15 +112,9 @@ def append_staging(df: DataFrame, path: str) -> DataFrame:
     Re-running a day replaces that day only (dynamic partition overwrite), so a retry
     never duplicates rows. Returns ``(scrape_date, rows)`` of what was written."""
     spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.select(*NORM_COLUMNS, "scrape_date").write.mode("overwrite").partitionBy("scrape_date").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    days = df.select("scrape_date").distinct()
-    return (spark.read.parquet(path).join(days, "scrape_date", "left_semi")
-            .groupBy("scrape_date").agg(F.count(F.lit(1)).alias("rows")))
+    rows = cut_lineage(df.select(*NORM_COLUMNS, "scrape_date"))  # written and counted, computed once
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scrape_date").parquet(path)
+    return rows.groupBy("scrape_date").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def append_master(master: DataFrame, daily: DataFrame) -> DataFrame:
@@ -107,42 +122,104 @@ def append_master(master: DataFrame, daily: DataFrame) -> DataFrame:
     return master.unionByName(daily, allowMissingColumns=True)
 
 
-def _write_pointer(spark: SparkSession, table_path: str, version: str) -> None:
-    """Commit a version: an append-only marker written after its data. Markers are never
-    overwritten or deleted, so a reader always finds the last committed version."""
-    spark.createDataFrame([(str(version),)], "v string").coalesce(1) \
-        .write.mode("overwrite").text(f"{table_path}/_versions/{version}")
-
-
-def _version_key(versions):
-    return (lambda v: (0, int(v))) if all(v.isdigit() for v in versions) else (lambda v: (1, v))
-
-
-def _read_pointer(spark: SparkSession, table_path: str) -> str | None:
-    """The highest committed version (numeric when every version is a number)."""
+def _markers(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """All commit markers as (number, stream, batch, body); None before the first."""
     from pyspark.errors import AnalysisException
     try:
-        versions = spark.read.text(f"{table_path}/_versions/*").agg(F.collect_set("value")).first()[0]
+        parts = F.split("value", "\t", 4)
+        return spark.read.text(f"{table_path}/_versions/*").select(
+            F.get(parts, 0).cast("long").alias("number"), F.get(parts, 1).alias("stream"),
+            F.get(parts, 2).try_cast("long").alias("batch"), F.get(parts, 3).alias("body"))
     except AnalysisException:
         return None
-    if not versions:
-        return None
-    return max(versions, key=_version_key(versions))
+
+
+def _latest(spark: SparkSession, table_path: str) -> dict | None:
+    """The body of the marker with the highest number, with that ``number`` (one row, whatever
+    the number of markers)."""
+    markers = _markers(spark, table_path)
+    found = None if markers is None else markers.agg(F.max(F.struct("number", "body")).alias("m")).first()["m"]
+    return None if found is None else json.loads(found["body"]) | {"number": found["number"]}
+
+
+def _commit(spark: SparkSession, table_path: str, number: int, body: dict, stream: str = "", batch: int | None = None) -> None:
+    line = "\t".join([str(number), stream, "" if batch is None else str(batch), json.dumps(body)])
+    (spark.createDataFrame([(line,)], "v string").coalesce(1)
+     .write.mode("overwrite").text(f"{table_path}/_versions/{number:012d}"))
+
+
+def applied_batch(spark: SparkSession, table_path: str, stream: str) -> int | None:
+    """The highest batch of ``stream`` that the table holds; None when it holds none."""
+    markers = _markers(spark, table_path)
+    return None if markers is None else markers.where(F.col("stream") == stream).agg(F.max("batch")).first()[0]
+
+
+def current_version(spark: SparkSession, table_path: str) -> str | None:
+    """Label of the current version; None before the first."""
+    latest = _latest(spark, table_path)
+    return latest and latest["version"]
+
+
+def _read_dirs(spark: SparkSession, table_path: str, body: dict) -> DataFrame:
+    """The rows of a marker's directories (a bounded list: one, or one per bucket)."""
+    from pyspark.sql.types import StructType
+    return spark.read.schema(StructType.fromJson(body["schema"])).parquet(*[f"{table_path}/{x}" for x in body["dirs"]])
 
 
 def read_current(spark: SparkSession, table_path: str) -> DataFrame:
-    """The current (highest committed) version of a table."""
-    v = _read_pointer(spark, table_path)
-    if v is None:
+    """The current state of a table."""
+    latest = _latest(spark, table_path)
+    if latest is None:
         raise FileNotFoundError(f"no current version under {table_path}")
-    return spark.read.parquet(f"{table_path}/v={v}")
+    return _read_dirs(spark, table_path, latest)
 
 
-def write_version(df: DataFrame, table_path: str, version: str) -> DataFrame:
-    """Write ``df`` as a new version, then commit its marker; returns the written table."""
-    df.write.mode("overwrite").parquet(f"{table_path}/v={version}")
-    _write_pointer(df.sparkSession, table_path, version)
-    return df.sparkSession.read.parquet(f"{table_path}/v={version}")
+def write_version(df: DataFrame, table_path: str, version: str, stream: str = "", batch: int | None = None) -> DataFrame:
+    """Write ``df`` as the whole new state, then commit its marker; returns the written table."""
+    spark = df.sparkSession
+    latest = _latest(spark, table_path)
+    number = (latest["number"] if latest else 0) + 1
+    folder = f"v={number}"
+    df.write.mode("overwrite").parquet(f"{table_path}/{folder}")
+    body = {"version": str(version), "dirs": [folder], "schema": df.schema.jsonValue()}
+    _commit(spark, table_path, number, body, stream, batch)
+    return _read_dirs(spark, table_path, body)
+
+
+#: Buckets of a table that is merged into; a merge rewrites only those that its rows fall into.
+MERGE_BUCKETS = 64
+
+
+def merge_into(fresh: DataFrame, table_path: str, key: str, version: str, merge, stream: str = "", batch: int | None = None,
+               buckets: int = MERGE_BUCKETS) -> None:
+    """Merge ``fresh`` (one row per ``key``) into a table kept in buckets of the key's hash:
+    ``merge(old rows of the touched buckets, fresh)`` gives their new rows, the other buckets
+    keep their directories. A table that is not in buckets yet is rewritten once."""
+    spark = fresh.sparkSession
+    latest = _latest(spark, table_path)
+    number = (latest["number"] if latest else 0) + 1
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    now = dict(latest["buckets"]) if latest and latest.get("n_buckets") == buckets else None
+    if now is not None:
+        touched = sorted(r[0] for r in fresh.select(bucket.alias("b")).distinct().collect())  # at most ``buckets``
+        old = {k: v for k, v in now.items() if int(k) in touched}
+        merged = fresh if not old else merge(_read_dirs(spark, table_path, {**latest, "dirs": list(old.values())}), fresh)
+    else:
+        now, merged = {}, fresh if latest is None else merge(_read_dirs(spark, table_path, latest), fresh)
+        touched = range(buckets)
+    out = merged.withColumn("key_bucket", bucket)
+    # Rows of one bucket go to one directory; a bucket is spread over tasks by the size-based rebalance.
+    out.hint("rebalance", "key_bucket").write.mode("overwrite").partitionBy("key_bucket").parquet(f"{table_path}/v={number}")
+    held = {r[0] for r in spark.read.parquet(f"{table_path}/v={number}").select("key_bucket").distinct().collect()} if touched else set()
+    for b in touched:
+        now.pop(str(b), None)
+        if b in held:
+            now[str(b)] = f"v={number}/key_bucket={b}"
+    body = {"version": str(version), "dirs": list(now.values()), "schema": merged.schema.jsonValue(), "buckets": now, "n_buckets": buckets}
+    if not now:  # an empty table still has a directory to read
+        merged.limit(0).write.mode("overwrite").parquet(f"{table_path}/v={number}-empty")
+        body["dirs"] = [f"v={number}-empty"]
+    _commit(spark, table_path, number, body, stream, batch)
 
 
 def load_master(appended: DataFrame, table_path: str, version: str,
@@ -156,9 +233,14 @@ def load_master(appended: DataFrame, table_path: str, version: str,
 
 def create_embeddings_table(norms: DataFrame, table_path: str, version: str = "0", dim: int = 768,
                             embedder=None) -> DataFrame:
-    """Embeddings of every norm, written as a table (CREATE TABLE AS SELECT)."""
+    """Embeddings of every norm whose embedding succeeded, written as a table (CREATE TABLE
+    AS SELECT); load-order columns (``scrape_date``, ``_ord``), if there are any, are kept so
+    that later merges can tell older rows from newer ones."""
+    from lexframe.operators.predicates import valid_embeddings
     from lexframe.operators.retrieval import embed, embedding_input
-    return write_version(embed(embedding_input(norms), dim=dim, embedder=embedder), table_path, version)
+    order = [c for c in ("scrape_date", "_ord") if c in norms.columns]
+    rows = embedding_input(norms, keep=order)
+    return write_version(valid_embeddings(embed(rows, dim=dim, embedder=embedder, keep=order)), table_path, version)
 
 
 def archive_snapshot(df: DataFrame, archive_path: str, snapshot_date: str) -> tuple[str, float]:
@@ -171,14 +253,27 @@ def archive_snapshot(df: DataFrame, archive_path: str, snapshot_date: str) -> tu
     return uri, round(size / (1024 * 1024), 2)
 
 
+def consume_staging(spark: SparkSession, path: str, consumed_path: str) -> DataFrame:
+    """Empty the staging table after its rows were merged, recording the consumed dates first:
+    appends (scrape_date, rows) to ``consumed_path`` and returns that table. A failure between
+    the two steps leaves the rows and their markers, never neither."""
+    spark.read.parquet(path).groupBy("scrape_date").agg(F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(consumed_path)
+    truncate_staging(spark, path)
+    return spark.read.parquet(consumed_path)
+
+
 def truncate_staging(spark: SparkSession, path: str) -> None:
     """Empty the staging table (same schema, no rows)."""
     schema = T.StructType(NORM_SCHEMA.fields + [T.StructField("scrape_date", T.DateType())])
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Add chunk records to the chunk store."""
+def write_chunks(chunks: DataFrame, path: str, dim: int | None = None, embedder=None) -> None:
+    """Add chunk records to the chunk store; with ``dim``, each with the vector of its text
+    (``embedding``), so that searches need not embed the store again."""
+    if dim is not None:
+        from lexframe.operators.retrieval import with_vectors
+        chunks = with_vectors(chunks, "text", dim, embedder)
     chunks.write.mode("append").parquet(path)
 
 

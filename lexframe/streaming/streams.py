@@ -5,14 +5,15 @@ staging; with a streaming file source the checkpoint plays that role: each
 micro-batch holds exactly the files not yet merged, so there is no separate
 truncate (and no window between merge and truncate in which rows can be lost).
 
-Every merge writes a new table version named by the micro-batch id and then moves
-the ``_current`` pointer. A batch replayed after a failure finds the pointer
-already at its id and does nothing, so replays are safe.
+Every merge commits a marker that names the stream (its checkpoint) and the batch. A
+batch replayed after a failure finds its own marker and does nothing; a new checkpoint
+is a new stream, whose batches are applied whatever versions the table already has.
+Rows merge in event order (day, then place in the file), not in arrival order, and only
+the key buckets that a batch touches are rewritten.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,37 +24,41 @@ from lexframe.operators.upsert import dedup_keep_last, merge_embeddings, upsert_
 from lexframe.operators.usage import feedback_reference_check
 from lexframe.schemas import NORM_RAW_SCHEMA
 from lexframe.session import cut_lineage
-from lexframe.sources.norms import CSV_OPTIONS, _read_pointer, quarantine, read_current, write_version
+from lexframe.sources.norms import (CSV_OPTIONS, _latest, applied_batch, merge_into, quarantine, read_current,
+                                    write_version)
 
 
-def _already_applied(spark: SparkSession, table_dir: str, batch_id: int) -> bool:
-    v = _read_pointer(spark, table_dir)
-    return v is not None and int(v) >= batch_id
+ORDER = ["scrape_date", "_ord"]
+
+
+def _already_applied(spark: SparkSession, table_dir: str, stream: str, batch_id: int) -> bool:
+    last = applied_batch(spark, table_dir, stream)
+    return last is not None and last >= batch_id
 
 
 def merge_norm_batch(batch: DataFrame, batch_id: int, table_dir: str, rejects_dir: str,
-                     dim: int = 768, embedder=None) -> None:
+                     dim: int = 768, embedder=None, stream: str = "norms") -> None:
     """One micro-batch of daily rows: type (rejects aside) → last row per id in load
-    order → embed → drop failed embeddings → MERGE into the embeddings table."""
+    order → embed (failures aside) → MERGE of the newer rows into the embeddings table."""
     spark = batch.sparkSession
-    if _already_applied(spark, table_dir, batch_id):
-        return
-    # The batch feeds two outputs (rejects, merge): kept for the call so the day files
-    # are parsed once. A lost block is recomputed from the stream's files.
-    raw = batch.withColumn("_ord", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        good, bad = quarantine(raw)
-        bad.write.mode("overwrite").parquet(f"{rejects_dir}/batch={batch_id}")
-        latest = dedup_keep_last(good, "id_norma", ["scrape_date", "_ord"])
-        # Embedded once: the merge reads the fresh rows for the key count and the union.
-        fresh = cut_lineage(valid_embeddings(embed(embedding_input(latest), dim=dim, embedder=embedder)))
-    finally:
-        raw.unpersist()
-    if _read_pointer(spark, table_dir) is None:
-        write_version(fresh, table_dir, str(batch_id))
+    if _already_applied(spark, table_dir, stream, batch_id):
         return
-    merged, _ = merge_embeddings(read_current(spark, table_dir), fresh, "id_norma")
-    write_version(merged, table_dir, str(batch_id))
+    # The batch feeds several outputs, and its load order must be the same in all of them.
+    raw = cut_lineage(batch.withColumn("_ord", F.monotonically_increasing_id()))
+    good, bad = quarantine(raw)
+    bad.write.mode("overwrite").parquet(f"{rejects_dir}/rows/batch={batch_id}")
+    latest = dedup_keep_last(good, "id_norma", ORDER)
+    done = cut_lineage(embed(embedding_input(latest, keep=ORDER), dim=dim, embedder=embedder, keep=ORDER))
+    fresh = valid_embeddings(done)
+    done.join(fresh.select("id_norma"), "id_norma", "left_anti").write.mode("overwrite").parquet(
+        f"{rejects_dir}/embeddings/batch={batch_id}")
+
+    def merge(target, source):
+        for c in ORDER:  # a table written without load order is older than any day
+            if c not in target.columns:
+                target = target.withColumn(c, F.lit(None).cast(source.schema[c].dataType))
+        return merge_embeddings(target, source, "id_norma", source.columns, newer=ORDER)[0]
+    merge_into(fresh, table_dir, "id_norma", f"{stream}-{batch_id}", merge, stream, batch_id)
 
 
 def stream_merge_norms(spark: SparkSession, in_dir: str, table_dir: str, checkpoint: str,
@@ -64,31 +69,40 @@ def stream_merge_norms(spark: SparkSession, in_dir: str, table_dir: str, checkpo
     src = spark.readStream.options(**CSV_OPTIONS).schema(schema).csv(in_dir)
     rejects = f"{table_dir.rstrip('/')}_rejects"
     writer = (src.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, bid: merge_norm_batch(df, bid, table_dir, rejects, dim, embedder)))
+              .foreachBatch(lambda df, bid: merge_norm_batch(df, bid, table_dir, rejects, dim, embedder, checkpoint)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
-def feedback_batch(batch: DataFrame, batch_id: int, table_dir: str, interactions: DataFrame | None) -> None:
-    """One micro-batch of votes: refuse votes for unknown interactions, then upsert
-    (a late vote older than the stored one does not overwrite it)."""
+def feedback_batch(batch: DataFrame, batch_id: int, table_dir: str, interactions, stream: str = "votes") -> None:
+    """One micro-batch of votes: those for unknown interactions are set aside under
+    ``<table_dir>_refused`` and tried again with every later batch (their interaction may
+    arrive after them); the rest is upserted (a late vote older than the stored one does
+    not overwrite it). ``interactions`` is a function that reads the interactions known
+    now, a fixed frame, or None for no check."""
     spark = batch.sparkSession
-    if _already_applied(spark, table_dir, batch_id):
+    if _already_applied(spark, table_dir, stream, batch_id):
         return
-    votes = batch
+    votes, refused = batch, f"{table_dir.rstrip('/')}_refused"
     if interactions is not None:
-        votes, _ = feedback_reference_check(batch, interactions)
-    current = read_current(spark, table_dir).drop("action")
-    write_version(upsert_feedback(current, votes), table_dir, str(batch_id))
-
-
-def stream_feedback(votes: DataFrame, table_dir: str, checkpoint: str, interactions: DataFrame | None = None,
+        waiting = _latest(spark, refused)
+        if waiting is not None:
+            votes = votes.unionByName(read_current(spark, refused))
+        known = interactions() if callable(interactions) else interactions
+        votes, bad = feedback_reference_check(cut_lineage(votes), known)
+        write_version(bad, refused, f"{stream}-{batch_id}", stream, batch_id)
+    last = cut_lineage(dedup_keep_last(votes, "interaction_id", ["ts", "vote_id"]))
+    merge_into(last.select("interaction_id", "is_positive", "ts"), table_dir, "interaction_id", f"{stream}-{batch_id}",
+               lambda old, new: upsert_feedback(old, last).drop("action"), stream, batch_id)
+
+
+def stream_feedback(votes: DataFrame, table_dir: str, checkpoint: str, interactions=None,
                     available_now: bool = True):
     """Continuous feedback upsert: ``votes`` is a streaming frame of
-    ``(vote_id, interaction_id, is_positive, ts)``; ``table_dir`` must hold a current
-    version (possibly empty)."""
+    ``(vote_id, interaction_id, is_positive, ts)``; ``table_dir`` may hold a current
+    version (possibly empty). See ``feedback_batch`` for ``interactions``."""
     writer = (votes.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, bid: feedback_batch(df, bid + 1, table_dir, interactions)))
+              .foreachBatch(lambda df, bid: feedback_batch(df, bid, table_dir, interactions, checkpoint)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
@@ -101,5 +115,7 @@ def stream_tail_sample(requests: DataFrame, threshold_ms: float = 1000.0, rate:
     # Watermarks need TIMESTAMP; a TIMESTAMP_NTZ log time is read in the session zone.
     evt = "_event_time"
     timed = requests.withColumn(evt, F.col(ts_col).cast("timestamp"))
-    deduped = timed.withWatermark(evt, watermark).dropDuplicatesWithinWatermark(["request_id"])
-    return tail_sample(deduped, threshold_ms, rate).drop(evt)
+    # Whether a request is kept depends on its own row only, so the sample comes first and
+    # the de-duplication holds state for the kept tenth.
+    kept = tail_sample(timed, threshold_ms, rate)
+    return kept.withWatermark(evt, watermark).dropDuplicatesWithinWatermark(["request_id"]).drop(evt)

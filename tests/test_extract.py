@@ -127,3 +127,80 @@ def test_titles_need_h1(spark):
 def test_extraction_is_one_projection(spark):
     plan = X.extract_norms(pages(spark, NORM_PAGE), BASE)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+# ---------------------------------------------------------------- page rules, by hand
+def one(df):
+    return df.first()
+
+
+def test_two_links_of_one_rule_give_the_first(spark):
+    html = '<a href="verVinculos.do?modo=1&id=9">modifica 3</a> <a href="verVinculos.do?modo=1">7</a>'
+    assert one(X.extract_modifications(pages(spark, html))).modifica_a == "3"
+    html = '<a href="verVinculos.do?modo=2">5</a> <a href="x.htm?modo=1">8</a>'
+    r = one(X.extract_modifications(pages(spark, html)))
+    assert (r.modifica_a, r.modificada_por) == ("0", "5")
+
+
+def test_summary_in_any_element(spark):
+    cases = {
+        "<div><strong>Resumen:</strong> un texto bastante largo</div><p>otro</p>": "un texto bastante largo",
+        "<div>a<br><td><strong><b>Resumen:</b></strong>texto de la celda aquí</td>b</div>": "texto de la celda aquí",
+        "<div><strong>Resumen:</strong> uno <div>anidado y largo</div> dos</div>tres": "unoanidado y largodos",
+        "<p><strong>Resumen:</strong><br>texto sin cierre final": "texto sin cierre final",
+        "<div><strong>Resumen:</strong> corto</div><p>Resumen: el largo de verdad</p>": "el largo de verdad",
+        "<div><p>sin cierre</div><p>Resumen: el largo de verdad</p><p>Resumen: otro más largo</p>": "el largo de verdad",
+    }
+    for html, want in cases.items():
+        assert one(X.extract_resumen(pages(spark, html))).texto_resumido == want, html
+
+
+def test_nested_link_text(spark):
+    html = ('<a href="no.htm">Texto <b>completo</b></a><a href="si.htm"><b>TEXTO COMPLETO de la norma</b></a>'
+            '<a name="x"><i>Texto actualizado</i></a>')
+    r = one(X.extract_text_links(pages(spark, html), BASE))
+    assert (r.texto_original, r.texto_actualizado) == (BASE + "si.htm", "")
+
+
+def test_entities_numeric_and_named(spark):
+    r = one(X.extract_tipo(pages(spark, "<strong>Resoluci&#243;n 47/2025 X</strong>")))
+    assert r.tipo_norma == "Resolución"
+    r = one(X.extract_titles(pages(spark, "<h1>&ldquo;A&#8221; &sect; &#xF1; &nada; &amp;lt;</h1>")))
+    assert r.titulo_resumido == "“A” § ñ &nada; &lt;"
+
+
+def test_whole_class_names(spark):
+    html = '<h1>t</h1><span class="no-destacado">mal</span><span class="x destacado">bien</span>'
+    assert one(X.extract_titles(pages(spark, html))).titulo_sumario == "bien"
+    html = '<span class="vr_azul11x">1/1/2024</span><span class="vr_azul11">2/1/2024</span>'
+    assert one(X.extract_fecha_sancion(pages(spark, html))).fecha_sancion == "2024-01-02"
+
+
+def test_an_id_too_long_is_no_id(spark):
+    html = '<a href="verNorma.do?id=12345678901234567890">x</a><a href="verNorma.do?id=7">y</a>'
+    assert [(r.pos, r.norm_id) for r in X.extract_links(pages(spark, html)).collect()] == [(0, 7)]
+    assert one(X.classify_listing(pages(spark, html))).n_ids == 1
+
+
+def test_bulletin_paragraph_is_a_sibling(spark):
+    cases = {
+        "<div><h1>t</h1><span>x<p>Número: 1</p></span><p>Número: 2 Página: 3</p></div>": ("2", "3"),
+        "<div><h1>t</h1></div><p>Número: 2</p>": ("", ""),
+        "<div><h1>t</h1><br><p>Número: 4 <b>Página: 5</b></div><p>Número: 9</p>": ("4", "5"),
+    }
+    for html, want in cases.items():
+        r = one(X.extract_boletin(pages(spark, html)))
+        assert (r.numero_boletin, r.pagina_boletin) == want, html
+    html = '<h1>t</h1><p><a href="?page_id=216&amp;n=1">05-ENE-2024</a></p>'
+    assert one(X.extract_boletin(pages(spark, html))).fecha_boletin == "2024-01-05"
+
+
+def test_nested_observations_label(spark):
+    r = one(X.extract_observaciones(pages(spark, "<strong><b>Observaciones:</b></strong> un texto<br>")))
+    assert r.observaciones == "un texto"
+
+
+def test_cap_flags_keep_every_id(spark):
+    links = X.extract_links(pages(spark, "".join(f'<a href="verNorma.do?id={i}">n</a>' for i in range(5))))
+    assert X.daily_cap(links).count() == 5
+    assert [r.kept for r in X.cap_flags(links, 2).orderBy("pos").collect()] == [True, True, False, False, False]
