@@ -317,37 +317,43 @@ def _blas_sq(v, centres):
     return np.maximum(d2, 0.0)
 
 
-def _nearest_cell(centre_rows):
+def _unit(v):
+    """Rows scaled to length 1 (zero rows stay zero)."""
+    n = np.sqrt(np.einsum("ij,ij->i", v, v))
+    return v / np.where(n > 0, n, 1.0)[:, None]
+
+
+def _nearest_cell(centre_rows, unit: bool):
     """Per Arrow batch: each corpus row's nearest centre (matrix product) and its exact
     distance to that centre (direct difference; the cell radius is its maximum)."""
-    centres = np.stack(centre_rows)
+    centres = _unit(np.stack(centre_rows)) if unit else np.stack(centre_rows)
 
     def fn(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
             v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            v = _unit(v) if unit else v
             cell = np.argmin(_blas_sq(v, centres), axis=1)
             diff = v - centres[cell]
             yield pdf.assign(cell=cell.astype("int32"), to_centre=np.sqrt(np.einsum("ij,ij->i", diff, diff)))
     return fn
 
 
-def _centre_distances(centre_rows):
-    """Per Arrow batch: every query's distance to every centre, one row per
-    (query, cell) — ids and distances only; query vectors are not repeated here."""
-    centres = np.stack(centre_rows)
-    n_cells = centres.shape[0]
+def _centre_distances(centre_rows, n_probe: int, held: list, unit: bool):
+    """Per Arrow batch: one row per query with its distances to all centres, and the
+    ``n_probe`` nearest of the cells that hold rows."""
+    centres = _unit(np.stack(centre_rows)) if unit else np.stack(centre_rows)
+    held = np.array(held)
 
     def fn(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
             v = np.stack(pdf["qvec"].to_numpy()).astype(np.float64)
-            d = np.sqrt(_blas_sq(v, centres))
-            yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), n_cells),
-                                "cell": np.tile(np.arange(n_cells, dtype="int32"), len(pdf)),
-                                "qc": d.reshape(-1)})
+            d = np.sqrt(_blas_sq(_unit(v) if unit else v, centres))
+            near = held[np.argsort(d[:, held], axis=1, kind="stable")[:, :n_probe]]
+            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy(), "qc": list(d), "probe": list(near.astype("int32"))})
     return fn
 
 
@@ -416,19 +422,26 @@ def _block_kernel(k: int, metric: str):
 
 
 def _broadcast_scan(bc, k: int, metric: str, query_block_rows: int):
-    """Per Arrow batch of corpus rows: the broadcast query vectors in blocks of
-    ``query_block_rows``, each block through the block kernel (≤ k rows per query)."""
+    """Per partition of corpus rows: the broadcast query vectors in blocks of
+    ``query_block_rows``, each block through the block kernel per Arrow batch. The running
+    top k of each query is kept and emitted once, so a partition gives at most k rows per
+    query however many batches it has."""
     kernel = _block_kernel(k, metric)
 
     def fn(batches):
         qids, qmat = bc.value
+        best: dict = {}
         for cpdf in batches:
             if cpdf.empty:
                 continue
             for s in range(0, len(qids), query_block_rows):
                 qpdf = pd.DataFrame({"query_id": qids[s:s + query_block_rows],
                                      "qvec": list(qmat[s:s + query_block_rows])})
-                yield kernel(qpdf, cpdf)
+                got = kernel(qpdf, cpdf)
+                if s in best:
+                    got = pd.concat([best[s], got]).sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
+                best[s] = got
+        yield from best.values()
     return fn
 
 
@@ -450,16 +463,17 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
       1. cells: centres are a seeded sample of ≤ ``n_cells`` corpus vectors (shipped to
          tasks with the function); every corpus row gets its nearest cell and the
          distance to it (numpy per Arrow batch); per cell a row count and a radius.
-      2. probe: each query's distance to every centre (≤ ``n_cells`` rows per query)
-         and its ``n_probe`` nearest cells.
+      2. probe: each query's distances to the centres (one row per query) and its
+         ``n_probe`` nearest cells.
       3. scan: query rows meet corpus rows by an equi-join on cell. Groups are cut
          into blocks of at most ``block_rows`` corpus rows × ``query_block_rows``
          queries, so a hot cell is spread over many tasks; each block is one
          ``cogroup().applyInPandas`` call returning ≤ k rows per query.
       4. bound (``exact``): the probe's k-th distance per query; every other cell
          whose lower bound ``|q − centre| − radius`` is within it is scanned too.
-         Cells left out cannot hold a nearer row, so the result equals brute force
-         (for l2; other metrics scan every cell in step 4).
+         Cells left out cannot hold a nearer row, so the result equals brute force.
+         For cosine, cells and bound work on unit vectors, where the distance orders
+         rows as l2 does; ``ip`` has no such bound and scans every cell in step 4.
       5. top-k per query over the candidates (partial WindowGroupLimit).
     """
     spark = corpus.sparkSession
@@ -497,16 +511,16 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     if n_cells is None:
         n_cells = int(max(8, min(1024, round(n ** 0.5))))
     centre_rows = _sample_centres(c, "vec", n_cells, seed, n)
-    assigned = c.mapInPandas(_nearest_cell(centre_rows), "id long, vec array<float>, cell int, to_centre double")
+    unit = metric == "cosine"
+    assigned = c.mapInPandas(_nearest_cell(centre_rows, unit), "id long, vec array<float>, cell int, to_centre double")
     assigned = cut_lineage(assigned)
     cell_stats = (assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n_c"), F.max("to_centre").alias("radius"))
                   .withColumn("cblocks", F.ceil(F.col("n_c") / block_rows).cast("int")))
 
-    # Query-to-centre distances for every cell (≤ n_cells rows per query).
-    qc = (q.mapInPandas(_centre_distances(centre_rows), "query_id long, cell int, qc double")
-          .join(F.broadcast(cell_stats.select("cell", "radius", "cblocks")), "cell"))
-    probe_rank = F.row_number().over(Window.partitionBy("query_id").orderBy("qc", "cell"))
-    qc = cut_lineage(qc.withColumn("probe", probe_rank <= n_probe))
+    # At most ``n_cells`` rows: the radius of every cell that holds rows.
+    radius = {r["cell"]: r["radius"] for r in cell_stats.select("cell", "radius").collect()}
+    qc = cut_lineage(q.mapInPandas(_centre_distances(centre_rows, n_probe, sorted(radius), unit),
+                                   "query_id long, qc array<double>, probe array<int>"))
 
     def scan(cells: DataFrame) -> DataFrame:
         qcount = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n_q"))
@@ -524,18 +538,22 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
         keys = ["cell", "cb", "qb"]
         return qs.groupBy(*keys).cogroup(cs.groupBy(*keys)).applyInPandas(kernel, out_schema)
 
-    first = cut_lineage(top(scan(qc.where("probe"))))
+    first = cut_lineage(top(scan(qc.select("query_id", F.explode("probe").alias("cell")))))
     if not exact:
         return first.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
 
     # k-th distance per query; +inf when the probe found fewer than k rows.
     bound = first.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("dk"))
-    slack = F.lit(1e-9) * (F.lit(1.0) + F.col("dk"))
-    rest = qc.where(~F.col("probe"))
-    if metric == "l2":
-        rest = rest.join(bound, "query_id", "left") \
-            .where(F.col("dk").isNull() | (F.col("qc") - F.col("radius") <= F.col("dk") + slack))
+    # The bound as an l2 distance; for unit vectors l2 is the root of twice the cosine distance.
+    reach = F.sqrt(F.greatest(F.lit(0.0), 2.0 * F.col("dk"))) if unit else F.col("dk")
+    slack = F.lit(1e-9 if not unit else 1e-6) * (F.lit(1.0) + reach)
+    cells = F.array(*[F.lit(c) for c in sorted(radius)])
+    radii = F.create_map(*[F.lit(x) for c in sorted(radius) for x in (c, float(radius[c]))])
+    near = F.lit(True) if metric == "ip" else F.col("dk").isNull() | (
+        F.element_at("qc", F.col("cell") + 1) - F.col("_r") <= reach + slack)
+    rest = (qc.join(bound, "query_id", "left").select("query_id", "qc", "probe", "dk", F.explode(cells).alias("cell"))
+            .where(~F.array_contains("probe", F.col("cell"))).withColumn("_r", radii[F.col("cell")]).where(near).select("query_id", "cell"))
     final = top(first.select("query_id", "id", "distance").unionByName(scan(rest)))
     return final.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
 

@@ -28,14 +28,20 @@ CSV_OPTIONS = {
 
 
 # ---------------------------------------------------------------- scans
-def scan_norms_raw(spark: SparkSession, path: str) -> DataFrame:
+#: Column that takes a line which does not have the file's columns.
+MALFORMED = "_corrupt_record"
+SCAN_SCHEMA = T.StructType(NORM_RAW_SCHEMA.fields + [T.StructField(MALFORMED, T.StringType()), T.StructField("scrape_date", T.DateType())])
+
+
+def scan_norms_raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Daily files as text columns, NULL for the null tokens, with load order:
     ``scrape_date`` from the partition directory and ``_ord`` rising within a file
-    (a multi-line CSV file is one split)."""
-    schema = T.StructType(NORM_RAW_SCHEMA.fields + [T.StructField("scrape_date", T.DateType())])
-    df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    (a multi-line CSV file is one split). A large file whose values hold no line breaks can
+    be read with ``multi_line=False``: it is then split over tasks, and ``_ord`` still rises
+    in file order. Lines without the file's columns keep their text in ``MALFORMED``."""
+    df = spark.read.options(**CSV_OPTIONS | {"multiLine": str(multi_line).lower()}).schema(SCAN_SCHEMA).csv(path)
     cols = [F.when(F.col(c).isin(NULL_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c) for c in NORM_COLUMNS]
-    return df.select(*cols, "scrape_date", F.monotonically_increasing_id().alias("_ord"))
+    return df.select(*cols, MALFORMED, "scrape_date", F.monotonically_increasing_id().alias("_ord"))
 
 
 def _typed(c: str):
@@ -50,11 +56,13 @@ def _typed(c: str):
 def quarantine(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split text rows into typed rows and rejects: a row whose raw value is present
     but does not fit its declared type is rejected with the failing column names in
-    ``reason``, instead of sinking the whole day."""
+    ``reason``, and a malformed line as such, instead of sinking the whole day."""
     typed_cols = [c for c in NORM_COLUMNS if not isinstance(NORM_SCHEMA[c].dataType, T.StringType)]
     fails = [F.when(F.col(c).isNotNull() & _typed(c).isNull(), F.lit(c)) for c in typed_cols]
+    if MALFORMED in raw.columns:
+        fails.append(F.when(F.col(MALFORMED).isNotNull(), F.lit("malformed line")))
     checked = raw.withColumn("reason", F.concat_ws(",", *fails))
-    extra = [c for c in raw.columns if c not in NORM_COLUMNS]
+    extra = [c for c in raw.columns if c not in (*NORM_COLUMNS, MALFORMED)]
     good = (checked.where(F.col("reason") == "")
             .select(*[_typed(c).alias(c) for c in NORM_COLUMNS], *extra))
     bad = checked.where(F.col("reason") != "")

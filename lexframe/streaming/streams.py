@@ -16,15 +16,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexframe.operators.predicates import tail_sample, valid_embeddings
 from lexframe.operators.retrieval import embed, embedding_input
 from lexframe.operators.upsert import dedup_keep_last, merge_embeddings, upsert_feedback
 from lexframe.operators.usage import feedback_reference_check
-from lexframe.schemas import NORM_RAW_SCHEMA
 from lexframe.session import cut_lineage
-from lexframe.sources.norms import (CSV_OPTIONS, _latest, applied_batch, merge_into, quarantine, read_current,
+from lexframe.sources.norms import (CSV_OPTIONS, SCAN_SCHEMA, _latest, applied_batch, merge_into, quarantine, read_current,
                                     write_version)
 
 
@@ -65,8 +63,7 @@ def stream_merge_norms(spark: SparkSession, in_dir: str, table_dir: str, checkpo
                        dim: int = 768, embedder=None, available_now: bool = True):
     """Daily files (``in_dir/scrape_date=<day>/*.csv``) → typed, de-duplicated,
     embedded rows MERGEd into the versioned embeddings table at ``table_dir``."""
-    schema = T.StructType(NORM_RAW_SCHEMA.fields + [T.StructField("scrape_date", T.DateType())])
-    src = spark.readStream.options(**CSV_OPTIONS).schema(schema).csv(in_dir)
+    src = spark.readStream.options(**CSV_OPTIONS).schema(SCAN_SCHEMA).csv(in_dir)
     rejects = f"{table_dir.rstrip('/')}_rejects"
     writer = (src.writeStream.option("checkpointLocation", checkpoint)
               .foreachBatch(lambda df, bid: merge_norm_batch(df, bid, table_dir, rejects, dim, embedder, checkpoint)))

@@ -1,5 +1,7 @@
 """Golden cases of the scans and sinks (FIXTURES.md "CSV null tokens")."""
 
+import pytest
+
 import datetime as dt
 import os
 
@@ -111,3 +113,19 @@ def test_sql_functions(spark):
     assert (r.d, r.e, r.f, r.g) == ("z.pdf", "unknown", "http://b/p.htm", dt.date(2025, 10, 6))
     plan = spark.sql("SELECT norm_date(x) FROM VALUES ('1/1/2024') t(x)")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_malformed_lines_are_rejected_not_loaded(spark, tmp_path):
+    from lexframe.schemas import NORM_COLUMNS
+    day = tmp_path / "scrape_date=2025-10-01"
+    day.mkdir()
+    good = ",".join(["7"] + [""] * 16)
+    (day / "a.csv").write_text(",".join(NORM_COLUMNS) + "\n" + good + "\n8,too,few\n" + good.replace("7", "9", 1) + "\n")
+    for multi_line in (True, False):
+        ok, bad = N.quarantine(N.scan_norms_raw(spark, str(tmp_path), multi_line))
+        assert [r.id_norma for r in ok.orderBy("_ord").collect()] == [7, 9]
+        assert [r.reason for r in bad.collect()] == ["malformed line"]
+    with pytest.raises(ValueError, match="rejects_path"):
+        N.scan_norms(spark, str(tmp_path))
+    rejects = scratch_path(spark, "rejects")
+    assert N.scan_norms(spark, str(tmp_path), rejects).count() == 2 and spark.read.parquet(rejects).count() == 1
