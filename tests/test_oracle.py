@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB oracle at sf0.01 (the driver's gate)."""
 
 import os
+import re
 import sys
 
 import pytest
@@ -30,8 +31,10 @@ def test_query_matches_oracle(spark, con, key):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    # Only the approximate search has no exact SQL statement of its result.
-    assert set(E.queries()) - set(E.oracle_sql()) == {"knn_approx"}
+    # Approximate search has no exact SQL statement of its result, and the separator splitter no SQL form.
+    # The numbered operators and the pipeline are an optional subpackage with tests of its own.
+    own = {k for k in E.queries() if not re.match(r"op\d+_|pipeline$", k)}
+    assert own - set(E.oracle_sql()) == {"knn_approx", "chunk_documents_recursive"}
 
 
 def test_entry_smoke(spark):
