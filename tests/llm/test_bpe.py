@@ -5,6 +5,7 @@ import public_tokenizers as P
 import tiktoken
 
 from lexframe.llm import bpe
+from llm_data import awkward, docs, empty  # noqa: F401 - fixtures
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 ENC = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})

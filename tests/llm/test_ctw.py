@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexframe.llm import ctw as C
 from lexframe.llm.common import is_training
+from llm_data import awkward, docs, empty  # noqa: F401 - fixtures
 
 
 def symbols(text, depth):

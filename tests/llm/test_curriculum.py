@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexframe.llm import curriculum as C
 from lexframe.llm.common import n_words
+from llm_data import awkward, docs, empty  # noqa: F401 - fixtures
 
 
 def targets(sizes, weights, budget=1.5, most=2):

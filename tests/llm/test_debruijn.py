@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from lexframe.llm import debruijn as D
+from llm_data import awkward, docs, empty  # noqa: F401 - fixtures
 
 
 def brute(rows, k):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexframe.llm import langid as L
 from lexframe.llm.common import is_training
+from llm_data import awkward, empty  # noqa: F401 - fixtures
 
 
 def test_blocks_equal_all_paths():

@@ -4,6 +4,7 @@ import random
 import numpy as np
 
 from lexframe.llm import lcp as L
+from llm_data import awkward, docs, empty  # noqa: F401 - fixtures
 
 
 def slow_parse(names):

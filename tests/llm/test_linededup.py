@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from lexframe.llm import linededup as L
+from llm_data import awkward, docs, empty  # noqa: F401 - fixtures
 
 
 def brute(rows, ratio, least):

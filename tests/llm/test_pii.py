@@ -2,6 +2,7 @@ import hashlib
 import re
 
 from lexframe.llm import pii as P
+from llm_data import awkward, docs, empty  # noqa: F401 - fixtures
 
 
 def brute(text):

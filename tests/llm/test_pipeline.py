@@ -10,6 +10,7 @@ from lexframe.llm import bpe, curriculum, langid
 from lexframe.llm.common import is_training, n_words
 from test_linededup import brute as plain_lines
 from test_simhash import brute_components, brute_fp
+from llm_data import awkward, docs, empty  # noqa: F401 - fixtures
 
 ENC = tiktoken.Encoding("own", pat_str=P.public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(P.RANKS), special_tokens={})
 

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from lexframe.llm.queries import QUERIES
+from llm_data import docs  # noqa: F401 - fixtures
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {

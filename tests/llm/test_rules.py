@@ -1,6 +1,7 @@
 import re
 
 from lexframe.llm import rules
+from llm_data import awkward, docs, empty  # noqa: F401 - fixtures
 
 
 def brute(text):

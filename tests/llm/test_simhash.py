@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 
 from lexframe.llm import simhash as S
+from llm_data import awkward, docs, empty  # noqa: F401 - fixtures
 
 
 def brute_fp(text):
