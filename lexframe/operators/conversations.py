@@ -34,25 +34,26 @@ def positional_rank(df: DataFrame, group: str, order_cols: list, slices: int | N
     """1-based position of each row inside its ``group`` by ``order_cols`` (ties must
     be broken by the order columns), without gathering a group in one task.
 
-    Rows are range-partitioned on (group, order), so a group larger than a slice is
-    cut into consecutive slices; rows are numbered inside each (slice, group) piece;
-    each piece's offset is the row count of the group's earlier slices (a small
-    table of piece counts, one row per piece).
+    Rows are range-partitioned on (group, order) and sorted, so a group larger than a
+    slice is cut into consecutive slices. A row's place in its slice comes from its
+    in-partition id, without another shuffle; each (slice, group) piece knows its first
+    id, and its offset is the row count of the group's earlier slices (a small table, one
+    row per piece).
     """
     spark = df.sparkSession
     n_slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Range boundaries come from sampling, so the slice of a row is fixed once by a
-    # reliable checkpoint (both uses below must see the same slices).
-    ranged = cut_lineage(df.repartitionByRange(n_slices, group, *order_cols)
-                         .withColumn("_slice", F.spark_partition_id()))
-    local = ranged.withColumn("_local", F.row_number().over(
-        Window.partitionBy("_slice", group).orderBy(*order_cols)))
-    pieces = ranged.groupBy("_slice", group).agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = pieces.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-        Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(offsets.select("_slice", group, "_off"), ["_slice", group])
-            .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_slice", "_local", "_off"))
+    # Range boundaries come from sampling, so a row's slice and place are fixed once by a
+    # reliable checkpoint (both uses below must see the same ones).
+    ranged = cut_lineage(df.repartitionByRange(n_slices, group, *order_cols).sortWithinPartitions(group, *order_cols)
+                         .withColumn("_place", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_slice", F.shiftright("_place", 33))
+    pieces = ranged.groupBy("_slice", group).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_place").alias("_first"))
+    before = F.sum("_cnt").over(Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = pieces.select(F.col("_slice").alias("_s"), F.col(group).alias("_g"), "_first", F.coalesce(before, F.lit(0)).alias("_off"))
+    same = (F.col("_slice") == F.col("_s")) & F.col(group).eqNullSafe(F.col("_g"))
+    return (ranged.join(offsets, same)
+            .withColumn(name, (F.col("_off") + F.col("_place") - F.col("_first") + 1).cast("long"))
+            .drop("_slice", "_place", "_s", "_g", "_first", "_off"))
 
 
 def align_interactions(messages: DataFrame, interactions: DataFrame, feedback: DataFrame | None = None) -> DataFrame:
