@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -54,6 +56,24 @@ def unpack(data) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system: Python workers stay alive between stages, and what they
+    hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to do
+        pass
+
+
+def releasing(run):
+    """A batch function that releases memory when its partition is done."""
+    def wrapped(batches):
+        yield from run(batches)
+        release_memory()
+    return wrapped
+
+
 def text_slices(batches, text_col: str, max_bytes: int):
     """Tables of consecutive rows whose texts take at most ``max_bytes`` together. A longer text
     is a table of its own."""

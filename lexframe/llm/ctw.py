@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexframe.llm.common import materialise, materialise_bucketed, pack, pack_table, partitions, text_slices, unpack
+from lexframe.llm.common import materialise, materialise_bucketed, pack, pack_table, partitions, releasing, text_slices, unpack
 
 #: Bytes of the longest context; text bytes of a chunk, and of the part that is worked on at once.
 DEPTH, CHUNK_BYTES, PART_BYTES = 5, 16 << 20, 1 << 20
@@ -377,10 +377,10 @@ def score(docs: DataFrame, training: Column, text_col: str = "text", depth: int
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     carry = [c for c in docs.columns if c not in (text_col, *new)]
     packed = docs.select(F.struct(*carry).alias("row"), F.col(text_col).alias("text"), training.alias("train"))
-    pages = materialise_bucketed(packed.mapInArrow(_chunk_pages(buckets, depth, chunk_bytes), PAGES), "ctw-pages", "chunk", n)
+    pages = materialise_bucketed(packed.mapInArrow(releasing(_chunk_pages(buckets, depth, chunk_bytes)), PAGES), "ctw-pages", "chunk", n)
     asked = pages.where("bucket >= 0").select("chunk", "bucket", "keys")
     merged = materialise(asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        _merge_buckets(buckets, depth), "bucket int, keys binary, up binary, tokens long, distinct long"), "ctw-buckets")
+        releasing(_merge_buckets(buckets, depth)), "bucket int, keys binary, up binary, tokens long, distinct long"), "ctw-buckets")
     total = merged.where(F.col("bucket") >= buckets).agg(F.sum("tokens"), F.sum("distinct")).first()
     totals = (total[0] or 0, total[1] or 0)
 
@@ -395,10 +395,10 @@ def score(docs: DataFrame, training: Column, text_col: str = "text", depth: int
     top = spark.sparkContext.broadcast(sums)
     questions = merged.select(F.lit(None).cast("long").alias("chunk"), "bucket", "keys").unionByName(asked)
     answers = (questions.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
-               .mapInArrow(_answer(buckets, depth, top), "chunk long, bucket int, values binary")
+               .mapInArrow(releasing(_answer(buckets, depth, top)), "chunk long, bucket int, values binary")
                .groupBy(F.col("chunk").alias("c")).agg(F.collect_list(F.struct("bucket", "values")).alias("pages")))
     kinds = ("long", "long", "long", "double", "double", "double")
     schema = T.StructType([packed.schema["row"], *(T.StructField(c, T._parse_datatype_string(k)) for c, k in zip(new, kinds))])
     out = (pages.where("bucket < 0").join(answers, F.col("chunk") == F.col("c")).select("docs", "pages")
-           .mapInArrow(_score(buckets, depth, totals, ["row", *new]), schema))
+           .mapInArrow(releasing(_score(buckets, depth, totals, ["row", *new])), schema))
     return out.select(*(F.col("row")[c].alias(c) for c in carry), *new)
