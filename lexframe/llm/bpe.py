@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexframe.llm.common import materialise_bucketed, pack, pack_table, partitions, text_slices, unpack
+from lexframe.llm.common import (materialise_bucketed, pack, pack_table, partitions, release_memory, releasing, text_slices,
+                                 unpack)
 
 #: Text bytes of one chunk; bounds a worker's memory (about 6 times as much).
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 PAGE_SCHEMA = "chunk long, bucket int, words binary, codes binary, docs binary"
 
 
@@ -91,6 +92,8 @@ def _tokenise(text_col: str, carry: list[str], pattern: str, n_buckets: int, chu
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
                 names=["chunk", "bucket", "words", "codes", "docs"])
+            del coded, words, codes, planes, rank, order, bucket, rows, docs
+            release_memory()
     return run
 
 
@@ -169,12 +172,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         _tokenise(text_col, carry, pattern, 2 * n, chunk_bytes), PAGE_SCHEMA), "bpe-pages", "chunk", n)
     ids = (pages.where("bucket >= 0").select("chunk", "bucket", "words")
            .repartition(n, "bucket").sortWithinPartitions("bucket")
-           .mapInArrow(_merge_pages(ranks, pattern), "chunk long, bucket int, ids binary"))
+           .mapInArrow(releasing(_merge_pages(ranks, pattern)), "chunk long, bucket int, ids binary"))
     # A chunk has at most one page per bucket, and all of them are smaller than the chunk.
     back = ids.groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list(F.struct("bucket", "ids")).alias("pages"))
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(out_col, T.ArrayType(T.IntegerType()))])
     return (pages.where("bucket < 0").join(back, F.col("chunk") == F.col("_chunk"), "left")
-            .select("words", "codes", "docs", "pages").mapInArrow(_reassemble(carry, out_col, then), then_schema or schema))
+            .select("words", "codes", "docs", "pages").mapInArrow(releasing(_reassemble(carry, out_col, then)), then_schema or schema))
 
 
 def _joined(lists, table: pa.Array, rank: np.ndarray):
