@@ -194,6 +194,29 @@ def write_version(df: DataFrame, table_path: str, version: str, stream: str = ""
     return _read_dirs(spark, table_path, body)
 
 
+def expire(spark: SparkSession, table_path: str, keep: int = 2) -> int:
+    """Remove the directories that none of the last ``keep`` states refers to (and that are not
+    newer than them); returns how many. Readers of older states must be done."""
+    markers = _markers(spark, table_path)
+    last = [] if markers is None else markers.orderBy(F.desc("number")).limit(keep).collect()
+    if not last:
+        return 0
+    used = {x for m in last for x in json.loads(m["body"])["dirs"]}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(table_path).getFileSystem(spark._jsc.hadoopConfiguration())
+    below = lambda p: [x.getPath() for x in fs.listStatus(p) if x.isDirectory()]
+    gone = 0
+    for top in below(path(table_path)):
+        name = top.getName()
+        if not name.startswith("v=") or name in used or int(name[2:].split("-")[0]) > last[0]["number"]:
+            continue
+        buckets = below(top)
+        stale = [b for b in buckets if f"{name}/{b.getName()}" not in used]
+        for p in stale if len(stale) < len(buckets) else [top]:
+            gone += bool(fs.delete(p, True))
+    return gone
+
+
 #: Buckets of a table that is merged into; a merge rewrites only those that its rows fall into.
 MERGE_BUCKETS = 64
 

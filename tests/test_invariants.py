@@ -212,6 +212,9 @@ def test_merge_rewrites_touched_buckets_only(spark):
     assert 1 <= sum(before.get(k) != after[k] for k in after) <= 2
     rows = {r.id: r.v for r in read_current(spark, path).collect()}
     assert len(rows) == 201 and {k for k, v in rows.items() if v == "b"} == {5, 1000}
+    from lexframe.sources.norms import expire
+    assert expire(spark, path, keep=2) == 0 and expire(spark, path, keep=1) >= 1
+    assert {r.id: r.v for r in read_current(spark, path).collect()} == rows
 
 
 def test_stream_merge_loses_no_batch_and_keeps_the_newest(spark):
