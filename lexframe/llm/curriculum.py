@@ -143,9 +143,9 @@ def mix_documents(docs: DataFrame, text_col: str = "text", chars_col: str | None
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: size, source_size, target, taken, and the position of its first copy (null if
-    none is taken), range-sorted by position."""
+    none is taken), range-sorted by position, then id."""
     sized = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                                     n_words(F.col(text_col)).alias("size")), "sizes")
     out = plan(sized, F.col("size")).select(F.col("row")["doc_id"].alias(id_col), "size", "source_size", "target", "taken",
                              F.when(F.col("taken") > 0, position(F.lit(0))).alias("position"))
-    return out.repartitionByRange(partitions(out), "position").sortWithinPartitions("position")
+    return out.repartitionByRange(partitions(out), "position", id_col).sortWithinPartitions("position", id_col)
