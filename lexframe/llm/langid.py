@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from lexframe.llm.common import text_slices
+from lexframe.llm.common import releasing, text_slices
 
 #: Bounds of the training sample, and of the model.
 FIT_DOCS, FIT_CHARS, BUCKETS = 4000, 1200, 1 << 16
@@ -244,13 +244,18 @@ def fit(docs: DataFrame, training: Column, lang_col: str = "lang", text_col: str
         fit_docs: int = FIT_DOCS) -> Model:
     """The model, from a bounded sample of the labelled rows for which ``training`` holds."""
     rows = docs.where(training).where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    langs = sorted(r[0] for r in rows.select(lang_col).distinct().collect())  # one row per language
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row per language
+    langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
+    each = max(1, fit_docs // len(langs))
+    # A hash threshold leaves about four times the wanted rows of each language, so that few rows travel.
+    share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1.0, (4.0 * each + 20) / counts[lang]))))
     chosen = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, FIT_CHARS).alias("text"),
                          F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))  # top rows: cut before the shuffle
-    chosen = chosen.withColumn("n", first).where(F.col("n") <= max(1, fit_docs // len(langs))).drop("n")
+    chosen = chosen.where(F.col("h").cast("double") / float(1 << 64) + 0.5 <= share[F.col("lang")])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    chosen = chosen.withColumn("n", first).where(F.col("n") <= each).drop("n")
 
     def run(batches):
         import pickle
@@ -261,7 +266,7 @@ def fit(docs: DataFrame, training: Column, lang_col: str = "lang", text_col: str
 
     import pickle
 
-    state = chosen.coalesce(1).mapInArrow(run, "model binary").first()
+    state = chosen.repartition(1).mapInArrow(releasing(run), "model binary").first()
     return Model(**pickle.loads(bytes(state["model"])))
 
 
@@ -298,4 +303,4 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str =
             yield from out.combine_chunks().to_batches()
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
