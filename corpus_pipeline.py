@@ -6,7 +6,8 @@ shared checkpoint folder and read again.
 
 - language ID: learned from the labelled training rows; drops documents without a letter and those
   in which no language holds ``MIN_LANG_SCORE`` of the words.
-- line dedup: the source is the site; ``n_chars`` follows the text. A document may be left empty.
+- line dedup: the source is the site, and copies of a text count as one page of it, so that the next
+  stage finds them whole; ``n_chars`` follows the text. A document may be left empty.
 - near-duplicates: three-word shingles, at most three differing bits; the least id of a group stays.
 - mixing: a row per copy, in training order; a document taken in part has only its first words.
 - tokens: doc_id, lang, source, n_tokens, the ids, and digests of ids and decoded bytes.
@@ -36,7 +37,7 @@ def language_id(spark, docs, sf_dir):
 
 
 def line_dedup(spark, docs, sf_dir):
-    out = linededup.drop_boilerplate(docs, F.col("source"))
+    out = linededup.drop_boilerplate(docs, F.col("source"), copies_once=True)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

@@ -12,8 +12,10 @@ skewed partitions are split at run time.
 
 Defined cases: a null host is a site of its own; a null text counts as a page without lines and
 stays null; blank lines are never boilerplate and stay; a line twice on a page counts once;
-repeated rows count as separate pages; lines are compared without white space at their ends (by a
-128-bit hash); extra columns are carried; an empty table gives an empty table.
+repeated rows and copies of a page count as separate pages, or with ``copies_once`` as one page of
+the host (by a 128-bit hash of the text), so that copying a page never makes boilerplate of it;
+lines are compared without white space at their ends (by a 128-bit hash); extra columns are carried;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,25 +37,31 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit("line"), bare).alias("b")))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+                copies_once: bool = False) -> DataFrame:
     """One row per host with boilerplate: ``_host`` and ``_drop``, the keys of its lines."""
     rows = pages.select(host.alias("_host"), text.alias("_text"))
-    totals = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
+    n_pages = F.count(F.lit(1))
+    if copies_once:
+        # Partial aggregates by host (line) and page first, then by host (line): no host or line is gathered.
+        rows = rows.withColumn("_page", F.struct(F.xxhash64("_text").alias("a"), F.xxhash64(F.lit("page"), "_text").alias("b")))
+        n_pages = F.count_distinct("_page")
+    totals = rows.groupBy("_host").agg(n_pages.alias("_pages"))
     keys = F.array_distinct(F.filter(F.transform(F.split("_text", "\n"), _key), lambda k: k.isNotNull()))
-    counts = (rows.select("_host", F.explode(keys).alias("_key"))
-              .groupBy("_host", "_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages))
+    counts = (rows.withColumn("_key", F.explode(keys)).drop("_text")
+              .groupBy("_host", "_key").agg(n_pages.alias("_n")).where(F.col("_n") >= min_pages))
     return (counts.join(totals, counts["_host"].eqNullSafe(totals["_host"]))
             .where(F.col("_n") > max_ratio * F.col("_pages"))
             .groupBy(counts["_host"]).agg(F.collect_list("_key").alias("_drop")))
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO,
-                     min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None) -> DataFrame:
+                     min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None, copies_once: bool = False) -> DataFrame:
     """The pages with boilerplate lines dropped from their text. ``counts`` names two columns to
     add: the page's lines, and those dropped."""
     # Names of the working columns cannot clash: the page travels as one struct.
     packed = pages.select(host.alias("_host"), F.struct(*(F.col(c) for c in pages.columns)).alias("_row"))
-    drop = materialise(boilerplate(pages, host, F.col(text_col), max_ratio, min_pages), "boilerplate")
+    drop = materialise(boilerplate(pages, host, F.col(text_col), max_ratio, min_pages, copies_once), "boilerplate")
     drop = drop.withColumnRenamed("_host", "_site")
     joined = packed.join(drop, F.col("_host").eqNullSafe(F.col("_site")), "left")
     text = F.col("_row")[text_col]

@@ -36,3 +36,15 @@ def test_counts_hosts_and_boundary(spark, empty):
     assert len(got) == 20 and sum(r.gone for r in got) == 8 and not any("foot" in r.text for r in got)
     assert sum("menu" in r.text for r in got) == 6
     assert L.drop_boilerplate(empty, F.col("source")).count() == 0
+
+
+def test_copies_once(spark):
+    """Copies of a page are one page, in the counts and in the host's total: "foot" is on 12 of 14
+    different pages, "rare" on 3 of them (though on 3 of 34 rows), the copied lines on one."""
+    rows = ([(i, "a", "copied one\ncopied two") for i in range(20)] + [(100 + i, "a", f"own {i}\nfoot" + "\nrare" * (i < 3)) for i in range(12)]
+            + [(200, "a", None), (201, "a", None), (300, "b", "copied one")])
+    df = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    got = {r.doc_id: r.text for r in L.drop_boilerplate(df, F.col("source"), max_ratio=0.2, min_pages=3, copies_once=True).collect()}
+    assert got == {i: f"own {i - 100}" if 100 <= i < 200 else t for i, _, t in rows}
+    by_row = {r.doc_id: r.text for r in L.drop_boilerplate(df, F.col("source"), max_ratio=0.2, min_pages=3).collect()}
+    assert all(by_row[i] == "" for i in range(20)) and by_row[100] == "own 0\nrare"

@@ -60,3 +60,16 @@ def test_every_stage_against_a_plain_version(request, spark, name):
 def test_run_applies_all_stages(spark):
     out = P.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and out.count() > 100
+
+
+def test_one_whole_document_of_a_copy_group_stays(spark, docs):
+    """A third of all rows are copies of one text of several lines, in two sources."""
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    words = own.where("lang = 'en' and n_chars > 600").orderBy("doc_id").first().text.split()[:90]
+    text = "\n".join(" ".join(words[i:i + 15]) for i in range(0, 90, 15))
+    sources = [r.source for r in own.select("source").distinct().orderBy("source").limit(2).collect()]
+    copies = spark.createDataFrame([(10**6 + i, text, "en", sources[i % 2], len(text)) for i in range(100)], own.schema)
+    got = own.unionByName(copies)
+    for _, run in P.STAGES[:3]:
+        got = P.materialise(run(spark, got, ""), "test")
+    assert [r.text for r in got.where("doc_id >= 1000000").collect()] == [text]
