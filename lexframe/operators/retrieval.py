@@ -16,6 +16,7 @@ equals brute force. ``knn_approx`` stops after the probe step.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,10 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 # them; larger query tables take the cell plan.
 QUERY_BROADCAST_BYTES = 64 << 20
 
+# Share of the true neighbours that approximate search aims at (the promise is 0.9; the rest covers the
+# sample's error), and the sample of queries on which it is measured.
+RECALL, RECALL_SAMPLE = 0.95, 256
+
 
 # ---------------------------------------------------------------- inputs
 def embedding_input(norms: DataFrame, keep=()) -> DataFrame:
@@ -357,6 +362,28 @@ def _centre_distances(centre_rows, n_probe: int, held: list, unit: bool):
     return fn
 
 
+def _probes_for(recall: float, q: DataFrame, assigned: DataFrame, top, centre_rows: list, held: list, k: int, metric: str,
+                seed: int, query_block_rows: int) -> int:
+    """The least number of probes with which a bounded sample of the queries (by hash) finds the share
+    ``recall`` of its exact ``k`` nearest rows. One pass over the corpus: each sampled query's true
+    neighbours come back as their cells, at most ``k`` rows a query."""
+    rows = q.orderBy(F.xxhash64(F.lit(seed), "query_id", "qvec")).limit(RECALL_SAMPLE).select("qvec").collect()
+    if not rows:
+        return 1
+    v = np.array([r[0] for r in rows], dtype=np.float32).reshape(len(rows), -1)
+    bc = q.sparkSession.sparkContext.broadcast((np.arange(len(v)), v))
+    cells = assigned.select(F.col("cell").cast("long").alias("id"), "vec")
+    near = top(cells.mapInPandas(_broadcast_scan(bc, k, metric, query_block_rows), "query_id long, id long, distance double")).collect()
+    unit = metric == "cosine"
+    centres = _unit(np.stack(centre_rows)) if unit else np.stack(centre_rows)
+    v = v.astype(np.float64)
+    d = np.sqrt(_blas_sq(_unit(v) if unit else v, centres))[:, held]
+    rank = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1)
+    at = {c: i for i, c in enumerate(held)}
+    needed = np.sort([rank[r["query_id"], at[r["id"]]] + 1 for r in near])
+    return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) if len(needed) else 1
+
+
 def _block_kernel(k: int, metric: str):
     """The ``k`` nearest rows per query of one bounded (query block × corpus block)
     group, ties by id.
@@ -447,9 +474,9 @@ def _broadcast_scan(bc, k: int, metric: str, query_block_rows: int):
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str = "query_id",
         corpus_id: str = "id", vec_col: str = "embedding", query_vec: str | None = None,
-        metric: str = "l2", n_cells: int | None = None, n_probe: int = 2, exact: bool = True,
+        metric: str = "l2", n_cells: int | None = None, n_probe: int | None = None, exact: bool = True,
         seed: int = 7, block_rows: int = 4096,
-        query_block_rows: int = 512, strategy: str = "auto") -> DataFrame:
+        query_block_rows: int = 512, strategy: str = "auto", recall: float = RECALL) -> DataFrame:
     """The ``k`` nearest corpus rows per query: ``(query_id, id, rank, distance)``.
 
     ``strategy``: "broadcast", "cells" or "auto". "auto" broadcasts the query vectors
@@ -464,7 +491,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
          tasks with the function); every corpus row gets its nearest cell and the
          distance to it (numpy per Arrow batch); per cell a row count and a radius.
       2. probe: each query's distances to the centres (one row per query) and its
-         ``n_probe`` nearest cells.
+         ``n_probe`` nearest cells (by default 2; with ``exact=False``, as many as a bounded
+         sample of the queries needs for ``recall``).
       3. scan: query rows meet corpus rows by an equi-join on cell. Groups are cut
          into blocks of at most ``block_rows`` corpus rows × ``query_block_rows``
          queries, so a hot cell is spread over many tasks; each block is one
@@ -519,6 +547,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
 
     # At most ``n_cells`` rows: the radius of every cell that holds rows.
     radius = {r["cell"]: r["radius"] for r in cell_stats.select("cell", "radius").collect()}
+    if n_probe is None:
+        n_probe = 2 if exact else _probes_for(recall, q, assigned, top, centre_rows, sorted(radius), k, metric, seed, query_block_rows)
     qc = cut_lineage(q.mapInPandas(_centre_distances(centre_rows, n_probe, sorted(radius), unit),
                                    "query_id long, qc array<double>, probe array<int>"))
 
@@ -559,7 +589,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
 
 
 def knn_approx(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, **kw) -> DataFrame:
-    """Approximate k-NN: only the ``n_probe`` nearest cells of each query are scanned."""
+    """Approximate k-NN: only the ``n_probe`` nearest cells of each query are scanned. By default the
+    number is measured (``recall``); it is a growing share of the cells where vectors do not cluster."""
     return knn(queries, corpus, k, exact=False, **kw)
 
 

@@ -534,7 +534,7 @@ def q_embed_failures(spark, d):
 def q_knn_approx(spark, d):
     from lexframe.operators.retrieval import knn_approx
     e = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return knn_approx(e.withColumnRenamed("id", "query_id"), e, k=4, n_probe=3) \
+    return knn_approx(e.withColumnRenamed("id", "query_id"), e, k=4) \
         .withColumn("distance", F.round("distance", 6))
 
 

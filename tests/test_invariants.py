@@ -101,6 +101,14 @@ def test_knn_approx_recall(spark):
     assert hit / exact.count() >= 0.5
 
 
+@pytest.mark.parametrize("sf", [SF01, "/root/testdata/sf0.1"])
+def test_knn_approx_query_recall(spark, sf):
+    from lexframe.plans import catalog
+    exact = catalog.q_knn(spark, sf)
+    hit = exact.join(catalog.q_knn_approx(spark, sf), ["query_id", "id"]).count()
+    assert hit / exact.count() >= 0.9
+
+
 def test_embed_is_normalised_and_plan_has_one_python_step(spark):
     docs = B.table(spark, SF01, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     e = R.embed(docs, "id", "content", None, dim=64)
