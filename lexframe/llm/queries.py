@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexframe.llm import bpe, ctw, curriculum, debruijn, langid, lcp, linededup, pii, rules, simhash
+from lexframe.llm import bpe, ctw, curriculum, debruijn, langid, lcp, linededup, pii, repair, rules, simhash
 from lexframe.llm.common import is_training
 from lexframe.plans.bindings import table
 
@@ -131,3 +131,42 @@ def op5_ctw_score(spark, d):
     out = ctw.score(table(spark, d, "documents").select("doc_id", "text"), train)
     return out.withColumn("held_out", ~is_training(F.col("doc_id"), 7, 2)).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@register("op12_conversation_repair", r"""WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, x)) AS crc),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+k AS (SELECT d.*, xor(list_reduce(list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                                  lambda c, x: xor(c // 256, crc[CAST(xor(c, x) % 256 AS BIGINT) + 1]), 4294967295), 4294967295) % 20 AS kind FROM d, bits),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM m),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault, left(role, 1) AS r FROM n),
+-- One struct (cost, audit, repaired text) for each place of the pattern: p0 start, p1 after s, p2 after u, p3 after a.
+w(conv_id, i, p0, p1, p2, p3) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), {'c': CAST(0 AS BIGINT), 'a': '', 't': ''}, {'c': CAST(1000000 AS BIGINT), 'a': '', 't': ''},
+         {'c': CAST(1000000 AS BIGINT), 'a': '', 't': ''}, {'c': CAST(1000000 AS BIGINT), 'a': '', 't': ''} FROM n
+  UNION ALL
+  SELECT conv_id, i, {'c': q0.c, 'a': q0.a, 't': q0.t}, q1, q2, q3 FROM (
+    SELECT f.conv_id, f.i, {'c': p0.c + 2, 'a': p0.a || 'D', 't': p0.t} AS q0,
+      list_min([{'c': p1.c + 2, 'a': p1.a || 'D', 't': p1.t},
+                {'c': p0.c + CASE WHEN r = 's' AND fault NOT IN ('b', 'd') THEN CASE fault WHEN 't' THEN 5 ELSE 0 END ELSE 1000000 END, 'a': p0.a || 'K', 't': p0.t || chr(10) || role || ':' || text}]) AS q1,
+      list_min(list_transform([p0, p1, p3], lambda p: {'c': p.c + CASE WHEN fault IN ('b', 'd') THEN 1000000 ELSE CASE WHEN fault = 't' THEN 5 ELSE 0 END + CASE WHEN r = 'u' THEN 0 ELSE 1 END END,
+                'a': p.a || CASE WHEN r = 'u' THEN 'K' ELSE 'R' END, 't': p.t || chr(10) || CASE WHEN r = 'u' THEN role ELSE 'user' END || ':' || text}) || [{'c': p2.c + 2, 'a': p2.a || 'D', 't': p2.t}]) AS q2,
+      list_min([{'c': p3.c + 2, 'a': p3.a || 'D', 't': p3.t},
+                {'c': p2.c + CASE WHEN fault IN ('b', 'd') THEN 1000000 ELSE CASE WHEN fault = 't' THEN 5 ELSE 0 END + CASE WHEN r = 'a' THEN 0 ELSE 1 END END,
+                 'a': p2.a || CASE WHEN r = 'a' THEN 'K' ELSE 'R' END, 't': p2.t || chr(10) || CASE WHEN r = 'a' THEN role ELSE 'assistant' END || ':' || text}]) AS q3
+    FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)),
+-- Deleting a turn (2) is always cheaper than inserting one (5), so no cheapest repair has an insert.
+e AS (SELECT w.conv_id, list_min([p0, p3]) AS best FROM w JOIN (SELECT conv_id, max(i) AS i FROM n GROUP BY conv_id) z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.i = w.i),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+             count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND left(before, 1) || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id""")
+def op12_conversation_repair(spark, d):
+    return repair.repair(repair.damaged(table(spark, d, "conversations")))
