@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexframe.llm import bpe, ctw, curriculum, debruijn, langid, lcp, linededup, pii, repair, rules, simhash
+from lexframe.llm import bpe, ctw, curriculum, debruijn, langid, lcp, linededup, pii, prefixtrie, repair, rules, simhash, warc
 from lexframe.llm.common import is_training
 from lexframe.plans.bindings import table
+from lexframe.session import scratch_path
 
 QUERIES: dict = {}
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -170,3 +171,40 @@ SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id""")
 def op12_conversation_repair(spark, d):
     return repair.repair(repair.damaged(table(spark, d, "conversations")))
+
+
+@register("op13_prefix_trie", r"""
+WITH bits AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, x)) AS crc),
+t AS (SELECT conv_id, {'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t, turn,
+             md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS h FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'role': t.role, 'text': t.text} ORDER BY turn NULLS FIRST, h) AS ts FROM t GROUP BY conv_id),
+k AS (SELECT o.*, xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                                  lambda c, x: xor(c // 256, crc[CAST(xor(c, x) % 256 AS BIGINT) + 1]), 4294967295), 4294967295) % 4 AS h FROM o, bits),
+r AS (SELECT k.conv_id, list_concat(coalesce(b.ts[1:CAST(k.h AS INT)], []), k.ts[CAST(k.h AS INT) + 1:]) AS ts FROM k LEFT JOIN o b ON b.conv_id = k.conv_id - k.conv_id % 20),
+p AS (SELECT conv_id, ts[1:CAST(d AS INT)] AS path, d, d = len(ts) AS whole FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM r)),
+n AS (SELECT path, CAST(min(d) AS BIGINT) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (whole), '')) AS ends_sha256 FROM p GROUP BY path),
+c AS (SELECT path[1:CAST(depth AS INT) - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE
+             (n_convs - 1) * len(regexp_extract_all(n.path[CAST(depth AS INT)].text, '[^ 	-
+]+')) END AS saved FROM n LEFT JOIN c ON c.path = n.path),
+a AS (SELECT path[1:CAST(up AS INT)] AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens
+      FROM (SELECT *, unnest(range(depth + 1)) AS up FROM m) GROUP BY 1)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN a ON a.path = m.path LEFT JOIN n q ON m.depth > 0 AND q.path = m.path[1:CAST(m.depth AS INT) - 1]""")
+def op13_prefix_trie(spark, d):
+    return prefixtrie.trie(prefixtrie.rebuilt(prefixtrie.turn_lists(table(spark, d, "conversations"))))
+
+
+@register("op11_warc_chain", """
+WITH p AS (SELECT page_id, url, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS LAST) AS place,
+             first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS LAST) AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND place > 1 THEN least END AS refers_to FROM r""")
+def op11_warc_chain(spark, d):
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, d, "pages"), path)
+    return warc.Archives(spark, path).index().select(
+        warc.page_number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        warc.page_number(F.col("refers_to")).alias("refers_to"))
