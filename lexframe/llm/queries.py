@@ -204,7 +204,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
        CASE WHEN payload_bytes >= 100 AND place > 1 THEN least END AS refers_to FROM r""")
 def op11_warc_chain(spark, d):
     path = scratch_path(spark, "warc")
-    warc.write(table(spark, d, "pages"), path)
+    warc.write(table(spark, d, "pages"), path, compression="gzip")
     return warc.Archives(spark, path).index().select(
         warc.page_number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
         warc.page_number(F.col("refers_to")).alias("refers_to"))

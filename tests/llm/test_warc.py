@@ -49,8 +49,9 @@ def rows():
                   (5, "s", "x" * 99, "", 1), (6, "s", "x" * 99, "", 1), (7, "s", "y" * 100, "", 1), (8, "s", "y" * 100, "", 1)]
 
 
-def test_round_trip(spark, rows, folder):
-    W.write(spark.createDataFrame(rows, SCHEMA), folder)
+@pytest.mark.parametrize("compression", [None, "gzip"])
+def test_round_trip(spark, rows, folder, compression):
+    W.write(spark.createDataFrame(rows, SCHEMA), folder, compression=compression)
     got = read(spark, folder)
     assert got == plain(rows) and sum(r[3] == "revisit" for r in got) > 300
 
