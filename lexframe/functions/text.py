@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 # Whitespace class written so that Java regex and RE2 read it the same way (NBSP included).
 WS = r"[\s\x{00a0}]"
 
-# Named HTML entities decoded in page text: HTML 4's table as Python ships it, and &apos;.
-HTML_ENTITIES = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"}
+# Named character references as Python ships them: HTML 4's first, since a map is searched in order, then HTML 5's.
+HTML_ENTITIES = {name: chr(code) for name, code in html.entities.name2codepoint.items()}
+HTML_ENTITIES |= {name[:-1]: text for name, text in html.entities.html5.items() if name.endswith(";") and name[:-1] not in HTML_ENTITIES}
+# Those that are read without their semicolon, too.
+BARE_ENTITIES = {name: text for name, text in html.entities.html5.items() if not name.endswith(";")}
 
 # Spanish month abbreviations of the bulletin's DD-MMM-YYYY dates.
 SPANISH_MONTHS = ["ENE", "FEB", "MAR", "ABR", "MAY", "JUN", "JUL", "AGO", "SEP", "OCT", "NOV", "DIC"]
@@ -22,31 +25,40 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _entity_map() -> Column:
+def _entity_map(entities: dict) -> Column:
     # One constant instead of two literals per entity: it is folded once when a query is planned.
-    return F.from_json(F.lit(json.dumps(HTML_ENTITIES)), "map<string,string>")
+    return F.from_json(F.lit(json.dumps(entities)), "map<string,string>")
+
+
+# Numeric references from 128 to 159 name bytes of windows-1252 (five of which are undefined there).
+WINDOWS_1252 = {str(n): bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
 def _code_point(n) -> Column:
-    """The character of a code point, NULL outside Unicode's scalar values: its UTF-32 bytes decoded."""
+    """The character of a numeric reference, NULL outside Unicode's scalar values: its UTF-32 bytes decoded."""
     valid = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    return F.coalesce(F.when(n.between(0x80, 0x9F), F.try_element_at(_entity_map(WINDOWS_1252), n.cast("string"))),
+                      F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
 
 
-def decode_entities(c) -> Column:
-    """Decode the named entities of ``HTML_ENTITIES`` and numeric ones (``&#243;``,
-    ``&#xF3;``) in one pass: the text is split at each ``&`` and a piece starting with a
-    known ``name;`` gets its character back (each entity is decoded once, so
-    ``&amp;lt;`` stays ``&lt;``; an unknown one stays as it is)."""
-    names = _entity_map()
+def decode_entities(c, attribute: bool = False) -> Column:
+    """Decode named references (``&aacute;``, HTML 5's too) and numeric ones (``&#243;``, ``&#xF3;``) in one
+    pass: the text is split at each ``&`` and a piece starting with a known name gets its character back (each
+    is decoded once, so ``&amp;lt;`` stays ``&lt;``; an unknown one stays as it is). Numbers and the names of
+    ``BARE_ENTITIES`` need no semicolon; in an attribute a bare name before ``=`` is a parameter of a link."""
+    names, bare = _entity_map(HTML_ENTITIES), _entity_map(BARE_ENTITIES)
 
     def piece(p, i):
-        name = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        name = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*)", 1)
+        after = F.substr(p, F.length(name) + 1, F.lit(1))
+        closed = after == ";"
         hexed = F.lower(F.substr(name, F.lit(2), F.lit(1))) == "x"
         code = F.when(hexed, F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
-        char = F.when(name.startswith("#"), _code_point(code.try_cast("int"))).otherwise(F.try_element_at(names, name))
+        named = F.when(closed, F.try_element_at(names, name)).otherwise(F.try_element_at(bare, name) if not attribute else
+                                                                        F.when(after != "=", F.try_element_at(bare, name)))
+        char = F.when(name.startswith("#"), _code_point(code.try_cast("int"))).otherwise(named)
         return (F.when(i == 0, p)
-                .when(char.isNotNull(), F.concat(char, F.substr(p, F.length(name) + 2)))
+                .when(char.isNotNull(), F.concat(char, F.substr(p, F.length(name) + F.when(closed, 2).otherwise(1))))
                 .otherwise(F.concat(F.lit("&"), p)))
     x = _col(c)
     return F.when(F.instr(x, "&") == 0, x).otherwise(F.array_join(F.transform(F.split(x, "&"), piece), ""))
@@ -68,23 +80,10 @@ def collapse_ws(c) -> Column:
 
 
 def clean_html(c) -> Column:
-    """Drop scripts, styles and comments so that their text is never extracted."""
+    """Drop scripts, styles, comments and declarations so that their text is never extracted."""
     # the shared "<" is factored out so the matcher rejects every other position at once
     return F.regexp_replace(
-        _col(c), r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->)", "")
-
-
-def html_text(inner, sep: str = "") -> Column:
-    """Text of an HTML fragment: pieces between tags, decoded, trimmed, empty ones
-    dropped, joined by ``sep``."""
-    pieces = F.split(_col(inner), r"<[^>]*>")
-    pieces = F.transform(pieces, lambda x: strip_ws(decode_entities(x)))
-    return F.array_join(F.filter(pieces, lambda x: x != F.lit("")), sep)
-
-
-def first_element(html, tag: str, attrs: str = "") -> Column:
-    """Inner HTML of the first ``<tag attrs…>…</tag>``; '' when absent."""
-    return F.regexp_extract(_col(html), rf"(?is)<{tag}\b[^>]*{attrs}[^>]*>(.*?)</{tag}\s*>", 1)
+        _col(c), r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->|[!?][^>]*>)", "")
 
 
 def norm_date(c) -> Column:

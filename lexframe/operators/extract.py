@@ -1,14 +1,11 @@
 """Typed fields of norm pages and listing pages, as one native projection (§2.2).
 
-Every rule is a column expression over the page's HTML (regular expressions and
-higher-order array functions, all JVM built-ins): no per-row parser, no Python
-worker, no shuffle. Scripts, styles and comments are removed first, so text inside
-them is never read. Patterns are non-greedy and stop at the next tag because
-landed pages are not always balanced.
-
-A page's text pieces follow the HTML parser's rules: pieces between tags,
-entity-decoded; ``text(sep)`` trims each piece, drops empty ones and joins with
-``sep``; ``raw_text`` concatenates them untouched.
+Every rule is a column expression over the page's element table (``functions/html.py``: tags, texts and
+depths as arrays), JVM built-ins only: no per-row parser, no Python worker, no shuffle. Scripts, styles and
+comments are removed first, so text inside them is never read.
+
+Texts follow the page parser: pieces between tags, decoded; ``joined_text(sep)`` trims each piece, drops empty
+ones and joins with ``sep``; a raw text is their concatenation.
 """
 
 from __future__ import annotations
@@ -16,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.functions.text import (JAVA_SPACE_CHARS, clean_html, collapse_ws, decode_entities, first_element,
-                                     html_text, norm_date, resolve_url, strip_ws)
+from lexframe.functions.html import (first_tag, has_class, href, joined_text, next_sibling, only_text, parent_of, places, text_behind,
+                                     text_pieces, with_elements)
+from lexframe.functions.text import JAVA_SPACE_CHARS, collapse_ws, norm_date, resolve_url, strip_ws
 from lexframe.schemas import NORM_COLUMNS
 
 # Markers of the bulletin's pages.
@@ -34,7 +32,7 @@ TIPO_LETTERS = "A-ZÀÁÉÍÓÚÑa-zàáéíóúñ"
 TIPO = rf"^([{TIPO_LETTERS}]+(?:\s+[{TIPO_LETTERS}]+)*?)\s+\d+"
 NUMERO = r"\b(\d+)(?:/\d{4})?\b"
 ORGANISMO = r"\d+(?:/\d{4})?\s+(.+)"
-RESUMEN_LABEL = r"(?i)^Resumen:\s*"
+LABEL = "resumen:"
 RESUMEN_MIN_LEN = 10
 FULL_TEXT_LINK = "Texto completo"
 UPDATED_TEXT_LINK = "Texto actualizado"
@@ -46,77 +44,33 @@ NO_COUNT = "0"
 
 # Java regex reads \d, \s and \b as ASCII unless asked for Unicode classes.
 U = "(?U)"
-HREF = r"""\bhref\s*=\s*["']([^"']*)["']"""
-
-
-def _html(df: DataFrame) -> Column:
-    return clean_html(F.col("html"))
-
-
-def raw_text(inner) -> Column:
-    """All text pieces of a fragment concatenated as they are (decoded)."""
-    return F.array_join(F.transform(F.split(inner, r"<[^>]*>"), decode_entities), "")
-
-
-def _with_class(tag: str, cls: str) -> str:
-    return rf"""(?is)<{tag}\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?{cls}(?:\s[^"']*)?["'][^>]*>(.*?)</{tag}\s*>"""
-
-
-# Elements without content, which never stay open.
-VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
-
-
-def _opens(tag) -> Column:
-    """Whether a tag name opens an element."""
-    return (tag != "") & ~tag.startswith("/") & ~tag.isin(VOID_TAGS)
-
-
-def _single_chain(text: str) -> str:
-    """Pattern of an element's inside that is one text with ``text`` in it, bare or inside
-    elements that hold nothing else."""
-    return rf"(?is)^(?:<[a-z][^>]*>)*[^<]*{text}[^<]*(?:</[a-z][^>]*>)*$"
-
-
-def _only_text(tag: str, text: str, flags: str = "(?s)") -> str:
-    """Pattern of a whole element whose only text contains ``text``."""
-    return rf"{flags}<{tag}\b[^>]*>(?:<[A-Za-z][^>]*>)*[^<]*{text}[^<]*(?:</[A-Za-z][^>]*>)*?</{tag}\s*>"
-
-
-def anchors(html) -> Column:
-    """The links of a page: array of (href, decoded; '' without one), (has_href) and (inner HTML)."""
-    elements = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), 0)
-    return F.transform(elements, lambda a: F.struct(
-        decode_entities(F.regexp_extract(a, r"(?is)^<a\b[^>]*" + HREF, 1)).alias("href"),
-        a.rlike(r"(?is)^<a\b[^>]*" + HREF).alias("has_href"),
-        F.regexp_replace(a, r"(?is)^<a\b[^>]*>|</a\s*>$", "").alias("inner")))
-
 
 # ---------------------------------------------------------------- listing pages
-def listing_ids(html) -> Column:
-    """Norm ids linked from a listing page, distinct, in first-seen order."""
-    hrefs = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*" + HREF + r"[^>]*>.*?</a"), 1)
-    hrefs = F.transform(hrefs, decode_entities)
-    hits = F.filter(hrefs, lambda h: h.rlike(NORM_LINK))
+def _listing(pages: DataFrame) -> DataFrame:
+    """Adds ``_ids`` to the element table: the norm ids linked from a listing page, distinct, in first-seen order."""
+    hits = F.filter("hrefs", lambda h: F.coalesce(h.rlike(NORM_LINK), F.lit(False)))
     # An id beyond 64 bits is no norm id (null): it is dropped, not an error.
-    return F.array_distinct(F.array_compact(F.transform(hits, lambda h: F.regexp_extract(h, NORM_ID, 1).try_cast("long"))))
+    ids = F.array_distinct(F.array_compact(F.transform(hits, lambda h: F.regexp_extract(h, NORM_ID, 1).try_cast("long"))))
+    return with_elements(pages).withColumn("_ids", ids)
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """``(page_id, pos, norm_id)``: one row per linked norm id, ``pos`` 0-based."""
-    return pages.select("page_id", F.posexplode(listing_ids(_html(pages))).alias("pos", "norm_id")) \
+    return _listing(pages).select(F.col("_id").alias("page_id"), F.posexplode("_ids").alias("pos", "norm_id")) \
         .select("page_id", F.col("pos").cast("long").alias("pos"), "norm_id")
 
 
 def classify_listing(pages: DataFrame) -> DataFrame:
     """``(page_id, status, n_ids)``: "found" with ids; without ids "empty" when the page
     says there are no results, else "suspect" (a day that must not pass silently)."""
-    n = F.size(listing_ids(_html(pages)))
-    low = F.lower(F.col("html"))
+    n = F.size("_ids")
+    low = F.lower(F.col("_id.html"))
     says_empty = F.lit(False)
     for m in EMPTY_LISTING_MARKERS:
         says_empty = says_empty | low.contains(m)
     status = F.when(n > 0, "found").when(says_empty, "empty").otherwise("suspect")
-    return pages.select("page_id", status.alias("status"), n.cast("long").alias("n_ids"))
+    listed = _listing(pages.select(F.struct("page_id", "html").alias("page_id"), "html"))
+    return listed.select(F.col("_id.page_id").alias("page_id"), status.alias("status"), n.cast("long").alias("n_ids"))
 
 
 def cap_flags(links: DataFrame, n: int | None = None) -> DataFrame:
@@ -130,307 +84,187 @@ def daily_cap(links: DataFrame, n: int | None = None) -> DataFrame:
     return cap_flags(links, n).where("kept").drop("kept")
 
 
-# ---------------------------------------------------------------- header fields
-def _header(html) -> Column:
-    """Text of the first <strong>: pieces joined by a space, whitespace collapsed."""
-    return strip_ws(collapse_ws(html_text(first_element(html, "strong"), " ")))
+# ---------------------------------------------------------------- rules over the element table
+def _text_of(place, sep: str = "") -> Column:
+    """Text of the element at a place; '' without one."""
+    return F.coalesce(joined_text(text_pieces(place), sep), F.lit(""))
 
 
-def _has_header(html) -> Column:
-    return html.rlike(r"(?is)<strong\b[^>]*>.*?</strong\s*>")
+def _raw_text(place) -> Column:
+    return F.coalesce(F.array_join(text_pieces(place), ""), F.lit(""))
 
 
-def tipo_col(html) -> Column:
-    return strip_ws(F.regexp_extract(_header(html), U + TIPO, 1))
+def date_text(c) -> Column:
+    """Normalised ``yyyy-MM-dd`` text of a bulletin date, NULL when not a date."""
+    return F.date_format(norm_date(c), "yyyy-MM-dd")
 
 
-def numero_col(html) -> Column:
-    num = F.regexp_extract(_header(html), U + NUMERO, 1)
-    return F.when(_has_header(html) & (num != ""), num).otherwise(F.lit(NO_NUMBER))
+def _header(table: DataFrame) -> DataFrame:
+    """``_hdr``: the text of the first <strong>, pieces joined by a space, whitespace collapsed; NULL without one."""
+    table = table.withColumn("_strong", first_tag("strong"))
+    return table.withColumn("_hdr", F.when(F.col("_strong").isNotNull(), strip_ws(collapse_ws(_text_of(F.col("_strong"), " ")))))
 
 
-def organismo_col(html) -> Column:
-    return strip_ws(F.regexp_extract(_header(html), U + ORGANISMO, 1))
+def _header_fields() -> dict[str, Column]:
+    # The type rule already takes every word before the number, so nothing is ever left for the class:
+    # the column is kept, always empty.
+    header = F.coalesce("_hdr", F.lit(""))
+    number = F.regexp_extract(header, U + NUMERO, 1)
+    return {"tipo_norma": strip_ws(F.regexp_extract(header, U + TIPO, 1)),
+            "numero_norma": F.when(number != "", number).otherwise(F.lit(NO_NUMBER)),
+            "clase_norma": F.lit(""),
+            "organismo_origen": strip_ws(F.regexp_extract(header, U + ORGANISMO, 1))}
 
 
-def extract_tipo(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", tipo_col(_html(pages)).alias("tipo_norma"))
+def _titles(table: DataFrame) -> DataFrame:
+    """``_h1``, and ``_date`` and ``_sum``, the texts of the first spans of the two classes."""
+    table = table.withColumns({"_h1": first_tag("h1"), "_date_at": first_tag("span", lambda i: has_class(i, DATE_CLASS)),
+                               "_sum_at": first_tag("span", lambda i: has_class(i, SUMMARY_CLASS))})
+    return table.withColumns({"_date": _text_of(F.col("_date_at")), "_sum": _text_of(F.col("_sum_at"))})
 
 
-def extract_numero(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", numero_col(_html(pages)).alias("numero_norma"))
+def _title_fields() -> dict[str, Column]:
+    titled = F.col("_h1").isNotNull()
+    return {"fecha_sancion": F.coalesce(date_text(F.col("_date")), F.col("_date")),
+            "titulo_resumido": _text_of(F.col("_h1")), "titulo_sumario": F.when(titled, F.col("_sum")).otherwise(F.lit(""))}
 
 
-def extract_organismo(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", organismo_col(_html(pages)).alias("organismo_origen"))
+def _bulletin(table: DataFrame) -> DataFrame:
+    """``_bp``, the first <p> that follows <h1> under the same parent, its text ``_bt``, and ``_bl``, the text of its date link."""
+    table = table.withColumn("_bp", F.when(F.col("_h1").isNotNull(), next_sibling(F.col("_h1"), "p")))
+    table = table.withColumns({"_bt": _raw_text(F.col("_bp")), "_be": F.size(text_pieces(F.col("_bp")))})
+    link = F.get(F.filter(places(F.col("_bp") + 1, F.col("_bp") + F.col("_be") - 1),
+                          lambda i: (F.get(F.col("tags"), i - 1) == "a") & href(i).contains(BULLETIN_DATE_LINK)), 0)
+    return table.withColumn("_bl_at", F.when(F.col("_bp").isNotNull(), link)).withColumn("_bl", _text_of(F.col("_bl_at")))
 
 
-def extract_clase(pages: DataFrame) -> DataFrame:
-    """The class between type and number. The type rule already takes every word
-    before the number, so nothing is ever left for the class: the column is kept,
-    always empty."""
-    return pages.select("page_id", F.lit("").alias("clase_norma"))
+def _bulletin_fields() -> dict[str, Column]:
+    text = F.col("_bt")
+    return {"numero_boletin": F.regexp_extract(text, U + BULLETIN_NUMBER, 1),
+            "fecha_boletin": F.coalesce(date_text(F.col("_bl")), date_text(F.regexp_extract(text, BULLETIN_DATE, 1)), F.lit("")),
+            "pagina_boletin": F.regexp_extract(text, U + BULLETIN_PAGE, 1)}
 
 
-# ---------------------------------------------------------------- dates and titles
-def date_text(c) -> Column:
-    """Normalised ``yyyy-MM-dd`` text of a bulletin date, NULL when not a date."""
-    return F.date_format(norm_date(c), "yyyy-MM-dd")
+def _unlabelled(t) -> Column:
+    """``t`` without a leading ``LABEL`` (any case, then Java whitespace): a test
+    of the first characters and a character trim, so a long text is not scanned
+    position by position as an anchored ``regexp_replace`` would."""
+    return F.when(F.lower(F.substring(t, 1, len(LABEL))) == LABEL,
+                  F.ltrim(F.substring(t, len(LABEL) + 1, 1 << 30), F.lit(JAVA_SPACE_CHARS))).otherwise(t)
 
 
-def fecha_sancion_col(html) -> Column:
-    raw = html_text(F.regexp_extract(html, _with_class("span", DATE_CLASS), 1), "")
-    return F.coalesce(date_text(raw), raw)
+def _label_paragraphs() -> Column:
+    """Places of the <p> whose text begins with the label. The label may be cut by tags, so a paragraph counts if its
+    first text can begin the label; its whole text decides."""
+    first = lambda i: F.get(F.filter(F.transform(text_pieces(i), strip_ws), lambda x: x != ""), 0)
+    begins = lambda t: F.startswith(F.lit(LABEL), F.lower(F.substring(t, 1, len(LABEL))))
+    labelled = lambda i: F.substring(_text_of(i), 1, len(LABEL)).isin(LABEL, LABEL.capitalize())
+    return F.filter(places(F.lit(1), F.size("tags")), lambda i: (F.get(F.col("tags"), i - 1) == "p")
+                    & F.when(begins(first(i)), labelled(i)).otherwise(F.lit(False)))
 
 
-def extract_fecha_sancion(pages: DataFrame) -> DataFrame:
-    """Sanction date: normalised when it parses, else the raw text (quarantined at load)."""
-    return pages.select("page_id", fecha_sancion_col(_html(pages)).alias("fecha_sancion"))
+def _summary(table: DataFrame) -> DataFrame:
+    """``_res_a``: the text of the element around the first <strong> whose only text contains the label, label removed
+    (NULL without one); ``_res_b``: the texts of the paragraphs that begin with the label, label removed."""
+    table = table.withColumns({"_lab": only_text("strong", "Resumen", any_case=False), "_lp": _label_paragraphs()})
+    table = table.withColumn("_par", F.when(F.col("_lab").isNotNull(), parent_of(F.col("_lab"))))
+    table = table.withColumns({"_res_t": F.when(F.col("_par").isNotNull(), _text_of(F.col("_par"))), "_res_p": F.transform("_lp", lambda i: _text_of(i))})
+    return table.withColumns({"_res_a": _unlabelled(F.col("_res_t")), "_res_b": F.transform("_res_p", _unlabelled)})
 
 
-def _has_h1(html) -> Column:
-    return html.rlike(r"(?is)<h1\b[^>]*>.*?</h1\s*>")
+def _summary_fields() -> dict[str, Column]:
+    """The labelled element's text, else the first labelled paragraph's, if long enough."""
+    first = F.get(F.filter("_res_b", lambda t: F.length(t) > RESUMEN_MIN_LEN), 0)
+    return {"texto_resumido": F.coalesce(F.when(F.length("_res_a") > RESUMEN_MIN_LEN, F.col("_res_a")), first, F.lit(""))}
 
 
-def titulo_resumido_col(html) -> Column:
-    return html_text(first_element(html, "h1"), "")
+def _links(table: DataFrame) -> DataFrame:
+    """``_full`` and ``_upd``, the targets of the links with these texts, and ``_to`` and ``_by``, the texts of the counting links."""
+    counting = lambda rule: first_tag("a", lambda i: F.coalesce(href(i).rlike(rule), F.lit(False)))
+    table = table.withColumns({"_full_at": only_text("a", FULL_TEXT_LINK), "_upd_at": only_text("a", UPDATED_TEXT_LINK),
+                               "_to_at": counting(MODIFIES_LINK), "_by_at": counting(MODIFIED_BY_LINK)})
+    return table.withColumns({"_full": F.coalesce(href(F.col("_full_at")), F.lit("")), "_upd": F.coalesce(href(F.col("_upd_at")), F.lit("")),
+                              "_to": _raw_text(F.col("_to_at")), "_by": _raw_text(F.col("_by_at"))})
 
 
-def titulo_sumario_col(html) -> Column:
-    sumario = html_text(F.regexp_extract(html, _with_class("span", SUMMARY_CLASS), 1), "")
-    return F.when(_has_h1(html), sumario).otherwise(F.lit(""))
+def _link_fields(base: str) -> dict[str, Column]:
+    absolute = lambda c: F.when(F.col(c) != "", resolve_url(F.col(c), base)).otherwise(F.lit(""))
+    count = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, U + r"(\d+)", 1), F.lit("")), F.lit(NO_COUNT))
+    return {"texto_original": absolute("_full"), "texto_actualizado": absolute("_upd"), "modificada_por": count("_by"), "modifica_a": count("_to")}
 
 
-def extract_titles(pages: DataFrame) -> DataFrame:
-    """Title from the first <h1> (pieces joined with no separator); summary title from
-    the first ``span.destacado``, only on pages that have an <h1>."""
-    h = _html(pages)
-    return pages.select("page_id", titulo_resumido_col(h).alias("titulo_resumido"),
-                        titulo_sumario_col(h).alias("titulo_sumario"))
+def _observations(table: DataFrame) -> DataFrame:
+    table = table.withColumn("_obs_at", only_text("strong", OBSERVATIONS_LABEL))
+    return table.withColumn("_obs", F.coalesce(text_behind(F.col("_obs_at")), F.lit("")))
 
 
-def _bulletin_p(segments, tags) -> Column:
-    """Inner HTML of the first <p> that is a sibling after the first <h1> ('' when its
-    parent ends first). A <p> that is never closed ends with its parent.
+def _fields(table: DataFrame, fields: dict[str, Column], *names: str) -> DataFrame:
+    return table.select(F.col("_id").alias("page_id"), *[fields[n].alias(n) for n in names or fields])
 
-    A fold over the tags after </h1>: ``depth`` counts elements open since then, and the
-    paragraph is the first <p> at depth 0, up to the tag that closes it."""
-    state = "struct<depth:int,start:int,end:int>"
-    begin = F.array_position(tags, "/h1").cast("int")
 
-    def step(acc, i):
-        t = F.get(tags, i - 1)
-        opens, closes, inside = _opens(t), t.startswith("/"), acc["start"] > 0
-        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        starts = ~inside & (acc["depth"] == 0) & (t == "p")
-        ends = closes & F.when(inside, depth == 0).otherwise(depth < 0)
-        moved = F.struct(depth.cast("int").alias("depth"), F.when(starts, i).otherwise(acc["start"]).cast("int").alias("start"),
-                         F.when(ends, i).otherwise(acc["end"]).cast("int").alias("end"))
-        return F.when(acc["end"] > 0, acc).otherwise(moved).cast(state)
-    places = F.when((begin > 0) & (begin < F.size(tags)), F.sequence(begin + 1, F.size(tags))).otherwise(F.array().cast("array<int>"))
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("start"), F.lit(0).alias("end")).cast(state)
-    return F.aggregate(places, zero, step)
+# ---------------------------------------------------------------- the fields one by one
+def extract_tipo(pages: DataFrame) -> DataFrame:
+    return _fields(_header(with_elements(pages)), _header_fields(), "tipo_norma")
+
 
+def extract_numero(pages: DataFrame) -> DataFrame:
+    return _fields(_header(with_elements(pages)), _header_fields(), "numero_norma")
 
-def _bulletin_html(segments, found) -> Column:
-    """``found`` is ``_bulletin_p`` as a staged column."""
-    end = F.when(found["end"] > 0, found["end"]).otherwise(F.size(segments) + 1)
-    inner = F.array_join(F.slice(segments, found["start"], F.greatest(end - found["start"], F.lit(0))), "")
-    return F.when(found["start"] > 0, F.regexp_replace(inner, r"(?is)^<p\b[^>]*>", "")).otherwise(F.lit(""))
 
+def extract_organismo(pages: DataFrame) -> DataFrame:
+    return _fields(_header(with_elements(pages)), _header_fields(), "organismo_origen")
 
-def _fecha_boletin(p, text) -> Column:
-    link = F.get(F.filter(anchors(p), lambda a: a["href"].contains(BULLETIN_DATE_LINK)), 0)
-    from_link = date_text(html_text(link["inner"], ""))
-    from_text = date_text(F.regexp_extract(text, BULLETIN_DATE, 1))
-    return F.coalesce(from_link, from_text, F.lit(""))
 
+def extract_clase(pages: DataFrame) -> DataFrame:
+    """The class between type and number: always empty (see ``_header_fields``)."""
+    return _fields(_header(with_elements(pages)), _header_fields(), "clase_norma")
 
-def _bulletin_stages(staged: DataFrame) -> DataFrame:
-    """Adds ``_bp`` and ``_bt``, the bulletin paragraph's HTML and text, from ``_sg`` and ``_tg``."""
-    staged = staged.withColumn("_bf", _bulletin_p(F.col("_sg"), F.col("_tg")))
-    staged = staged.withColumn("_bp", _bulletin_html(F.col("_sg"), F.col("_bf")))
-    return staged.withColumn("_bt", raw_text(F.col("_bp")))
 
+def extract_fecha_sancion(pages: DataFrame) -> DataFrame:
+    """Sanction date: normalised when it parses, else the raw text (quarantined at load)."""
+    return _fields(_titles(with_elements(pages)), _title_fields(), "fecha_sancion")
 
-def _segmented(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """``(_id, _h, _sg, _tg)``: cleaned HTML, cut before each tag, and the tags' names."""
-    staged = pages.select(F.col(id_col).alias("_id"), clean_html(F.col("html")).alias("_h"))
-    staged = staged.withColumn("_sg", F.split("_h", r"(?=<[A-Za-z/])"))
-    return staged.withColumn("_tg", F.transform("_sg", lambda s: F.lower(F.regexp_extract(s, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1))))
+
+def extract_titles(pages: DataFrame) -> DataFrame:
+    """Title from the first <h1> (pieces joined with no separator); summary title from
+    the first ``span.destacado``, only on pages that have an <h1>."""
+    return _fields(_titles(with_elements(pages)), _title_fields(), "titulo_resumido", "titulo_sumario")
 
 
 def extract_boletin(pages: DataFrame) -> DataFrame:
     """Bulletin date (from the ``page_id=216`` link, else a DD-MMM-YYYY text), number
     and page, read from the paragraph after the title."""
-    staged = _bulletin_stages(_segmented(pages))
-    return staged.select(F.col("_id").alias("page_id"), _fecha_boletin(F.col("_bp"), F.col("_bt")).alias("fecha_boletin"),
-                         F.regexp_extract("_bt", U + BULLETIN_NUMBER, 1).alias("numero_boletin"),
-                         F.regexp_extract("_bt", U + BULLETIN_PAGE, 1).alias("pagina_boletin"))
-
-
-def _unlabelled(t) -> Column:
-    """``t`` without a leading ``RESUMEN_LABEL`` (any case, then Java whitespace): a test
-    of the first characters and a character trim, so a long text is not scanned
-    position by position as an anchored ``regexp_replace`` would."""
-    label = "resumen:"
-    return F.when(F.lower(F.substring(t, 1, len(label))) == label,
-                  F.ltrim(F.substring(t, len(label) + 1, 1 << 30), F.lit(JAVA_SPACE_CHARS))).otherwise(t)
-
-
-def _label_paragraphs(segments, tags) -> Column:
-    """Places of the <p> whose text begins with the label."""
-    head = r"^(?i:<p)\b[^>]*>(?:[\s\x{00a0}]|<[^>]*>)*[Rr]esumen:"
-    return F.filter(F.sequence(F.lit(1), F.size(tags)), lambda i: (F.get(tags, i - 1) == "p")
-                    & F.array_join(F.slice(segments, i, 8), "").rlike(head))
-
-
-def _label_parent(segments, tags) -> Column:
-    """(first, end) of the segments of the element around the first <strong> whose only
-    text contains "Resumen"; the whole page when nothing is around it, NULL without one.
-
-    The open elements before the label are a fold: an opening tag is pushed, a closing
-    tag drops everything from its last opening on (as the page parser does)."""
-    places = F.sequence(F.lit(1), F.size(tags))
-    around = lambda i: F.array_join(F.slice(segments, i, 6), "")
-    label = F.get(F.filter(places, lambda i: (F.get(tags, i - 1) == "strong") & around(i).rlike(_only_text("strong", "Resumen"))), 0)
-    return F.when(F.exists(tags, lambda t: t == "strong"), label)
-
-
-def _open_elements(tags, before) -> Column:
-    """Places of the elements open at place ``before``, outermost first."""
-    def step(stack, i):
-        t = F.get(tags, i - 1)
-        same = F.filter(stack, lambda j: F.get(tags, j - 1) == F.substr(t, F.lit(2)))
-        last = F.element_at(same, -1)
-        return (F.when(_opens(t), F.array_append(stack, i))
-                .when(t.startswith("/") & (F.size(same) > 0), F.filter(stack, lambda j: j < last)).otherwise(stack))
-    places = F.when(before > 1, F.sequence(F.lit(1), before - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.array().cast("array<int>"), step)
-
-
-def _element_text(segments, tags, at) -> Column:
-    """Text of the element that opens at place ``at`` (of the page when 0). It ends at its own
-    closing tag, or with an element around it when it has none."""
-    name = F.get(tags, at - 1)
-    rest = F.sequence(at + 1, F.size(tags))
-    state = "struct<same:int,depth:int,end:int>"
-
-    def step(acc, i):
-        t = F.get(tags, i - 1)
-        same = acc["same"] + F.when(t == name, 1).when(t == F.concat(F.lit("/"), name), -1).otherwise(0)
-        depth = acc["depth"] + F.when(_opens(t), 1).when(t.startswith("/"), -1).otherwise(0)
-        moved = F.struct(same.cast("int").alias("same"), depth.cast("int").alias("depth"),
-                         F.when((same < 0) | (depth < 0), i).otherwise(0).cast("int").alias("end"))
-        return F.when(acc["end"] > 0, acc).otherwise(moved).cast(state)
-    zero = F.struct(F.lit(0).alias("same"), F.lit(0).alias("depth"), F.lit(0).alias("end")).cast(state)
-    end = F.when((at > 0) & (at < F.size(tags)), F.aggregate(rest, zero, step)["end"]).otherwise(F.lit(0))
-    stop = F.when(end > 0, end).otherwise(F.size(segments) + 1)
-    return html_text(F.array_join(F.slice(segments, F.greatest(at, F.lit(1)), stop - F.greatest(at, F.lit(1))), ""), "")
-
-
-def _summary_stages(staged: DataFrame) -> DataFrame:
-    """Adds ``_res_a``: the text of the labelled element, label removed (NULL without a label); and
-    ``_res_b``: the texts of the paragraphs that begin with the label, label removed."""
-    sg, tg = F.col("_sg"), F.col("_tg")
-    staged = staged.withColumns({"_lab": _label_parent(sg, tg), "_lp": _label_paragraphs(sg, tg)})
-    staged = staged.withColumn("_open", F.when(F.col("_lab").isNotNull(), _open_elements(tg, F.col("_lab"))))
-    staged = staged.withColumn("_par", F.coalesce(F.element_at("_open", F.lit(-1)), F.lit(0)))
-    text = F.when(F.col("_lab").isNotNull(), _element_text(sg, tg, F.col("_par")))
-    staged = staged.withColumns({"_res_t": text, "_res_p": F.transform("_lp", lambda i: _element_text(sg, tg, i))})
-    return staged.withColumns({"_res_a": _unlabelled(F.col("_res_t")), "_res_b": F.transform("_res_p", _unlabelled)})
-
-
-def _resumen(labelled, paragraphs) -> Column:
-    """The labelled element's text, else the first labelled paragraph's, if long enough."""
-    first = F.get(F.filter(paragraphs, lambda t: F.length(t) > RESUMEN_MIN_LEN), 0)
-    return F.coalesce(F.when(F.length(labelled) > RESUMEN_MIN_LEN, labelled), first, F.lit(""))
+    return _fields(_bulletin(_titles(with_elements(pages))), _bulletin_fields(), "fecha_boletin", "numero_boletin", "pagina_boletin")
 
 
 def extract_resumen(pages: DataFrame) -> DataFrame:
     """Summary text after the "Resumen:" label (kept only when longer than 10 characters)."""
-    staged = _summary_stages(_segmented(pages))
-    return staged.select(F.col("_id").alias("page_id"), _resumen(F.col("_res_a"), F.col("_res_b")).alias("texto_resumido"))
-
-
-def _link_by_text(links, text: str) -> Column:
-    """href of the first link whose only text contains ``text``, in any case ('' without one)."""
-    hit = F.get(F.filter(links, lambda a: a["inner"].rlike(_single_chain(text))), 0)
-    return F.coalesce(hit["href"], F.lit(""))
-
-
-def _text_link(href, base: str) -> Column:
-    """``href`` (a staged column: it is read three times) made absolute; '' stays ''."""
-    return F.when(href != "", resolve_url(href, base)).otherwise(F.lit(""))
+    return _fields(_summary(with_elements(pages)), _summary_fields())
 
 
 def extract_text_links(pages: DataFrame, base: str) -> DataFrame:
     """Links of the full and the updated text, made absolute against ``base``."""
-    staged = pages.select("page_id", anchors(_html(pages)).alias("_a"))
-    staged = staged.select("page_id", _link_by_text(F.col("_a"), FULL_TEXT_LINK).alias("_full"),
-                           _link_by_text(F.col("_a"), UPDATED_TEXT_LINK).alias("_upd"))
-    return staged.select("page_id", _text_link(F.col("_full"), base).alias("texto_original"),
-                         _text_link(F.col("_upd"), base).alias("texto_actualizado"))
-
-
-def _count_link(links, href_rule: str) -> Column:
-    """The number in the text of the first link whose own href fits the rule."""
-    hit = F.get(F.filter(links, lambda a: a["href"].rlike(href_rule)), 0)
-    n = F.regexp_extract(raw_text(hit["inner"]), U + r"(\d+)", 1)
-    return F.coalesce(F.nullif(n, F.lit("")), F.lit(NO_COUNT))
+    return _fields(_links(with_elements(pages)), _link_fields(base), "texto_original", "texto_actualizado")
 
 
 def extract_modifications(pages: DataFrame) -> DataFrame:
     """How many norms this one modifies (``modo=1`` link) and is modified by (``modo=2``)."""
-    staged = pages.select("page_id", anchors(_html(pages)).alias("_a"))
-    return staged.select("page_id", _count_link(F.col("_a"), MODIFIES_LINK).alias("modifica_a"),
-                         _count_link(F.col("_a"), MODIFIED_BY_LINK).alias("modificada_por"))
-
-
-def observaciones_col(html) -> Column:
-    nxt = F.regexp_extract(html, _only_text("strong", OBSERVATIONS_LABEL, "(?is)") + r"([^<]*)", 1)
-    return strip_ws(decode_entities(nxt))
+    return _fields(_links(with_elements(pages)), _link_fields(""), "modifica_a", "modificada_por")
 
 
 def extract_observaciones(pages: DataFrame) -> DataFrame:
     """The text right after the "Observaciones:" label."""
-    return pages.select("page_id", observaciones_col(_html(pages)).alias("observaciones"))
+    return _fields(_observations(with_elements(pages)), {"observaciones": strip_ws("_obs")})
 
 
 def extract_norms(pages: DataFrame, base: str, id_col: str = "page_id") -> DataFrame:
     """All 17 fields of each norm page as text (the daily file's row), in file order.
 
-    Narrow projections over the pages (no shuffle): the cleaned HTML once, then the
-    pieces that read the whole page or are read by several fields (header text,
-    paragraph list, bulletin paragraph, text links, labelled summary), then the
-    fields. Each piece is its own column: Catalyst does not inline a costly column
-    that is read more than once, so every whole-page regular expression runs once
-    per page.
+    Narrow projections over the pages (no shuffle): the element table once, then the places that the rules
+    need, then the fields. Each step's columns are read more than once, so Catalyst keeps them instead of
+    repeating them.
     """
-    h = F.col("_h")
-    staged = _segmented(pages, id_col).withColumns({
-        "_hdr": _header(h), "_has_hdr": _has_header(h), "_has_h1": _has_h1(h), "_a": anchors(h)})
-    staged = staged.withColumns({"_full": _link_by_text(F.col("_a"), FULL_TEXT_LINK), "_upd": _link_by_text(F.col("_a"), UPDATED_TEXT_LINK)})
-    staged = _summary_stages(_bulletin_stages(staged))
-    hdr, bt = F.col("_hdr"), F.col("_bt")
-    num = F.regexp_extract(hdr, U + NUMERO, 1)
-    fields = {
-        "id_norma": F.col("_id").cast("long").cast("string"),
-        "tipo_norma": strip_ws(F.regexp_extract(hdr, U + TIPO, 1)),
-        "numero_norma": F.when(F.col("_has_hdr") & (num != ""), num).otherwise(F.lit(NO_NUMBER)),
-        "clase_norma": F.lit(""),
-        "organismo_origen": strip_ws(F.regexp_extract(hdr, U + ORGANISMO, 1)),
-        "fecha_sancion": fecha_sancion_col(h),
-        "numero_boletin": F.regexp_extract(bt, U + BULLETIN_NUMBER, 1),
-        "fecha_boletin": _fecha_boletin(F.col("_bp"), bt),
-        "pagina_boletin": F.regexp_extract(bt, U + BULLETIN_PAGE, 1),
-        "titulo_resumido": titulo_resumido_col(h),
-        "titulo_sumario": F.when(F.col("_has_h1"), html_text(F.regexp_extract(h, _with_class("span", SUMMARY_CLASS), 1), ""))
-        .otherwise(F.lit("")),
-        "texto_resumido": _resumen(F.col("_res_a"), F.col("_res_b")),
-        "observaciones": observaciones_col(h),
-        "texto_original": _text_link(F.col("_full"), base),
-        "texto_actualizado": _text_link(F.col("_upd"), base),
-        "modificada_por": _count_link(F.col("_a"), MODIFIED_BY_LINK), "modifica_a": _count_link(F.col("_a"), MODIFIES_LINK),
-    }
-    return staged.select(*[fields[c].alias(c) for c in NORM_COLUMNS])
+    table = _observations(_links(_summary(_bulletin(_titles(_header(with_elements(pages, id_col)))))))
+    fields = {"id_norma": F.col("_id").cast("long").cast("string"), "observaciones": strip_ws("_obs"),
+              **_header_fields(), **_title_fields(), **_bulletin_fields(), **_summary_fields(), **_link_fields(base)}
+    return table.select(*[fields[c].alias(c) for c in NORM_COLUMNS])

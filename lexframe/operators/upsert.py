@@ -31,7 +31,7 @@ def merge_embeddings(target: DataFrame, source: DataFrame, key: str = "id_norma"
     Because a matched row is replaced whole, the result is ``target ⋉̸ source ∪ source``;
     the planner broadcasts the source keys when their size allows it and else shuffles.
     With ``newer`` (columns that both sides hold), a matched row is replaced only by a
-    source row that is not older by those columns, whatever order the sources arrive in.
+    source row that is newer by those columns, whatever order the sources arrive in.
     The source must hold one row per key (``dedup_keep_last`` first). Returns
     ``(merged, rows_modified)``.
     """
@@ -40,7 +40,7 @@ def merge_embeddings(target: DataFrame, source: DataFrame, key: str = "id_norma"
     src = cut_lineage(source.select(*cols))
     if newer:
         mine = target.select(F.col(key).alias("_k"), F.struct(*newer).alias("_stored"))
-        late = src.join(mine, (F.col(key) == F.col("_k")) & (F.struct(*newer) < F.col("_stored")), "left_anti")
+        late = src.join(mine, (F.col(key) == F.col("_k")) & (F.struct(*newer) <= F.col("_stored")), "left_anti")
         src = cut_lineage(late.select(*cols))
     kept = target.select(*cols).join(src.select(key), key, "left_anti")
     return kept.unionByName(src), src.count()

@@ -167,8 +167,8 @@ def norm_pages(spark, d) -> DataFrame:
     (``page_id`` = norm id), with the markup the bulletin's pages use. The form varies with
     the id, so that every page rule has pages that need it (``catalog.EXTRACTED_SQL``
     states what each must give): numeric entities, month names in dates, summaries in a
-    ``div``, nested link texts, several links of a kind, unclosed paragraphs, and pages
-    without a title, a summary or a number."""
+    ``div``, labels inside five tags, nested link texts, several links of a kind, attributes
+    without quotes, unclosed paragraphs, and pages without a title, a summary or a number."""
     n = norm_rows(spark, d)
     i = F.col("id_norma")
     every = lambda k, r=0: F.pmod(i, F.lit(k)) == r
@@ -181,7 +181,8 @@ def norm_pages(spark, d) -> DataFrame:
     named = text(F.date_format("fecha_sancion", "dd-"), F.element_at(months, F.month("fecha_sancion")), F.date_format("fecha_sancion", "-yyyy"))
     header = text("<strong>", tipo, pick(every(17), F.lit(" "), text("&nbsp;<b>", F.col("numero_norma"), "/", F.year("fecha_sancion").cast("string"), "</b> ")),
                   F.upper(F.col("organismo_origen")), " NACIONAL</strong>")
-    sancion = text('<span class="no-vr_azul11x">1/1/1900</span><span class="c vr_azul11">', pick(every(6, 5), named, dmy), "</span>")
+    bare = every(7)
+    sancion = text('<span class="no-vr_azul11x">1/1/1900</span>', pick(bare, F.lit("<span class=vr_azul11>"), F.lit('<span title="a>b" class="c vr_azul11">')), pick(every(6, 5), named, dmy), "</span>")
     title = pick(every(11), F.lit("<h2>sin t&iacute;tulo</h2>"), text("<h1>", _esc(F.col("titulo_resumido")), "</h1>"))
     sumario = text('<span class="no-destacado">otro</span><span class="x destacado">', _esc(F.col("organismo_origen")), "</span>")
     boletin = text('<div><p>N&uacute;mero: 999</p></div><p>Publicada en el Bolet&iacute;n Oficial del ',
@@ -190,13 +191,14 @@ def norm_pages(spark, d) -> DataFrame:
                    pick(every(13), F.lit(""), F.lit("</p>")))
     body = _esc(F.col("texto_resumido"))
     resumen = pick(every(19), F.lit("<p>nada</p>"), pick(
-        every(5, 1), text("<div><strong><b>Resumen:</b></strong> ", body, "</div>"), pick(
+        every(5, 1), text(pick(every(3), F.lit("<div><strong><u><i><b><em><a name=r>Resumen:</a></em></b></i></u></strong> "), F.lit("<div><strong><b>Resumen:</b></strong> ")),
+                          body, "</div>"), pick(
             every(5, 2), text("<p>Resumen: ", body, "</p>"), text("<p><strong>Resumen:</strong><br>", body, "</p>"))))
     full = pick(every(3, 1), F.lit("<i><b>TEXTO COMPLETO</b></i>"), F.lit("Texto completo de la norma"))
-    links = text('<a href="no.htm">Texto <b>completo</b></a><a href="anexos/', i.cast("string"), '/norma.htm">', full, "</a>",
+    links = text('<a href="no.htm">Texto <b>completo</b></a>', pick(bare, text("<a href=anexos/", i.cast("string"), "/norma.htm>"), text('<a href="anexos/', i.cast("string"), '/norma.htm">')), full, "</a>",
                  pick(every(4, 1), text('<a href="http://bulletin.example/upd/', i.cast("string"), '">Texto actualizado</a>'),
                       pick(every(4, 2), text('<a href="upd/', i.cast("string"), '"><b>Texto actualizado</b></a>'), F.lit(""))))
-    counts = text('<a href="verVinculos.do?modo=1&amp;id=', i.cast("string"), '">Modifica a ', F.pmod(i, F.lit(23)).cast("string"),
+    counts = text(pick(bare, text("<a target=x href=verVinculos.do?modo=1&amp;id=", i.cast("string"), ">"), text('<a href="verVinculos.do?modo=1&amp;id=', i.cast("string"), '">')), "Modifica a ", F.pmod(i, F.lit(23)).cast("string"),
                   ' normas</a><a href="verVinculos.do?modo=1">77</a>',
                   pick(every(3), F.lit(""), text('<a href="verVinculos.do?modo=2&amp;id=', i.cast("string"), '">modificada por ',
                                                  F.pmod(i, F.lit(29)).cast("string"), "</a>")))
@@ -219,7 +221,8 @@ def listing_pages(spark, d) -> DataFrame:
                                    .alias("grp"))
     ids = n.groupBy("grp").agg(F.sort_array(F.collect_list("id_norma"), asc=False).alias("ids"))
     links = F.array_join(F.transform("ids", lambda i: F.concat(
-        F.lit('<li><a href="verNorma.do?id='), i.cast("string"), F.lit('">Norma '), i.cast("string"),
+        F.when(i % 2 == 0, F.lit("<li><a href=verNorma.do?id=")).otherwise(F.lit('<li><a href="verNorma.do?id=')), i.cast("string"),
+        F.when(i % 2 == 0, F.lit(">Norma ")).otherwise(F.lit('">Norma ')), i.cast("string"),
         F.lit('</a> <a href="http://bulletin.example/verNorma.do;s=1?id='), i.cast("string"),
         F.lit('&amp;v=1">ver</a></li>'))), "")
     found = ids.select((F.col("grp") * 3).alias("page_id"),

@@ -414,7 +414,7 @@ def q_upsert_feedback(spark, d):
     votes = ev.select(F.col("event_id").alias("vote_id"), F.col("user_id").alias("interaction_id"),
                       F.col("event_type").isin("purchase", "click").alias("is_positive"), "ts")
     current = B.table(spark, d, "labels").select(
-        F.col("doc_id").alias("interaction_id"), (F.col("quality") == 1).alias("is_positive"),
+        F.lit(None).cast("long").alias("vote_id"), F.col("doc_id").alias("interaction_id"), (F.col("quality") == 1).alias("is_positive"),
         F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00")).alias("ts"))
     return upsert_feedback(current, votes)
 
@@ -603,10 +603,8 @@ FROM (SELECT unnest(generate_series(CAST(min(o_orderdate) AS DATE), CAST(max(o_o
       FROM orders)
 WHERE isodow(x) <= 5""")
 def q_workday_partitions(spark, d):
-    from lexframe.sources.norms import workday_partitions
-    span = B.table(spark, d, "orders").agg(F.to_date(F.min("o_orderdate")).alias("s"),
-                                           F.to_date(F.max("o_orderdate")).alias("e")).first()
-    return workday_partitions(spark, span["s"].isoformat(), span["e"].isoformat())
+    from lexframe.sources.norms import workdays_of
+    return workdays_of(B.table(spark, d, "orders"), "o_orderdate").select("scrape_date")
 
 
 @register("workday_rows", """
@@ -652,13 +650,26 @@ def q_load_master(spark, d):
     return master.select("id_norma", "scrape_date", "texto_resumido")
 
 
+@register("load_order", f"""{NORM_ROWS_CTE}
+SELECT id_norma, CASE WHEN id_norma % 3 = 0 THEN 'second file' ELSE texto_resumido END AS texto_resumido FROM norm_rows""")
+def q_load_order(spark, d):
+    """Two files a day, the second far smaller: its rows come last, though Spark reads large files first."""
+    from lexframe.sources.norms import load_master, quarantine, scan_norms_raw, write_norms_csv
+    path = scratch_path(spark, "daily-csv")
+    rows = B.norm_rows(spark, d)
+    write_norms_csv(rows, path)
+    write_norms_csv(rows.where("id_norma % 3 = 0").withColumn("texto_resumido", F.lit("second file")), path, mode="append")
+    good, _ = quarantine(scan_norms_raw(spark, path))
+    return load_master(good, scratch_path(spark, "master"), "1").select("id_norma", "texto_resumido")
+
+
 @register("create_embeddings_table", f"""{NORM_ROWS_CTE}
 SELECT id_norma, CASE WHEN n > 0 THEN '' ELSE 'empty content' END AS ml_generate_embedding_status,
        CASE WHEN n > 0 THEN 768 ELSE 0 END AS dims, texto_resumido AS content, titulo_resumido AS title
 FROM (SELECT *, len({TOKENS_SQL.format(t='texto_resumido')}) AS n FROM norm_rows) WHERE n > 0""")
 def q_create_embeddings_table(spark, d):
     from lexframe.sources.norms import create_embeddings_table
-    t = create_embeddings_table(B.norm_rows(spark, d), scratch_path(spark, "master-embeddings"), "0", dim=768)
+    t = create_embeddings_table(B.norm_rows(spark, d), scratch_path(spark, "master-embeddings"), dim=768)
     return t.select("id_norma", "ml_generate_embedding_status",
                     F.size("ml_generate_embedding_result").alias("dims"), "content", "title")
 
@@ -687,7 +698,7 @@ def q_consume_staging(spark, d):
     from lexframe.sources.norms import append_staging, consume_staging
     path = scratch_path(spark, "staging")
     append_staging(B.norm_rows(spark, d), path)
-    done = consume_staging(spark, path, scratch_path(spark, "consumed"))
+    done = consume_staging(spark, path, scratch_path(spark, "consumed"), "1").drop("load")
     return done.crossJoin(spark.read.parquet(path).agg(F.count(F.lit(1)).alias("left_in_staging")))  # one row
 
 
@@ -851,10 +862,10 @@ FROM (SELECT page_id, unnest(hrefs) AS href, unnest(generate_series(1, len(hrefs
       FROM (SELECT page_id, {HS.HREFS} AS hrefs FROM pages))""")
 def q_resolve_url(spark, d):
     """Every link of every page made absolute."""
-    from lexframe.functions.text import clean_html, resolve_url
-    from lexframe.operators.extract import anchors
-    hrefs = F.transform(F.filter(anchors(clean_html("html")), lambda a: a["has_href"]), lambda a: a["href"])
-    return (_pages(spark, d).select("page_id", F.posexplode(hrefs).alias("pos", "href"))
+    from lexframe.functions.html import with_elements
+    from lexframe.functions.text import resolve_url
+    found = with_elements(_pages(spark, d)).select(F.col("_id").alias("page_id"), F.array_compact("hrefs").alias("hrefs"))
+    return (found.select("page_id", F.posexplode("hrefs").alias("pos", "href"))
             .select("page_id", F.col("pos").cast("long").alias("pos"), resolve_url("href", PAGE_BASE).alias("url")))
 
 
@@ -893,13 +904,13 @@ WHERE len({TOKENS_SQL.format(t='content')}) > 0""")
 def q_stream_merge_norms(spark, d):
     """Two arrivals of daily files (the original days, then a revised day) through the
     streaming merge; the result is the current embeddings table."""
-    from lexframe.sources.norms import read_current, write_norms_csv
+    from lexframe.sources.norms import read_keyed, write_norms_csv
     from lexframe.streaming.streams import stream_merge_norms
     in_dir, table_dir, ckpt = (scratch_path(spark, x) for x in ("inbox", "emb-table", "emb-ckpt"))
     for batch in (B.norm_rows(spark, d), B.revised_norms(spark, d)):
         write_norms_csv(batch, in_dir, mode="append")
         stream_merge_norms(spark, in_dir, table_dir, ckpt, dim=64).awaitTermination()
-    return read_current(spark, table_dir).select("id_norma", "content", "title")
+    return read_keyed(spark, table_dir).select("id_norma", "content", "title")
 
 
 @register("stream_merge_backfill", f"""{NORM_ROWS_CTE},
@@ -911,17 +922,34 @@ SELECT id_norma, content, title FROM m WHERE len({TOKENS_SQL.format(t='content')
 def q_stream_merge_backfill(spark, d):
     """A created embeddings table, then two streams with checkpoints of their own: the revised days,
     and the original days arriving late (an older row never replaces a newer one)."""
-    from lexframe.sources.norms import create_embeddings_table, read_current, write_norms_csv
+    from lexframe.sources.norms import create_embeddings_table, read_keyed, write_norms_csv
     from lexframe.streaming.streams import stream_merge_norms
     table_dir = scratch_path(spark, "emb-table")
-    # Created from the untouched half of the rows, labelled by date as a daily load would.
-    create_embeddings_table(B.norm_rows(spark, d).where("id_norma % 2 = 0"), table_dir, "2025-12-31", dim=64)
+    create_embeddings_table(B.norm_rows(spark, d), table_dir, dim=64)
     for batch in (B.revised_norms(spark, d), B.norm_rows(spark, d)):
         in_dir, ckpt = scratch_path(spark, "inbox"), scratch_path(spark, "emb-ckpt")
         write_norms_csv(batch, in_dir)
         for _ in range(2):  # a restart of the stream finds nothing new
             stream_merge_norms(spark, in_dir, table_dir, ckpt, dim=64).awaitTermination()
-    return read_current(spark, table_dir).select("id_norma", "content", "title")
+    return read_keyed(spark, table_dir).select("id_norma", "content", "title")
+
+
+@register("stream_merge_corrections", f"""{NORM_ROWS_CTE}
+SELECT id_norma, CASE WHEN tipo_norma IN ('en', 'fr') THEN 'corrected ' || texto_resumido ELSE texto_resumido END AS content, titulo_resumido AS title
+FROM norm_rows WHERE len({TOKENS_SQL.format(t='texto_resumido')}) > 0 OR tipo_norma IN ('en', 'fr')""")
+def q_stream_merge_corrections(spark, d):
+    """Every day arrives twice: as published, then with corrected rows of the same day in another order; the first
+    arrival is replayed at the end, as after a failure, and changes nothing."""
+    from lexframe.sources.norms import read_keyed, write_norms_csv
+    from lexframe.streaming.streams import stream_merge_norms
+    in_dir, table_dir, ckpt = (scratch_path(spark, x) for x in ("inbox", "emb-table", "emb-ckpt"))
+    rows = B.norm_rows(spark, d)
+    corrected = rows.where(F.col("tipo_norma").isin("en", "fr")).withColumn("texto_resumido", F.concat(F.lit("corrected "), "texto_resumido"))
+    for batch in (rows, corrected.orderBy(F.desc("id_norma"))):
+        write_norms_csv(batch, in_dir, mode="append")
+        stream_merge_norms(spark, in_dir, table_dir, ckpt, dim=64).awaitTermination()
+    stream_merge_norms(spark, in_dir, table_dir, scratch_path(spark, "emb-ckpt"), dim=64).awaitTermination()
+    return read_keyed(spark, table_dir).select("id_norma", "content", "title")
 
 
 @register("stream_feedback", """
@@ -937,23 +965,23 @@ FROM c FULL OUTER JOIN v ON v.interaction_id = c.interaction_id""")
 def q_stream_feedback(spark, d):
     """Votes arriving as two file drops (before and after mid-month) upserted by the
     feedback stream over the stored votes."""
-    from lexframe.sources.norms import read_current, write_version
-    from lexframe.streaming.streams import stream_feedback
+    from lexframe.sources.norms import write_keyed
+    from lexframe.streaming.streams import accepted_votes, stream_feedback
     ev = B.table(spark, d, "events")
     votes = ev.select(F.col("event_id").alias("vote_id"), F.col("user_id").alias("interaction_id"),
                       F.col("event_type").isin("purchase", "click").alias("is_positive"), "ts")
     current = B.table(spark, d, "labels").select(
-        F.col("doc_id").alias("interaction_id"), (F.col("quality") == 1).alias("is_positive"),
+        F.lit(None).cast("long").alias("vote_id"), F.col("doc_id").alias("interaction_id"), (F.col("quality") == 1).alias("is_positive"),
         F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00")).alias("ts"))
     known = B.table(spark, d, "documents").select(F.col("doc_id").alias("interaction_id"))
     in_dir, table_dir, ckpt = (scratch_path(spark, x) for x in ("votes", "feedback", "feedback-ckpt"))
-    write_version(current, table_dir, "0")
+    write_keyed(current, table_dir, "interaction_id")
     cut = F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00"))
     for part in (votes.where(F.col("ts") < cut), votes.where(F.col("ts") >= cut)):
         part.write.mode("append").parquet(in_dir)
         stream = spark.readStream.schema(votes.schema).parquet(in_dir)
-        stream_feedback(stream, table_dir, ckpt, known).awaitTermination()
-    return read_current(spark, table_dir).select("interaction_id", "is_positive", "ts")
+        stream_feedback(stream, table_dir, ckpt).awaitTermination()
+    return accepted_votes(spark, table_dir, known)[0].select("interaction_id", "is_positive", "ts")
 
 
 @register("stream_tail_sample", f"""

@@ -49,7 +49,7 @@ def date_text(x: str) -> str:
 
 
 H = clean("html")
-HREF = r"""\bhref\s*=\s*["']([^"']*)["']"""
+HREF = r"""\bhref\s*=\s*["']?([^"'\s>]*)["']?"""
 #: href of every link of a page that has one and is closed, decoded, in page order.
 HREFS = (f"list_transform(regexp_extract_all({H}, {q(r'(?is)<a\b[^>]*' + HREF + r'[^>]*>.*?</a')}, 1), lambda h: {decode('h')})")
 _IDS = (f"list_transform(list_filter({HREFS}, lambda h: regexp_matches(h, {q(r'verNorma\.do.*\?id=\d+')})),"

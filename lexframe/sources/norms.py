@@ -1,19 +1,20 @@
-"""Scans, sinks and table versions for norm records (§2.1 #1-#12).
-
-Tables are plain parquet directories. A replaced table is never overwritten in
-place (Spark cannot overwrite a path it is reading): each load writes new
-directories and then commits an append-only marker ``<table>/_versions/<number>``
-that lists the directories of the table; readers take the marker with the highest
-number. A load that fails before its marker leaves the previous state current. A
-marker also names the stream and the batch that it holds, if any, apart from its
-version label: which batches a stream has applied never depends on table versions.
+"""Scans, sinks and tables for norm records (§2.1 #1-#12).
+
+Two kinds of tables, both plain Parquet directories without a log of their own:
+
+- snapshots (``write_version``): every version is a directory ``version=<label>``; the current one is the
+  one written last, by the modification time of its files.
+- keyed tables (``write_keyed``, ``merge_keyed``): one row per whole-number key, partitioned by ranges of the
+  key that are sized to the table when it is made. A merge reads the ranges that its rows fall into
+  and replaces them by dynamic partition overwrite; new keys open new ranges. Merges are
+  idempotent (a row is replaced by a newer one only), so a merge that failed half-way is simply run again.
+  A reader should not run during a merge.
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,15 +34,22 @@ MALFORMED = "_corrupt_record"
 SCAN_SCHEMA = T.StructType(NORM_RAW_SCHEMA.fields + [T.StructField(MALFORMED, T.StringType()), T.StructField("scrape_date", T.DateType())])
 
 
+def load_order(source: Column, batch: int | None = None) -> Column:
+    """The order in which rows arrived, as a struct that compares: when the file was written, the batch of the
+    stream that read it, the file's name, the block, and the row. ``source`` is ``_metadata``."""
+    return F.struct(source["file_modification_time"].alias("modified"), F.lit(batch).cast("long").alias("batch"), source["file_name"].alias("file"),
+                    source["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def scan_norms_raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Daily files as text columns, NULL for the null tokens, with load order:
-    ``scrape_date`` from the partition directory and ``_ord`` rising within a file
-    (a multi-line CSV file is one split). A large file whose values hold no line breaks can
+    """Daily files as text columns, NULL for the null tokens, with their load order: ``scrape_date``
+    from the partition directory and ``_ord`` (``load_order``: a file written later comes later, whatever the
+    sizes of the files). A multi-line CSV file is one split. A large file whose values hold no line breaks can
     be read with ``multi_line=False``: it is then split over tasks, and ``_ord`` still rises
     in file order. Lines without the file's columns keep their text in ``MALFORMED``."""
     df = spark.read.options(**CSV_OPTIONS | {"multiLine": str(multi_line).lower()}).schema(SCAN_SCHEMA).csv(path)
     cols = [F.when(F.col(c).isin(NULL_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c) for c in NORM_COLUMNS]
-    return df.select(*cols, MALFORMED, "scrape_date", F.monotonically_increasing_id().alias("_ord"))
+    return df.select(*cols, MALFORMED, "scrape_date", load_order(F.col("_metadata")).alias("_ord"))
 
 
 def _typed(c: str):
@@ -130,127 +138,81 @@ def append_master(master: DataFrame, daily: DataFrame) -> DataFrame:
     return master.unionByName(daily, allowMissingColumns=True)
 
 
-def _markers(spark: SparkSession, table_path: str) -> DataFrame | None:
-    """All commit markers as (number, stream, batch, body); None before the first."""
-    from pyspark.errors import AnalysisException
-    try:
-        parts = F.split("value", "\t", 4)
-        return spark.read.text(f"{table_path}/_versions/*").select(
-            F.get(parts, 0).cast("long").alias("number"), F.get(parts, 1).alias("stream"),
-            F.get(parts, 2).try_cast("long").alias("batch"), F.get(parts, 3).alias("body"))
-    except AnalysisException:
-        return None
+# ---------------------------------------------------------------- snapshots
+def write_version(df: DataFrame, table_path: str, version: str) -> DataFrame:
+    """Write ``df`` as the whole new state ``version``; returns the written table."""
+    path = f"{table_path}/version={version}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _latest(spark: SparkSession, table_path: str) -> dict | None:
-    """The body of the marker with the highest number, with that ``number`` (one row, whatever
-    the number of markers)."""
-    markers = _markers(spark, table_path)
-    found = None if markers is None else markers.agg(F.max(F.struct("number", "body")).alias("m")).first()["m"]
-    return None if found is None else json.loads(found["body"]) | {"number": found["number"]}
+def current_version(spark: SparkSession, table_path: str) -> str | None:
+    """Label of the version written last; None before the first."""
+    try:  # the files are listed, not read
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(table_path)
+    except AnalysisException:
+        return None
+    label = F.regexp_extract("path", "/version=([^/]+)/[^/]+$", 1)
+    return files.agg(F.max(F.struct("modificationTime", label.alias("version"))).alias("m")).select("m.version").first()[0]
 
 
-def _commit(spark: SparkSession, table_path: str, number: int, body: dict, stream: str = "", batch: int | None = None) -> None:
-    line = "\t".join([str(number), stream, "" if batch is None else str(batch), json.dumps(body)])
-    (spark.createDataFrame([(line,)], "v string").coalesce(1)
-     .write.mode("overwrite").text(f"{table_path}/_versions/{number:012d}"))
+def read_current(spark: SparkSession, table_path: str) -> DataFrame:
+    """The state of a snapshot table that was written last."""
+    version = current_version(spark, table_path)
+    if version is None:
+        raise FileNotFoundError(f"no version under {table_path}")
+    return spark.read.parquet(f"{table_path}/version={version}")
 
 
-def applied_batch(spark: SparkSession, table_path: str, stream: str) -> int | None:
-    """The highest batch of ``stream`` that the table holds; None when it holds none."""
-    markers = _markers(spark, table_path)
-    return None if markers is None else markers.where(F.col("stream") == stream).agg(F.max("batch")).first()[0]
+# ---------------------------------------------------------------- keyed tables
+#: Rows that a key range of a new table is to hold.
+RANGE_ROWS = 50_000
+_RANGE = ["key_width", "key_range"]
 
 
-def current_version(spark: SparkSession, table_path: str) -> str | None:
-    """Label of the current version; None before the first."""
-    latest = _latest(spark, table_path)
-    return latest and latest["version"]
+def _write_ranges(rows: DataFrame, path: str, key: str, width: int) -> None:
+    out = rows.withColumns({"key_width": F.lit(width).cast("long"), "key_range": F.floor(F.col(key) / width).cast("long")})
+    # Rows of one range go to one directory; a large range is spread over tasks by the size-based rebalance.
+    (out.hint("rebalance", "key_range").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_RANGE).parquet(path))
 
 
-def _read_dirs(spark: SparkSession, table_path: str, body: dict) -> DataFrame:
-    """The rows of a marker's directories (a bounded list: one, or one per bucket)."""
-    from pyspark.sql.types import StructType
-    return spark.read.schema(StructType.fromJson(body["schema"])).parquet(*[f"{table_path}/{x}" for x in body["dirs"]])
+def write_keyed(df: DataFrame, path: str, key: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` (one row per ``key``, a whole number; rows without one are left out) as a new keyed table. The
+    width of a range follows from the span of the keys and their number, about ``rows`` keys a range."""
+    df = cut_lineage(df.where(F.col(key).isNotNull()))
+    span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    width = max(1, -(-(span.hi - span.lo + 1) * rows // span.n)) if span.n else rows
+    _write_ranges(df, path, key, width)
+    return read_keyed(df.sparkSession, path, df.schema)
 
 
-def read_current(spark: SparkSession, table_path: str) -> DataFrame:
-    """The current state of a table."""
-    latest = _latest(spark, table_path)
-    if latest is None:
-        raise FileNotFoundError(f"no current version under {table_path}")
-    return _read_dirs(spark, table_path, latest)
+def read_keyed(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """A keyed table. ``schema`` is needed while it is empty; columns that the table lacks are null."""
+    if schema is None:
+        return spark.read.parquet(path).drop(*_RANGE)
+    return spark.read.schema(schema).parquet(path)
 
 
-def write_version(df: DataFrame, table_path: str, version: str, stream: str = "", batch: int | None = None) -> DataFrame:
-    """Write ``df`` as the whole new state, then commit its marker; returns the written table."""
-    spark = df.sparkSession
-    latest = _latest(spark, table_path)
-    number = (latest["number"] if latest else 0) + 1
-    folder = f"v={number}"
-    df.write.mode("overwrite").parquet(f"{table_path}/{folder}")
-    body = {"version": str(version), "dirs": [folder], "schema": df.schema.jsonValue()}
-    _commit(spark, table_path, number, body, stream, batch)
-    return _read_dirs(spark, table_path, body)
-
-
-def expire(spark: SparkSession, table_path: str, keep: int = 2) -> int:
-    """Remove the directories that none of the last ``keep`` states refers to (and that are not
-    newer than them); returns how many. Readers of older states must be done."""
-    markers = _markers(spark, table_path)
-    last = [] if markers is None else markers.orderBy(F.desc("number")).limit(keep).collect()
-    if not last:
-        return 0
-    used = {x for m in last for x in json.loads(m["body"])["dirs"]}
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(table_path).getFileSystem(spark._jsc.hadoopConfiguration())
-    below = lambda p: [x.getPath() for x in fs.listStatus(p) if x.isDirectory()]
-    gone = 0
-    for top in below(path(table_path)):
-        name = top.getName()
-        if not name.startswith("v=") or name in used or int(name[2:].split("-")[0]) > last[0]["number"]:
-            continue
-        buckets = below(top)
-        stale = [b for b in buckets if f"{name}/{b.getName()}" not in used]
-        for p in stale if len(stale) < len(buckets) else [top]:
-            gone += bool(fs.delete(p, True))
-    return gone
-
-
-#: Buckets of a table that is merged into; a merge rewrites only those that its rows fall into.
-MERGE_BUCKETS = 64
-
-
-def merge_into(fresh: DataFrame, table_path: str, key: str, version: str, merge, stream: str = "", batch: int | None = None,
-               buckets: int = MERGE_BUCKETS) -> None:
-    """Merge ``fresh`` (one row per ``key``) into a table kept in buckets of the key's hash:
-    ``merge(old rows of the touched buckets, fresh)`` gives their new rows, the other buckets
-    keep their directories. A table that is not in buckets yet is rewritten once."""
+def merge_keyed(fresh: DataFrame, path: str, key: str, merge, rows: int = RANGE_ROWS) -> int:
+    """Merge ``fresh`` (one row per ``key``) into a keyed table: ``merge(stored rows of the touched ranges,
+    fresh)`` gives the new rows of these ranges; the others are neither read nor written. Returns the number of
+    ranges rewritten. ``merge`` must give the same when it is applied again."""
     spark = fresh.sparkSession
-    latest = _latest(spark, table_path)
-    number = (latest["number"] if latest else 0) + 1
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    now = dict(latest["buckets"]) if latest and latest.get("n_buckets") == buckets else None
-    if now is not None:
-        touched = sorted(r[0] for r in fresh.select(bucket.alias("b")).distinct().collect())  # at most ``buckets``
-        old = {k: v for k, v in now.items() if int(k) in touched}
-        merged = fresh if not old else merge(_read_dirs(spark, table_path, {**latest, "dirs": list(old.values())}), fresh)
-    else:
-        now, merged = {}, fresh if latest is None else merge(_read_dirs(spark, table_path, latest), fresh)
-        touched = range(buckets)
-    out = merged.withColumn("key_bucket", bucket)
-    # Rows of one bucket go to one directory; a bucket is spread over tasks by the size-based rebalance.
-    out.hint("rebalance", "key_bucket").write.mode("overwrite").partitionBy("key_bucket").parquet(f"{table_path}/v={number}")
-    held = {r[0] for r in spark.read.parquet(f"{table_path}/v={number}").select("key_bucket").distinct().collect()} if touched else set()
-    for b in touched:
-        now.pop(str(b), None)
-        if b in held:
-            now[str(b)] = f"v={number}/key_bucket={b}"
-    body = {"version": str(version), "dirs": list(now.values()), "schema": merged.schema.jsonValue(), "buckets": now, "n_buckets": buckets}
-    if not now:  # an empty table still has a directory to read
-        merged.limit(0).write.mode("overwrite").parquet(f"{table_path}/v={number}-empty")
-        body["dirs"] = [f"v={number}-empty"]
-    _commit(spark, table_path, number, body, stream, batch)
+    fresh = cut_lineage(fresh.where(F.col(key).isNotNull()))
+    try:
+        stored = spark.read.schema(T.StructType(fresh.schema.fields + [T.StructField(c, T.LongType()) for c in _RANGE])).parquet(path)
+        first = stored.select("key_width").limit(1).collect()
+    except AnalysisException:
+        first = []
+    if not first:
+        write_keyed(fresh, path, key, rows)
+        return fresh.count()
+    width = first[0][0]
+    ranges = [r[0] for r in fresh.select(F.floor(F.col(key) / width)).distinct().collect()]  # at most the table's partitions
+    if ranges:
+        merged = merge(stored.where(F.col("key_range").isin(ranges)).drop(*_RANGE), fresh)
+        _write_ranges(cut_lineage(merged), path, key, width)  # Spark cannot overwrite what it still reads
+    return len(ranges)
 
 
 def load_master(appended: DataFrame, table_path: str, version: str,
@@ -262,16 +224,15 @@ def load_master(appended: DataFrame, table_path: str, version: str,
     return write_version(latest, table_path, version)
 
 
-def create_embeddings_table(norms: DataFrame, table_path: str, version: str = "0", dim: int = 768,
-                            embedder=None) -> DataFrame:
-    """Embeddings of every norm whose embedding succeeded, written as a table (CREATE TABLE
+def create_embeddings_table(norms: DataFrame, table_path: str, dim: int = 768, embedder=None) -> DataFrame:
+    """Embeddings of every norm whose embedding succeeded, written as a table keyed by ``id_norma`` (CREATE TABLE
     AS SELECT); load-order columns (``scrape_date``, ``_ord``), if there are any, are kept so
     that later merges can tell older rows from newer ones."""
     from lexframe.operators.predicates import valid_embeddings
     from lexframe.operators.retrieval import embed, embedding_input
     order = [c for c in ("scrape_date", "_ord") if c in norms.columns]
     rows = embedding_input(norms, keep=order)
-    return write_version(valid_embeddings(embed(rows, dim=dim, embedder=embedder, keep=order)), table_path, version)
+    return write_keyed(valid_embeddings(embed(rows, dim=dim, embedder=embedder, keep=order)), table_path, "id_norma")
 
 
 def archive_snapshot(df: DataFrame, archive_path: str, snapshot_date: str) -> tuple[str, float]:
@@ -284,13 +245,16 @@ def archive_snapshot(df: DataFrame, archive_path: str, snapshot_date: str) -> tu
     return uri, round(size / (1024 * 1024), 2)
 
 
-def consume_staging(spark: SparkSession, path: str, consumed_path: str) -> DataFrame:
+def consume_staging(spark: SparkSession, path: str, consumed_path: str, load: str) -> DataFrame:
     """Empty the staging table after its rows were merged, recording the consumed dates first:
-    appends (scrape_date, rows) to ``consumed_path`` and returns that table. A failure between
-    the two steps leaves the rows and their markers, never neither."""
-    spark.read.parquet(path).groupBy("scrape_date").agg(F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(consumed_path)
-    truncate_staging(spark, path)
-    return spark.read.parquet(consumed_path)
+    ``consumed_path`` holds (scrape_date, rows, load), and is returned. ``load`` names this run: a run that
+    failed between the two steps is repeated under its name and replaces what it recorded; one that failed
+    after them finds staging empty and leaves the record alone."""
+    days = cut_lineage(spark.read.parquet(path).groupBy("scrape_date").agg(F.count(F.lit(1)).alias("rows")))
+    if not days.isEmpty():
+        days.write.mode("overwrite").parquet(f"{consumed_path}/load={load}")
+        truncate_staging(spark, path)
+    return spark.read.schema("scrape_date date, rows long, load string").parquet(consumed_path)
 
 
 def truncate_staging(spark: SparkSession, path: str) -> None:

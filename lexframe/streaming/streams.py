@@ -5,11 +5,11 @@ staging; with a streaming file source the checkpoint plays that role: each
 micro-batch holds exactly the files not yet merged, so there is no separate
 truncate (and no window between merge and truncate in which rows can be lost).
 
-Every merge commits a marker that names the stream (its checkpoint) and the batch. A
-batch replayed after a failure finds its own marker and does nothing; a new checkpoint
-is a new stream, whose batches are applied whatever versions the table already has.
-Rows merge in event order (day, then place in the file), not in arrival order, and only
-the key buckets that a batch touches are rewritten.
+Merges go into tables partitioned by key range and rewrite the ranges that a batch touches. Rows carry
+their order (day, when the file was written, batch, file, place in it): an older day that arrives late never
+replaces a newer row, and a corrected file of a day replaces what the first one said. A row is replaced by a
+newer one only, so a replayed batch, or one that failed half-way, changes nothing that it already
+changed; no log of applied batches is needed.
 """
 
 from __future__ import annotations
@@ -19,87 +19,73 @@ from pyspark.sql import functions as F
 
 from lexframe.operators.predicates import tail_sample, valid_embeddings
 from lexframe.operators.retrieval import embed, embedding_input
-from lexframe.operators.upsert import dedup_keep_last, merge_embeddings, upsert_feedback
-from lexframe.operators.usage import feedback_reference_check
+from lexframe.operators.upsert import dedup_keep_last, merge_embeddings
 from lexframe.session import cut_lineage
-from lexframe.sources.norms import (CSV_OPTIONS, SCAN_SCHEMA, _latest, applied_batch, merge_into, quarantine, read_current,
-                                    write_version)
-
+from lexframe.sources.norms import CSV_OPTIONS, SCAN_SCHEMA, load_order, merge_keyed, quarantine, read_keyed
 
 ORDER = ["scrape_date", "_ord"]
+#: What a streamed row knows of its file.
+SOURCE = "_source"
+VOTE_SCHEMA = "vote_id long, interaction_id long, is_positive boolean, ts timestamp_ntz"
+_NO_SOURCE = "struct<file_modification_time: timestamp, file_name: string, file_block_start: bigint>"
 
 
-def _already_applied(spark: SparkSession, table_dir: str, stream: str, batch_id: int) -> bool:
-    last = applied_batch(spark, table_dir, stream)
-    return last is not None and last >= batch_id
-
-
-def merge_norm_batch(batch: DataFrame, batch_id: int, table_dir: str, rejects_dir: str,
-                     dim: int = 768, embedder=None, stream: str = "norms") -> None:
+def merge_norm_batch(batch: DataFrame, batch_id: int, table_dir: str, rejects_dir: str, dim: int = 768, embedder=None) -> None:
     """One micro-batch of daily rows: type (rejects aside) → last row per id in load
-    order → embed (failures aside) → MERGE of the newer rows into the embeddings table."""
-    spark = batch.sparkSession
-    if _already_applied(spark, table_dir, stream, batch_id):
-        return
+    order → embed (failures aside) → MERGE of the newer rows into the embeddings table. Rows without an id are rejects."""
+    if SOURCE not in batch.columns:
+        batch = batch.withColumn(SOURCE, F.lit(None).cast(_NO_SOURCE))
     # The batch feeds several outputs, and its load order must be the same in all of them.
-    raw = cut_lineage(batch.withColumn("_ord", F.monotonically_increasing_id()))
+    raw = cut_lineage(batch.withColumn("_ord", load_order(F.col(SOURCE), batch_id)).drop(SOURCE))
     good, bad = quarantine(raw)
-    bad.write.mode("overwrite").parquet(f"{rejects_dir}/rows/batch={batch_id}")
-    latest = dedup_keep_last(good, "id_norma", ORDER)
+    nameless = raw.where("id_norma IS NULL").join(bad.select("_ord"), "_ord", "left_anti").withColumn("reason", F.lit("id_norma"))
+    bad.unionByName(nameless).write.mode("overwrite").parquet(f"{rejects_dir}/rows/batch={batch_id}")
+    latest = dedup_keep_last(good.where("id_norma IS NOT NULL"), "id_norma", ORDER)
+    latest = latest.withColumn("_ord", F.col("_ord").dropFields("row"))  # a batch read again is no newer, however it is split
     done = cut_lineage(embed(embedding_input(latest, keep=ORDER), dim=dim, embedder=embedder, keep=ORDER))
     fresh = valid_embeddings(done)
     done.join(fresh.select("id_norma"), "id_norma", "left_anti").write.mode("overwrite").parquet(
         f"{rejects_dir}/embeddings/batch={batch_id}")
-
-    def merge(target, source):
-        for c in ORDER:  # a table written without load order is older than any day
-            if c not in target.columns:
-                target = target.withColumn(c, F.lit(None).cast(source.schema[c].dataType))
-        return merge_embeddings(target, source, "id_norma", source.columns, newer=ORDER)[0]
-    merge_into(fresh, table_dir, "id_norma", f"{stream}-{batch_id}", merge, stream, batch_id)
+    merge_keyed(fresh, table_dir, "id_norma", lambda old, new: merge_embeddings(old, new, "id_norma", new.columns, newer=ORDER)[0])
 
 
 def stream_merge_norms(spark: SparkSession, in_dir: str, table_dir: str, checkpoint: str,
                        dim: int = 768, embedder=None, available_now: bool = True):
     """Daily files (``in_dir/scrape_date=<day>/*.csv``) → typed, de-duplicated,
-    embedded rows MERGEd into the versioned embeddings table at ``table_dir``."""
+    embedded rows MERGEd into the embeddings table at ``table_dir``."""
     src = spark.readStream.options(**CSV_OPTIONS).schema(SCAN_SCHEMA).csv(in_dir)
+    source = F.struct(*(F.col(f"_metadata.{c}").alias(c) for c in ("file_modification_time", "file_name", "file_block_start")))
+    src = src.select("*", source.alias(SOURCE))
     rejects = f"{table_dir.rstrip('/')}_rejects"
     writer = (src.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, bid: merge_norm_batch(df, bid, table_dir, rejects, dim, embedder, checkpoint)))
+              .foreachBatch(lambda df, bid: merge_norm_batch(df, bid, table_dir, rejects, dim, embedder)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
-def feedback_batch(batch: DataFrame, batch_id: int, table_dir: str, interactions, stream: str = "votes") -> None:
-    """One micro-batch of votes: those for unknown interactions are set aside under
-    ``<table_dir>_refused`` and tried again with every later batch (their interaction may
-    arrive after them); the rest is upserted (a late vote older than the stored one does
-    not overwrite it). ``interactions`` is a function that reads the interactions known
-    now, a fixed frame, or None for no check."""
-    spark = batch.sparkSession
-    if _already_applied(spark, table_dir, stream, batch_id):
-        return
-    votes, refused = batch, f"{table_dir.rstrip('/')}_refused"
-    if interactions is not None:
-        waiting = _latest(spark, refused)
-        if waiting is not None:
-            votes = votes.unionByName(read_current(spark, refused))
-        known = interactions() if callable(interactions) else interactions
-        votes, bad = feedback_reference_check(cut_lineage(votes), known)
-        write_version(bad, refused, f"{stream}-{batch_id}", stream, batch_id)
-    last = cut_lineage(dedup_keep_last(votes, "interaction_id", ["ts", "vote_id"]))
-    merge_into(last.select("interaction_id", "is_positive", "ts"), table_dir, "interaction_id", f"{stream}-{batch_id}",
-               lambda old, new: upsert_feedback(old, last).drop("action"), stream, batch_id)
-
-
-def stream_feedback(votes: DataFrame, table_dir: str, checkpoint: str, interactions=None,
-                    available_now: bool = True):
+def feedback_batch(batch: DataFrame, table_dir: str) -> None:
+    """One micro-batch of votes upserted: the last vote per interaction; a late vote older than the stored one
+    does not overwrite it. Votes for unknown interactions are stored alike and wait there (``accepted_votes``):
+    one output, so a failure can lose none, and nothing is tried again batch by batch."""
+    newest = lambda votes: dedup_keep_last(votes, "interaction_id", ["ts", "vote_id"])
+    merge_keyed(newest(batch), table_dir, "interaction_id", lambda old, new: newest(old.unionByName(new)))
+
+
+def accepted_votes(spark: SparkSession, table_dir: str, interactions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The stored votes of known interactions, and those that wait for theirs. A vote counts from the moment its
+    interaction is in ``interactions`` (None: all are known), without another run of the stream."""
+    votes = read_keyed(spark, table_dir, VOTE_SCHEMA)
+    if interactions is None:
+        return votes, votes.limit(0)
+    known = interactions.select("interaction_id").distinct()
+    return votes.join(known, "interaction_id", "left_semi"), votes.join(known, "interaction_id", "left_anti")
+
+
+def stream_feedback(votes: DataFrame, table_dir: str, checkpoint: str, available_now: bool = True):
     """Continuous feedback upsert: ``votes`` is a streaming frame of
-    ``(vote_id, interaction_id, is_positive, ts)``; ``table_dir`` may hold a current
-    version (possibly empty). See ``feedback_batch`` for ``interactions``."""
+    ``(vote_id, interaction_id, is_positive, ts)``; ``table_dir`` may hold a keyed table of stored votes."""
     writer = (votes.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, bid: feedback_batch(df, bid, table_dir, interactions, checkpoint)))
+              .foreachBatch(lambda df, _: feedback_batch(df, table_dir)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 

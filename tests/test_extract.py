@@ -204,3 +204,63 @@ def test_cap_flags_keep_every_id(spark):
     links = X.extract_links(pages(spark, "".join(f'<a href="verNorma.do?id={i}">n</a>' for i in range(5))))
     assert X.daily_cap(links).count() == 5
     assert [r.kept for r in X.cap_flags(links, 2).orderBy("pos").collect()] == [True, True, False, False, False]
+
+
+def test_attributes_without_quotes(spark):
+    html = "<ul><li><a href=verNorma.do?id=5>x</a><a title='a>b' HREF = verNorma.do?id=6 >y</a><a data-href=verNorma.do?id=9 href>z</a></ul>"
+    assert [r.norm_id for r in X.extract_links(pages(spark, html)).orderBy("pos").collect()] == [5, 6]
+    r = one(X.classify_listing(pages(spark, html)))
+    assert (r.page_id, r.status, r.n_ids) == (0, "found", 2)
+    r = one(X.extract_text_links(pages(spark, "<a href=x.htm>Texto completo</a><a class=b href='y.htm'>Texto actualizado</a>"), BASE))
+    assert (r.texto_original, r.texto_actualizado) == (BASE + "x.htm", BASE + "y.htm")
+    assert one(X.extract_fecha_sancion(pages(spark, "<span class=vr_azul11>2/1/2024</span>"))).fecha_sancion == "2024-01-02"
+    r = one(X.extract_modifications(pages(spark, "<a href=verVinculos.do?modo=1>4</a><a href=verVinculos.do?modo=2&copy=1>5</a>")))
+    assert (r.modifica_a, r.modificada_por) == ("4", "5")
+    r = one(X.extract_boletin(pages(spark, "<h1>t</h1><p><a href=?page_id=216&n=1>05-ENE-2024</a></p>")))
+    assert r.fecha_boletin == "2024-01-05"
+
+
+def test_character_references_as_the_parser_reads_them(spark):
+    r = one(X.extract_titles(pages(spark, "<h1>Art&#146;s &aacute n&period; &#x80;&#129; AT&T &order &Order; R&ntilde;</h1>")))
+    assert r.titulo_resumido == "Art\u2019s \u00e1 n. \u20ac\x81 AT&T &order &Order; R\u00f1"
+    r = one(X.extract_text_links(pages(spark, '<a href="x?a=1&copy=2&amp;b&#61;3">Texto completo</a>'), BASE))
+    assert r.texto_original == BASE + "x?a=1&copy=2&b=3"
+
+
+def test_a_label_with_nothing_around_it(spark):
+    """The page is the parent; no page ends the job."""
+    cases = {
+        "<strong>Resumen:</strong> texto bastante largo": "texto bastante largo",
+        "<!DOCTYPE html><?xml?><strong>Resumen:</strong> texto bastante largo": "texto bastante largo",
+        "<div>x</div><strong>Resumen:</strong> texto bastante largo": "xResumen:texto bastante largo",
+        "</p></div><strong>Resumen:</strong>": "", "": "", "<": "", "<strong>": "", "</": "", "a < b <c": "",
+    }
+    got = {r.page_id: r for r in X.extract_norms(pages(spark, *cases, None), BASE).withColumn("page_id", F.col("id_norma").cast("int")).collect()}
+    for i, (html, want) in enumerate(cases.items()):
+        assert got[i].texto_resumido == want, html
+    assert got[len(cases)].numero_norma == "S/N"
+
+
+def test_labels_at_any_depth(spark):
+    tags = ["u", "i", "b", "em", "span", "font", "a"]
+    inner = "".join(f"<{t} class=x>" for t in tags) + "Resumen:" + "".join(f"</{t}>" for t in reversed(tags))
+    assert one(X.extract_resumen(pages(spark, f"<div><strong>{inner}</strong> un texto bastante largo</div>"))).texto_resumido == "un texto bastante largo"
+    html = "<p>" + "<b></b><br> " * 9 + "<i>Re</i>sumen: un texto bastante largo</p>"
+    assert one(X.extract_resumen(pages(spark, html))).texto_resumido == "un texto bastante largo"
+    html = "<div><strong>Resumen: <i>a</i></strong> con dos hijos no es una etiqueta</div><p>Resumen: el largo de verdad</p>"
+    assert one(X.extract_resumen(pages(spark, html))).texto_resumido == "el largo de verdad"
+
+
+def test_elements_close_as_in_the_page_parser(spark):
+    from lexframe.functions.html import with_elements
+    html = "<p>a<b>c</i>d<br/>e<x/>f</p>g<td>h<p/>i"
+    row = one(with_elements(pages(spark, html)))
+    assert row.tags == ["page_", "p", "b", "/i", "br", "x", "/p", "td", "p"]
+    assert row.depths == [1, 2, 3, 3, 3, 3, 1, 2, 2]
+    assert row.texts == ["", "a", "c", "d", "e", "f", "g", "h", "i"]
+
+
+def test_a_page_of_many_tags(spark):
+    html = "<h1>t</h1>" + "<div><a href=verNorma.do?id=%d>x</a>" % 7 * 3000 + "<p>Resumen: el largo de verdad</p>"
+    r = one(X.extract_norms(pages(spark, html), BASE))
+    assert (r.titulo_resumido, r.texto_resumido) == ("t", "el largo de verdad")

@@ -196,39 +196,52 @@ def test_tail_sample_keeps_errors_and_slow(spark):
     assert kept == {"a", "b"}
 
 
-def test_versions_and_applied_batches_are_apart(spark):
-    from lexframe.sources.norms import applied_batch, current_version, read_current, write_version
-    from lexframe.streaming.streams import _already_applied
+def test_the_version_written_last_is_current(spark):
+    from lexframe.sources.norms import current_version, read_current, write_version
     path = scratch_path(spark, "t")
-    write_version(spark.range(3), path, "2025-10-02")  # a date label, no stream
-    assert current_version(spark, path) == "2025-10-02" and applied_batch(spark, path, "a") is None
-    assert not _already_applied(spark, path, "a", 0)
-    write_version(spark.range(4), path, "x", "a", 0)
-    assert _already_applied(spark, path, "a", 0) and not _already_applied(spark, path, "a", 1)
-    assert not _already_applied(spark, path, "b", 0)  # a new checkpoint is a new stream
-    assert read_current(spark, path).count() == 4
+    assert current_version(spark, path) is None
+    write_version(spark.range(3), path, "2025-10-02")
+    assert current_version(spark, path) == "2025-10-02"
+    write_version(spark.range(0), path, "01")
+    assert current_version(spark, path) == "01" and read_current(spark, path).count() == 0
 
 
-def test_merge_rewrites_touched_buckets_only(spark):
-    from lexframe.sources.norms import _latest, merge_into, read_current
+def _files(spark, path):
+    return {r[0] for r in spark.read.parquet(path).select("_metadata.file_path").distinct().collect()}
+
+
+def test_a_merge_rewrites_touched_ranges_only(spark):
+    from lexframe.sources.norms import merge_keyed, read_keyed, write_keyed
     path = scratch_path(spark, "t")
     merge = lambda old, new: U.merge_embeddings(old, new, "id", new.columns)[0]
-    merge_into(spark.range(200).withColumn("v", F.lit("a")), path, "id", "1", merge, buckets=8)
-    before = _latest(spark, path)["buckets"]
-    merge_into(spark.createDataFrame([(5, "b"), (1000, "b")], "id long, v string"), path, "id", "2", merge, buckets=8)
-    after = _latest(spark, path)["buckets"]
-    assert 1 <= sum(before.get(k) != after[k] for k in after) <= 2
-    rows = {r.id: r.v for r in read_current(spark, path).collect()}
-    assert len(rows) == 201 and {k for k, v in rows.items() if v == "b"} == {5, 1000}
-    from lexframe.sources.norms import expire
-    assert expire(spark, path, keep=2) == 0 and expire(spark, path, keep=1) >= 1
-    assert {r.id: r.v for r in read_current(spark, path).collect()} == rows
+    write_keyed(spark.range(10000).withColumn("v", F.lit("a")), path, "id", rows=500)
+    before = _files(spark, path)
+    fresh = spark.range(10000, 10200).withColumn("v", F.lit("b"))  # a day's new ids
+    assert merge_keyed(fresh, path, "id", merge) <= 2
+    assert len(before - _files(spark, path)) <= 1
+    edited = spark.createDataFrame([(5, "c"), (7000, "c"), (None, "lost")], "id long, v string")
+    for _ in range(2):  # run again, as after a failure
+        assert merge_keyed(edited, path, "id", merge) == 2
+    rows = [(r.id, r.v) for r in read_keyed(spark, path).collect()]
+    assert len(rows) == 10200 == len(dict(rows)) and {k for k, v in rows if v == "c"} == {5, 7000}
+
+
+def test_empty_keyed_table(spark):
+    from lexframe.sources.norms import merge_keyed, read_keyed, write_keyed
+    path = scratch_path(spark, "t")
+    empty = spark.createDataFrame([], "id long, v string")
+    assert write_keyed(empty, path, "id").count() == 0
+    merge = lambda old, new: U.merge_embeddings(old, new, "id", new.columns)[0]
+    merge_keyed(empty, path, "id", merge)
+    merge_keyed(spark.createDataFrame([(-3, "x")], empty.schema), path, "id", merge)
+    merge_keyed(empty, path, "id", merge)
+    assert [tuple(r) for r in read_keyed(spark, path).collect()] == [(-3, "x")]
 
 
 def test_stream_merge_loses_no_batch_and_keeps_the_newest(spark):
     from pyspark.sql import types as T
     from lexframe.schemas import NORM_RAW_SCHEMA
-    from lexframe.sources.norms import create_embeddings_table, read_current
+    from lexframe.sources.norms import create_embeddings_table, read_keyed
     from lexframe.streaming.streams import merge_norm_batch
 
     schema = T.StructType(NORM_RAW_SCHEMA.fields + [T.StructField("scrape_date", T.DateType())])
@@ -239,33 +252,99 @@ def test_stream_merge_loses_no_batch_and_keeps_the_newest(spark):
 
     path = scratch_path(spark, "emb")
     first = spark.createDataFrame([(1, "created", "t"), (9, "---", "t")], "id_norma long, texto_resumido string, titulo_resumido string")
-    create_embeddings_table(first, path, "0", dim=8)
-    now = lambda: {r.id_norma: r.content for r in read_current(spark, path).collect()}
+    create_embeddings_table(first, path, dim=8)
+    now = lambda: {r.id_norma: r.content for r in read_keyed(spark, path).collect()}
     assert now() == {1: "created"}  # a failed embedding is not in the table
     d = dt.date
-    merge_norm_batch(day(d(2025, 10, 2), _1="newest text", _2="two"), 0, path, path + "_r", 8, stream="s")
+    merge_norm_batch(day(d(2025, 10, 2), _1="newest text", _2="two"), 0, path, path + "_r", 8)
     assert now() == {1: "newest text", 2: "two"}
-    merge_norm_batch(day(d(2025, 10, 2), _1="replayed"), 0, path, path + "_r", 8, stream="s")  # a replay
-    merge_norm_batch(day(d(2025, 10, 1), _1="older backfill", _3="three"), 1, path, path + "_r", 8, stream="s")
+    merge_norm_batch(day(d(2025, 10, 2), _1="replayed"), 0, path, path + "_r", 8)  # a replay
+    merge_norm_batch(day(d(2025, 10, 1), _1="older backfill", _3="three"), 1, path, path + "_r", 8)
     assert now() == {1: "newest text", 2: "two", 3: "three"}
-    merge_norm_batch(day(d(2025, 10, 3), _2="second stream", _4="!!!"), 0, path, path + "_r", 8, stream="other")
+    merge_norm_batch(day(d(2025, 10, 3), _2="second stream", _4="!!!"), 0, path, path + "_r", 8)
     assert now() == {1: "newest text", 2: "second stream", 3: "three"}
     assert [r.id_norma for r in spark.read.parquet(path + "_r/embeddings").collect()] == [4]
 
 
-def test_refused_votes_are_tried_again(spark):
-    from lexframe.sources.norms import read_current
-    from lexframe.streaming.streams import feedback_batch
-    path, known = scratch_path(spark, "votes"), [1]
-    ids = lambda: spark.createDataFrame([(i,) for i in known], "interaction_id long")
-    vote = lambda *rows: spark.createDataFrame([(i, i, True, dt.datetime(2024, 1, 1)) for i in rows],
-                                               "vote_id long, interaction_id long, is_positive boolean, ts timestamp_ntz")
-    feedback_batch(vote(1, 2), 0, path, ids)
-    assert [r.interaction_id for r in read_current(spark, path).collect()] == [1]
-    known.append(2)
-    feedback_batch(vote(3), 1, path, ids)
-    assert sorted(r.interaction_id for r in read_current(spark, path).collect()) == [1, 2]
-    assert [r.interaction_id for r in read_current(spark, path + "_refused").collect()] == [3]
+def test_same_day_corrections_and_two_files_of_a_day(spark, tmp_path):
+    """An id in row 3 of a day, then in row 1 of a smaller, later file; by stream and by batch load."""
+    import os
+    from lexframe.schemas import NORM_COLUMNS
+    from lexframe.sources.norms import load_master, quarantine, read_keyed, scan_norms_raw
+    from lexframe.streaming.streams import stream_merge_norms
+    line = lambda i, t: ",".join([str(i)] + [t if c == "texto_resumido" else "" for c in NORM_COLUMNS[1:]])
+    inbox, table, ckpt = str(tmp_path / "in"), scratch_path(spark, "emb"), scratch_path(spark, "ckpt")
+    day = tmp_path / "in" / "scrape_date=2025-10-01"
+    day.mkdir(parents=True)
+
+    def drop(name, rows, when):
+        path = day / name
+        path.write_text("\n".join([",".join(NORM_COLUMNS), *(line(i, t) for i, t in rows)]) + "\n")
+        os.utime(path, (when, when))
+
+    def now():
+        stream_merge_norms(spark, inbox, table, ckpt, dim=8).awaitTermination()
+        return {r.id_norma: r.content for r in read_keyed(spark, table).collect()}
+
+    drop("z-big.csv", [(5, "five " * 50), (6, "six " * 50), (7, "old"), (7, "old again")], 1_700_000_000)
+    assert now()[7] == "old again"
+    drop("a-small.csv", [(7, "corrected")], 1_700_000_100)
+    assert now()[7] == "corrected"
+    drop("b-late-copy.csv", [(7, "stale copy of an older file")], 1_600_000_000)
+    assert now()[7] == "corrected"
+    good, _ = quarantine(scan_norms_raw(spark, inbox))
+    master = load_master(good, scratch_path(spark, "master"), "1")
+    assert {r.id_norma: r.texto_resumido for r in master.collect()}[7] == "corrected"
+    ckpt = scratch_path(spark, "ckpt")  # a new stream reads all files again
+    assert now()[7] == "corrected"
+
+
+def test_rows_without_an_id_are_rejects(spark):
+    from pyspark.sql import types as T
+    from lexframe.schemas import NORM_RAW_SCHEMA
+    from lexframe.sources.norms import read_keyed
+    from lexframe.streaming.streams import merge_norm_batch
+    schema = T.StructType(NORM_RAW_SCHEMA.fields + [T.StructField("scrape_date", T.DateType())])
+    row = lambda i: tuple({"id_norma": i, "texto_resumido": "text"}.get(f.name) for f in NORM_RAW_SCHEMA.fields) + (dt.date(2025, 10, 1),)
+    path = scratch_path(spark, "emb")
+    merge_norm_batch(spark.createDataFrame([row("1"), row(None), row("x")], schema), 0, path, path + "_r", 8)
+    assert [r.id_norma for r in read_keyed(spark, path).collect()] == [1]
+    assert sorted((str(r.id_norma), r.reason) for r in spark.read.parquet(path + "_r/rows").collect()) == [("None", "id_norma"), ("x", "id_norma")]
+
+
+def test_votes_wait_for_their_interaction(spark):
+    """A vote is in one table whatever happens, and counts once its interaction is known; batches may be replayed."""
+    from lexframe.streaming.streams import accepted_votes, feedback_batch
+    path = scratch_path(spark, "votes")
+    ids = lambda *known: spark.createDataFrame([(i,) for i in known], "interaction_id long")
+    vote = lambda *rows, t=1, v=True: spark.createDataFrame([(i, i, v, dt.datetime(2024, 1, t)) for i in rows],
+                                                            "vote_id long, interaction_id long, is_positive boolean, ts timestamp_ntz")
+    got = lambda *known: [sorted((r.interaction_id, r.is_positive) for r in x.collect()) for x in accepted_votes(spark, path, ids(*known))]
+    feedback_batch(vote(1, 2), path)
+    assert got(1) == [[(1, True)], [(2, True)]]
+    feedback_batch(vote(3), path)
+    feedback_batch(vote(3), path)  # a replay
+    assert got(1, 2) == [[(1, True), (2, True)], [(3, True)]]
+    feedback_batch(vote(2, t=5, v=False), path)
+    feedback_batch(vote(2, t=3), path)  # late
+    assert got(1, 2, 3) == [[(1, True), (2, False), (3, True)], []]
+    assert accepted_votes(spark, path)[0].count() == 3
+
+
+def test_consumed_staging_is_recorded_once(spark, monkeypatch):
+    from lexframe.sources import norms as N
+    path, log = scratch_path(spark, "staging"), scratch_path(spark, "consumed")
+    cols = [F.lit(None).cast(f.dataType).alias(f.name) for f in N.NORM_SCHEMA.fields]
+    rows = spark.range(4).select(*cols, F.to_date(F.lit("2025-10-01")).alias("scrape_date"))
+    N.append_staging(rows, path)
+    truncate = N.truncate_staging
+    monkeypatch.setattr(N, "truncate_staging", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        N.consume_staging(spark, path, log, "a")
+    monkeypatch.setattr(N, "truncate_staging", truncate)
+    for _ in range(2):  # the run again, and once more after it was done
+        assert [(r.rows, r.load) for r in N.consume_staging(spark, path, log, "a").collect()] == [(4, "a")]
+    assert spark.read.parquet(path).count() == 0
 
 
 def test_embedder_failures_cost_one_row_each():
