@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexframe.llm.common import materialise, materialise_bucketed, pack, pack_table, partitions, releasing, text_slices, unpack
+from lexframe.llm.debruijn import word_hashes
 
 #: Bytes of the longest context; text bytes of a chunk, and of the part that is worked on at once.
 DEPTH, CHUNK_BYTES, PART_BYTES = 5, 16 << 20, 1 << 20
@@ -69,16 +70,10 @@ def context_keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
 
 def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each text and of its end (key 0), and their numbers."""
-    words = [w for t in texts for w in (*t.split(), b"")]
-    sizes = np.fromiter((len(t.split()) + 1 for t in texts), np.int64, len(texts))
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    return word_hash(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)], sizes
-
-
-def word_hash(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter((xxhash.xxh64_intdigest(w, 7) if w else 0 for w in words), np.uint64, len(words))
+    hashes, sizes = word_hashes(texts)
+    keys = np.zeros(len(hashes) + len(texts), np.uint64)
+    keys[np.arange(len(hashes)) + np.repeat(np.arange(len(texts)), sizes)] = hashes
+    return keys, sizes + 1
 
 
 class Tally:
@@ -340,25 +335,32 @@ def _score(n: int, depth: int, totals: tuple[int, int], names: list[str]):
                 table = unpack(batch.column("docs")[i].as_buffer())
                 texts = [x.as_buffer().to_pybytes() for x in table["text"]]
                 answers = {p["bucket"].as_py(): unpack(p["values"].as_buffer())["v"].to_numpy() for p in batch.column("pages")[i].values}
-                grams, words = Tally(), Tally()
+                # Each part is coded once: its distinct keys, and each place's key among them.
+                grams, words, coded = Tally(), Tally(), []
                 for lo, hi in _parts(texts):
                     for make, tally in ((lambda t: context_keys(t, depth), grams), (word_keys, words)):
-                        u = np.unique(make(texts[lo:hi])[0])
-                        tally.add(u, np.zeros(len(u), np.int64))
+                        keys, sizes = make(texts[lo:hi])
+                        code, distinct_keys = pd.factorize(keys)
+                        tally.add(distinct_keys, np.zeros(len(distinct_keys), np.int64))
+                        coded.append((code.astype(np.int32), distinct_keys, sizes))
                 index = []
                 for tally, is_words in ((grams, False), (words, True)):
                     keys = tally.merge()[0]
                     order = np.argsort(_bucket(keys, n, is_words), kind="stable")
                     value = np.empty(len(keys))
                     value[order] = np.concatenate([answers[b] for b in range(n * is_words, n * is_words + n) if b in answers]).astype(np.float64)
-                    index.append((pd.Index(keys), value))
-                for lo, hi in _parts(texts):
-                    keys, sizes = context_keys(texts[lo:hi], depth)
-                    starts = np.cumsum(sizes) - sizes
-                    score = np.add.reduceat(index[0][1][index[0][0].get_indexer(keys)], starts) / np.log(10)
-                    keys, sizes = word_keys(texts[lo:hi])
-                    starts = np.cumsum(sizes) - sizes
-                    c = index[1][1][index[1][0].get_indexer(keys)]
+                    index.append((keys, value))
+                answers = None
+
+                def looked_up(which, part):
+                    (keys, value), (code, own, sizes) = index[which], part
+                    return value[np.searchsorted(keys, own)][code], sizes, np.cumsum(sizes) - sizes
+
+                for k, (lo, hi) in enumerate(_parts(texts)):
+                    p, _, starts = looked_up(0, coded[2 * k])
+                    score = np.add.reduceat(p, starts) / np.log(10)
+                    c, sizes, starts = looked_up(1, coded[2 * k + 1])
+                    coded[2 * k] = coded[2 * k + 1] = None
                     base = np.add.reduceat(np.log10((c + 1) / (tokens + distinct + 1)), starts)
                     symbols = np.fromiter((len(t) + 1 for t in texts[lo:hi]), np.int64, hi - lo)
                     out = pa.table([table["row"].slice(lo, hi - lo), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
