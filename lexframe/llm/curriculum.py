@@ -4,8 +4,8 @@ Every source has a weight schedule over training time 0..1, given as (time, weig
 by straight lines. The integral of the schedule is the source's weight in the mix. Targets share a
 token budget by weight, stop at a multiple of the source's size, and the excess is shared again
 among the others until none is above. Inside a source, documents follow one another in a fixed
-hash order, pass after pass, until the target is used up (the last document of the last pass is
-taken in part). A document's training position is found by inverting the source's cumulative token
+hash order, pass after pass, until the target is used up; only whole documents are taken, the last one if
+at least half of it fits, so a source misses its target by at most half a document. A document's training position is found by inverting the source's cumulative token
 demand at its first token, and the mix is range-sorted by position.
 
 The running totals never gather a source: rows are cut by hash order into buckets, a bucket's
@@ -105,18 +105,17 @@ def plan(docs: DataFrame, size: Column, source_col: str = "source", id_col: str
     words = F.floor(F.col("target") + 0.5).cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
     rest = words - passes * F.col("source_size")
-    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
+    taken = (passes + F.when((F.col("size") > 0) & (2 * (rest - start) >= F.col("size")), 1).otherwise(0)) * F.col("size")
     return out.select("row", "size", "source_size", "turn", "target", start.cast("long").alias("start"),
                       taken.cast("long").alias("taken"))
 
 
 def copies(planned: DataFrame, schedules: list[Schedule] = SCHEDULES) -> DataFrame:
-    """One row per copy that the mix takes: the plan's columns, ``copy`` (0, 1, ...), ``words`` (of
-    this copy) and ``position`` (0..1), range-sorted by position."""
-    n = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    """One row per copy that the mix takes: the plan's columns, ``copy`` (0, 1, ...) and ``position``
+    (0..1), range-sorted by position."""
+    n = (F.col("taken") / F.col("size")).cast("int")
     rows = planned.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1)))
-    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
-    rows = rows.withColumn("words", words).withColumn("position", position(F.col("copy"), schedules))
+    rows = rows.withColumn("position", position(F.col("copy"), schedules))
     return rows.repartitionByRange(partitions(rows), "position").sortWithinPartitions("position")
 
 
@@ -129,16 +128,10 @@ def position(copy: Column, schedules: list[Schedule] = SCHEDULES) -> Column:
     return out
 
 
-def mix_documents(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **params) -> DataFrame:
-    """The mixed documents in training order: a row per copy, with the input's columns. A copy
-    that is taken in part has only its first words (joined by spaces), and its own length."""
+def mix_documents(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
+    """The mixed documents in training order: a row per copy, with the input's columns and whole texts."""
     got = copies(plan(docs, n_words(F.col(text_col)), **params))
-    part = F.col("words") < F.col("size")
-    bare = F.btrim(F.col("row")[text_col], F.lit(" \t\n\x0b\x0c\r"))
-    cut = F.array_join(F.slice(F.split(bare, r"[\x20\x09-\x0D]+"), F.lit(1), F.col("words").cast("int")), " ")
-    text = F.when(part, cut).otherwise(F.col("row")[text_col])
-    new = {text_col: text} | ({chars_col: F.when(part, F.char_length(text)).otherwise(F.col("row")[chars_col]).cast("long")} if chars_col else {})
-    return got.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return got.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

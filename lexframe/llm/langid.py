@@ -7,8 +7,9 @@ come from exact forward-backward, and a document's language is the one with the
 marginal (the score).
 
 The model is fitted on a bounded sample: at most ``FIT_DOCS`` labelled documents in all, shared
-evenly by the languages and chosen by id hash, and at most ``FIT_CHARS`` characters of each. Spans of
-different documents are chained in training, which is what teaches the transitions to switch. The
+evenly by the languages and chosen by id hash, and of a longer text ``FIT_SPANS`` spans of together
+``FIT_CHARS`` characters, one from each of as many equal parts of the whole text, at a place chosen by
+hash. Spans of different documents are chained in training, which is what teaches the transitions to switch. The
 fit is stochastic gradient ascent on the conditional likelihood in one task (its input is bounded),
 and the model (``BUCKETS`` x languages weights) is broadcast.
 
@@ -37,10 +38,12 @@ from pyspark.sql import Window
 from lexframe.llm.common import releasing, text_slices
 
 #: Bounds of the training sample, and of the model.
-FIT_DOCS, FIT_CHARS, BUCKETS = 4000, 1200, 1 << 16
+FIT_DOCS, FIT_CHARS, FIT_SPANS, BUCKETS = 3000, 1200, 6, 1 << 16
+#: A word counts as sure when one language has this marginal at least.
+SURE = 0.5
 #: Training: words of a chain, epochs, step size, chains of one step; lexicon words occur so often.
 CHAIN, EPOCHS, STEP, BATCH, LEXICON_MIN = 48, 4, 0.3, 64, 3
-BLOCK, SLICE_BYTES = 64, 2 << 20
+BLOCK, SLICE_BYTES = 64, 1 << 20
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -189,15 +192,15 @@ def posteriors(e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gamma, pairs
 
 
-def marginal_sums(e: np.ndarray, t: np.ndarray, sizes: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """Sum of the word marginals of each document. ``e``: exponentiated emissions of all words, one
+def marginal_sums(e: np.ndarray, t: np.ndarray, sizes: np.ndarray, block: int = BLOCK, sure: float = SURE) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the word marginals of each document, and its number of sure words. ``e``: exponentiated emissions of all words, one
     document after another; ``sizes``: their words. Exact forward-backward, by blocks side by side."""
     k, n_docs = e.shape[1], len(sizes)
     per_doc = -(-sizes // block)
     n_blocks = int(per_doc.sum())
-    out = np.zeros((n_docs, k))
+    out, certain = np.zeros((n_docs, k)), np.zeros(n_docs, np.int64)
     if not n_blocks:
-        return out
+        return out, certain
     doc = np.repeat(np.arange(n_docs), per_doc)
     first_block, first_word = np.cumsum(per_doc) - per_doc, np.cumsum(sizes) - sizes
     place = np.arange(n_blocks) - first_block[doc]
@@ -230,14 +233,29 @@ def marginal_sums(e: np.ndarray, t: np.ndarray, sizes: np.ndarray, block: int =
         new = (now @ t) * x[:, i]
         now = np.where(live[:, i, None], new / new.sum(axis=1, keepdims=True), now)
         alpha[:, i] = now
-    sums, now = np.zeros((n_blocks, k)), right
+    sums, firm, now = np.zeros((n_blocks, k)), np.zeros(n_blocks, np.int64), right
     for i in range(block - 1, -1, -1):
         g = alpha[:, i] * now
-        sums += np.where(live[:, i, None], g / g.sum(axis=1, keepdims=True), 0.0)
+        g = g / g.sum(axis=1, keepdims=True)
+        sums += np.where(live[:, i, None], g, 0.0)
+        firm += live[:, i] & (g.max(axis=1) >= sure)
         new = (x[:, i] * now) @ t.T
         now = np.where(live[:, i, None], new / new.sum(axis=1, keepdims=True), now)
     np.add.at(out, doc, sums)
-    return out
+    np.add.at(certain, doc, firm)
+    return out, certain
+
+
+def _spans(text: Column, seed: Column) -> Column:
+    """``FIT_CHARS`` characters of a text as spans from all over it; a shorter text whole. Words that a span cuts go."""
+    size, span = F.char_length(text), FIT_CHARS // FIT_SPANS
+    part = F.floor((size - span) / FIT_SPANS)
+    pieces = []
+    for i in range(FIT_SPANS):
+        begin = part * i + F.pmod(F.xxhash64(seed, F.lit(i)), F.greatest(part, F.lit(1)))
+        piece = F.substring(text, (begin + 1).cast("int"), F.lit(span))
+        pieces.append(F.regexp_replace(piece, r"^\S{1,30}\s|\s\S{1,30}$", " "))
+    return F.when(size > FIT_CHARS, F.concat_ws(" ", *pieces)).otherwise(text)
 
 
 def fit(docs: DataFrame, training: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id",
@@ -251,9 +269,10 @@ def fit(docs: DataFrame, training: Column, lang_col: str = "lang", text_col: str
     each = max(1, fit_docs // len(langs))
     # A hash threshold leaves about four times the wanted rows of each language, so that few rows travel.
     share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1.0, (4.0 * each + 20) / counts[lang]))))
-    chosen = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, FIT_CHARS).alias("text"),
+    chosen = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("whole"),
                          F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
     chosen = chosen.where(F.col("h").cast("double") / float(1 << 64) + 0.5 <= share[F.col("lang")])
+    chosen = chosen.select("lang", _spans(F.col("whole"), F.col("h")).alias("text"), "h")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     chosen = chosen.withColumn("n", first).where(F.col("n") <= each).drop("n")
 
@@ -261,7 +280,9 @@ def fit(docs: DataFrame, training: Column, lang_col: str = "lang", text_col: str
         import pickle
 
         got = sorted((h, lang, text) for b in batches for lang, text, h in zip(*(c.to_pylist() for c in b.columns)))
-        model = train([(langs.index(lang), words_of(text)) for _, lang, text in got], langs)
+        labelled = [(langs.index(lang), words_of(text)) for _, lang, text in got]
+        del got
+        model = train(labelled, langs)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.__dict__)], pa.binary())], names=["model"])
 
     import pickle
@@ -270,10 +291,13 @@ def fit(docs: DataFrame, training: Column, lang_col: str = "lang", text_col: str
     return Model(**pickle.loads(bytes(state["model"])))
 
 
-def label(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """All columns, with the predicted language and its mean marginal (0..1)."""
+def label(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score",
+          sure_out: str | None = None) -> DataFrame:
+    """All columns, with the predicted language and its mean marginal (0..1); ``sure_out`` names a column for
+    the share of words that are sure of a language, whichever it is."""
     shared = docs.sparkSession.sparkContext.broadcast(model.__dict__)  # BUCKETS x languages and a bounded lexicon
-    keep = [c for c in docs.columns if c not in (lang_out, score_out)]
+    new = [lang_out, score_out, *([sure_out] if sure_out else [])]
+    keep = [c for c in docs.columns if c not in new]
 
     def run(batches):
         m = Model(**shared.value)
@@ -290,17 +314,20 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str =
                 on = lettered[code]
                 sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[on], minlength=len(sizes))
                 code = code[on]
-            names, best = np.full(len(sizes), UNKNOWN, object), np.zeros(len(sizes))
+            names, best, sure = np.full(len(sizes), UNKNOWN, object), np.zeros(len(sizes)), np.zeros(len(sizes))
             if len(code):
                 e = m.emissions(words).astype(np.float64)
                 e = np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -60.0))
-                sums = marginal_sums(e[code], t, sizes)
+                sums, certain = marginal_sums(e[code], t, sizes)
                 some = sizes > 0
+                sure[some] = certain[some] / sizes[some]
                 top = sums.argmax(axis=1)
                 names[some] = np.array(m.langs, object)[top[some]]
                 best[some] = np.clip(sums[some, top[some]] / sizes[some], 0.0, 1.0)
-            out = pa.table([*(table[c] for c in keep), pa.array(names, pa.string()), pa.array(best)], names=[*keep, lang_out, score_out])
+            columns = [pa.array(names, pa.string()), pa.array(best), pa.array(sure)][:len(new)]
+            out = pa.table([*(table[c] for c in keep), *columns], names=[*keep, *new])
             yield from out.combine_chunks().to_batches()
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, k) for c, k in zip(new, kinds))])
     return docs.mapInArrow(releasing(run), schema)

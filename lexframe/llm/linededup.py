@@ -10,10 +10,14 @@ pages by host; pages are never regrouped by line. The array table is written fir
 sees its true size and broadcasts it only when it is small; otherwise it is a join on host whose
 skewed partitions are split at run time.
 
+A page that would lose more than half of its text is left whole: it is not framed by boilerplate but a copy
+of other pages, and copies are a matter of de-duplication, which keeps one of them, while dropping the
+lines of all would lose the text.
+
 Defined cases: a null host is a site of its own; a null text counts as a page without lines and
 stays null; blank lines are never boilerplate and stay; a line twice on a page counts once;
-repeated rows and copies of a page count as separate pages, or with ``copies_once`` as one page of
-the host (by a 128-bit hash of the text), so that copying a page never makes boilerplate of it;
+repeated rows and copies of a page count as one page of the host (by a 128-bit hash of the text), so that
+copying a page never makes boilerplate of it; without ``copies_once`` as separate pages;
 lines are compared without white space at their ends (by a 128-bit hash); extra columns are carried;
 an empty table gives an empty table.
 """
@@ -26,9 +30,11 @@ from pyspark.sql import functions as F
 from lexframe.llm.common import SPACES, materialise
 
 #: A line is boilerplate above this share of its site's pages ...
-MAX_RATIO = 0.02
+MAX_RATIO = 0.1
 #: ... if at least this many of its pages contain it.
-MIN_PAGES = 10
+MIN_PAGES = 3
+#: A page keeps at least this share of its characters, or is left whole.
+MIN_KEPT = 0.5
 
 
 def _key(line: Column) -> Column:
@@ -38,7 +44,7 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
-                copies_once: bool = False) -> DataFrame:
+                copies_once: bool = True) -> DataFrame:
     """One row per host with boilerplate: ``_host`` and ``_drop``, the keys of its lines."""
     rows = pages.select(host.alias("_host"), text.alias("_text"))
     n_pages = F.count(F.lit(1))
@@ -56,7 +62,8 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float =
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO,
-                     min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None, copies_once: bool = False) -> DataFrame:
+                     min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None, copies_once: bool = True,
+                     min_kept: float = MIN_KEPT) -> DataFrame:
     """The pages with boilerplate lines dropped from their text. ``counts`` names two columns to
     add: the page's lines, and those dropped."""
     # Names of the working columns cannot clash: the page travels as one struct.
@@ -67,7 +74,10 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", max
     text = F.col("_row")[text_col]
     staged = joined.withColumn("_lines", F.split(text, "\n"))
     kept = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), _key(x)), F.lit(False)))
-    staged = staged.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept))
+    staged = staged.withColumn("_left", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept))
+    chars = lambda c: F.char_length(F.array_join(c, ""))
+    whole = chars("_left") < min_kept * chars("_lines")
+    staged = staged.withColumn("_kept", F.when(whole, F.col("_lines")).otherwise(F.col("_left")))
     new_text = F.array_join("_kept", "\n")
     out = [(new_text if c == text_col else F.col("_row")[c]).alias(c) for c in pages.columns]
     if counts:

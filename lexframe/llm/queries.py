@@ -44,7 +44,7 @@ c AS (SELECT d.doc_id, d.size, t.source_size, t.turn, t.target, CAST(floor(t.tar
              CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
       FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes FROM c),
-f AS (SELECT *, CAST(passes * size + greatest(0, least(size, words - passes * source_size - start)) AS BIGINT) AS taken,
+f AS (SELECT *, CAST((passes + CASE WHEN size > 0 AND 2 * (words - passes * source_size - start) >= size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken,
              CAST(start AS DOUBLE) / greatest(1.0, target) AS u FROM e),
 g AS (SELECT *, CASE turn WHEN 0 THEN 3.0 * u WHEN 1 THEN 1.0 * u ELSE 2.0 * u END AS a FROM f)
 SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN
@@ -59,13 +59,15 @@ def op4_curriculum_mix(spark, d):
 
 @register("op6_site_line_dedup", r"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-k AS (SELECT DISTINCT doc_id, source, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT doc_id, source, unnest(ls) AS l FROM d)),
-b AS (SELECT k.source, k.line FROM k JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY source) p
+g AS (SELECT DISTINCT source, text FROM d),
+k AS (SELECT DISTINCT source, text, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS l FROM g)),
+b AS (SELECT k.source, k.line FROM k JOIN (SELECT source, count(*) AS pages FROM g GROUP BY source) p
       ON p.source IS NOT DISTINCT FROM k.source WHERE k.line <> ''
-      GROUP BY k.source, k.line, p.pages HAVING count(*) >= 10 AND count(*) > 0.02 * p.pages),
+      GROUP BY k.source, k.line, p.pages HAVING count(*) >= 3 AND count(*) > 0.1 * p.pages),
 a AS (SELECT source, list(line) AS drop_lines FROM b GROUP BY source),
-n AS (SELECT d.doc_id, d.text, d.ls, list_filter(d.ls, lambda x: NOT coalesce(list_contains(a.drop_lines, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), false)) AS kept
-      FROM d LEFT JOIN a ON a.source IS NOT DISTINCT FROM d.source)
+m AS (SELECT d.doc_id, d.text, d.ls, list_filter(d.ls, lambda x: NOT coalesce(list_contains(a.drop_lines, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), false)) AS left_over
+      FROM d LEFT JOIN a ON a.source IS NOT DISTINCT FROM d.source),
+n AS (SELECT *, CASE WHEN length(array_to_string(left_over, '')) < 0.5 * length(array_to_string(ls, '')) THEN ls ELSE left_over END AS kept FROM m)
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_removed,
        CASE WHEN text IS NULL THEN NULL ELSE sha256(array_to_string(kept, chr(10))) END AS kept_sha256
 FROM n""")

@@ -30,7 +30,10 @@ def test_blocks_equal_all_paths():
             want[d] /= total
         at += n
     for block in (2, 3, 64):
-        assert np.allclose(L.marginal_sums(e, t, sizes, block), want)
+        sums, sure = L.marginal_sums(e, t, sizes, block)
+        assert np.allclose(sums, want) and (sure <= sizes).all()
+        gamma, _ = L.posteriors(e[None, 6:13], t)
+        assert sure[3] == (gamma[0].max(axis=1) >= L.SURE).sum()
     gamma, _ = L.posteriors(e[None, 6:13], t)
     assert np.allclose(gamma.sum(axis=1)[0], want[3])
 
@@ -83,3 +86,25 @@ def test_awkward_rows(spark, awkward, empty):
     none = L.fit(empty, F.lit(True))
     assert none.langs == [] and {(r.lang_pred, r.score) for r in L.label(awkward, none).collect()} == {("und", 0.0)}
     assert L.label(empty, model).count() == 0
+
+
+def test_training_spans_come_from_the_whole_text(spark):
+    """A long text gives spans from each of its parts, without the words that a span cuts; a short one is whole."""
+    long = " ".join(f"w{i:05d}" for i in range(20000))
+    rows = [(1, long), (2, "short text"), (3, "x" * 5000), (4, None)]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, t string").select("i", L._spans(F.col("t"), F.col("i")).alias("s")).collect()}
+    words = got[1].split()
+    places = [int(w[1:]) for w in words if len(w) == 6]
+    assert len(places) == len(words) and len(got[1]) <= L.FIT_CHARS + L.FIT_SPANS
+    assert {p * L.FIT_SPANS // 20000 for p in places} == set(range(L.FIT_SPANS)) and min(places) > 0
+    assert got[2] == "short text" and set(got[3]) <= {"x", " "} and got[4] is None
+
+
+def test_words_are_sure_of_some_language(spark):
+    """Three languages in equal parts: no language holds the text, each word is sure of its own."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = L.fit(docs, is_training(F.col("doc_id"), 3, 1))
+    de = docs.where("lang = 'de'").first().text.split()[:40]
+    text = " ".join(["the and thing that was with from"] * 6 + ["être les avec que dans une des"] * 6 + de)
+    row = L.label(spark.createDataFrame([(text,)], "text string"), model, sure_out="sure").first()
+    assert row.score < 0.6 and row.sure > 0.9
