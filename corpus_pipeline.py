@@ -4,13 +4,14 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 columns of ``documents``; the last returns tokens. Between stages the rows are written as Parquet to the
 shared checkpoint folder and read again.
 
-- language ID: learned from the labelled training rows; drops documents without a letter and those
-  in which no language holds ``MIN_LANG_SCORE`` of the words.
+- language ID: learned from the labelled training rows; drops documents without a letter and those in
+  which fewer than ``MIN_SURE`` of the words are sure of a language. Code-switched documents stay.
 - line dedup: the source is the site, and copies of a text count as one page of it, so that the next
-  stage finds them whole; ``n_chars`` follows the text. A document may be left empty.
+  stage finds them whole; ``n_chars`` follows the text. A document loses at most half of its text.
 - near-duplicates: three-word shingles, at most three differing bits; the least id of a group stays.
-- mixing: a row per copy, in training order; a document taken in part has only its first words.
-- tokens: doc_id, lang, source, n_tokens, the ids, and digests of ids and decoded bytes.
+- mixing: a row per copy, whole texts, in training order.
+- tokens: shard and shard_row (the order of training: the mix's files in name order, their rows in order; they tell
+  copies apart), doc_id, lang, source, n_tokens, the ids, and digests of ids and decoded bytes; sorted by that order.
 
 Nulls, empty texts, repeated rows and empty tables follow the operators' docstrings.
 """
@@ -24,20 +25,20 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from lexframe.llm import bpe, curriculum, langid, linededup, simhash
-from lexframe.llm.common import is_training, materialise
+from lexframe.llm.common import is_training, materialise, partitions
 
-MIN_LANG_SCORE = 0.5
+MIN_SURE = 0.5
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def language_id(spark, docs, sf_dir):
     model = langid.fit(docs, is_training(F.col("doc_id"), 3, 1))
-    kept = langid.label(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANG_SCORE))
+    kept = langid.label(docs, model, sure_out="sure").where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("sure") >= MIN_SURE))
     return kept.select(docs.columns)
 
 
 def line_dedup(spark, docs, sf_dir):
-    out = linededup.drop_boilerplate(docs, F.col("source"), copies_once=True)
+    out = linededup.drop_boilerplate(docs, F.col("source"))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
@@ -50,7 +51,10 @@ def mix(spark, docs, sf_dir):
 
 
 def tokens(spark, docs, sf_dir):
-    return bpe.tokenised(docs, RANKS, public_tokenizers.PATTERN, carry=["doc_id", "lang", "source"])
+    order = ["shard", "shard_row"]
+    placed = docs.select("doc_id", "text", "lang", "source", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("shard_row"))
+    out = bpe.tokenised(placed, RANKS, public_tokenizers.PATTERN, carry=[*order, "doc_id", "lang", "source"])
+    return out.repartitionByRange(partitions(out), *order).sortWithinPartitions(*order)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("tokens", tokens)]
