@@ -4,33 +4,37 @@ A text is parsed into phrases level by level. Runs of one symbol become one symb
 coin tossing reduces each symbol, against its left neighbour, to a label of an alphabet of six;
 phrases start where labels have a local minimum, and a phrase's name is a hash of its symbols,
 which are the next level's text. A phrase boundary depends on a few neighbours only, so equal
-substrings get equal phrase names inside, wherever they stand. The fingerprint is the ``SKETCH``
-least hashes of a text's phrase names from level ``FIRST_LEVEL`` up (about 10, 30, 90, ...
-characters), from which the overlap of two texts is estimated: the share of common phrases (Dice).
+substrings get equal phrase names inside, wherever they stand. A fingerprint has two parts, from level
+``FIRST_LEVEL`` up (phrases of about 10, 30, 90, ... characters): the ``SKETCH`` least hashes of all phrase names,
+a sample that is exact for short texts; and for texts with more names than that, every name of the highest levels, those
+with at most ``TOP`` phrases. The last of these names the whole text, so any edit changes the fingerprint.
+Likeness is the share of common names (Dice) over the common sample and the highest levels; the sample
+alone has a standard error of about 0.06 on long texts.
 
 Fingerprinting is row by row, in numpy over slices of texts, without a shuffle. Comparing a document
 with its successor needs the successor's text: rows are cut by id into ranges, each range sorted by
-id in one task slice, and the first row of a range is also sent to the range before. Range bounds
-and first ids (one per range) are all that the driver sees.
+id in one task slice, and the first row of a range is also sent to the range before. The bounds (one number per
+range) are one constant, searched by halves; the first id of each range is joined from a table of one row per range.
 
 Defined cases: a null text counts as empty, with an empty fingerprint; two empty fingerprints are
-alike (1.0), an empty and another are not (0.0); null ids come first, and rows of one id follow one
+alike (1.0), an empty and another are not (0.0); ids are numbers, null ones come first, and rows of one id follow one
 another by text; a single row is its own successor; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexframe.llm.common import partitions
+from lexframe.llm.common import materialise, partitions
 
-FIRST_LEVEL, SKETCH, SLICE_CHARS = 2, 64, 1 << 18
+FIRST_LEVEL, SKETCH, TOP, SLICE_CHARS = 2, 64, 16, 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -79,9 +83,10 @@ def parse(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return _mix(np.add.reduceat(weighted, at)), first[at]
 
 
-def fingerprints(texts: list[str]) -> list[np.ndarray]:
-    """Sketches (sorted 32-bit hashes, at most ``SKETCH``) of texts."""
-    out = [np.zeros(0, np.uint32)] * len(texts)
+def fingerprints(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Fingerprints of texts: (sorted 32-bit hashes, at most ``SKETCH``; those of the highest levels)."""
+    none = np.zeros(0, np.uint32)
+    out = [(none, none)] * len(texts)
     some = [i for i, t in enumerate(texts) if t]
     if not some:
         return out
@@ -89,7 +94,7 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
     names = _mix(np.frombuffer("".join(texts[i] for i in some).encode("utf-32-le"), "<u4").astype(np.uint64) * _A)
     first = np.zeros(len(names), bool)
     first[np.cumsum(sizes) - sizes] = True
-    keys, level, number = [], 0, np.arange(len(some))
+    keys, tops, level, number = [], [], 0, np.arange(len(some))
     while len(names):
         names, first = parse(names, first)
         level += 1
@@ -97,29 +102,37 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
         if level >= FIRST_LEVEL:
             hashed = _mix(names + np.uint64(level)) >> np.uint64(32)
             keys.append((number[own].astype(np.uint64) << np.uint64(32)) | hashed)
-            more = np.bincount(own) > 1  # texts of several phrases go on
+            many = np.bincount(own)
+            tops.append(keys[-1][many[own] <= TOP])
+            more = many > 1  # texts of several phrases go on
             names, first, number = names[more[own]], first[more[own]], number[more]
-    keys = np.unique(np.concatenate(keys))
-    doc = (keys >> np.uint64(32)).astype(np.int64)
-    hashes = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    lo, hi = np.searchsorted(doc, np.arange(len(some))), np.searchsorted(doc, np.arange(len(some)), side="right")
+
+    def by_text(parts):
+        found = np.unique(np.concatenate(parts))
+        doc, hashes = (found >> np.uint64(32)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return hashes, np.searchsorted(doc, np.arange(len(some) + 1))
+
+    (hashes, at), (high, top_at) = by_text(keys), by_text(tops)
     for k, i in enumerate(some):
-        out[i] = hashes[lo[k]:min(hi[k], lo[k] + SKETCH)]
+        long = at[k + 1] - at[k] > SKETCH
+        out[i] = hashes[at[k]:min(at[k + 1], at[k] + SKETCH)], high[top_at[k]:top_at[k + 1]] if long else none
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of common phrases (Dice) of two sketches: exact for short texts."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    x, y = set(a.tolist()), set(b.tolist())
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Estimated share of common phrases (Dice) of two fingerprints: exact for short texts."""
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0]))
+    x, y = set(a[0].tolist()), set(b[0].tolist())
     least = sorted(x | y)[:SKETCH]
-    jaccard = sum(h in x and h in y for h in least) / len(least)
+    high, other = set(a[1].tolist()), set(b[1].tolist())
+    jaccard = (sum(h in x and h in y for h in least) + len(high & other)) / (len(least) + len(high | other))
     return 2 * jaccard / (1 + jaccard)
 
 
-def as_text(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+def as_text(fingerprint: tuple[np.ndarray, np.ndarray]) -> str:
+    """Hexadecimal digits of the sample, then after a hyphen those of the highest levels, if there are any."""
+    return "-".join(x.astype(">u4").tobytes().hex() for x in fingerprint if len(x) or x is fingerprint[0])
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
@@ -157,24 +170,30 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     cut = [i / wanted for i in range(1, wanted)]
     bounds = docs.agg(F.percentile_approx(id_col, cut, 100 * wanted).alias("b")).first()["b"] if cut else []
     bounds = sorted(set(bounds or []))
-    place = F.lit(0)
-    if bounds:
-        limits = F.array(*(F.lit(b) for b in bounds))
-        place = F.coalesce(F.size(F.filter(limits, lambda b: b <= F.col("id"))), F.lit(0))
+    place = F.coalesce(_bounds_upto(F.col("id"), bounds, docs.schema[id_col].dataType.simpleString()), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("range", place)
-    rows = rows.withColumn("range", F.when(F.col("id").isNull(), 0).otherwise(F.col("range")))
-    least = rows.groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("f")).collect()
-    least = sorted((r["range"], r["f"]["id"]) for r in least)  # one row per range
-    before = {r: least[k - 1][0] for k, (r, _) in enumerate(least)}
+    # One row per range, small enough to be broadcast: its first id and the range before it (before the first: the last).
+    least = rows.groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("f"))
+    least = materialise(least.select(F.col("range").alias("r"), F.col("f.id").alias("lead")), "lcp-ranges")
+    before = F.lag("r").over(Window.orderBy("r"))
+    least = least.select("r", "lead", F.coalesce(before, F.max("r").over(Window.partitionBy(F.lit(0)))).alias("ahead"))
+    joined = rows.join(F.broadcast(least), (F.col("range") == F.col("r")) & F.col("id").eqNullSafe(F.col("lead")), "left")
     spots = F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("next")))
-    if least:
-        ahead = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("range"))
-        lead = F.element_at(F.create_map(*(x for r, i in least for x in (F.lit(r), F.lit(i).cast(docs.schema[id_col].dataType)))), F.col("range"))
-        spots = F.when(F.col("id").eqNullSafe(lead), F.concat(spots, F.array(F.struct(ahead.alias("range"), F.lit(True).alias("next"))))).otherwise(spots)
-    return (rows.withColumn("spot", F.explode(spots)).select("id", "text", "spot.range", "spot.next")
+    spots = F.when(F.col("r").isNotNull(), F.concat(spots, F.array(F.struct(F.col("ahead").alias("range"), F.lit(True).alias("next"))))).otherwise(spots)
+    return (joined.withColumn("spot", F.explode(spots)).select("id", "text", "spot.range", "spot.next")
             .repartition(n, "range").sortWithinPartitions("range", "next", F.col("id").asc_nulls_first(), "text"))
 
 
+def _bounds_upto(value: Column, bounds: list, kind: str) -> Column:
+    """How many of the sorted ``bounds`` are at most ``value`` (null for null): a search by halves in one constant."""
+    limits = F.from_json(F.lit(json.dumps(bounds)), f"array<{kind}>")
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+
+    def halve(low, step):
+        return F.when(F.get(limits, low + step - 1) <= value, low + step).otherwise(low)
+    return F.when(value.isNotNull(), F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve) if steps else F.lit(0))
+
+
 def edit(text: str, following: str) -> str:
     """The last half (rounded down) replaced by as many first characters of another text, or all of it."""
     half = len(text) // 2

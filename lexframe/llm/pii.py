@@ -16,7 +16,7 @@ common pattern or an often repeated instance sends one row per map task and edge
 per row only, so a group is bounded by one text.
 
 Defined cases: a null text counts as empty, without spans; repeated rows get equal results; all columns
-but the text are carried, whatever their names; offsets are code points, ends exclusive; an empty table
+but the text are carried (one that is named as the new column is replaced); offsets are code points, ends exclusive; an empty table
 gives an empty result.
 """
 
@@ -58,18 +58,30 @@ def _digits(s: str) -> str:
 
 def _valid(kind: int, s: str) -> bool:
     if kind == 1:
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in s.split(".")))
     if kind == 2:
         d = _digits(s)
         return 14 <= len(d) <= 19 and luhn(d)
     return kind == 0 or 10 <= len(_digits(s)) <= 15
 
 
+def _emails(text: str):
+    """Spans of the email pattern, from each ``@`` outwards: its local part is the run before it, its domain follows."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+            free = domain.end()
+        at = text.find("@", max(at + 1, free))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) by start, then kind."""
-    out = []
-    if "@" in text:
-        out += [(0, *m.span()) for m in _EMAIL.finditer(text)]
+    out = [(0, *x) for x in _emails(text)]
     if _DIGIT.search(text):
         for kind, pattern in ((1, _IP), (2, _CARD), (3, _PHONE) if "+" in text else (3, None)):
             if pattern:
@@ -77,9 +89,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
-_EMAIL, _IP, _CARD, _PHONE, _DIGIT = (re.compile(p) for p in (EMAIL, IP, CARD, PHONE, "[0-9]"))
+# The patterns as they are searched: a match of the ip pattern can only begin where a run of digits does, and a token
+# where nothing of a token stands before, so an unbroken run is tried once and not from each of its characters.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(EMAIL.partition("@")[2])
+_IP, _CARD, _PHONE, _DIGIT = (re.compile(p) for p in ("(?<![0-9])" + IP, CARD, PHONE, "[0-9]"))
 #: An identifier-like token: no spaces or separators, with a digit or @ somewhere; digit groups may follow.
-_TOKEN = re.compile(r"[^\s=:\"'<>,;|]*[0-9@][^\s=:\"'<>,;|]*(?:[ ][(]?[0-9][0-9().-]*(?=[\s,;:]|$))*")
+_TOKEN = re.compile(r"(?<![^\s=:\"'<>,;|])[^\s=:\"'<>,;|]*[0-9@][^\s=:\"'<>,;|]*(?:[ ][(]?[0-9][0-9().-]*(?=[\s,;:]|$))*")
 _CONTEXT = re.compile(r"\w+|[^\w\s]")
 
 
@@ -108,6 +124,9 @@ def scan_text(text: str) -> list[tuple]:
     out = [(k, s, e, text[s:e].lower(), patterns_at(text, s, e), 1 << k) for k, s, e in base]
     if "@" not in text and not _DIGIT.search(text):
         return out
+    ends, covered = [], 0  # base spans by start, each with the furthest end so far
+    for _, _, e in base:
+        ends.append(max(e, ends[-1] if ends else 0))
     for m in _TOKEN.finditer(text):
         s, e = m.span()
         while e > s and text[e - 1] in ".!?)]}-":
@@ -115,7 +134,9 @@ def scan_text(text: str) -> list[tuple]:
         while s < e and text[s] in "([{":
             s += 1
         token = text[s:e]
-        if ("@" in token.strip("@") or len(_digits(token)) >= MIN_DIGITS) and not any(a < e and s < b for _, a, b in base):
+        while covered < len(base) and base[covered][1] < e:
+            covered += 1  # base spans that begin before the token ends
+        if ("@" in token.strip("@") or len(_digits(token)) >= MIN_DIGITS) and not (covered and ends[covered - 1] > s):
             fits = sum(1 << k for k in range(len(KINDS)) if plausible(k, token))
             out.append((None, s, e, token.lower(), patterns_at(text, s, e), fits))
     return out

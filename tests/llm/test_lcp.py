@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as W
+
 from lexframe.llm import lcp as L
 from llm_data import awkward, docs, empty  # noqa: F401 - fixtures
 
@@ -31,15 +33,17 @@ def slow_parse(names):
 
 def slow_fingerprint(text):
     mix = lambda x: int(L._mix(np.array([x % 2**64], np.uint64))[0])
-    names, out, level = [mix(ord(c) * int(L._A)) for c in text], set(), 0
+    names, out, high, level = [mix(ord(c) * int(L._A)) for c in text], set(), set(), 0
     while names:
         names = slow_parse(names)
         level += 1
         if level >= L.FIRST_LEVEL:
-            out |= {mix(x + level) >> 32 for x in names}
+            found = {mix(x + level) >> 32 for x in names}
+            out |= found
+            high |= found if len(names) <= L.TOP else set()
             if len(names) == 1:
                 break
-    return sorted(out)[:L.SKETCH]
+    return sorted(out)[:L.SKETCH], sorted(high) if len(out) > L.SKETCH else []
 
 
 TEXTS = ["", "a", "aa", "ab", "aaaaaaaaaaaab", "the cat sat on the mat " * 9, "".join(map(chr, range(200, 900))), "é日本\U0001F600" * 7]
@@ -47,7 +51,7 @@ TEXTS = ["", "a", "aa", "ab", "aaaaaaaaaaaab", "the cat sat on the mat " * 9, ""
 
 def test_vectorised_parse_equals_symbol_by_symbol(docs):
     texts = TEXTS + [r.text[:1500] for r in docs.limit(25).collect()]
-    assert [x.tolist() for x in L.fingerprints(texts)] == [slow_fingerprint(t) for t in texts]
+    assert [(x.tolist(), y.tolist()) for x, y in L.fingerprints(texts)] == [slow_fingerprint(t) for t in texts]
 
 
 def test_equal_substrings_share_interior_names():
@@ -96,3 +100,27 @@ def test_cases(spark, awkward, empty):
     same = [r.fingerprint for r in out.collect() if r.text and r.text.startswith("the cat")]
     assert len(same) == 3 and len(set(same)) == 1
     assert L.edits(empty).count() == 0 and L.with_fingerprint(empty).count() == 0
+
+
+def test_one_edited_word_shows(spark):
+    """Also in a text of 10,000 words, far longer than the sample; and equal texts stay alike."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(10000)]
+    texts = [" ".join(words)]
+    for _ in range(20):
+        at = rnd.randrange(len(words))
+        texts.append(" ".join([*words[:at], "edited", *words[at + 1:]]))
+    own, *edited = L.fingerprints(texts)
+    assert L.likeness(own, own) == 1.0
+    assert all(0.5 < L.likeness(own, x) < 1.0 and L.as_text(x) != L.as_text(own) for x in edited)
+
+
+def test_bounds_by_halves(spark):
+    for bounds in ([], [3], [1, 4, 4, 9, 12], list(range(0, 1000, 7))):
+        rows = spark.range(-2, 1010).select("id", L._bounds_upto(W.col("id"), bounds, "bigint").alias("n")).collect()
+        assert all(r.n == sum(b <= r.id for b in bounds) for r in rows)
+
+
+def test_planning_does_not_grow_with_the_ranges(docs):
+    plan = L.with_next(docs, ranges=3000)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 40000

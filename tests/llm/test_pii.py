@@ -82,3 +82,29 @@ def test_columns_and_empty(awkward, empty):
     out = P.extract(awkward)
     assert out.columns == [*(c for c in awkward.columns if c != "text"), "spans"] and out.count() == awkward.count()
     assert P.extract(empty).count() == 0
+
+
+def test_search_equals_the_patterns():
+    """Searching outwards and from run starts finds what the plain patterns find, on strings made of their characters."""
+    import random
+    rnd = random.Random(7)
+    token = re.compile(r"[^\s=:\"'<>,;|]*[0-9@][^\s=:\"'<>,;|]*(?:[ ][(]?[0-9][0-9().-]*(?=[\s,;:]|$))*")
+    for _ in range(4000):
+        text = "".join(rnd.choice("a.-@@1205  +(:;,é%" if rnd.random() < 0.9 else "...1.2") for _ in range(rnd.randrange(40)))
+        assert [(s, k, e) for k, s, e in P.base_spans(text)] == brute(text)
+        assert [m.span() for m in P._TOKEN.finditer(text)] == [m.span() for m in token.finditer(text)]
+        base = P.base_spans(text)
+        for kind, s, e, *_ in P.scan_text(text):
+            assert kind is not None or not any(a < e and s < b for _, a, b in base)
+
+
+def test_long_unbroken_runs_and_numbers():
+    """A million characters without a break, in seconds; digits beyond what an integer may have."""
+    import time
+    n = 10 ** 6
+    start = time.time()
+    for text in ("字" * n + "1", "1" * n, "a" * n + "@", "a." * (n // 2) + "@b", "1." * (n // 2), "@" * n, "a@" * (n // 2), "+1" * (n // 2),
+                 "(" * n + "12345", "a@b.c " * 20000 + "12345 " * 20000):
+        P.scan_text(text)
+    assert time.time() - start < 60
+    assert P.base_spans("x " + "0" * 5000 + "1.2.3.4 " + "9" * 5000 + ".1.1.1") == [(1, 2, 5009)]
