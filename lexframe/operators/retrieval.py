@@ -328,41 +328,79 @@ def _unit(v):
     return v / np.where(n > 0, n, 1.0)[:, None]
 
 
-def _nearest_cell(centre_rows, unit: bool):
+def cell_space(v, metric: str, longest: float = 0.0, query: bool = False):
+    """Vectors where l2 orders rows as the metric does: unit vectors for cosine; for ip one more coordinate that
+    brings every row to the length of the ``longest`` (and is 0 in a query)."""
+    if metric == "cosine":
+        return _unit(v)
+    if metric == "ip":
+        more = np.zeros(len(v)) if query else np.sqrt(np.maximum(longest ** 2 - np.einsum("ij,ij->i", v, v), 0.0))
+        return np.concatenate([v, more[:, None]], axis=1)
+    return v
+
+
+def cell_reach(dk, metric: str, longest: float, length):
+    """The metric's distance as an l2 distance in cell space, widened by more than the rounding of both."""
+    if metric == "cosine":
+        reach = np.sqrt(np.maximum(2.0 * dk, 0.0))
+        return reach + 1e-6 * (1.0 + reach)
+    if metric == "ip":
+        reach = np.sqrt(np.maximum(length ** 2 + longest ** 2 + 2.0 * dk, 0.0))
+        return reach + 1e-6 * (1.0 + reach + longest + length)
+    return dk + 1e-9 * (1.0 + dk)
+
+
+def _nearest_cell(centres, metric: str, longest: float):
     """Per Arrow batch: each corpus row's nearest centre (matrix product) and its exact
     distance to that centre (direct difference; the cell radius is its maximum)."""
-    centres = _unit(np.stack(centre_rows)) if unit else np.stack(centre_rows)
-
     def fn(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            v = _unit(v) if unit else v
+            v = cell_space(np.stack(pdf["vec"].to_numpy()).astype(np.float64), metric, longest)
             cell = np.argmin(_blas_sq(v, centres), axis=1)
             diff = v - centres[cell]
             yield pdf.assign(cell=cell.astype("int32"), to_centre=np.sqrt(np.einsum("ij,ij->i", diff, diff)))
     return fn
 
 
-def _centre_distances(centre_rows, n_probe: int, held: list, unit: bool):
-    """Per Arrow batch: one row per query with its distances to all centres, and the
-    ``n_probe`` nearest of the cells that hold rows."""
-    centres = _unit(np.stack(centre_rows)) if unit else np.stack(centre_rows)
+def _probed_cells(centres, n_probe: int, held: list, metric: str):
+    """Per Arrow batch: the ``n_probe`` nearest of the cells that hold rows, for each query."""
     held = np.array(held)
 
+    def fn(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            v = cell_space(np.stack(pdf["qvec"].to_numpy()).astype(np.float64), metric, query=True)
+            near = held[np.argsort(_blas_sq(v, centres)[:, held], axis=1, kind="stable")[:, :n_probe]]
+            yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), near.shape[1]), "cell": near.ravel().astype("int32")})
+    return fn
+
+
+def _cells_in_reach(centres, n_probe: int, radius: dict, metric: str, longest: float):
+    """Per Arrow batch: of each query with its k-th distance so far, the cells (beyond those probed) that may hold a nearer row."""
+    held = np.array(sorted(radius))
+    radii = np.array([radius[c] for c in sorted(radius)])
+
     def fn(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
             v = np.stack(pdf["qvec"].to_numpy()).astype(np.float64)
-            d = np.sqrt(_blas_sq(_unit(v) if unit else v, centres))
-            near = held[np.argsort(d[:, held], axis=1, kind="stable")[:, :n_probe]]
-            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy(), "qc": list(d), "probe": list(near.astype("int32"))})
+            length = np.sqrt(np.einsum("ij,ij->i", v, v))
+            d2 = _blas_sq(cell_space(v, metric, query=True), centres)[:, held]
+            probed = np.argsort(d2, axis=1, kind="stable")[:, :n_probe]
+            reach = cell_reach(pdf["dk"].to_numpy(dtype=np.float64), metric, longest, length)
+            # The matrix product's rounding, at worst, as a distance.
+            close = np.sqrt(d2) - np.sqrt(1e-12 * (1.0 + length ** 2 + longest ** 2))[:, None] - radii <= reach[:, None]
+            np.put_along_axis(close, probed, False, axis=1)
+            row, at = np.nonzero(close)
+            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[row], "cell": held[at].astype("int32")})
     return fn
 
 
-def _probes_for(recall: float, q: DataFrame, assigned: DataFrame, top, centre_rows: list, held: list, k: int, metric: str,
+def _probes_for(recall: float, q: DataFrame, assigned: DataFrame, top, centres, held: list, k: int, metric: str,
                 seed: int, query_block_rows: int) -> int:
     """The least number of probes with which a bounded sample of the queries (by hash) finds the share
     ``recall`` of its exact ``k`` nearest rows. One pass over the corpus: each sampled query's true
@@ -374,10 +412,7 @@ def _probes_for(recall: float, q: DataFrame, assigned: DataFrame, top, centre_ro
     bc = q.sparkSession.sparkContext.broadcast((np.arange(len(v)), v))
     cells = assigned.select(F.col("cell").cast("long").alias("id"), "vec")
     near = top(cells.mapInPandas(_broadcast_scan(bc, k, metric, query_block_rows), "query_id long, id long, distance double")).collect()
-    unit = metric == "cosine"
-    centres = _unit(np.stack(centre_rows)) if unit else np.stack(centre_rows)
-    v = v.astype(np.float64)
-    d = np.sqrt(_blas_sq(_unit(v) if unit else v, centres))[:, held]
+    d = _blas_sq(cell_space(v.astype(np.float64), metric, query=True), centres)[:, held]
     rank = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1)
     at = {c: i for i, c in enumerate(held)}
     needed = np.sort([rank[r["query_id"], at[r["id"]]] + 1 for r in near])
@@ -490,8 +525,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
       1. cells: centres are a seeded sample of ≤ ``n_cells`` corpus vectors (shipped to
          tasks with the function); every corpus row gets its nearest cell and the
          distance to it (numpy per Arrow batch); per cell a row count and a radius.
-      2. probe: each query's distances to the centres (one row per query) and its
-         ``n_probe`` nearest cells (by default 2; with ``exact=False``, as many as a bounded
+      2. probe: each query's ``n_probe`` nearest cells (by default 2; with ``exact=False``, as many as a bounded
          sample of the queries needs for ``recall``).
       3. scan: query rows meet corpus rows by an equi-join on cell. Groups are cut
          into blocks of at most ``block_rows`` corpus rows × ``query_block_rows``
@@ -500,8 +534,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
       4. bound (``exact``): the probe's k-th distance per query; every other cell
          whose lower bound ``|q − centre| − radius`` is within it is scanned too.
          Cells left out cannot hold a nearer row, so the result equals brute force.
-         For cosine, cells and bound work on unit vectors, where the distance orders
-         rows as l2 does; ``ip`` has no such bound and scans every cell in step 4.
+         Cells and bound work in a space where l2 orders rows as the metric does
+         (``cell_space``): unit vectors for cosine, and for ``ip`` vectors that one more
+         coordinate brings to one length. The bound is a matrix product per batch of
+         queries; only cells in reach become rows.
       5. top-k per query over the candidates (partial WindowGroupLimit).
     """
     spark = corpus.sparkSession
@@ -538,9 +574,9 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
         return spark.createDataFrame([], none)
     if n_cells is None:
         n_cells = int(max(8, min(1024, round(n ** 0.5))))
-    centre_rows = _sample_centres(c, "vec", n_cells, seed, n)
-    unit = metric == "cosine"
-    assigned = c.mapInPandas(_nearest_cell(centre_rows, unit), "id long, vec array<float>, cell int, to_centre double")
+    longest = c.agg(F.max(F.sqrt(_dot(F.col("vec"), F.col("vec"))))).first()[0] if metric == "ip" else 0.0
+    centres = cell_space(np.stack(_sample_centres(c, "vec", n_cells, seed, n)), metric, longest)
+    assigned = c.mapInPandas(_nearest_cell(centres, metric, longest), "id long, vec array<float>, cell int, to_centre double")
     assigned = cut_lineage(assigned)
     cell_stats = (assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n_c"), F.max("to_centre").alias("radius"))
                   .withColumn("cblocks", F.ceil(F.col("n_c") / block_rows).cast("int")))
@@ -548,9 +584,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     # At most ``n_cells`` rows: the radius of every cell that holds rows.
     radius = {r["cell"]: r["radius"] for r in cell_stats.select("cell", "radius").collect()}
     if n_probe is None:
-        n_probe = 2 if exact else _probes_for(recall, q, assigned, top, centre_rows, sorted(radius), k, metric, seed, query_block_rows)
-    qc = cut_lineage(q.mapInPandas(_centre_distances(centre_rows, n_probe, sorted(radius), unit),
-                                   "query_id long, qc array<double>, probe array<int>"))
+        n_probe = 2 if exact else _probes_for(recall, q, assigned, top, centres, sorted(radius), k, metric, seed, query_block_rows)
+    cell_schema = "query_id long, cell int"
 
     def scan(cells: DataFrame) -> DataFrame:
         qcount = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n_q"))
@@ -568,22 +603,15 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
         keys = ["cell", "cb", "qb"]
         return qs.groupBy(*keys).cogroup(cs.groupBy(*keys)).applyInPandas(kernel, out_schema)
 
-    first = cut_lineage(top(scan(qc.select("query_id", F.explode("probe").alias("cell")))))
+    first = cut_lineage(top(scan(cut_lineage(q.mapInPandas(_probed_cells(centres, n_probe, sorted(radius), metric), cell_schema)))))
     if not exact:
         return first.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
 
     # k-th distance per query; +inf when the probe found fewer than k rows.
     bound = first.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("dk"))
-    # The bound as an l2 distance; for unit vectors l2 is the root of twice the cosine distance.
-    reach = F.sqrt(F.greatest(F.lit(0.0), 2.0 * F.col("dk"))) if unit else F.col("dk")
-    slack = F.lit(1e-9 if not unit else 1e-6) * (F.lit(1.0) + reach)
-    cells = F.array(*[F.lit(c) for c in sorted(radius)])
-    radii = F.create_map(*[F.lit(x) for c in sorted(radius) for x in (c, float(radius[c]))])
-    near = F.lit(True) if metric == "ip" else F.col("dk").isNull() | (
-        F.element_at("qc", F.col("cell") + 1) - F.col("_r") <= reach + slack)
-    rest = (qc.join(bound, "query_id", "left").select("query_id", "qc", "probe", "dk", F.explode(cells).alias("cell"))
-            .where(~F.array_contains("probe", F.col("cell"))).withColumn("_r", radii[F.col("cell")]).where(near).select("query_id", "cell"))
+    asked = q.join(bound, "query_id", "left").withColumn("dk", F.coalesce("dk", F.lit(float("inf"))))
+    rest = cut_lineage(asked.mapInPandas(_cells_in_reach(centres, n_probe, radius, metric, longest), cell_schema))
     final = top(first.select("query_id", "id", "distance").unionByName(scan(rest)))
     return final.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
 
@@ -614,14 +642,21 @@ def build_context(hits: DataFrame, records: DataFrame, id_col: str = "id", text_
     return ctx
 
 
-def search(queries: DataFrame, records: DataFrame, k: int = DEFAULT_K, dim: int = EMBEDDING_DIM,
+def search(queries: DataFrame, records: DataFrame | None, k: int = DEFAULT_K, dim: int = EMBEDDING_DIM,
            embedder=None, query_text: str = "text", record_id: str = "id", record_text: str = "text",
-           record_source: str = "source", record_vector: str | None = None, **knn_kw) -> DataFrame:
+           record_source: str = "source", record_vector: str | None = None, index: str | None = None, **knn_kw) -> DataFrame:
     """Question answering's retrieval step for a table of questions:
-    embed → k-NN → context string per ``query_id``. With ``record_vector``, the stored
-    vectors of the records are searched; otherwise the records are embedded here."""
+    embed → k-NN → context string per ``query_id``. With ``index``, the stored vector index there is searched (it keeps
+    ``record_text`` and ``record_source``, and only the cells that the questions need are read); with
+    ``record_vector``, the stored vectors of the records; otherwise the records are embedded here."""
     qe = embed(queries.select("query_id", F.col(query_text).alias("content")), "query_id", "content", None,
                dim, embedder)
+    if index is not None:
+        from lexframe.operators import vector_index
+        asked = qe.select("query_id", F.col("ml_generate_embedding_result").alias("embedding"))
+        hits = cut_lineage(vector_index.search(asked, index, k, columns=[record_text, record_source]))
+        found = hits.select("id", F.col(record_text).alias("text"), F.col(record_source).alias("source")).dropDuplicates(["id"])
+        return build_context(hits.select("query_id", "id", "rank"), found, all_queries=queries.select("query_id"))
     if record_vector is None:
         done = embed(records.select(F.col(record_id).alias("id"), F.col(record_text).alias("content")), "id",
                      "content", None, dim, embedder)

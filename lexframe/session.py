@@ -61,7 +61,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique table location under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/lexframe/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/lexframe/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the intermediate tables that this application has written with ``scratch_path``; returns how many. To be
+    called once the results are written: frames that still read such a table cannot be used afterwards."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    tables = len(fs.listStatus(root))
+    fs.delete(root, True)
+    return tables
 
 
 def cut_lineage(df):

@@ -93,14 +93,6 @@ def test_knn_equals_brute_force_with_a_hot_cell(spark, strategy):
     assert got == _brute(qf, cf, 4)
 
 
-def test_knn_approx_recall(spark):
-    e = B.table(spark, SF01, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    exact = R.knn(e.withColumnRenamed("id", "query_id"), e, k=4)
-    approx = R.knn_approx(e.withColumnRenamed("id", "query_id"), e, k=4, n_probe=3)
-    hit = exact.join(approx, ["query_id", "id"]).count()
-    assert hit / exact.count() >= 0.5
-
-
 @pytest.mark.parametrize("sf", [SF01, "/root/testdata/sf0.1"])
 def test_knn_approx_query_recall(spark, sf):
     from lexframe.plans import catalog
