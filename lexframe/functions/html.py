@@ -32,11 +32,17 @@ def with_elements(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     staged = pages.select(F.col(id_col).alias("_id"), F.concat(F.lit(_PAGE), F.coalesce(clean_html(F.col("html")), F.lit(""))).alias("_page"))
     staged = staged.select("_id", F.regexp_extract_all("_page", F.lit(f"({TAG}){_TEXT}"), 1).alias("tokens"),
                            F.regexp_extract_all("_page", F.lit(f"{TAG}({_TEXT})"), 1).alias("texts"))
-    staged = staged.withColumns({"tags": F.transform("tokens", lambda t: F.lower(F.regexp_extract(t, r"^<(/?[A-Za-z][^\s/>]*)", 1))),
-                                 "texts": F.transform("texts", lambda t: decode_entities(t))})
-    own = lambda tag, name: F.transform("tokens", lambda t, i: F.when(F.get("tags", i) == tag, _attribute(t, name)))
-    return staged.withColumns({"hrefs": own("a", "href"), "classes": own("span", "class"),
-                               "_opens": F.transform("tokens", lambda t, i: _opens(F.get("tags", i), t))}).withColumn("depths", _depths()).drop("_opens")
+    staged = staged.withColumns({"tags": _once(F.transform("tokens", lambda t: F.lower(F.regexp_extract(t, r"^<(/?[A-Za-z][^\s/>]*)", 1)))),
+                                 "texts": _once(F.transform("texts", lambda t: decode_entities(t)))})
+    own = lambda tag, name: F.zip_with("tags", "tokens", lambda x, t: F.when(x == tag, _attribute(t, name)))
+    return staged.withColumns({"hrefs": _once(own("a", "href")), "classes": _once(own("span", "class")),
+                               "depths": _once(_depths(F.zip_with("tags", "tokens", lambda x, t: F.struct(x.alias("tag"), _opens(x, t).alias("opens")))))})
+
+
+def _once(column: Column) -> Column:
+    """The column, marked so that Catalyst never copies it into the lambdas that look it up place by place, where it
+    would be computed anew for each place: a column that depends on a random number (any will do) is not copied."""
+    return F.when(F.rand(1) >= 0, column)
 
 
 def _opens(tag: Column, token: Column) -> Column:
@@ -51,17 +57,17 @@ def _attribute(token: Column, name: str) -> Column:
     return F.when(token.rlike(rf"{head}(?=[\s=/>])"), decode_entities(value, attribute=True))
 
 
-def _depths() -> Column:
+def _depths(tokens: Column) -> Column:
     state = "struct<open:array<string>,depths:array<int>>"
 
-    def step(acc, i):
-        tag, held = F.get("tags", i), acc["open"]
+    def step(acc, token):
+        tag, held = token["tag"], acc["open"]
         last = F.array_position(F.reverse(held), F.substr(tag, F.lit(2)))  # from the innermost; 0 if it is not open
-        now = (F.when(F.get("_opens", i), F.array_append(held, tag))
+        now = (F.when(token["opens"], F.array_append(held, tag))
                .when(tag.startswith("/") & (last > 0), F.slice(held, F.lit(1), (F.size(held) - last).cast("int"))).otherwise(held))
         return F.struct(now.alias("open"), F.array_append(acc["depths"], F.size(now)).alias("depths")).cast(state)
     start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<int>").alias("depths")).cast(state)
-    return F.aggregate(F.sequence(F.lit(0), F.size("tags") - 1), start, step)["depths"]
+    return F.aggregate(tokens, start, step)["depths"]
 
 
 def places(first, last) -> Column:
