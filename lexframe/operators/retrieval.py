@@ -34,6 +34,8 @@ DEFAULT_K = 4
 CHUNK_SIZE = 2000
 CHUNK_OVERLAP = 200
 EMBEDDING_DIM = 768
+#: Texts that a loaded model gets at once.
+MODEL_BATCH = 32
 EMPTY_STORE_NOTICE = "The document vector store is currently empty. Notify the user and suggest to upload documents."
 CONTEXT_TEMPLATE = ("Source: ", "\nContent: ")
 CONTEXT_SEPARATOR = "\n\n"
@@ -203,16 +205,22 @@ def _dense_udf(dim: int):
 
 
 def embed(df: DataFrame, id_col: str = "id_norma", content_col: str = "content", title_col: str | None = "title",
-          dim: int = EMBEDDING_DIM, embedder=None, keep=()) -> DataFrame:
+          dim: int = EMBEDDING_DIM, embedder=None, keep=(), model=None, batch_size: int = MODEL_BATCH) -> DataFrame:
     """Adds an embedding per row with status and statistics, in the shape of the
     embeddings table: ``(id, ml_generate_embedding_result array<float>,
     ml_generate_embedding_statistics, ml_generate_embedding_status, content, title)``.
 
     A row whose content has no token gets an empty array and a non-empty status (it
     is dropped by ``valid_embeddings`` before a merge). The columns ``keep`` follow.
+
+    By default texts are hashed. ``embedder(list[str]) -> vectors`` is called in Arrow batches; ``model`` is a
+    function that loads such an embedder, called once in each Python worker, whose batches hold ``batch_size``
+    texts, taken in order of their length so that a batch pads little.
     """
     base = df.select(F.col(id_col).alias(id_col), content_col,
                      (F.col(title_col) if title_col else F.lit(None).cast("string")).alias("title"), *keep)
+    if model is not None:
+        return _embed_by_model(base, id_col, content_col, dim, model, batch_size, list(keep))
     if embedder is not None:
         return _embed_with(base, id_col, content_col, dim, embedder, list(keep))
     base = base.withColumn("_tok", tokens(content_col))
@@ -284,6 +292,35 @@ def _embed_with(base: DataFrame, id_col: str, content_col: str, dim: int, embedd
         F.col("row")["title"].alias("title"), *(F.col("row")[c].alias(c) for c in keep))
 
 
+def _embed_by_model(base: DataFrame, id_col: str, content_col: str, dim: int, load, batch_size: int, keep: list) -> DataFrame:
+    """A loaded model over batches of texts (Spark's batch inference keeps what it loaded for the life of a worker)."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql import types as T
+
+    def make():
+        embedder = load()
+
+        def predict(texts):
+            texts = [str(t) for t in texts]
+            order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+            out = [None] * len(texts)
+            for lo in range(0, len(order), batch_size):
+                part = order[lo:lo + batch_size]
+                for i, vec, status in zip(part, *embed_rows(embedder, [texts[i] for i in part], dim)):
+                    out[i] = {"vec": np.asarray(vec, np.float32), "status": status, "tokens": len(texts[i].split())}
+            return out
+        return predict
+
+    result = T.StructType([T.StructField("vec", T.ArrayType(T.FloatType())), T.StructField("status", T.StringType()), T.StructField("tokens", T.IntegerType())])
+    # Batches to sort come by the Arrow batch; the model sees ``batch_size`` texts at a time.
+    infer = predict_batch_udf(make, return_type=result, batch_size=16 * batch_size)
+    done = base.withColumn("_out", infer(F.coalesce(F.col(content_col), F.lit(""))))
+    return done.select(
+        id_col, F.col("_out.vec").alias("ml_generate_embedding_result"),
+        F.to_json(F.struct(F.col("_out.tokens").alias("token_count"))).alias("ml_generate_embedding_statistics"),
+        F.col("_out.status").alias("ml_generate_embedding_status"), content_col, "title", *keep)
+
+
 # ---------------------------------------------------------------- distances
 def _sqdist(a, b) -> Column:
     """Squared Euclidean distance of two float arrays, summed in double."""

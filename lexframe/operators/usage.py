@@ -9,7 +9,7 @@ Role columns:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lexframe.operators.predicates import trailing_window
@@ -141,6 +141,15 @@ def load_metrics(df: DataFrame, date_col: str = "scrape_date", key: str = "id_no
                                     F.countDistinct(key).alias("unique_ids"))
 
 
+def observed(df: DataFrame, date_col: str = "scrape_date", key: str = "id_norma") -> tuple[DataFrame, Observation]:
+    """The frame with metrics that Spark collects while it is written: rows, rows without a key, first and last
+    date. ``observation.get`` waits for the write and reads nothing again."""
+    metrics = Observation()
+    out = df.observe(metrics, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(key).isNull()).alias("without_key"),
+                     F.min(date_col).alias("first"), F.max(date_col).alias("last"))
+    return out, metrics
+
+
 def scrape_metrics(found: DataFrame, scraped: DataFrame, listing_col: str = "page_id",
                    found_key: str = "norm_id", scraped_key: str = "id_norma") -> DataFrame:
     """Per listing: ids found on it, rows scraped for those ids and how many are

@@ -215,6 +215,17 @@ def q_load_metrics(spark, d):
     return usage.load_metrics(B.norm_rows(spark, d), "scrape_date", "id_norma")
 
 
+@register("load_observed", f"""
+SELECT count(*) AS rows, count(*) FILTER (id_norma IS NULL) AS without_key, min(scrape_date) AS first, max(scrape_date) AS last
+FROM ({B.NORM_ROWS_SQL})""")
+def q_load_observed(spark, d):
+    """Metrics of a load, collected while the master is written."""
+    from lexframe.sources.norms import write_version
+    rows, metrics = usage.observed(B.norm_rows(spark, d))
+    write_version(rows, scratch_path(spark, "master"), "1")
+    return spark.createDataFrame([metrics.get], "rows long, without_key long, first date, last date")
+
+
 @register("top5_with_remainder", f"""
 SELECT thread_id, interaction_id, response_time, rank, greatest(n - 5, 0) AS remainder FROM (
   SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY response_time DESC, interaction_id) AS rank,
@@ -545,6 +556,25 @@ def q_knn_approx_recall(spark, d):
     return found.select("query_id", "self_found", "at_most_k").join(recall)
 
 
+@register("embed_model", """
+SELECT doc_id AS id_norma, CASE WHEN lang = 'de' THEN 'error: ValueError' ELSE '' END AS status,
+       CASE WHEN lang = 'de' THEN NULL ELSE CAST(length(lang || ' ' || coalesce(text, '')) AS DOUBLE) END AS chars FROM documents""")
+def q_embed_model(spark, d):
+    """A model that each worker loads once; it refuses some texts, which are reported one by one."""
+    from lexframe.operators.retrieval import embed
+
+    def load():
+        def embedder(texts):
+            if any(t.startswith("de ") for t in texts):
+                raise ValueError("a text that the model refuses")
+            return [[float(len(t)), 1.0] for t in texts]
+        return embedder
+
+    docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("id_norma"), F.concat("lang", F.lit(" "), F.coalesce("text", F.lit(""))).alias("content"))
+    out = embed(docs, "id_norma", "content", None, dim=2, model=load)
+    return out.select("id_norma", F.col("ml_generate_embedding_status").alias("status"), F.get("ml_generate_embedding_result", 0).cast("double").alias("chars"))
+
+
 @register("embed_failures", """
 SELECT doc_id AS id_norma, CASE WHEN lang = 'de' THEN 'error: ValueError' WHEN doc_id % 7 = 0 THEN 'dimension 3' ELSE '' END AS status,
        CASE WHEN lang = 'de' OR doc_id % 7 = 0 THEN 0 ELSE 2 END AS dims FROM documents""")

@@ -495,3 +495,33 @@ def test_scrape_metrics_counts_missing(spark):
     scraped = spark.createDataFrame([("10",), ("12",), ("99",)], "id_norma string")
     got = {r.page_id: (r.ids_found, r.rows_scraped, r.missing) for r in S.scrape_metrics(found, scraped).collect()}
     assert got == {1: (3, 2, 1), 2: (1, 0, 1)}
+
+
+def test_a_model_is_loaded_once_a_worker(spark, tmp_path):
+    """3,000 texts in batches of 8: a load per worker, not per batch; batches are sorted by length; order is kept."""
+    loads, calls = str(tmp_path / "loads"), str(tmp_path / "calls")
+
+    def load():
+        with open(loads, "a") as f:
+            f.write("x")
+
+        def embedder(texts):
+            with open(calls, "a") as f:
+                f.write(f"{len(texts)} {max(map(len, texts)) - min(map(len, texts))}\n")
+            return [[float(len(t)), 2.0] for t in texts]
+        return embedder
+
+    docs = spark.range(3000, numPartitions=6).select(F.col("id").alias("id_norma"), F.when(F.col("id") != 5, F.repeat(F.lit("w"), F.pmod("id", F.lit(50)).cast("int"))).alias("content"))
+    out = R.embed(docs, title_col=None, dim=2, model=load, batch_size=8).collect()
+    assert all(r.ml_generate_embedding_result == [0.0 if r.id_norma == 5 else r.id_norma % 50, 2.0] for r in out) and len(out) == 3000
+    spreads = [tuple(map(int, x.split())) for x in open(calls)]
+    assert len(open(loads).read()) <= 8 and len(spreads) >= 375 and max(n for n, _ in spreads) == 8
+    assert sum(s for _, s in spreads) / len(spreads) < 10
+
+
+def test_metrics_of_a_load_without_a_second_read(spark):
+    from lexframe.sources.norms import write_version
+    rows = spark.createDataFrame([(1, dt.date(2025, 10, 2)), (None, dt.date(2025, 10, 1)), (3, None)], "id_norma long, scrape_date date")
+    out, metrics = S.observed(rows)
+    write_version(out, scratch_path(spark, "m"), "1")
+    assert metrics.get == {"rows": 3, "without_key": 1, "first": dt.date(2025, 10, 1), "last": dt.date(2025, 10, 2)}
