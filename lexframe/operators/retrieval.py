@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lexframe.session import cut_lineage
 
+from lexframe.functions.splitting import recursive_chunks
 from lexframe.functions.text import source_name
 
 # Retrieval depth, chunk size and overlap, embedding size, empty-store notice.
@@ -59,78 +60,6 @@ def embedding_input(norms: DataFrame, keep=()) -> DataFrame:
                         F.col("titulo_resumido").alias("title"), *keep)
 
 
-# Separators of the recursive splitter, coarsest first ("" = characters).
-RECURSIVE_SEPARATORS = ["\n\n", "\n", " ", ""]
-
-
-def _pieces(text: str, sep: str) -> list:
-    """Split keeping each separator at the start of the piece that follows it."""
-    if sep == "":
-        return list(text)
-    parts = text.split(sep)
-    return [p for p in [parts[0]] + [sep + x for x in parts[1:]] if p != ""]
-
-
-def _merge_pieces(pieces: list, size: int, overlap: int) -> list:
-    """Greedily pack consecutive pieces up to ``size``; the next chunk restarts from
-    the trailing pieces that fit in ``overlap``."""
-    out, cur, total = [], [], 0
-    for p in pieces:
-        if total + len(p) > size and cur:
-            doc = "".join(cur).strip()
-            if doc:
-                out.append(doc)
-            while total > overlap or (total + len(p) > size and total > 0):
-                total -= len(cur[0])
-                cur = cur[1:]
-        cur.append(p)
-        total += len(p)
-    doc = "".join(cur).strip()
-    if doc:
-        out.append(doc)
-    return out
-
-
-def recursive_split(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                    separators=RECURSIVE_SEPARATORS) -> list:
-    """Chunks of at most ``size`` characters: split at the coarsest separator present,
-    pack the pieces, and split any piece that is still too long at the next one."""
-    sep, finer = separators[-1], []
-    for i, s in enumerate(separators):
-        if s == "" or s in text:
-            sep, finer = s, ([] if s == "" else separators[i + 1:])
-            break
-    chunks, short = [], []
-    for piece in _pieces(text, sep):
-        if len(piece) < size:
-            short.append(piece)
-            continue
-        if short:
-            chunks.extend(_merge_pieces(short, size, overlap))
-            short = []
-        chunks.extend(recursive_split(piece, size, overlap, finer) if finer else [piece])
-    if short:
-        chunks.extend(_merge_pieces(short, size, overlap))
-    return chunks
-
-
-def _recursive_chunks(size: int, overlap: int):
-    def fn(batches):
-        for pdf in batches:
-            rows = []
-            for doc_id, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
-                if not text:
-                    continue
-                index, prev = 0, 0
-                for ix, chunk in enumerate(recursive_split(text, size, overlap)):
-                    index = text.find(chunk, max(0, index + prev - overlap))
-                    prev = len(chunk)
-                    rows.append((doc_id, ix, index, source, chunk))
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_ix", "start_index", "source", "text"]).astype(
-                {"doc_id": "int64", "chunk_ix": "int32", "start_index": "int64"})
-    return fn
-
-
 def chunk_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                     source_col: str | None = "source", mode: str = "fixed") -> DataFrame:
@@ -139,14 +68,14 @@ def chunk_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``fixed``: windows every ``size - overlap`` characters, so consecutive chunks share
     ``overlap`` characters; a row-local ``explode`` (no shuffle, linear in text length).
     ``recursive``: the separator splitter of the question-answering upload path
-    (paragraphs, lines, words, characters), one small per-row helper in
-    ``mapInPandas``. Empty texts give no chunk in both modes.
+    (paragraphs, lines, words, characters; ``functions/splitting.py``). Both are row-local
+    expressions, and empty texts give no chunk in either.
     """
     src = F.col(source_col) if source_col else F.lit(None).cast("string")
     if mode == "recursive":
         base = df.select(F.col(id_col).alias("doc_id"), src.alias("source"), F.col(text_col).alias("text"))
-        return base.mapInPandas(_recursive_chunks(size, overlap),
-                                "doc_id long, chunk_ix int, start_index long, source string, text string")
+        found = base.where(F.length("text") > 0).select("doc_id", "source", F.posexplode(recursive_chunks(F.col("text"), size, overlap)).alias("chunk_ix", "c"))
+        return found.select(F.col("doc_id").cast("long"), "chunk_ix", F.col("c.start").alias("start_index"), "source", F.col("c.text").alias("text"))
     step = size - overlap
     n = F.length(F.col(text_col))
     starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step))

@@ -411,8 +411,10 @@ def test_recursive_chunks(spark):
         covered.update(range(r.start_index, r.start_index + len(r.text)))
     assert all(i in covered for i, ch in enumerate(text) if not ch.isspace())
     assert [(r.doc_id, r.text) for r in rows if r.doc_id != 1] == [(3, "hola")]
-    assert R.recursive_split("a b c", 3, 1) == ["a b", "c"]
-    assert R.recursive_split("a b c d", 5, 2) == ["a b c", "c d"]
+    small = lambda t, n, o: [r.text for r in R.chunk_documents(spark.createDataFrame([(1, t, "")], "doc_id long, text string, source string"),
+                                                               mode="recursive", size=n, overlap=o).orderBy("chunk_ix").collect()]
+    assert small("a b c", 3, 1) == ["a b", "c"]
+    assert small("a b c d", 5, 2) == ["a b c", "c d"]
 
 
 @pytest.mark.parametrize("strategy", ["cells", "broadcast"])
