@@ -10,8 +10,9 @@ shared checkpoint folder and read again.
   stage finds them whole; ``n_chars`` follows the text. A document loses at most half of its text.
 - near-duplicates: three-word shingles, at most three differing bits; the least id of a group stays.
 - mixing: a row per copy, whole texts, in training order.
-- tokens: shard and shard_row (the order of training: the mix's files in name order, their rows in order; they tell
-  copies apart), doc_id, lang, source, n_tokens, the ids, and digests of ids and decoded bytes; sorted by that order.
+- tokens: shard and shard_row (the place in training: the mix's files in name order, their rows in order; they tell
+  copies apart), doc_id, lang, source, n_tokens, the ids, and digests of ids and decoded bytes. Rows of a chunk of
+  text stay in order; a reader that wants all of them in order sorts by the place, which costs a shuffle of the ids.
 
 Nulls, empty texts, repeated rows and empty tables follow the operators' docstrings.
 """
@@ -25,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from lexframe.llm import bpe, curriculum, langid, linededup, simhash
-from lexframe.llm.common import is_training, materialise, partitions
+from lexframe.llm.common import is_training, materialise
 
 MIN_SURE = 0.5
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,8 +54,7 @@ def mix(spark, docs, sf_dir):
 def tokens(spark, docs, sf_dir):
     order = ["shard", "shard_row"]
     placed = docs.select("doc_id", "text", "lang", "source", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("shard_row"))
-    out = bpe.tokenised(placed, RANKS, public_tokenizers.PATTERN, carry=[*order, "doc_id", "lang", "source"])
-    return out.repartitionByRange(partitions(out), *order).sortWithinPartitions(*order)
+    return bpe.tokenised(placed, RANKS, public_tokenizers.PATTERN, carry=[*order, "doc_id", "lang", "source"])
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("tokens", tokens)]
