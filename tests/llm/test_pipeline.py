@@ -50,7 +50,7 @@ def test_every_stage_against_a_plain_version(request, spark, name):
 
     before, after = out["tokens"]
     want, places = [], after.select("shard", "shard_row").collect()
-    assert places == sorted(places) and len(set(places)) == len(places)  # the order of training, copies told apart
+    assert len(set(places)) == len(places)  # copies are told apart
     spots = before.select("doc_id", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("shard_row"))
     assert rows(spots) == rows(after.select("doc_id", "shard", "shard_row"))
     after = after.drop("shard", "shard_row")
