@@ -31,6 +31,25 @@ def test_columns_and_one_row_per_document(spark, docs, name):
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
 
 
+OTHERS = {
+    "op11_warc_chain": ("pages", "page_id", "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"),
+    "op12_conversation_repair": ("conversations", "conv_id", "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, "
+                                                             "cost bigint, audit string, repaired_sha256 string"),
+    "op13_prefix_trie": ("conversations", None, "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, "
+                                                "saved_tokens bigint, ends_sha256 string"),
+}
+
+
+@pytest.mark.parametrize("name", OTHERS)
+def test_columns_of_pages_and_conversations(spark, name):
+    source, key, columns = OTHERS[name]
+    out = QUERIES[name][0](spark, SF)
+    assert [f"{c} {kind}" for c, kind in out.dtypes] == columns.split(", ")
+    if key:  # one row a page, one a conversation
+        ids = [r[0] for r in spark.read.parquet(f"{SF}/{source}.parquet").select(key).collect()]
+        assert sorted(r[0] for r in out.select(key).collect()) == sorted(ids if source == "pages" else set(ids))
+
+
 def test_what_sql_cannot_express():
     without = {k for k in (*QUERIES, "pipeline") if k not in E.oracle_sql()}
     assert without == {"op1_byte_bpe", "op2_crf_langid", "op3_lcp_fingerprint", "op5_ctw_score", "op7_debruijn_dedup", "op8_simhash_vp_tree",
