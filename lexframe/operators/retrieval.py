@@ -6,10 +6,9 @@ JVM built-ins; a user embedder (any ``list[str] -> array`` callable) runs in
 ``mapInPandas`` over Arrow batches.
 
 Search: exact k-NN without an all-pairs product. The corpus is clustered into
-``n_cells`` cells (around a bounded sample of its vectors), each row gets its cell, and each cell its radius. A query first probes its nearest cells (equi-join
-on cell id), which bounds its k-th distance; then every other cell whose
-triangle-inequality lower bound ``|q - c| - radius`` does not exceed that distance is
-joined too. Whatever is left out provably cannot enter the top k, so the answer
+``n_cells`` cells (around a bounded sample of its vectors), each row gets its cell, and each cell its radius. A query first probes its nearest cells, which bounds its k-th distance;
+then it meets every cell whose triangle-inequality lower bound ``|q - c| - radius`` does
+not exceed that distance. Queries travel to regions of cells, not to every cell. Whatever is left out provably cannot enter the top k, so the answer
 equals brute force. ``knn_approx`` stops after the probe step.
 """
 
@@ -46,6 +45,10 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 # Query vectors (float32) up to this size are broadcast and the corpus streamed past
 # them; larger query tables take the cell plan.
 QUERY_BROADCAST_BYTES = 64 << 20
+# Query vectors that a task of the cell plan holds.
+QUERY_BLOCK_BYTES = 32 << 20
+# Queries and rows that meet in one matrix product, and values of candidates that are looked at at once.
+QUERY_SLICE, ROW_SLICE, EXACT_VALUES = 512, 4096, 1 << 21
 
 # Share of the true neighbours that approximate search aims at (the promise is 0.9; the rest covers the
 # sample's error), and the sample of queries on which it is measured.
@@ -345,24 +348,56 @@ def _probed_cells(centres, n_probe: int, held: list, metric: str):
 
 
 def _cells_in_reach(centres, n_probe: int, radius: dict, metric: str, longest: float):
-    """Per Arrow batch: of each query with its k-th distance so far, the cells (beyond those probed) that may hold a nearer row."""
+    """Per Arrow batch: of each query with its k-th distance so far, the cells (beyond the ``n_probe`` nearest) that may hold a nearer row."""
     held = np.array(sorted(radius))
     radii = np.array([radius[c] for c in sorted(radius)])
 
     def fn(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            v = np.stack(pdf["qvec"].to_numpy()).astype(np.float64)
-            length = np.sqrt(np.einsum("ij,ij->i", v, v))
-            d2 = _blas_sq(cell_space(v, metric, query=True), centres)[:, held]
-            probed = np.argsort(d2, axis=1, kind="stable")[:, :n_probe]
-            reach = cell_reach(pdf["dk"].to_numpy(dtype=np.float64), metric, longest, length)
-            # The matrix product's rounding, at worst, as a distance.
-            close = np.sqrt(d2) - np.sqrt(1e-12 * (1.0 + length ** 2 + longest ** 2))[:, None] - radii <= reach[:, None]
-            np.put_along_axis(close, probed, False, axis=1)
-            row, at = np.nonzero(close)
-            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[row], "cell": held[at].astype("int32")})
+            for s in range(0, len(pdf), QUERY_SLICE):
+                part = pdf.iloc[s:s + QUERY_SLICE]
+                v = np.stack(part["qvec"].to_numpy()).astype(np.float64)
+                far = _reach(v, centres[held], metric, longest, dk=part["dk"].to_numpy(dtype=np.float64))
+                d2 = _blas_sq(cell_space(v, metric, query=True), centres[held])
+                close = ~(np.sqrt(d2) - radii > far[:, None])
+                np.put_along_axis(close, np.argsort(d2, axis=1, kind="stable")[:, :n_probe], False, axis=1)
+                row, at = np.nonzero(close)
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "cell": held[at].astype("int32")})
+    return fn
+
+
+def _reach(v, centres, metric: str, longest: float, n_probe: int = 0, dk=None):
+    """How far, in cell space, each query looks: to its ``n_probe``-th nearest centre or, with its k-th distance so far,
+    as far as a nearer row can be; plus the matrix product's rounding, at worst, as a distance."""
+    length = np.sqrt(np.einsum("ij,ij->i", v, v))
+    rounding = np.sqrt(1e-12 * (1.0 + length ** 2 + longest ** 2 + np.einsum("ij,ij->i", centres, centres).max()))
+    if dk is not None:
+        return cell_reach(dk, metric, longest, length) + rounding
+    at = min(n_probe, len(centres)) - 1
+    return np.sqrt(np.partition(_blas_sq(cell_space(v, metric, query=True), centres), at, axis=1)[:, at]) + rounding
+
+
+def _looks(v, reach, centres, inner, metric: str):
+    """Queries × cells: does the query look as far as the cell (its centre, less ``inner``)? A bounded slice of queries at a time."""
+    out = np.empty((len(v), len(centres)), bool)
+    for s in range(0, len(v), QUERY_SLICE):
+        q = cell_space(v[s:s + QUERY_SLICE].astype(np.float64), metric, query=True)
+        out[s:s + QUERY_SLICE] = ~(np.sqrt(_blas_sq(q, centres)) - inner > reach[s:s + QUERY_SLICE, None])
+    return out
+
+
+def _routes(centres, inner, members, metric: str, longest: float, n_probe: int):
+    """Per Arrow batch: how far each query looks (``_reach``) and the regions that hold a cell within that;
+    ``members`` says which cells (rows) have rows in which regions."""
+    def fn(batches):
+        for pdf in batches:
+            for s in range(0, len(pdf), QUERY_SLICE):
+                part = pdf.iloc[s:s + QUERY_SLICE]
+                v = np.stack(part["qvec"].to_numpy())
+                dk = None if n_probe else part["dk"].to_numpy(dtype=np.float64)
+                reach = _reach(v.astype(np.float64), centres, metric, longest, n_probe, dk)
+                regions = _looks(v, reach, centres, inner, metric).astype(np.float32) @ members > 0
+                yield part.assign(reach=reach, regions=[np.nonzero(r)[0].astype("int32") for r in regions])
     return fn
 
 
@@ -385,91 +420,163 @@ def _probes_for(recall: float, q: DataFrame, assigned: DataFrame, top, centres,
     return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) if len(needed) else 1
 
 
-def _block_kernel(k: int, metric: str):
-    """The ``k`` nearest rows per query of one bounded (query block × corpus block)
-    group, ties by id.
+class _Nearest:
+    """The ``k`` nearest rows so far of each query of a bounded block, ties by id.
 
-    A matrix product ranks all pairs. Every pair within a safe margin of the query's
-    k-th value is a candidate. The margin is far above the rounding error of the
-    product, so the true top k is always among the candidates. Candidates get their
-    exact distance, summed dimension by dimension in index order (``cumsum`` along
-    the row: the same arithmetic as the SQL form), and the top k is taken on that.
+    Rows are offered in batches. A matrix product ranks the pairs of a slice. A pair that is not worse than its
+    query's limit (its k-th distance so far, or one that is known beforehand) by more than a safe margin
+    is a candidate. The margin is far above the rounding error of the product, so the true top k is always
+    among the candidates. Candidates get their exact distance, summed dimension by dimension in index
+    order (``cumsum`` along the row: the same arithmetic as the SQL form), and the top k is taken on that.
+    A distance that is no number comes last.
     """
-    import numpy as np
-    import pandas as pd
-
-    empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
-                          "distance": pd.Series([], dtype="float64")})
 
-    def exact(qv, cm):
-        if metric == "l2":
-            diff = cm - qv[None, :]
-            return np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])
-        dot = np.cumsum(cm * qv[None, :], axis=1)[:, -1]
-        if metric == "ip":
-            return -dot
-        qn = np.sqrt(np.einsum("i,i->", qv, qv))
-        cn = np.sqrt(np.einsum("ij,ij->i", cm, cm))
-        return 1.0 - dot / (qn * cn)
-
-    def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or cpdf.empty:
-            return empty
-        q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
-        c = np.stack(cpdf["vec"].to_numpy()).astype(np.float64)
-        qids, cids = qpdf["query_id"].to_numpy(), cpdf["id"].to_numpy()
-        qq, cc = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
-        prod = q @ c.T
-        if metric == "l2":
-            approx = qq[:, None] + cc[None, :] - 2.0 * prod
-            margin = 1e-9 * (qq + cc.max()) + 1e-300
-        elif metric == "ip":
-            approx = -prod
-            margin = 1e-9 * np.sqrt(qq * cc.max()) + 1e-300
+    def __init__(self, ids, vectors, k: int, metric: str, limit=None, slice_rows: int = 512):
+        self.ids, self.vectors, self.k, self.metric, self.slice_rows = ids, vectors, k, metric, slice_rows
+        self.given = np.full(len(ids), np.inf) if limit is None else np.where(np.isnan(limit), np.inf, limit)
+        self.limit = self.given.copy()
+        self.distance = np.full((len(ids), k), np.inf)
+        self.row = np.zeros((len(ids), k), np.int64)
+        self.filled = np.zeros((len(ids), k), bool)
+
+    def offer(self, rows, vectors, at=None) -> None:
+        """Offers ``rows`` (ids, with their vectors) to the queries at the places ``at`` (None: all)."""
+        for lo in range(0, len(rows), ROW_SLICE):
+            first = self._without_copies(rows[lo:lo + ROW_SLICE], vectors[lo:lo + ROW_SLICE])
+            cids, c = rows[lo:lo + ROW_SLICE][first], vectors[lo:lo + ROW_SLICE][first].astype(np.float64)
+            cc = np.einsum("ij,ij->i", c, c)
+            n = len(self.ids) if at is None else len(at)
+            for s in range(0, n, self.slice_rows):
+                place = np.arange(s, min(s + self.slice_rows, n)) if at is None else at[s:s + self.slice_rows]
+                q = self.vectors[place].astype(np.float64)
+                one, other = self._candidates(q, c, cc, self.limit[place])
+                step = max(1, EXACT_VALUES // q.shape[1])
+                for e in range(0, len(one), step):
+                    self._take(place, q, one[e:e + step], cids, c, other[e:e + step])
+
+    def _without_copies(self, rows, vectors):
+        """The places of the rows, of equal vectors only the ``k`` of least id: no query can need the others."""
+        raw = np.ascontiguousarray(vectors)
+        _, same = np.unique(raw.view(np.dtype((np.void, raw.dtype.itemsize * raw.shape[1]))).ravel(), return_inverse=True)
+        order = np.lexsort((rows, same))
+        count = np.bincount(same)
+        rank = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+        return np.sort(order[rank < self.k])
+
+    def _candidates(self, q, c, cc, limit):
+        qq = np.einsum("ij,ij->i", q, q)
+        if self.metric == "l2":
+            score = q @ c.T
+            score -= 0.5 * cc
+            least, margin = 0.5 * (qq - limit * limit), 1e-9 * (qq + cc.max()) + 1e-300
+        elif self.metric == "ip":
+            score = q @ c.T
+            least, margin = -limit, 1e-9 * np.sqrt(qq * cc.max()) + 1e-300
         else:
             with np.errstate(divide="ignore", invalid="ignore"):
-                approx = 1.0 - prod / (np.sqrt(qq)[:, None] * np.sqrt(cc)[None, :])
-            approx = np.nan_to_num(approx, nan=np.inf)
-            margin = np.full(q.shape[0], 1e-9)
-        kk = min(k, c.shape[0])
-        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1] if c.shape[0] > kk else approx.max(axis=1)
-        out_q, out_c, out_d = [], [], []
-        for i in range(q.shape[0]):
-            cand = np.nonzero(approx[i] <= kth[i] + margin[i])[0]
-            if cand.shape[0] < kk:  # a non-finite value: fall back to every row
-                cand = np.arange(c.shape[0])
-            d = exact(q[i], c[cand])
-            order = np.lexsort((cids[cand], d))[:kk]
-            out_q.append(np.full(order.shape[0], qids[i]))
-            out_c.append(cids[cand][order])
-            out_d.append(d[order])
-        return pd.DataFrame({"query_id": np.concatenate(out_q).astype("int64"),
-                             "id": np.concatenate(out_c).astype("int64"),
-                             "distance": np.concatenate(out_d)})
-    return fn
+                score = (q / np.sqrt(qq)[:, None]) @ (c / np.sqrt(cc)[:, None]).T
+            least, margin = 1.0 - limit, np.full(len(q), 1e-9)
+        with np.errstate(invalid="ignore"):
+            least = least - margin
+        free = np.nonzero(~np.isfinite(limit))[0]  # nothing known yet: the k best of this slice bound it
+        if len(free) and c.shape[0] > self.k:
+            known = score[free]
+            known[np.isnan(known)] = -np.inf
+            with np.errstate(invalid="ignore"):
+                least[free] = np.partition(known, c.shape[0] - self.k, axis=1)[:, c.shape[0] - self.k] - 2 * margin[free]
+        elif len(free):
+            least[free] = -np.inf
+        # A pair whose score is no number is a candidate while its query has fewer than k rows.
+        hit = score >= least[:, None]
+        if len(free):
+            hit[free] = ~(score[free] < least[free][:, None])
+        return np.nonzero(hit)
+
+    def _exact(self, q, c):
+        if self.metric == "l2":
+            diff = c - q
+            return np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])
+        dot = np.cumsum(c * q, axis=1)[:, -1]
+        if self.metric == "ip":
+            return -dot
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return 1.0 - dot / (np.sqrt(np.einsum("ij,ij->i", q, q)) * np.sqrt(np.einsum("ij,ij->i", c, c)))
+
+    def _take(self, place, q, one, cids, c, other) -> None:
+        d = self._exact(q[one], c[other])
+        keep = ~(d > self.limit[place[one]])
+        one, other, d = one[keep], other[keep], d[keep]
+        if not len(one):
+            return
+        held, back = np.unique(one, return_inverse=True)
+        mine = place[held]
+        # The rows held so far and the new ones, by query, distance and id; places not filled come last.
+        query = np.concatenate([np.repeat(np.arange(len(held)), self.k), back])
+        distance = np.concatenate([self.distance[mine].ravel(), d])
+        row = np.concatenate([self.row[mine].ravel(), cids[other]])
+        filled = np.concatenate([self.filled[mine].ravel(), np.ones(len(d), bool)])
+        order = np.lexsort((row, distance, ~filled, query))
+        count = np.bincount(query)
+        best = order[(np.cumsum(count) - count)[:, None] + np.arange(self.k)]
+        self.distance[mine], self.row[mine], self.filled[mine] = distance[best], row[best], filled[best]
+        kth = np.where(self.filled[mine, -1] & ~np.isnan(self.distance[mine, -1]), self.distance[mine, -1], np.inf)
+        self.limit[mine] = np.minimum(self.given[mine], kth)
+
+    def found(self) -> pd.DataFrame:
+        at, _ = np.nonzero(self.filled)
+        return pd.DataFrame({"query_id": self.ids[at].astype("int64"), "id": self.row[self.filled], "distance": self.distance[self.filled]})
 
 
 def _broadcast_scan(bc, k: int, metric: str, query_block_rows: int):
-    """Per partition of corpus rows: the broadcast query vectors in blocks of
-    ``query_block_rows``, each block through the block kernel per Arrow batch. The running
-    top k of each query is kept and emitted once, so a partition gives at most k rows per
-    query however many batches it has."""
-    kernel = _block_kernel(k, metric)
-
+    """Per partition of corpus rows: every batch is offered to the broadcast query vectors. The running top k of
+    each query is emitted once, so a partition gives at most k rows per query however many batches it has."""
     def fn(batches):
-        qids, qmat = bc.value
-        best: dict = {}
+        best = None
         for cpdf in batches:
             if cpdf.empty:
                 continue
-            for s in range(0, len(qids), query_block_rows):
-                qpdf = pd.DataFrame({"query_id": qids[s:s + query_block_rows],
-                                     "qvec": list(qmat[s:s + query_block_rows])})
-                got = kernel(qpdf, cpdf)
-                if s in best:
-                    got = pd.concat([best[s], got]).sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
-                best[s] = got
-        yield from best.values()
+            best = best or _Nearest(*bc.value, k, metric, slice_rows=query_block_rows)
+            best.offer(cpdf["id"].to_numpy(), np.stack(cpdf["vec"].to_numpy()))
+        if best is not None:
+            yield best.found()
+    return fn
+
+
+def collect_vectors(q: DataFrame, *more: str):
+    """The ids and vectors (float32) of a bounded table of queries, and further columns, as arrays."""
+    t = q.select("query_id", "qvec", *more).toArrow()
+    values = t["qvec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    return t["query_id"].to_numpy(), values.reshape(len(t), len(values) // max(1, len(t))), *(t[c].to_numpy() for c in more)
+
+
+def _region_scan(centres, inner, lo, hi, at: dict, k: int, metric: str, n_regions: int, query_block_rows: int):
+    """Per partition, rows sorted by part (query block and region) and cell, the part's queries first (cell -1). The
+    queries of one part are held; its corpus rows stream past those that look as far as their cell."""
+    def fn(batches):
+        part, waiting, best, cell, near = None, [], None, None, None
+        for pdf in batches:
+            for (p, c), rows in pdf.groupby(["part", "cell"]):
+                if p != part:
+                    if best is not None:
+                        yield best.found()
+                    part, waiting, best, cell = p, [], None, None
+                ids, vectors = rows["id"].to_numpy(), np.stack(rows["vec"].to_numpy())
+                if c < 0:
+                    waiting.append((ids, vectors, rows["reach"].to_numpy(), rows["limit"].to_numpy()))
+                    continue
+                if best is None:
+                    if not waiting:  # no query looks here
+                        continue
+                    asked, v, reach, limit = (np.concatenate(x) for x in zip(*waiting))
+                    waiting, best = [], _Nearest(asked, v, k, metric, limit, query_block_rows)
+                    mine = np.nonzero((lo <= p % n_regions) & (hi >= p % n_regions))[0]
+                    looks = _looks(v, reach, centres[mine], inner[mine], metric)
+                    column = {m: i for i, m in enumerate(mine)}
+                if c != cell:
+                    cell, near = c, np.nonzero(looks[:, column[at[c]]])[0]
+                best.offer(ids, vectors, near)
+        if best is not None:
+            yield best.found()
     return fn
 
 
@@ -491,20 +598,21 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
       1. cells: centres are a seeded sample of ≤ ``n_cells`` corpus vectors (shipped to
          tasks with the function); every corpus row gets its nearest cell and the
          distance to it (numpy per Arrow batch); per cell a row count and a radius.
-      2. probe: each query's ``n_probe`` nearest cells (by default 2; with ``exact=False``, as many as a bounded
-         sample of the queries needs for ``recall``).
-      3. scan: query rows meet corpus rows by an equi-join on cell. Groups are cut
-         into blocks of at most ``block_rows`` corpus rows × ``query_block_rows``
-         queries, so a hot cell is spread over many tasks; each block is one
-         ``cogroup().applyInPandas`` call returning ≤ k rows per query.
-      4. bound (``exact``): the probe's k-th distance per query; every other cell
-         whose lower bound ``|q − centre| − radius`` is within it is scanned too.
+      2. regions: neighbouring cells make a region; regions hold as many rows each (at least
+         ``block_rows``), so a hot cell is spread over several. Their number follows the cluster's cores, not the
+         input. Queries are dealt into blocks of at most ``QUERY_BLOCK_BYTES``.
+      3. probe: each query looks as far as its ``n_probe``-th nearest cell (by default 2; with ``exact=False``, as
+         many as a bounded sample of the queries needs for ``recall``).
+      4. scan: a query goes once to every region that holds a cell it looks at, a corpus row once to
+         every query block. A task holds the queries of one block and region and the rows of the region, sorted
+         by cell, stream past those that look as far (``_Nearest``); ≤ k rows per query and region come back.
+      5. bound (``exact``): with the probe's k-th distance a query looks at every cell
+         whose lower bound ``|q − centre| − radius`` is within it, and these are scanned.
          Cells left out cannot hold a nearer row, so the result equals brute force.
          Cells and bound work in a space where l2 orders rows as the metric does
          (``cell_space``): unit vectors for cosine, and for ``ip`` vectors that one more
-         coordinate brings to one length. The bound is a matrix product per batch of
-         queries; only cells in reach become rows.
-      5. top-k per query over the candidates (partial WindowGroupLimit).
+         coordinate brings to one length.
+      6. top-k per query over the candidates (partial WindowGroupLimit).
     """
     spark = corpus.sparkSession
     qv = query_vec or vec_col
@@ -520,18 +628,16 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
         w = Window.partitionBy("query_id").orderBy("distance", "id")
         return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    kernel = _block_kernel(k, metric)
     out_schema = "query_id long, id long, distance double"
     if strategy == "auto":
         nq, width = q.where(F.size("qvec") > 0).agg(F.count(F.lit(1)), F.max(F.size("qvec"))).first()
         strategy = "broadcast" if exact and nq * (width or 0) * 4 <= QUERY_BROADCAST_BYTES else "cells"
     if strategy == "broadcast":
         # Bounded by the check above (or asked for explicitly): the query vectors only.
-        rows = q.where(F.size("qvec") > 0).collect()
-        if not rows:  # no query with a vector: no hits
+        ids, vectors = collect_vectors(q)
+        if not len(ids):  # no query with a vector: no hits
             return spark.createDataFrame([], none)
-        bc = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64),
-                                           np.array([r[1] for r in rows], dtype=np.float32).reshape(len(rows), -1)))
+        bc = spark.sparkContext.broadcast((ids, vectors))
         cands = c.mapInPandas(_broadcast_scan(bc, k, metric, query_block_rows), out_schema)
         return top(cands).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
     c = cut_lineage(c)  # read several times below
@@ -544,32 +650,44 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     centres = cell_space(np.stack(_sample_centres(c, "vec", n_cells, seed, n)), metric, longest)
     assigned = c.mapInPandas(_nearest_cell(centres, metric, longest), "id long, vec array<float>, cell int, to_centre double")
     assigned = cut_lineage(assigned)
-    cell_stats = (assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n_c"), F.max("to_centre").alias("radius"))
-                  .withColumn("cblocks", F.ceil(F.col("n_c") / block_rows).cast("int")))
-
-    # At most ``n_cells`` rows: the radius of every cell that holds rows.
-    radius = {r["cell"]: r["radius"] for r in cell_stats.select("cell", "radius").collect()}
+    # At most ``n_cells`` rows: the rows and the radius of every cell that holds rows.
+    cells = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("to_centre").alias("radius")).orderBy("cell").collect()
+    held, count, radius = (np.array([r[i] for r in cells]) for i in range(3))
     if n_probe is None:
-        n_probe = 2 if exact else _probes_for(recall, q, assigned, top, centres, sorted(radius), k, metric, seed, query_block_rows)
-    cell_schema = "query_id long, cell int"
-
-    def scan(cells: DataFrame) -> DataFrame:
-        qcount = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n_q"))
-        blocks = (cell_stats.join(qcount, "cell")
-                  .select("cell", "cblocks", F.ceil(F.col("n_q") / query_block_rows).cast("int").alias("qblocks")))
-        blocks = F.broadcast(blocks)  # one row per cell: bounded by n_cells
-        qs = (cells.select("query_id", "cell").join(q, "query_id").join(blocks, "cell")
-              .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qblocks")).cast("int"))
-              .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("cblocks") - 1)))
-              .select("cell", "cb", "qb", "query_id", "qvec"))
-        cs = (assigned.select("cell", "id", "vec").join(blocks, "cell")
-              .withColumn("cb", F.pmod(F.xxhash64("id"), F.col("cblocks")).cast("int"))
-              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)))
-              .select("cell", "cb", "qb", "id", "vec"))
-        keys = ["cell", "cb", "qb"]
-        return qs.groupBy(*keys).cogroup(cs.groupBy(*keys)).applyInPandas(kernel, out_schema)
-
-    first = cut_lineage(top(scan(cut_lineage(q.mapInPandas(_probed_cells(centres, n_probe, sorted(radius), metric), cell_schema)))))
+        n_probe = 2 if exact else _probes_for(recall, q, assigned, top, centres, held.tolist(), k, metric, seed, query_block_rows)
+    q = q.where("query_id IS NOT NULL")
+    nq, width = q.agg(F.count(F.lit(1)), F.max(F.size("qvec"))).first()
+    blocks = max(1, -(-nq * (width or 0) * 4 // QUERY_BLOCK_BYTES))
+    cores = spark.sparkContext.defaultParallelism
+    regions = int(max(1, min(-(-n // block_rows), max(8, 2 * cores // blocks))))
+    # Cells in the order of a few of them that they lie next to, cut into regions of as many rows.
+    home = np.argmin(_blas_sq(centres[held], centres[held][:regions]), axis=1)
+    order = np.lexsort((held, home))
+    start = np.empty_like(count)
+    start[order] = np.cumsum(count[order]) - count[order]
+    lo, hi = start * regions // n, (start + count - 1) * regions // n
+    members = ((lo[:, None] <= np.arange(regions)) & (hi[:, None] >= np.arange(regions))).astype(np.float32)
+    places = spark.createDataFrame([(int(c), int(s), int(m)) for c, s, m in zip(held, start, count)], "cell int, _start long, _count long")
+    kind = q.schema["qvec"].dataType
+    rows = (assigned.join(F.broadcast(places), "cell")  # one row per cell
+            .withColumn("region", F.floor((F.col("_start") + F.pmod(F.xxhash64("id"), "_count")) * regions / n))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            .select((F.col("block") * regions + F.col("region")).cast("int").alias("part"), "cell", "id", F.col("vec").cast(kind).alias("vec"),
+                    F.lit(None).cast("double").alias("reach"), F.lit(None).cast("double").alias("limit")))
+    index = {int(c): i for i, c in enumerate(held)}
+
+    def scan(asked: DataFrame, probe: int) -> DataFrame:
+        inner = np.zeros(len(held)) if probe else radius
+        from pyspark.sql import types as T
+        schema = T.StructType([*asked.schema.fields, T.StructField("reach", T.DoubleType()), T.StructField("regions", T.ArrayType(T.IntegerType()))])
+        looking = asked.mapInPandas(_routes(centres[held], inner, members, metric, longest, probe), schema)
+        qs = (looking.withColumn("region", F.explode("regions"))
+              .select((F.pmod(F.xxhash64("query_id"), F.lit(blocks)) * regions + F.col("region")).cast("int").alias("part"), F.lit(-1).alias("cell"),
+                      F.col("query_id").alias("id"), F.col("qvec").alias("vec"), "reach", F.col("dk").alias("limit")))
+        met = qs.unionByName(rows).repartitionById(blocks * regions, F.col("part")).sortWithinPartitions("part", "cell")
+        return met.mapInPandas(_region_scan(centres[held], inner, lo, hi, index, k, metric, regions, query_block_rows), out_schema)
+
+    first = cut_lineage(top(scan(q.withColumn("dk", F.lit(float("inf"))), n_probe)))
     if not exact:
         return first.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
 
@@ -577,8 +695,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, query_id: str
     bound = first.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("dk"))
     asked = q.join(bound, "query_id", "left").withColumn("dk", F.coalesce("dk", F.lit(float("inf"))))
-    rest = cut_lineage(asked.mapInPandas(_cells_in_reach(centres, n_probe, radius, metric, longest), cell_schema))
-    final = top(first.select("query_id", "id", "distance").unionByName(scan(rest)))
+    final = top(scan(asked, 0))
     return final.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
 
 

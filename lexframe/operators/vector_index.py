@@ -103,15 +103,15 @@ def search(queries: DataFrame, path: str, k: int = R.DEFAULT_K, query_id: str =
         stats = {r.cell: (r.rows, r.radius) for r in cells(spark, path).collect()}  # one row per cell
         outside = stats.pop(OUTSIDE, None)
         radius = {c: r for c, (_, r) in stats.items()}
-        first = _scan(q.mapInPandas(R._probed_cells(centres, n_probe, sorted(radius), metric), "query_id long, cell int") if radius else
-                      spark.createDataFrame([], "query_id long, cell int"), q, path, k, metric, also=[OUTSIDE] if outside else [])
-        first = cut_lineage(_top(first, k))
-        bound = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("dk"))
-        asked = q.join(bound, "query_id", "left").withColumn("dk", F.coalesce("dk", F.lit(float("inf"))))
-        hits = first
+        asked = q.withColumn("dk", F.lit(float("inf")))
         if radius:
-            rest = asked.mapInPandas(R._cells_in_reach(centres, n_probe, radius, metric, longest), "query_id long, cell int")
-            hits = _top(first.select("query_id", "id", "distance").unionByName(_scan(rest, q, path, k, metric)), k)
+            probed = asked.mapInPandas(_cells_of(R._probed_cells(centres, n_probe, sorted(radius), metric)), "cell int")
+            first = _top(_scan(probed, asked, path, k, metric, longest, centres, radius, n_probe), k)
+            bound = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("dk"))
+            asked = cut_lineage(q.join(bound, "query_id", "left").withColumn("dk", F.coalesce("dk", F.lit(float("inf")))))
+        reached = (asked.mapInPandas(_cells_of(R._cells_in_reach(centres, 0, radius, metric, longest)), "cell int") if radius else
+                   spark.createDataFrame([], "cell int"))
+        hits = _top(_scan(reached, asked, path, k, metric, longest, centres, radius, also=[OUTSIDE] if outside else []), k)
     hits = hits.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
     if not columns:
         return hits
@@ -123,35 +123,43 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.select("query_id", "id", "distance").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _scan(wanted: DataFrame, q: DataFrame, path: str, k: int, metric: str, also: list[int] = []) -> DataFrame:
-    """The at most ``k`` nearest rows a query and partition in the ``wanted`` (query_id, cell) cells; all queries meet the cells
-    of ``also``. The queries and their cells travel to the tasks; they are bounded by the check in ``search``."""
-    spark = q.sparkSession
-    asked: dict[int, list] = {}
-    for r in wanted.groupBy("cell").agg(F.sort_array(F.collect_list("query_id")).alias("ids")).collect():
-        asked[r.cell] = r.ids
-    rows = q.orderBy("query_id").collect()
-    ids = np.array([r.query_id for r in rows], np.int64)
-    vectors = np.array([r.qvec for r in rows], np.float32).reshape(len(rows), -1)
-    places = {c: np.searchsorted(ids, np.array(i, np.int64)) for c, i in asked.items()}
-    places |= {c: np.arange(len(ids)) for c in also}
-    shared = spark.sparkContext.broadcast((ids, vectors, places))
-    kernel = R._block_kernel(k, metric)
+def _cells_of(fn):
+    """Per batch, the distinct cells that ``fn`` gives."""
+    def cells(batches):
+        for pdf in batches:
+            found = [np.unique(part["cell"].to_numpy()) for part in fn([pdf])]
+            if found:
+                yield pd.DataFrame({"cell": np.unique(np.concatenate(found))})
+    return cells
+
+
+def _scan(wanted: DataFrame, asked: DataFrame, path: str, k: int, metric: str, longest: float, centres, radius: dict, n_probe: int = 0,
+          also: list[int] = []) -> DataFrame:
+    """The at most ``k`` nearest rows a query and partition in the ``wanted`` cells; a query meets those that it looks as far as
+    (``n_probe``, or the bound ``dk``), and all queries meet the cells of ``also``. The queries travel to the tasks; they are
+    bounded by the check in ``search``. Which cells a query looks at is found there, one cell at a time."""
+    spark = asked.sparkSession
+    cells = sorted({r.cell for r in wanted.distinct().collect()} | set(also))  # at most MAX_CELLS
+    held = np.array(sorted(radius), int)
+    shared = spark.sparkContext.broadcast(R.collect_vectors(asked, "dk"))
 
     def fn(batches):
-        ids, vectors, places = shared.value
-        best = None
+        best, last, near = None, None, None
         for pdf in batches:
-            found = [] if best is None else [best]
             for cell, group in pdf.groupby("cell"):
-                at = places[cell]
-                for s in range(0, len(at), 512):
-                    part = at[s:s + 512]
-                    found.append(kernel(pd.DataFrame({"query_id": ids[part], "qvec": list(vectors[part])}), group))
-            if found:
-                best = pd.concat(found).sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
+                if best is None:
+                    ids, vectors, dk = shared.value
+                    best, reach = R._Nearest(ids, vectors, k, metric, dk), np.empty(len(ids))
+                    for s in range(0, len(ids) if len(held) else 0, R.QUERY_SLICE):
+                        v = vectors[s:s + R.QUERY_SLICE].astype(np.float64)
+                        reach[s:s + R.QUERY_SLICE] = R._reach(v, centres[held], metric, longest, n_probe, None if n_probe else dk[s:s + R.QUERY_SLICE])
+                if cell != last:
+                    inner = 0.0 if n_probe else radius.get(cell, 0.0)
+                    near = None if cell in also else np.nonzero(R._looks(vectors, reach, centres[[cell]], inner, metric)[:, 0])[0]
+                    last = cell
+                best.offer(group["id"].to_numpy(), np.stack(group["vec"].to_numpy()), near)
         if best is not None:
-            yield best
+            yield best.found()
 
-    stored = spark.read.parquet(f"{path}/rows").where(F.col("cell").isin(sorted(places)))  # a partition filter
+    stored = spark.read.parquet(f"{path}/rows").where(F.col("cell").isin(cells))  # a partition filter
     return stored.select("id", F.col("embedding").alias("vec"), "cell").mapInPandas(fn, "query_id long, id long, distance double")
