@@ -548,9 +548,10 @@ def q_knn_approx_recall(spark, d):
     """What approximate search promises for each query of a self search: at most k hits, the query's own
     vector among them (its cell is always probed), and all queries together find 0.9 of the exact hits."""
     hits = q_knn_approx(spark, d)
-    exact = q_knn(spark, d).select("query_id", "id", F.lit(1).alias("exact"))
-    found = hits.join(exact, ["query_id", "id"], "left").groupBy("query_id").agg(
-        F.max(F.col("distance") == 0).alias("self_found"), (F.count(F.lit(1)) <= 4).alias("at_most_k"), F.count("exact").alias("n"))
+    # The exact hits and the count per query are read more than once: each search runs once.
+    exact = cut_lineage(q_knn(spark, d).select("query_id", "id", F.lit(1).alias("exact")))
+    found = cut_lineage(hits.join(exact, ["query_id", "id"], "left").groupBy("query_id").agg(
+        F.max(F.col("distance") == 0).alias("self_found"), (F.count(F.lit(1)) <= 4).alias("at_most_k"), F.count("exact").alias("n")))
     total = exact.agg(F.count(F.lit(1)).alias("all"))
     recall = found.agg(F.sum("n").alias("n")).join(total).select((F.col("n") >= 0.9 * F.col("all")).alias("recall_reached"))  # one row each
     return found.select("query_id", "self_found", "at_most_k").join(recall)
@@ -625,7 +626,7 @@ def q_build_context(spark, d):
 
 # ---------------------------------------------------------------- scans, sources, sinks
 from lexframe.schemas import NORM_COLUMNS  # noqa: E402
-from lexframe.session import scratch_path  # noqa: E402
+from lexframe.session import cut_lineage, scratch_path  # noqa: E402
 
 NORM_ROWS_CTE = f"WITH norm_rows AS ({B.NORM_ROWS_SQL})"
 
