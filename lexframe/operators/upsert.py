@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from lexframe.session import cut_lineage
 
+# Keys up to this number are broadcast to a join, so that the rows they are looked up in are not shuffled.
+BROADCAST_KEYS = 2_000_000
+
+
+def small_keys(keys: DataFrame, n: int) -> DataFrame:
+    """``keys`` (``n`` rows of few narrow columns), marked for a broadcast when they are few."""
+    return F.broadcast(keys) if n <= BROADCAST_KEYS else keys
+
+
 def _orders(order_cols) -> list[Column]:
     return [F.col(c).desc() if isinstance(c, str) else c for c in order_cols]
 
@@ -23,27 +32,48 @@ def dedup_keep_last(df: DataFrame, key, order_cols) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
+def last_rows(df: DataFrame, key: str, order_cols, row: Column) -> DataFrame:
+    """``dedup_keep_last`` of a materialised ``df`` whose rows ``row`` (part of the order) tells apart: only keys and order are
+    shuffled, and the rows that are not the last are taken out, without a shuffle when they are few."""
+    narrow = df.select(key, *order_cols, row.alias("_row"))
+    last = cut_lineage(dedup_keep_last(narrow, key, [*order_cols, "_row"]).select("_row"))
+    stale = cut_lineage(narrow.select("_row").join(last, "_row", "left_anti"))
+    n = stale.count()
+    return df.join(small_keys(stale, n), row == F.col("_row"), "left_anti") if n else df
+
+
+def not_late(source: DataFrame, target: DataFrame, key: str, newer: list[str]) -> DataFrame:
+    """The rows of a materialised ``source`` (one row per key) that are newer, by the columns ``newer``, than every ``target``
+    row of their key. Only these columns are shuffled to be compared."""
+    mine = target.select(F.col(key).alias("_k"), F.struct(*newer).alias("_stored"))
+    late = source.select(key, *newer).join(mine, (F.col(key) == F.col("_k")) & (F.struct(*newer) <= F.col("_stored")), "left_semi")
+    late = cut_lineage(late.select(key))
+    n = late.count()
+    if n and n == source.count():
+        return source.where(F.lit(False))
+    return source.join(small_keys(late, n), key, "left_anti") if n else source
+
+
 def merge_embeddings(target: DataFrame, source: DataFrame, key: str = "id_norma",
-                     columns: list[str] | None = None, newer: list[str] | None = None) -> tuple[DataFrame, int]:
+                     columns: list[str] | None = None, newer: list[str] | None = None, held: bool = False) -> tuple[DataFrame, int]:
     """MERGE on ``key``: matched target rows take every non-key column of the source,
     unmatched source rows are inserted, target rows with no source row are kept.
 
     Because a matched row is replaced whole, the result is ``target ⋉̸ source ∪ source``;
-    the planner broadcasts the source keys when their size allows it and else shuffles.
+    up to ``BROADCAST_KEYS`` source keys are broadcast, so that the target is not shuffled.
     With ``newer`` (columns that both sides hold), a matched row is replaced only by a
     source row that is newer by those columns, whatever order the sources arrive in.
-    The source must hold one row per key (``dedup_keep_last`` first). Returns
+    The source must hold one row per key (``dedup_keep_last`` first); ``held`` says that it is materialised already. Returns
     ``(merged, rows_modified)``.
     """
     cols = columns or target.columns
     # The source is read several times (row count, keys, union): computed once.
-    src = cut_lineage(source.select(*cols))
+    src = source.select(*cols) if held else cut_lineage(source.select(*cols))
     if newer:
-        mine = target.select(F.col(key).alias("_k"), F.struct(*newer).alias("_stored"))
-        late = src.join(mine, (F.col(key) == F.col("_k")) & (F.struct(*newer) <= F.col("_stored")), "left_anti")
-        src = cut_lineage(late.select(*cols))
-    kept = target.select(*cols).join(src.select(key), key, "left_anti")
-    return kept.unionByName(src), src.count()
+        src = not_late(src, target, key, newer).select(*cols)
+    n = src.count()
+    kept = target.select(*cols).join(small_keys(src.select(key), n), key, "left_anti")
+    return kept.unionByName(src), n
 
 
 def upsert_feedback(current: DataFrame, votes: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexframe.operators.upsert import dedup_keep_last
+from lexframe.operators.upsert import dedup_keep_last, not_late
 from lexframe.session import cut_lineage
 from lexframe.schemas import NORM_COLUMNS, NORM_RAW_SCHEMA, NORM_SCHEMA, NULL_TOKENS
 
@@ -173,13 +173,16 @@ _RANGE = ["key_width", "key_range"]
 def _write_ranges(rows: DataFrame, path: str, key: str, width: int) -> None:
     out = rows.withColumns({"key_width": F.lit(width).cast("long"), "key_range": F.floor(F.col(key) / width).cast("long")})
     # Rows of one range go to one directory; a large range is spread over tasks by the size-based rebalance.
-    (out.hint("rebalance", "key_range").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_RANGE).parquet(path))
+    (out.hint("rebalance", "key_range").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+     .partitionBy(*_RANGE).parquet(path))
 
 
-def write_keyed(df: DataFrame, path: str, key: str, rows: int = RANGE_ROWS) -> DataFrame:
+def write_keyed(df: DataFrame, path: str, key: str, rows: int = RANGE_ROWS, held: bool = False) -> DataFrame:
     """``df`` (one row per ``key``, a whole number; rows without one are left out) as a new keyed table. The
-    width of a range follows from the span of the keys and their number, about ``rows`` keys a range."""
-    df = cut_lineage(df.where(F.col(key).isNotNull()))
+    width of a range follows from the span of the keys and their number, about ``rows`` keys a range. ``held``: the
+    rows are materialised already."""
+    df = df.where(F.col(key).isNotNull())
+    df = df if held else cut_lineage(df)
     span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     width = max(1, -(-(span.hi - span.lo + 1) * rows // span.n)) if span.n else rows
     _write_ranges(df, path, key, width)
@@ -193,22 +196,29 @@ def read_keyed(spark: SparkSession, path: str, schema: T.StructType | str | None
     return spark.read.schema(schema).parquet(path)
 
 
-def merge_keyed(fresh: DataFrame, path: str, key: str, merge, rows: int = RANGE_ROWS) -> int:
+def merge_keyed(fresh: DataFrame, path: str, key: str, merge, rows: int = RANGE_ROWS, newer: list[str] | None = None, held: bool = False) -> int:
     """Merge ``fresh`` (one row per ``key``) into a keyed table: ``merge(stored rows of the touched ranges,
     fresh)`` gives the new rows of these ranges; the others are neither read nor written. Returns the number of
-    ranges rewritten. ``merge`` must give the same when it is applied again."""
+    ranges rewritten. ``merge`` must give the same when it is applied again. With ``newer`` (columns), rows that are no
+    newer than the stored row of their key are left out first, so a range without news is not rewritten.
+    ``held``: the rows are materialised already."""
     spark = fresh.sparkSession
-    fresh = cut_lineage(fresh.where(F.col(key).isNotNull()))
+    fresh = fresh.where(F.col(key).isNotNull())
+    fresh = fresh if held else cut_lineage(fresh)
     try:
         stored = spark.read.schema(T.StructType(fresh.schema.fields + [T.StructField(c, T.LongType()) for c in _RANGE])).parquet(path)
         first = stored.select("key_width").limit(1).collect()
     except AnalysisException:
         first = []
     if not first:
-        write_keyed(fresh, path, key, rows)
+        write_keyed(fresh, path, key, rows, held=True)
         return fresh.count()
     width = first[0][0]
-    ranges = [r[0] for r in fresh.select(F.floor(F.col(key) / width)).distinct().collect()]  # at most the table's partitions
+    touched = lambda: [r[0] for r in fresh.select(F.floor(F.col(key) / width)).distinct().collect()]  # noqa: E731 - at most the table's partitions
+    ranges = touched()
+    if newer and ranges:
+        fresh = not_late(fresh, stored.where(F.col("key_range").isin(ranges)), key, newer)
+        ranges = touched()
     if ranges:
         merged = merge(stored.where(F.col("key_range").isin(ranges)).drop(*_RANGE), fresh)
         _write_ranges(cut_lineage(merged), path, key, width)  # Spark cannot overwrite what it still reads

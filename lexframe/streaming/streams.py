@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexframe.operators.predicates import tail_sample, valid_embeddings
 from lexframe.operators.retrieval import embed, embedding_input
-from lexframe.operators.upsert import dedup_keep_last, merge_embeddings
+from lexframe.operators.upsert import dedup_keep_last, last_rows, merge_embeddings
 from lexframe.session import cut_lineage
 from lexframe.sources.norms import CSV_OPTIONS, SCAN_SCHEMA, load_order, merge_keyed, quarantine, read_keyed
 
@@ -40,13 +40,13 @@ def merge_norm_batch(batch: DataFrame, batch_id: int, table_dir: str, rejects_di
     good, bad = quarantine(raw)
     nameless = raw.where("id_norma IS NULL").join(bad.select("_ord"), "_ord", "left_anti").withColumn("reason", F.lit("id_norma"))
     bad.unionByName(nameless).write.mode("overwrite").parquet(f"{rejects_dir}/rows/batch={batch_id}")
-    latest = dedup_keep_last(good.where("id_norma IS NOT NULL"), "id_norma", ORDER)
+    latest = last_rows(good.where("id_norma IS NOT NULL"), "id_norma", ORDER, F.col("_ord.row"))
     latest = latest.withColumn("_ord", F.col("_ord").dropFields("row"))  # a batch read again is no newer, however it is split
     done = cut_lineage(embed(embedding_input(latest, keep=ORDER), dim=dim, embedder=embedder, keep=ORDER))
-    fresh = valid_embeddings(done)
-    done.join(fresh.select("id_norma"), "id_norma", "left_anti").write.mode("overwrite").parquet(
-        f"{rejects_dir}/embeddings/batch={batch_id}")
-    merge_keyed(fresh, table_dir, "id_norma", lambda old, new: merge_embeddings(old, new, "id_norma", new.columns, newer=ORDER)[0])
+    failed = done.where(~F.coalesce(F.size("ml_generate_embedding_result") > 0, F.lit(False)))
+    failed.write.mode("overwrite").parquet(f"{rejects_dir}/embeddings/batch={batch_id}")
+    merge_keyed(valid_embeddings(done), table_dir, "id_norma",
+                lambda old, new: merge_embeddings(old, new, "id_norma", new.columns, newer=ORDER, held=True)[0], newer=ORDER, held=True)
 
 
 def stream_merge_norms(spark: SparkSession, in_dir: str, table_dir: str, checkpoint: str,

@@ -129,3 +129,26 @@ def test_malformed_lines_are_rejected_not_loaded(spark, tmp_path):
         N.scan_norms(spark, str(tmp_path))
     rejects = scratch_path(spark, "rejects")
     assert N.scan_norms(spark, str(tmp_path), rejects).count() == 2 and spark.read.parquet(rejects).count() == 1
+
+
+def test_a_replay_rewrites_nothing_and_rows_are_not_shuffled_to_be_deduplicated(spark):
+    from lexframe.operators import upsert as U
+    from lexframe.session import cut_lineage, scratch_path
+    from lexframe.sources.norms import merge_keyed, read_keyed
+    path = scratch_path(spark, "t")
+    merge = lambda old, new: U.merge_embeddings(old, new, "id", new.columns, newer=["day"])[0]
+    files = lambda: {r[0] for r in spark.read.parquet(path).select("_metadata.file_path").distinct().collect()}
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, day int, v string")
+    first = rows(*((i, 2, "first") for i in range(100)))
+    merge_keyed(first, path, "id", merge, rows=10, newer=["day"])
+    before = files()
+    for late in (first, rows((3, 1, "late"), (40, 2, "same day"))):
+        assert merge_keyed(late, path, "id", merge, rows=10, newer=["day"]) == 0 and files() == before
+    assert merge_keyed(rows((3, 1, "late"), (45, 3, "new"), (1000, 1, "far")), path, "id", merge, rows=10, newer=["day"]) == 2
+    got = {r.id: r.v for r in read_keyed(spark, path).collect()}
+    assert len(got) == 101 and got[45] == "new" and got[1000] == "far" and got[3] == "first"
+
+    many = cut_lineage(spark.createDataFrame([(i % 50, i // 50, i, "text") for i in range(170)], "id long, day int, row long, v string"))
+    last = U.last_rows(many, "id", ["day"], F.col("row"))
+    assert "Exchange hashpartitioning" not in last._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, U.dedup_keep_last(many, "id", ["day", "row"]).collect()))
