@@ -73,8 +73,9 @@ class _Seen:
         if digest in self.new:
             return True
         if len(self.old):
-            at = int(np.searchsorted(self.old, np.bytes_(digest)))
-            if at < len(self.old) and self.old[at] == np.bytes_(digest):
+            key = np.bytes_(digest.rstrip(b"\0"))  # the array's elements come without the zero bytes at their end
+            at = int(np.searchsorted(self.old, key))
+            if at < len(self.old) and self.old[at] == key:
                 return True
         self.new.add(digest)
         if len(self.new) >= 1 << 17:
