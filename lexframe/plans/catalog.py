@@ -1012,7 +1012,7 @@ def q_stream_merge_corrections(spark, d):
     rows = B.norm_rows(spark, d)
     corrected = rows.where(F.col("tipo_norma").isin("en", "fr")).withColumn("texto_resumido", F.concat(F.lit("corrected "), "texto_resumido"))
     for batch in (rows, corrected.orderBy(F.desc("id_norma"))):
-        write_norms_csv(batch, in_dir, mode="append")
+        write_norms_csv(batch, in_dir, mode="append", compression="gzip")
         stream_merge_norms(spark, in_dir, table_dir, ckpt, dim=64).awaitTermination()
     stream_merge_norms(spark, in_dir, table_dir, scratch_path(spark, "emb-ckpt"), dim=64).awaitTermination()
     return read_keyed(spark, table_dir).select("id_norma", "content", "title")

@@ -10,10 +10,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
+_SHUFFLES_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -80,6 +82,33 @@ def drop_scratch(spark: SparkSession) -> int:
     return tables
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession):
+    """Statements of this block (writes, not frames that are used again) remove their shuffle files when they end, instead of
+    leaving them until the driver happens to collect its garbage."""
+    before = spark.conf.get(_SHUFFLES_KEY, None)
+    spark.conf.set(_SHUFFLES_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SHUFFLES_KEY) if before is None else spark.conf.set(_SHUFFLES_KEY, before)
+
+
+@contextmanager
+def scratch_table(df, name: str = "held"):
+    """``df`` computed once, as a compressed table of the shared scratch folder that lasts as long as the block. For rows
+    with long texts: a checkpoint holds them uncompressed, and for an unknown time."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    try:
+        with dropping_shuffles(spark):
+            df.write.option("compression", "zstd").parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df):
     """Materialise ``df`` with a reliable checkpoint in the shared checkpoint folder
     (survives executor loss; never a local checkpoint) and return the checkpointed frame."""

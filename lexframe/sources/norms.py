@@ -13,13 +13,15 @@ Two kinds of tables, both plain Parquet directories without a log of their own:
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexframe.operators.upsert import dedup_keep_last, not_late
-from lexframe.session import cut_lineage
+from lexframe.operators.upsert import dedup_keep_last, late_rows, not_late
+from lexframe.session import cut_lineage, dropping_shuffles, scratch_table
 from lexframe.schemas import NORM_COLUMNS, NORM_RAW_SCHEMA, NORM_SCHEMA, NULL_TOKENS
 
 CSV_OPTIONS = {
@@ -61,15 +63,21 @@ def _typed(c: str):
     return F.col(c)
 
 
-def quarantine(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split text rows into typed rows and rejects: a row whose raw value is present
-    but does not fit its declared type is rejected with the failing column names in
-    ``reason``, and a malformed line as such, instead of sinking the whole day."""
+def with_reason(raw: DataFrame) -> DataFrame:
+    """Text rows with ``reason``: the columns whose raw value is present but does not fit its declared type, and
+    whether the line is malformed; empty for a good row."""
     typed_cols = [c for c in NORM_COLUMNS if not isinstance(NORM_SCHEMA[c].dataType, T.StringType)]
     fails = [F.when(F.col(c).isNotNull() & _typed(c).isNull(), F.lit(c)) for c in typed_cols]
     if MALFORMED in raw.columns:
         fails.append(F.when(F.col(MALFORMED).isNotNull(), F.lit("malformed line")))
-    checked = raw.withColumn("reason", F.concat_ws(",", *fails))
+    return raw.withColumn("reason", F.concat_ws(",", *fails))
+
+
+def quarantine(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split text rows into typed rows and rejects: a row whose raw value is present
+    but does not fit its declared type is rejected with the failing column names in
+    ``reason``, and a malformed line as such, instead of sinking the whole day."""
+    checked = with_reason(raw)
     extra = [c for c in raw.columns if c not in (*NORM_COLUMNS, MALFORMED)]
     good = (checked.where(F.col("reason") == "")
             .select(*[_typed(c).alias(c) for c in NORM_COLUMNS], *extra))
@@ -114,13 +122,14 @@ def workdays_of(df: DataFrame, ts_col: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- sinks
-def write_norms_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_norms_csv(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> None:
     """Daily files: fixed column order, header, one file per ``scrape_date``
     (a day holds at most the daily cap of rows, so one writer task per day is small).
-    Empty text is written as a missing value, which loads as NULL."""
+    Empty text is written as a missing value, which loads as NULL. ``compression``: e.g. ``gzip``, which every scan reads."""
     out = df.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in NORM_COLUMNS], "scrape_date")
-    (out.repartition("scrape_date").write.mode(mode).options(**CSV_OPTIONS)
-     .partitionBy("scrape_date").csv(path))
+    with dropping_shuffles(df.sparkSession):
+        (out.repartition("scrape_date").write.mode(mode).options(**CSV_OPTIONS, compression=compression)
+         .partitionBy("scrape_date").csv(path))
 
 
 def append_staging(df: DataFrame, path: str) -> DataFrame:
@@ -167,14 +176,17 @@ def read_current(spark: SparkSession, table_path: str) -> DataFrame:
 # ---------------------------------------------------------------- keyed tables
 #: Rows that a key range of a new table is to hold.
 RANGE_ROWS = 50_000
+#: Steps in which a merge rewrites the ranges that it touches.
+MERGE_PARTS = 4
 _RANGE = ["key_width", "key_range"]
 
 
 def _write_ranges(rows: DataFrame, path: str, key: str, width: int) -> None:
     out = rows.withColumns({"key_width": F.lit(width).cast("long"), "key_range": F.floor(F.col(key) / width).cast("long")})
     # Rows of one range go to one directory; a large range is spread over tasks by the size-based rebalance.
-    (out.hint("rebalance", "key_range").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-     .partitionBy(*_RANGE).parquet(path))
+    with dropping_shuffles(rows.sparkSession):
+        (out.hint("rebalance", "key_range").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+         .partitionBy(*_RANGE).parquet(path))
 
 
 def write_keyed(df: DataFrame, path: str, key: str, rows: int = RANGE_ROWS, held: bool = False) -> DataFrame:
@@ -196,33 +208,53 @@ def read_keyed(spark: SparkSession, path: str, schema: T.StructType | str | None
     return spark.read.schema(schema).parquet(path)
 
 
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame | None, int]:
+    """The rows of a keyed table with their ranges, and the width of a range; None while there is no table."""
+    try:
+        stored = spark.read.schema(T.StructType(schema.fields + [T.StructField(c, T.LongType()) for c in _RANGE])).parquet(path)
+        first = stored.select("key_width").limit(1).collect()
+    except AnalysisException:
+        first = []
+    return (stored, first[0][0]) if first else (None, 0)
+
+
+def _touched(rows: DataFrame, key: str, width: int) -> list[int]:
+    found = rows.where(F.col(key).isNotNull()).select(F.floor(F.col(key) / width)).distinct().collect()  # at most the table's partitions
+    return sorted(r[0] for r in found)
+
+
+def late_keyed(rows: DataFrame, path: str, key: str, newer: list[str], *columns) -> DataFrame:
+    """``columns`` of the ``rows`` that are no newer, by the columns ``newer``, than the row of their key in a keyed table."""
+    stored, width = _stored(rows.sparkSession, path, rows.select(key, *newer).schema)
+    if stored is None:
+        return rows.select(*columns).limit(0)
+    return late_rows(rows, stored.where(F.col("key_range").isin(_touched(rows, key, width))), key, newer, *columns)
+
+
 def merge_keyed(fresh: DataFrame, path: str, key: str, merge, rows: int = RANGE_ROWS, newer: list[str] | None = None, held: bool = False) -> int:
     """Merge ``fresh`` (one row per ``key``) into a keyed table: ``merge(stored rows of the touched ranges,
     fresh)`` gives the new rows of these ranges; the others are neither read nor written. Returns the number of
     ranges rewritten. ``merge`` must give the same when it is applied again. With ``newer`` (columns), rows that are no
     newer than the stored row of their key are left out first, so a range without news is not rewritten.
-    ``held``: the rows are materialised already."""
-    spark = fresh.sparkSession
+    The ranges are rewritten in ``MERGE_PARTS`` steps, so that only a part of the table is shuffled and held twice at a time; ``merge``
+    is called for each. ``held``: the rows are materialised already."""
     fresh = fresh.where(F.col(key).isNotNull())
-    fresh = fresh if held else cut_lineage(fresh)
-    try:
-        stored = spark.read.schema(T.StructType(fresh.schema.fields + [T.StructField(c, T.LongType()) for c in _RANGE])).parquet(path)
-        first = stored.select("key_width").limit(1).collect()
-    except AnalysisException:
-        first = []
-    if not first:
-        write_keyed(fresh, path, key, rows, held=True)
-        return fresh.count()
-    width = first[0][0]
-    touched = lambda: [r[0] for r in fresh.select(F.floor(F.col(key) / width)).distinct().collect()]  # noqa: E731 - at most the table's partitions
-    ranges = touched()
-    if newer and ranges:
-        fresh = not_late(fresh, stored.where(F.col("key_range").isin(ranges)), key, newer)
-        ranges = touched()
-    if ranges:
-        merged = merge(stored.where(F.col("key_range").isin(ranges)).drop(*_RANGE), fresh)
-        _write_ranges(cut_lineage(merged), path, key, width)  # Spark cannot overwrite what it still reads
-    return len(ranges)
+    with ExitStack() as stack:
+        fresh = fresh if held else stack.enter_context(scratch_table(fresh, "fresh"))
+        stored, width = _stored(fresh.sparkSession, path, fresh.schema)
+        if stored is None:
+            write_keyed(fresh, path, key, rows, held=True)
+            return fresh.count()
+        ranges = _touched(fresh, key, width)
+        if newer and ranges:
+            fresh = not_late(fresh, stored.where(F.col("key_range").isin(ranges)), key, newer)
+            ranges = _touched(fresh, key, width)
+        step = max(1, -(-len(ranges) // MERGE_PARTS))
+        for part in (ranges[i:i + step] for i in range(0, len(ranges), step)):
+            old = stored.where(F.col("key_range").isin(part)).drop(*_RANGE)
+            # Read while it is overwritten: a dynamic partition overwrite replaces files when all new ones are written.
+            _write_ranges(merge(old, fresh.where(F.floor(F.col(key) / width).isin(part))), path, key, width)
+        return len(ranges)
 
 
 def load_master(appended: DataFrame, table_path: str, version: str,

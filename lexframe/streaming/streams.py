@@ -14,14 +14,16 @@ changed; no log of applied batches is needed.
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexframe.operators.predicates import tail_sample, valid_embeddings
 from lexframe.operators.retrieval import embed, embedding_input
-from lexframe.operators.upsert import dedup_keep_last, last_rows, merge_embeddings
-from lexframe.session import cut_lineage
-from lexframe.sources.norms import CSV_OPTIONS, SCAN_SCHEMA, load_order, merge_keyed, quarantine, read_keyed
+from lexframe.operators.upsert import dedup_keep_last, last_rows, merge_embeddings, with_member
+from lexframe.session import scratch_table
+from lexframe.sources.norms import CSV_OPTIONS, SCAN_SCHEMA, late_keyed, load_order, merge_keyed, quarantine, read_keyed, with_reason
 
 ORDER = ["scrape_date", "_ord"]
 #: What a streamed row knows of its file.
@@ -33,20 +35,28 @@ _NO_SOURCE = "struct<file_modification_time: timestamp, file_name: string, file_
 def merge_norm_batch(batch: DataFrame, batch_id: int, table_dir: str, rejects_dir: str, dim: int = 768, embedder=None) -> None:
     """One micro-batch of daily rows: type (rejects aside) → last row per id in load
     order → embed (failures aside) → MERGE of the newer rows into the embeddings table. Rows without an id are rejects."""
-    if SOURCE not in batch.columns:
-        batch = batch.withColumn(SOURCE, F.lit(None).cast(_NO_SOURCE))
-    # The batch feeds several outputs, and its load order must be the same in all of them.
-    raw = cut_lineage(batch.withColumn("_ord", load_order(F.col(SOURCE), batch_id)).drop(SOURCE))
-    good, bad = quarantine(raw)
-    nameless = raw.where("id_norma IS NULL").join(bad.select("_ord"), "_ord", "left_anti").withColumn("reason", F.lit("id_norma"))
-    bad.unionByName(nameless).write.mode("overwrite").parquet(f"{rejects_dir}/rows/batch={batch_id}")
-    latest = last_rows(good.where("id_norma IS NOT NULL"), "id_norma", ORDER, F.col("_ord.row"))
-    latest = latest.withColumn("_ord", F.col("_ord").dropFields("row"))  # a batch read again is no newer, however it is split
-    done = cut_lineage(embed(embedding_input(latest, keep=ORDER), dim=dim, embedder=embedder, keep=ORDER))
-    failed = done.where(~F.coalesce(F.size("ml_generate_embedding_result") > 0, F.lit(False)))
-    failed.write.mode("overwrite").parquet(f"{rejects_dir}/embeddings/batch={batch_id}")
-    merge_keyed(valid_embeddings(done), table_dir, "id_norma",
-                lambda old, new: merge_embeddings(old, new, "id_norma", new.columns, newer=ORDER, held=True)[0], newer=ORDER, held=True)
+    with ExitStack() as held:
+        source = F.col(SOURCE) if SOURCE in batch.columns else F.lit(None).cast(_NO_SOURCE)
+        raw = batch.withColumn("_ord", load_order(source, batch_id)).drop(SOURCE)
+        if SOURCE not in batch.columns:  # a stream's batch is the same files in the same order whenever it is read; of other frames that is not known
+            raw = held.enter_context(scratch_table(raw, "batch"))
+        checked, bad = with_reason(raw), (F.col("reason") != "") | F.col("id_norma").isNull()
+        keys = held.enter_context(scratch_table(checked.select(F.col("id_norma").try_cast("long").alias("id_norma"), *ORDER, bad.alias("_bad")), "keys"))
+        rejects = checked.where(bad).withColumn("reason", F.when(F.col("reason") == "", F.lit("id_norma")).otherwise(F.col("reason")))
+        rejects = rejects.limit(0) if keys.where("_bad").isEmpty() else rejects  # the files are not read again for nothing
+        rejects.write.mode("overwrite").parquet(f"{rejects_dir}/rows/batch={batch_id}")
+
+        keys, row, unsplit = keys.where("NOT _bad"), F.col("_ord.row"), F.col("_ord").dropFields("row")
+        latest = last_rows(quarantine(raw)[0].where("id_norma IS NOT NULL"), "id_norma", ORDER, row, keys)
+        # A batch read again is no newer, however it is split. Late rows are embedded like the others, but only their failures are kept.
+        late = late_keyed(keys.withColumns({"_row": row, "_ord": unsplit}), table_dir, "id_norma", ORDER, "_row")
+        latest, keep = with_member(latest, row, late, "_late").withColumn("_ord", unsplit), [*ORDER, "_late"]
+        done = embed(embedding_input(latest, keep=keep), dim=dim, embedder=embedder, keep=keep)
+        failed = ~F.coalesce(F.size("ml_generate_embedding_result") > 0, F.lit(False))
+        done = held.enter_context(scratch_table(done.where(failed | ~F.col("_late")), "embedded"))
+        done.where(failed).drop("_late").write.mode("overwrite").parquet(f"{rejects_dir}/embeddings/batch={batch_id}")
+        merge_keyed(valid_embeddings(done.where("NOT _late")).drop("_late"), table_dir, "id_norma",
+                    lambda old, new: merge_embeddings(old, new, "id_norma", new.columns, held=True)[0], held=True)
 
 
 def stream_merge_norms(spark: SparkSession, in_dir: str, table_dir: str, checkpoint: str,

@@ -152,3 +152,87 @@ def test_a_replay_rewrites_nothing_and_rows_are_not_shuffled_to_be_deduplicated(
     last = U.last_rows(many, "id", ["day"], F.col("row"))
     assert "Exchange hashpartitioning" not in last._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, U.dedup_keep_last(many, "id", ["day", "row"]).collect()))
+
+
+def _left_behind(spark, *kept):
+    """Bytes in the shared scratch folder, without the tables named."""
+    from lexframe.session import checkpoint_dir
+    kept = tuple(k.replace("file:", "") for k in kept)
+    files = (os.path.join(d, f) for d, _, names in os.walk(checkpoint_dir(spark).replace("file:", "")) for f in names if not d.startswith(kept))
+    return sum(os.path.getsize(f) for f in files if os.path.exists(f))
+
+
+def _noise(spark, days, n=100, times=80):
+    """``days`` x ``n`` norms with texts that do not compress, an id in every day."""
+    text = F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(f"-{k}"), "day"), 512) for k in range(times)])
+    rows = spark.range(n).crossJoin(spark.createDataFrame([(d,) for d in days], "day string")).withColumn("text", text)
+    return rows.select(*[{"id_norma": F.col("id"), "texto_resumido": F.col("text")}.get(c, F.lit(None).cast("string")).alias(c) for c in NORM_COLUMNS],
+                       F.to_date("day").alias("scrape_date"))
+
+
+def test_a_merge_leaves_no_copies_of_texts_behind(spark):
+    """Two days of each id from compressed files, then a replay: what stays is the table, not checkpoints of the texts on the way."""
+    from lexframe.sources.norms import read_keyed, write_norms_csv
+    from lexframe.streaming.streams import merge_norm_batch, stream_merge_norms
+    inbox, table = scratch_path(spark, "inbox"), scratch_path(spark, "emb")
+    rows = _noise(spark, ["2025-10-01", "2025-10-02"])
+    texts = rows.agg(F.sum(F.length("texto_resumido"))).first()[0]
+    write_norms_csv(rows, inbox, compression="gzip")
+    before = _left_behind(spark, inbox, table)
+    for _ in range(2):
+        stream_merge_norms(spark, inbox, table, scratch_path(spark, "ckpt"), dim=8).awaitTermination()
+    merge_norm_batch(rows.withColumn("scrape_date", F.date_add("scrape_date", 1)), 0, table, table + "_other", dim=8)
+    assert _left_behind(spark, inbox, table) - before < texts / 3
+    want = {r.id_norma: r.texto_resumido for r in rows.where("scrape_date = '2025-10-02'").collect()}
+    assert {r.id_norma: r.content for r in read_keyed(spark, table).collect()} == want and len(want) == 100
+
+
+def test_a_merge_rewrites_a_part_of_the_table_at_a_time(spark, monkeypatch):
+    from lexframe.operators import upsert as U
+    steps, write = [], N._write_ranges
+    path = scratch_path(spark, "t")
+    N.write_keyed(spark.range(1000).withColumn("v", F.lit("old")), path, "id", rows=100)
+    monkeypatch.setattr(N, "_write_ranges", lambda rows, p, key, width: (steps.append(rows.select(F.floor(F.col(key) / width)).distinct().count()), write(rows, p, key, width)))
+    fresh = spark.range(0, 2000, 2).withColumn("v", F.lit("new"))
+    assert N.merge_keyed(fresh, path, "id", lambda old, new: U.merge_embeddings(old, new, "id", new.columns)[0]) == 20 == sum(steps)
+    assert max(steps) <= 5
+    got = {r.id: r.v for r in N.read_keyed(spark, path).collect()}
+    assert got == {i: "old" for i in range(1, 1000, 2)} | {i: "new" for i in range(0, 2000, 2)}
+
+
+@pytest.fixture
+def no_small_tables(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_are_not_shuffled_for_many_keys(spark, monkeypatch, no_small_tables):
+    """More keys than are broadcast one by one: they travel as bitmaps."""
+    from lexframe.operators import upsert as U
+    from lexframe.session import cut_lineage
+    monkeypatch.setattr(U, "BROADCAST_KEYS", 10)
+    shuffled = lambda df: "Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString()
+    many = cut_lineage(spark.range(500).select((F.col("id") % 200).alias("id"), F.floor(F.col("id") / 200).alias("day"), F.col("id").alias("row"), F.lit("text").alias("v")))
+    last = U.last_rows(many, "id", ["day"], F.col("row"))
+    assert not shuffled(last)
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, U.dedup_keep_last(many, "id", ["day", "row"]).collect()))
+    stored, fresh = (cut_lineage(many.where(f"day = {d}")) for d in (0, 1))
+    news = U.not_late(stored, cut_lineage(fresh.where("id < 60")), "id", ["day"])
+    assert not shuffled(news) and sorted(r.id for r in news.collect()) == [*range(60, 200)]
+    merged, n = U.merge_embeddings(stored, cut_lineage(fresh.where("id < 60")), "id", held=True)
+    assert n == 60 and not shuffled(merged) and sorted((r.id, r.day) for r in merged.collect()) == [(i, int(i < 60)) for i in range(200)]
+
+
+def test_membership_of_any_numbers(spark, monkeypatch):
+    from lexframe.operators import upsert as U
+    some = [-(2**62), -40000, -3, 0, 1, 5, 32768, 32769, 2**33, 2**62]
+    asked = spark.createDataFrame([(i,) for i in sorted({j for i in some for j in (i - 1, i, i + 1)})] + [(None,)], "n long")
+    members = spark.createDataFrame([(i,) for i in [*some, None, 5]], "n long")
+    for blocks, keys in ((100, 100), (1, 100), (1, 1)):  # bitmaps, keys broadcast, keys shuffled
+        monkeypatch.setattr(U, "BITMAP_BLOCKS", blocks)
+        monkeypatch.setattr(U, "BROADCAST_KEYS", keys)
+        got = U.with_member(asked, F.col("n"), members, "found").collect()
+        assert len(got) == asked.count() and sorted(r.n for r in got if r.found) == some
+    words = spark.createDataFrame([("a",), ("b",), (None,)], "w string")
+    assert [r.w for r in U.with_member(words, F.col("w"), words.limit(1), "found").collect() if r.found] == ["a"]
