@@ -974,7 +974,7 @@ def q_stream_merge_norms(spark, d):
     from lexframe.streaming.streams import stream_merge_norms
     in_dir, table_dir, ckpt = (scratch_path(spark, x) for x in ("inbox", "emb-table", "emb-ckpt"))
     for batch in (B.norm_rows(spark, d), B.revised_norms(spark, d)):
-        write_norms_csv(batch, in_dir, mode="append")
+        write_norms_csv(batch, in_dir, mode="append", compression="gzip")
         stream_merge_norms(spark, in_dir, table_dir, ckpt, dim=64).awaitTermination()
     return read_keyed(spark, table_dir).select("id_norma", "content", "title")
 
@@ -994,7 +994,7 @@ def q_stream_merge_backfill(spark, d):
     create_embeddings_table(B.norm_rows(spark, d), table_dir, dim=64)
     for batch in (B.revised_norms(spark, d), B.norm_rows(spark, d)):
         in_dir, ckpt = scratch_path(spark, "inbox"), scratch_path(spark, "emb-ckpt")
-        write_norms_csv(batch, in_dir)
+        write_norms_csv(batch, in_dir, compression="gzip")
         for _ in range(2):  # a restart of the stream finds nothing new
             stream_merge_norms(spark, in_dir, table_dir, ckpt, dim=64).awaitTermination()
     return read_keyed(spark, table_dir).select("id_norma", "content", "title")

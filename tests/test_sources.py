@@ -236,3 +236,13 @@ def test_membership_of_any_numbers(spark, monkeypatch):
         assert len(got) == asked.count() and sorted(r.n for r in got if r.found) == some
     words = spark.createDataFrame([("a",), ("b",), (None,)], "w string")
     assert [r.w for r in U.with_member(words, F.col("w"), words.limit(1), "found").collect() if r.found] == ["a"]
+
+
+def test_a_new_table_leaves_no_copy_of_its_texts_behind(spark):
+    table = scratch_path(spark, "emb")
+    rows = _noise(spark, ["2025-10-01"])
+    texts = rows.agg(F.sum(F.length("texto_resumido"))).first()[0]
+    before = _left_behind(spark, table)
+    made = N.create_embeddings_table(rows.withColumn("id_norma", F.col("id_norma").cast("long")), table, dim=8)
+    assert _left_behind(spark, table) - before < texts / 3
+    assert {r.id_norma: r.content for r in made.collect()} == {r.id_norma: r.texto_resumido for r in rows.collect()}
